@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.llm.bpe_codec import encode_decode
 from tallyforge.llm.common import table
 from tallyforge.llm.minhash_dedup import near_duplicates
+from tallyforge.llm.mixing import mix_sources
+from tallyforge.llm.prefix_tokens import prefix_token_counts
+
+WORD_BPE = "word_bpe_49k.json"
+
+
+def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return prefix_token_counts(docs, public_tokenizers.path(WORD_BPE), limit=2048)
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encode_decode(docs, public_tokenizers.path(WORD_BPE), outputs=("ids_sha256", "decoded_sha256"))
+
+
 QUERIES = {
+    "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op6_mix_sources": op6_mix_sources,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 ORACLE_SQL: dict[str, str] = {}
