@@ -35,14 +35,15 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     weighed = totals.withColumn("weight", pick.cast("long"))
     full = most * F.col("source_size")
     ratio = full / F.col("weight")
-    up_to = Window.orderBy(ratio, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy(ratio, F.col("source").asc_nulls_last())
+    up_to = in_order.rowsBetween(Window.unboundedPreceding, -1)
     all_rows = Window.partitionBy()
     level = (
         F.sum("source_size").over(all_rows) * share[0] / share[1] - F.coalesce(F.sum(full).over(up_to), F.lit(0))
     ) / (F.sum("weight").over(all_rows) - F.coalesce(F.sum("weight").over(up_to), F.lit(0)))
-    ranked = weighed.withColumn("ratio", ratio).withColumn("level", level)
+    ranked = weighed.select("*", ratio.alias("ratio"), level.alias("level"), F.row_number().over(in_order).alias("place"))
     #: The first source in this order that its level doesn't fill sets the level.
-    common = ranked.withColumn("common", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(all_rows)["level"])
+    common = ranked.withColumn("common", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", "level"))).over(all_rows)["level"])
     target = F.when(F.col("common").isNull() | (F.col("ratio") < F.col("common")), full.cast("double")).otherwise(F.col("common") * F.col("weight"))
     return common.select("source", "source_size", "weight", target.alias("target"))
 
