@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm.bpe_codec import encode_decode
-from tallyforge.llm.common import table
+from tallyforge.llm.common import cut, shared_folder, table
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.prefix_tokens import prefix_token_counts
+from tallyforge.llm.warc import file_system, read_warc, write_warc
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(table(spark, sf_dir, "pages"), folder, least_bytes=0)
+    read = read_warc(spark, folder, payloads=False).where("record_type in ('response', 'revisit')")
+    out = cut(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"))
+    fs, root = file_system(folder)
+    fs.delete_dir(root)
+    return out
+
+
 def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return prefix_token_counts(docs, public_tokenizers.path(WORD_BPE), limit=2048)
@@ -33,9 +46,30 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_source": op2_warc_source,
     "op3_prefix_token_counts": op3_prefix_token_counts,
     "op6_mix_sources": op6_mix_sources,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_source": """
+        with p as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, trim(url) as target_uri from pages
+        ), b as (
+            select *, list_aggregate(list_transform(range(0, 40), lambda i: substr(
+                '0000000100100011010001010110011110001001101010111100110111101111',
+                1 + 4 * (strpos('0123456789abcdef', substr(h, (i + 1)::int, 1)) - 1), 4)), 'string_agg', '') as bits,
+                min(page_id) over (partition by h, payload_bytes) as first
+            from p
+        )
+        select page_id, payload_bytes,
+            list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+                16 * substr(bits, (5 * i + 1)::int, 1)::int + 8 * substr(bits, (5 * i + 2)::int, 1)::int +
+                4 * substr(bits, (5 * i + 3)::int, 1)::int + 2 * substr(bits, (5 * i + 4)::int, 1)::int +
+                substr(bits, (5 * i + 5)::int, 1)::int, 1)), 'string_agg', '') as payload_digest,
+            case when first is not null and page_id is distinct from first then 'revisit' else 'response' end as record_type,
+            case when page_id is distinct from first then first end as refers_to, target_uri
+        from b
+    """,
+}
