@@ -6,9 +6,12 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyforge.llm.block_knn import nearest
 from tallyforge.llm.bpe_codec import encode_decode
 from tallyforge.llm.common import cut, shared_folder, table
+from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.prefix_tokens import prefix_token_counts
@@ -32,6 +35,10 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(docs, public_tokenizers.path(WORD_BPE), limit=2048)
 
 
+def op5_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return encode_decode(docs, public_tokenizers.path(WORD_BPE), outputs=("ids_sha256", "decoded_sha256"))
@@ -48,11 +59,56 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc_source": op2_warc_source,
     "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op5_graph_near_dedup": op5_graph_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_block_nearest": op8_block_nearest,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
+_COMPONENTS = """
+        reach(node, root) as (
+            select id, id from nodes
+            union
+            select links.b, reach.root from reach join links on links.a = reach.node where links.b > reach.root
+        ), found as (select node, min(root) as component from reach group by node)
+"""
+_USABLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_graph_near_dedup": f"""
+        with recursive v as (
+            select vec_id as id, label, embedding::double[] as e, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x))) as len
+            from embeddings where label is not null and {_USABLE}
+        ), links as materialized (
+            select v.id as a, w.id as b from v join v as w on v.label = w.label and v.id <> w.id
+            where list_dot_product(v.e, w.e) / (v.len * w.len) >= 0.93
+        ), nodes as (select vec_id as id from embeddings), {_COMPONENTS}
+        select vec_id, coalesce(n, 0) as n_links, component as component_id, vec_id = component as kept
+        from embeddings join found on node = vec_id left join (select a, count(*) as n from links group by a) on a = vec_id
+    """,
+    "op7_minhash_near_dedup": f"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') as words from documents
+        ), s as materialized (
+            select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+                else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i : i + 3], ' ')) end) as items from w
+        ), i as materialized (select doc_id, len(items) as n, unnest(items) as item from s),
+        links as materialized (
+            select x.doc_id as a, y.doc_id as b from i as x join i as y on x.item = y.item and x.doc_id <> y.doc_id
+            group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), nodes as (select doc_id as id from documents), {_COMPONENTS}
+        select doc_id, len(items) as n_shingles, component as component_id, doc_id = component as kept from s join found on node = doc_id
+    """,
+    "op8_block_nearest": f"""
+        with v as (select vec_id, embedding::double[] as e from embeddings where {_USABLE}),
+        d as (
+            select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) as score
+            from v as q join v as c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+        )
+        select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
+        from d qualify rank <= 10
+    """,
     "op2_warc_source": """
         with p as (
             select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, trim(url) as target_uri from pages
