@@ -15,11 +15,17 @@ from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.prefix_tokens import prefix_token_counts
+from tallyforge.llm.toxicity import score, train
 from tallyforge.llm.warc import file_system, read_warc, write_warc
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
 def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), folder, least_bytes=0)
@@ -57,6 +63,7 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
     "op2_warc_source": op2_warc_source,
     "op3_prefix_token_counts": op3_prefix_token_counts,
     "op5_graph_near_dedup": op5_graph_near_dedup,
