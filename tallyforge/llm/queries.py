@@ -14,6 +14,7 @@ from tallyforge.llm.common import cut, shared_folder, table
 from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
+from tallyforge.llm.pii import find_personal_data
 from tallyforge.llm.prefix_tokens import prefix_token_counts
 from tallyforge.llm.toxicity import score, train
 from tallyforge.llm.warc import file_system, read_warc, write_warc
@@ -62,6 +63,10 @@ def op9_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path(WORD_BPE), outputs=("ids_sha256", "decoded_sha256"))
 
 
+def op10_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
     "op2_warc_source": op2_warc_source,
@@ -71,6 +76,7 @@ QUERIES = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_block_nearest": op8_block_nearest,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
+    "op10_information_theoretic_pii": op10_information_theoretic_pii,
 }
 _COMPONENTS = """
         reach(node, root) as (
