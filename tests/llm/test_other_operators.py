@@ -119,7 +119,7 @@ def fine(v):
     return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("shard", [3000, 100])
+@pytest.mark.parametrize("shard", [1500, 100])
 def test_vector_duplicates(spark, monkeypatch, shard):
     monkeypatch.setattr(graph_dedup, "SHARD", shard)
     monkeypatch.setattr(graph_dedup, "PER_CENTROID", 40)
@@ -142,8 +142,8 @@ def test_vector_duplicates(spark, monkeypatch, shard):
             assert got[r[0]] == (0, r[0])
     true = sum(n for n, _ in want.values())
     assert all(got[i][0] <= n for i, (n, _) in want.items())
-    assert sum(got[i][0] for i in want) >= (1 if shard == 3000 else 0.97) * true
-    if shard == 3000:
+    assert sum(got[i][0] for i in want) >= (1 if shard == 1500 else 0.97) * true
+    if shard == 1500:
         assert {i: got[i] for i in want} == want
     audit = audit_recall(df, found, every=10).head()
     assert audit.recall > 0.95
