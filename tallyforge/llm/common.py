@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +70,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return now.select(F.col("v").alias("node"), F.col("w").alias("component")).union(
         now.select(F.col("w").alias("node"), F.col("w").alias("component")).distinct()
     )
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a Python worker keeps for one operator. Workers serve many operators in turn;
+    what another one left behind is let go first, so memory doesn't add up."""
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):  # glibc keeps freed memory otherwise
+            libc.malloc_trim(0)
+        _STATE[key] = make()
+    return _STATE[key]

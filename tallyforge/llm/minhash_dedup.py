@@ -7,24 +7,31 @@ not 384. Equal sets are first folded into classes; candidates are then confirmed
 full sets.
 
 No bucket is ever expanded into all its pairs. Each bucket first links its members to
-its smallest one; then, where members of one bucket still lie in different components,
-the members outside the bucket's largest component meet the whole bucket. Pairs inside
-one component need no look, so the components are those of all candidate pairs.
+its smallest one. While that still joins many, members outside their bucket's largest
+component meet one more, drawn member of it; at last all that are still outside meet the
+whole bucket. Pairs inside one component need no look, so the components are those of
+all candidate pairs.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import components, cut
+from tallyforge.llm.common import components, cut, worker_state
 from tallyforge.llm.textblocks import LOWER, U64, find_words, mix, slices, text_bytes, word_hashes
 
 PAD = U64(0x5851F42D4C957F2D)
 #: Groups in each collection, MinHash values in each group.
 GROUPS, VALUES = 8, 3
+#: MinHash values of the sketch by which candidates are sifted before their sets are fetched.
+SKETCH = 1024
+MARKS = [f"m{k}" for k in range(SKETCH // 32)]
+PARTS = [f"p{k}" for k in range(2 * GROUPS)]
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -50,95 +57,110 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     return [np.unique(runs[a : a + n]) for a, n in zip(at[:-1], kept)]
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(1, 4 * GROUPS * VALUES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return seeds[: 2 * GROUPS * VALUES] | U64(1), seeds[2 * GROUPS * VALUES :]
-
-
-def signature(one: np.ndarray) -> np.ndarray:
-    """The 2 x GROUPS x VALUES MinHash values of a non-empty set."""
-    a, b = _coefficients()
+def signature(one: np.ndarray, values: int) -> np.ndarray:
+    """So many MinHash values of a non-empty set; other numbers of values, other functions."""
+    seeds = mix((np.arange(2 * values, dtype=U64) + U64(values << 20)) * U64(0x9E3779B97F4A7C15))
+    a, b = seeds[:values] | U64(1), seeds[values:]
     least = None
-    for k in range(0, len(one), 16384):  # bounds memory for very long texts
-        x = one[k : k + 16384, None] * a + b
+    step = (1 << 19) // values  # bounds memory for very long texts
+    for k in range(0, len(one), step):
+        x = one[k : k + step, None] * a + b
         x = ((x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)).min(axis=0)
         least = x if least is None else np.minimum(least, x)
     return least
 
 
-def tensored_keys(values: np.ndarray) -> np.ndarray:
-    """GROUPS x GROUPS table keys from the two collections of one signature."""
-    halves = values.reshape(2, GROUPS, VALUES)
-    part = mix(halves[:, :, 0])
+def group_hashes(one: np.ndarray) -> np.ndarray:
+    """A hash of each group: GROUPS of the first collection, then GROUPS of the second."""
+    halves = signature(one, 2 * GROUPS * VALUES).reshape(2 * GROUPS, VALUES)
+    part = mix(halves[:, 0])
     for k in range(1, VALUES):
-        part = mix(part * U64(3) + halves[:, :, k])
-    number = np.arange(GROUPS * GROUPS, dtype=U64).reshape(GROUPS, GROUPS)
-    return mix(part[0][:, None] * U64(5) + part[1][None, :] * U64(7) + number).ravel()
+        part = mix(part * U64(3) + halves[:, k])
+    return part
+
+
+def tensored_keys(rows: DataFrame) -> DataFrame:
+    """key, id, table: a key for each pair of a group of either collection."""
+    table = F.explode(F.sequence(F.lit(0), F.lit(GROUPS * GROUPS - 1)))
+    each = rows.select("id", "groups", table.alias("table"))
+    first, second = F.expr(f"groups[table div {GROUPS}]"), F.expr(f"groups[{GROUPS} + table % {GROUPS}]")
+    return each.select(F.xxhash64(first, second, "table").alias("key"), "id", "table")
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """Four bits of each MinHash value, sixteen of them in each long."""
-    nibbles = (values >> U64(60)).reshape(-1, 16)
-    return (nibbles << (np.arange(16, dtype=U64) * U64(4))).sum(axis=1, dtype=U64)
+def sketch(one: np.ndarray) -> np.ndarray:
+    """Two bits of each of SKETCH further MinHash values, 32 of them in each long."""
+    pairs = (signature(one, SKETCH) & U64(3)).reshape(-1, 32)
+    return (pairs << (np.arange(32, dtype=U64) * U64(2))).sum(axis=1, dtype=U64)
 
 
-_SKETCHES = 2 * GROUPS * VALUES // 16
-_SIGNED = "id long, n_shingles long, f1 long, f2 long, keys array<long>, " + ", ".join(f"s{k} long" for k in range(_SKETCHES))
+def _long(values) -> pa.Array:
+    return pa.array(np.array(values, dtype=U64).view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, dtype=U64), *arrays])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), _long(flat))
 
 
 def _sign(words: int):
     def run(batches):
+        worker_state("minhash", dict)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
-                f1, f2, keys, marks = [], [], [], []
-                for one in sets:
-                    if len(one):
-                        values = signature(one)
-                        keys.append(tensored_keys(values))
-                        marks.append(sketch(values))
-                        f1.append(mix(one).sum(dtype=U64))
-                        f2.append(mix(one ^ PAD).sum(dtype=U64))
-                    else:
-                        keys.append(np.zeros(0, dtype=U64))
-                        marks.append(np.zeros(_SKETCHES, dtype=U64))
-                        f1.append(U64(0))
-                        f2.append(U64(0))
-                long = lambda x: pa.array(np.array(x, dtype=U64).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), long(np.concatenate(keys)))
-                each = [long(x) for x in np.array(marks, dtype=U64).reshape(-1, _SKETCHES).T]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(x) for x in sets], pa.int64()), long(f1), long(f2), lists, *each],
-                    names=["id", "n_shingles", "f1", "f2", "keys", *(f"s{k}" for k in range(_SKETCHES))],
-                )
+                groups = [group_hashes(x) if len(x) else x for x in sets]
+                f1 = [mix(x).sum(dtype=U64) for x in sets]
+                f2 = [mix(x ^ PAD).sum(dtype=U64) for x in sets]
+                size = pa.array([len(x) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id"), size, _long(f1), _long(f2), _lists(groups)], names=["id", "n_shingles", "f1", "f2", "groups"])
 
     return run
 
 
 def _expand(words: int):
     def run(batches):
+        worker_state("minhash", dict)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
-                values = np.concatenate([np.zeros(0, dtype=U64), *sets]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part.column("id"), lists], names=["id", "items"])
+                marks = [np.concatenate([sketch(x), group_hashes(x)]) if len(x) else np.zeros(len(MARKS + PARTS), dtype=U64) for x in sets]
+                columns = np.array(marks, dtype=U64).reshape(-1, len(MARKS + PARTS)).T
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(sets), *map(_long, columns)], names=["id", "items", *MARKS, *PARTS])
 
     return run
 
 
-def _alike(a: str, b: str, percent: int, columns: list[str]):
-    """Could these two reach the similarity? Exact on sizes; on sketches four deviations below it."""
-    size_a, size_b = F.col(f"{a}_n"), F.col(f"{b}_n")
-    fits = (100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b))
+def _alike(percent: int):
+    """Could a and b reach the similarity? Exact on sizes; by sketch 3.5 deviations below it."""
+    fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     differ = F.lit(0)
-    for name in columns:
-        x = F.col(f"{a}_{name}").bitwiseXOR(F.col(f"{b}_{name}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        differ = differ + F.bit_count(x)
-    n, p = 16 * len(columns), percent / 100 + (1 - percent / 100) / 16
-    return fits & (differ <= F.lit(n - int(n * p - 4 * (n * p * (1 - p)) ** 0.5)))
+    for name in MARKS:
+        x = F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}"))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    p = percent / 100 + (1 - percent / 100) / 4
+    return fits & (differ <= F.lit(int(SKETCH * (1 - p) + 3.5 * (SKETCH * p * (1 - p)) ** 0.5)))
+
+
+def _side(about: DataFrame, name: str, more: list[str] = ()) -> DataFrame:
+    return about.select(F.col("id").alias(name), *(F.col(m).alias(f"{name}_{m}") for m in ("n", *MARKS, *more)))
+
+
+def _first_meeting():
+    """Is this table the first of those that a and b share? (Each pair counts there alone.)"""
+    first = {}
+    for half in (0, 1):
+        pick = F.lit(None)
+        for k in reversed(range(GROUPS)):
+            name = PARTS[half * GROUPS + k]
+            pick = F.when(F.col(f"a_{name}") == F.col(f"b_{name}"), k).otherwise(pick)
+        first[half] = pick
+    return F.col("table") == first[0] * GROUPS + first[1]
+
+
+def _sifted(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), each once, those that can reach the similarity."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return once.join(_side(about, "a"), "a").join(_side(about, "b"), "b").where(_alike(percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -149,6 +171,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return two.where(100 * shared >= percent * (F.size("a_items") + F.size("b_items") - shared)).select("a", "b")
 
 
+def _open_buckets(busy: DataFrame, known: DataFrame) -> DataFrame:
+    """key, id, component and main (the bucket's largest component), of buckets with several."""
+    placed = busy.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
+    placed = placed.select("key", "table", "id", F.coalesce("component", "id").alias("component"))
+    groups = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+    mixed = groups.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
+    return placed.join(mixed.where("parts > 1").select("key", "main"), "key")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -163,43 +194,46 @@ def near_duplicates(
     are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(base.mapInArrow(_sign(words), _SIGNED))
-    marks = [f"s{k}" for k in range(_SKETCHES)]
+    signed = cut(base.mapInArrow(_sign(words), "id long, n_shingles long, f1 long, f2 long, groups array<long>"))
     usable = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
 
     classes = usable.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    member = cut(usable.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "f1", "f2", "rep").distinct())
+    member = cut(usable.select("id", "f1", "f2").distinct().join(classes, ["f1", "f2"]))
     #: Classes that one repeated id ties together.
-    tied = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("n")).where("n > 1")
+    tied = member.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
     tied = member.join(tied.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a != b")
 
-    own = classes.select(F.col("rep").alias("id"), "f1", "f2")
-    reps = usable.join(own, ["id", "f1", "f2"])
-    rows = reps.select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("n"), *marks)
-    buckets = rows.select("key", "id").groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top")
+    reps = usable.join(classes.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
+    rows = tensored_keys(reps)
+    buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top")
     busy = cut(rows.join(buckets.select("key", "pivot"), "key"))
 
-    inside = busy.select("id").distinct()
-    sets = cut(base.join(inside, "id", "left_semi").mapInArrow(_expand(words), "id long, items array<long>"))
-
-    about = busy.select("id", "n", *marks).distinct()
-    side = lambda name: about.select(F.col("id").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(m).alias(f"{name}_{m}") for m in marks))
-    first = busy.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    first = first.join(side("a"), "a").join(side("b"), "b").where(_alike("a", "b", percent, marks)).select("a", "b")
-    links = cut(_confirmed(first, sets, percent))
-    known = cut(components(links.union(tied), "a", "b"))
-
-    placed = busy.join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    groups = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    mixed = groups.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(placed.join(mixed.select("key", "main"), "key"))
-    left = open_.where("component != main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("a_n"), *(F.col(m).alias(f"a_{m}") for m in marks))
-    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("major"), F.col("n").alias("b_n"), *(F.col(m).alias(f"b_{m}") for m in marks))
-    pairs = left.join(right, "key").where((F.col("ca") != F.col("cb")) & (F.col("major") | (F.col("a") < F.col("b"))) & _alike("a", "b", percent, marks))
-    late = _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent)
-    whole = components(links.union(tied).union(late), "a", "b")
-
-    found = member.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    expanded = "id long, items array<long>, " + ", ".join(f"{m} long" for m in MARKS + PARTS)
+    sets = cut(base.join(busy.select("id").distinct(), "id", "left_semi").mapInArrow(_expand(words), expanded))
+    about = sets.select("id", F.size("items").alias("n"), *MARKS, *PARTS)
+
+    pairs = busy.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    links = _confirmed(_sifted(pairs, about, percent), sets, percent).union(tied)
+    before = None
+    for turn in itertools.count():
+        known = cut(components(links, "a", "b"))
+        open_ = cut(_open_buckets(busy, known))
+        apart = open_.where("component != main").select("id").distinct().count()
+        if not apart or before is not None and 3 * apart > 2 * before:
+            break
+        before = apart
+        pivots = open_.where("component = main").groupBy("key").agg(F.max_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("a"))
+        pairs = open_.where("component != main").join(pivots, "key").select("a", F.col("id").alias("b"))
+        links = _confirmed(_sifted(pairs, about, percent), sets, percent).union(known.select("node", "component"))
+    if apart:
+        left = open_.where("component != main").select("key", "table", F.col("id").alias("a"), F.col("component").alias("ca")).join(_side(about, "a", PARTS), "a")
+        right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("major")).join(_side(about, "b", PARTS), "b")
+        apart_pair = (F.col("ca") != F.col("cb")) & (F.col("major") | (F.col("a") < F.col("b")))
+        met = left.join(right, "key").where(apart_pair & _alike(percent) & _first_meeting())
+        late = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = components(_confirmed(late, sets, percent).union(known.select("node", "component")), "a", "b")
+
+    found = member.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("id", "n_shingles").join(found, "id", "left")
     return out.select(
         F.col("id").alias("doc_id"),
