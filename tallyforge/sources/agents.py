@@ -452,68 +452,105 @@ _CB = {
 }
 
 
-def _codebuff_usage(v: Column, *at) -> Column:
-    """One usage object as a struct; counters 0 and names null where it isn't there."""
-    pick = lambda name: J.first_u64(v, *((*at, k) for k in _CB[name]))
-    cached = F.greatest(pick("cache_read"), J.u64(v, *at, "promptTokensDetails", "cachedTokens"), J.u64(v, *at, "prompt_tokens_details", "cached_tokens"))
-    i, o, c, total = pick("input"), pick("output"), pick("cache_creation"), pick("total")
-    missing = F.greatest(total - (i + o + c + cached), F.lit(0))
-    return F.struct(
-        i.alias("input"),
-        F.when(o == 0, missing).otherwise(o).alias("output"),
-        c.alias("cache_creation"),
-        cached.alias("cache_read"),
-        F.when(o == 0, F.lit(0)).otherwise(missing).alias("extra"),
-        F.coalesce(J.number(v, *at, "credits"), F.lit(0.0)).alias("credits"),
-        J.text(v, *at, "model").alias("model"),
-    )
+_CB_USAGE = (
+    "struct<" + ", ".join(f"{k}: bigint" for keys in _CB.values() for k in keys)
+    + ", promptTokensDetails: struct<cachedTokens: bigint>, prompt_tokens_details: struct<cached_tokens: bigint>, credits: double, model: string>"
+)
+_CB_HISTORY = f"array<struct<role: string, providerOptions: struct<usage: {_CB_USAGE}, codebuff: struct<model: string, usage: {_CB_USAGE}>>>>"
+_CB_STATE = f"struct<sessionState: struct<mainAgentState: struct<messageHistory: {_CB_HISTORY}>>>"
+_CB_METADATA = f"struct<model: string, timestamp: string, usage: {_CB_USAGE}, codebuff: struct<usage: {_CB_USAGE}>, runState: {_CB_STATE}>"
+_CB_MESSAGES = f"array<struct<variant: string, role: string, id: string, credits: double, timestamp: string, createdAt: string, metadata: {_CB_METADATA}>>"
+_CB_COUNTERS = ("input", "output", "cache_creation", "cache_read", "extra", "credits")
+
+
+def _positive(*columns: Column) -> Column:
+    """The first that is above 0, else 0."""
+    return F.coalesce(*(F.when(c > 0, c) for c in columns), F.lit(0))
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(F.trim(c), F.lit(""))
 
 
-def _first_filled(structs: list[Column], name: str) -> Column:
-    if name == "model":
-        return F.coalesce(*(s["model"] for s in structs))
-    return F.coalesce(*(F.when(s[name] > 0, s[name]) for s in structs), F.lit(0))
+def _picked(u: Column) -> Column:
+    """A usage object's counters under one name each (null for none)."""
+    pick = {k: _positive(*(u[x] for x in keys)) for k, keys in _CB.items()}
+    cached = F.greatest(pick.pop("cache_read"), F.coalesce(u["promptTokensDetails"]["cachedTokens"], F.lit(0)), F.coalesce(u["prompt_tokens_details"]["cached_tokens"], F.lit(0)))
+    return F.when(u.isNotNull(), F.struct(*(c.alias(k) for k, c in pick.items()), cached.alias("cache_read"), u["credits"].alias("credits"), _filled(u["model"]).alias("model")))
+
+
+def _settled(u: Column) -> Column:
+    """Counters with what only the total shows, in output or extra."""
+    missing = F.greatest(u["total"] - (u["input"] + u["output"] + u["cache_creation"] + u["cache_read"]), F.lit(0))
+    return F.struct(
+        u["input"].alias("input"),
+        F.when(u["output"] == 0, missing).otherwise(u["output"]).alias("output"),
+        u["cache_creation"].alias("cache_creation"),
+        u["cache_read"].alias("cache_read"),
+        F.when(u["output"] == 0, F.lit(0)).otherwise(missing).alias("extra"),
+        u["credits"].alias("credits"),
+        u["model"].alias("model"),
+    )
 
 
 def read_codebuff(spark: SparkSession, path: str) -> DataFrame:
     """Assistant messages; each counter from the first of several usage objects that has it:
     the metadata's, its tool's own, then the run state's history, latest first."""
-    docs, v = _documents(spark, path, "chat-messages.json"), F.col("v")
-    m = F.col("m")
-    rows = _items(docs, v, "m").where(F.coalesce(J.text(m, "variant"), J.text(m, "role")).isin("ai", "agent", "assistant"))
-    md = ("metadata",)
-    history = F.from_json(F.to_json(J.node(m, *md, "runState", "sessionState", "mainAgentState", "messageHistory")), "array<variant>")
-    said = F.reverse(F.filter(F.coalesce(history, F.array().cast("array<variant>")), lambda h: F.coalesce(J.text(h, "role") == "assistant", F.lit(False))))
-
-    def entry(h):
-        both = [_codebuff_usage(h, "providerOptions", "usage"), _codebuff_usage(h, "providerOptions", "codebuff", "usage")]
-        named = F.coalesce(J.text(h, "providerOptions", "codebuff", "model"), both[0]["model"], both[1]["model"])
-        return F.struct(*(_first_filled(both, k).alias(k) for k in ("input", "output", "cache_creation", "cache_read", "extra", "credits")), named.alias("model"))
-
-    rows = rows.withColumn("past", F.transform(said, entry))
-    first = lambda k: F.try_element_at(F.filter(F.transform("past", lambda x: x[k]), (lambda x: x.isNotNull()) if k == "model" else (lambda x: x > 0)), F.lit(1))
-    direct = [_codebuff_usage(m, *md, "usage"), _codebuff_usage(m, *md, "codebuff", "usage")]
-    value = {k: F.coalesce(F.nullif(_first_filled(direct, k), F.lit(0)), first(k), F.lit(0)) for k in ("input", "output", "cache_creation", "cache_read", "extra", "credits")}
-    credits = F.when(value["credits"] > 0, value["credits"]).otherwise(F.greatest(F.coalesce(J.number(m, "credits"), F.lit(0.0)), F.lit(0.0)))
-    named = F.coalesce(J.text(m, *md, "model"), _first_filled(direct, "model"), first("model"), F.lit("codebuff-unknown"))
-    part = lambda up: F.nullif(F.regexp_extract("file", "([^/]+)" + "/[^/]*" * up + "$", 1), F.lit(""))
-    chat, project, channel = F.coalesce(part(1), F.lit("unknown")), F.coalesce(part(3), F.lit("unknown")), F.coalesce(part(5), F.lit("manicode"))
-    moment = lambda *k: F.coalesce(T.strict_ms(J.raw_text(m, *k)), F.when(J.integer(m, *k) > 0, T.epoch_ms(J.integer(m, *k), 10_000_000_000)))
-    from_chat = T.strict_ms(F.regexp_replace(chat, r"^([^T]*T[^-]*)-([^-]*)-", "$1:$2:"))
-    ts = F.coalesce(moment("timestamp"), moment("createdAt"), moment(*md, "timestamp"), from_chat, "modified_ms")
-    provider = F.when(named.rlike("^claude-|^anthropic/"), "anthropic").when(named.rlike("^gpt-|^openai/|^o[0-9]"), "openai").when(named.rlike("^gemini|^google/"), "google").otherwise("codebuff")
+    files = whole_files(spark, path, "chat-messages.json").withColumn("line_no", F.lit(0))
+    rows = files.select("file", "modified_ms", "line_no", F.posexplode(F.from_json("value", _CB_MESSAGES)).alias("item_no", "m"))
+    rows = rows.where(F.coalesce(_filled(F.col("m.variant")), _filled(F.col("m.role"))).isin("ai", "agent", "assistant"))
+    history = F.coalesce(F.col("m.metadata.runState.sessionState.mainAgentState.messageHistory"), F.array().cast(_CB_HISTORY))
+    said = F.reverse(F.filter(history, lambda h: F.coalesce(F.trim(h["role"]) == "assistant", F.lit(False))))
+    two = lambda h: F.array(_picked(h["providerOptions"]["usage"]), _picked(h["providerOptions"]["codebuff"]["usage"]))
+    rows = rows.withColumns(
+        {
+            "own": F.array(_picked(F.col("m.metadata.usage")), _picked(F.col("m.metadata.codebuff.usage"))),
+            "past": F.transform(said, lambda h: F.struct(_filled(h["providerOptions"]["codebuff"]["model"]).alias("told"), two(h).alias("both"))),
+        }
+    )
+    settle = lambda xs: F.transform(F.array_compact(xs), _settled)
+    rows = rows.withColumns({"own": settle("own"), "past": F.transform("past", lambda p: F.struct(p["told"].alias("told"), settle(p["both"]).alias("both")))})
+    #: All usage objects in the order in which they are asked, and the models they name.
+    rows = rows.withColumns(
+        {
+            "uses": F.concat("own", F.flatten(F.transform("past", lambda p: p["both"]))),
+            "models": F.array_compact(
+                F.concat(F.array(_filled(F.col("m.metadata.model"))), F.transform("own", lambda u: u["model"]), F.flatten(F.transform("past", lambda p: F.concat(F.array(p["told"]), F.transform(p["both"], lambda u: u["model"])))))
+            ),
+        }
+    )
+    first = lambda k: F.coalesce(F.try_element_at(F.filter(F.transform("uses", lambda u: u[k]), lambda x: x > 0), F.lit(1)), F.lit(0))
+    part = lambda up: _filled(F.regexp_extract("file", "([^/]+)" + "/[^/]*" * up + "$", 1))
+    moment = lambda c: F.when(c.rlike(r"^\d+$"), F.when(c.try_cast("long") > 0, T.epoch_ms(c.try_cast("long"), 10_000_000_000))).otherwise(T.strict_ms(c))
+    rows = rows.select(
+        "file",
+        "line_no",
+        "item_no",
+        "modified_ms",
+        *(first(k).alias(k) for k in _CB_COUNTERS),
+        F.coalesce(F.try_element_at("models", F.lit(1)), F.lit("codebuff-unknown")).alias("model"),
+        F.greatest(F.coalesce("m.credits", F.lit(0.0)), F.lit(0.0)).alias("message_credits"),
+        F.coalesce(moment(F.col("m.timestamp")), moment(F.col("m.createdAt")), moment(F.col("m.metadata.timestamp"))).alias("told"),
+        _filled(F.col("m.id")).alias("id"),
+        F.coalesce(part(1), F.lit("unknown")).alias("chat"),
+        F.coalesce(part(3), F.lit("unknown")).alias("folder"),
+        F.coalesce(part(5), F.lit("manicode")).alias("channel"),
+    )
+    model = F.col("model")
+    provider = F.when(model.rlike("^claude-|^anthropic/"), "anthropic").when(model.rlike("^gpt-|^openai/|^o[0-9]"), "openai").when(model.rlike("^gemini|^google/"), "google").otherwise("codebuff")
+    from_chat = T.strict_ms(F.regexp_replace("chat", r"^([^T]*T[^-]*)-([^-]*)-", "$1:$2:"))
+    credits = F.when(F.col("credits") > 0, F.col("credits")).otherwise(F.col("message_credits"))
     out = usage(
-        rows,
+        rows.withColumn("provider", provider),
         "codebuff",
-        ts_ms=ts,
-        session_id=F.concat_ws("/", channel, project, chat),
+        ts_ms=F.coalesce("told", from_chat, "modified_ms"),
+        session_id=F.concat_ws("/", "channel", "folder", "chat"),
         project_path=F.lit("Codebuff"),
-        message_id=F.coalesce(J.text(m, "id"), F.col("item_no").cast("string")),
-        version=provider,
-        model=named,
-        **{f"{k}_tokens": value[k] for k in ("input", "output", "cache_creation", "cache_read", "extra")},
+        message_id=F.coalesce("id", F.col("item_no").cast("string")),
+        version=F.col("provider"),
+        **{f"{k}_tokens": F.col(k) for k in ("input", "output", "cache_creation", "cache_read", "extra")},
         credits=F.when(credits > 0, credits),
-        candidates=F.array_distinct(F.array(named, F.concat(provider, F.lit("/"), named))),
+        candidates=F.array_distinct(F.array(model, F.concat("provider", F.lit("/"), model))),
         price_rule=F.lit("positive"),
         bill_extra=F.lit(True),
     )
@@ -530,7 +567,7 @@ _GM = {
 
 
 def _gemini_events(df: DataFrame, tokens: Column, inclusive: Column, model: Column, session: Column, ts: Column, message_id: Column) -> DataFrame:
-    whole = lambda k: F.greatest(J.number(tokens, k), F.lit(0.0)).cast("long")
+    whole = lambda k: F.when(J.number(tokens, k) >= 0, F.floor(J.number(tokens, k))).when(J.number(tokens, k) < 0, 0).cast("long")
     n = {name: F.coalesce(*(whole(k) for k in keys), F.lit(0)) for name, keys in _GM.items()}
     total = whole("total")
     total = F.when(J.exists(tokens, "total"), total).otherwise(whole("total_tokens"))
@@ -665,7 +702,7 @@ def read_hermes(spark: SparkSession, path: str) -> DataFrame:
     folded = F.when(said.isin("claude"), "anthropic").when(said == "openai_codex", "openai").when(said.isin("google_ai", "gemini", "vertex", "vertex_ai"), "google").otherwise(said)
     provider = F.when(F.coalesce(said, F.lit("")) == "", inferred).otherwise(folded)
     positive = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0))
-    cost = F.coalesce(F.greatest("actual", F.lit(0.0)), F.greatest("estimated", F.lit(0.0)))
+    cost = F.greatest(F.coalesce("actual", "estimated"), F.when(F.coalesce("actual", "estimated").isNotNull(), 0.0))
     model = F.trim("model")
     out = usage(
         db.where("id <> '' and trim(model) <> '' and started > 0"),

@@ -27,7 +27,7 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str) -> DataF
     Logs are many small files, so a file is a row; Spark packs files into tasks by size.
     """
     paths = [paths] if isinstance(paths, str) else [*paths]
-    found = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
+    found = spark.read.format("text").options(wholetext="true", recursiveFileLookup="true", pathGlobFilter=glob).load(paths)
     name = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), "^[a-z0-9]+:/*", "/")
     return found.select(name.alias("file"), F.unix_millis(F.col("_metadata.file_modification_time")).alias("modified_ms"), "value")
 
