@@ -16,6 +16,7 @@ from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
 from tallyforge.llm.pii import find_personal_data
 from tallyforge.llm.prefix_tokens import prefix_token_counts
+from tallyforge.llm.quality import score_quality
 from tallyforge.llm.toxicity import score, train
 from tallyforge.llm.warc import file_system, read_warc, write_warc
 
@@ -42,6 +43,10 @@ def op3_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_token_counts(docs, public_tokenizers.path(WORD_BPE), limit=2048)
 
 
+def op4_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_graph_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
     "op2_warc_source": op2_warc_source,
     "op3_prefix_token_counts": op3_prefix_token_counts,
+    "op4_co_trained_quality": op4_co_trained_quality,
     "op5_graph_near_dedup": op5_graph_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
