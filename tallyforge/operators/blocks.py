@@ -10,10 +10,30 @@ def block_starts(df: DataFrame, ts: str, group: list[str], duration: int, hour:
     """Adds ``block_start``: the start of the row's block.
 
     A block starts at the full hour of its first row and ends before the first row that is
-    more than ``duration`` after its start or after the row before. Gaps cut the rows of a group into runs
-    first (a window over all of them); only the rows of one run are folded, in order, so
-    what is held at once is a run and not a group's whole history.
+    more than ``duration`` after its start or after the row before.
+
+    Where the duration is in whole hours, three times of each hour tell everything: its
+    first row, its first row past the full hour, its last row. Rows are reduced to these
+    (combined before the shuffle), the few times are folded, and rows find their block by
+    their hour; so one group may hold any share of the rows. Other durations fold the
+    distinct times of all rows.
     """
+    if duration % hour:
+        return _folded(df, ts, group, duration, hour)
+    at = F.col(ts) - F.pmod(ts, F.lit(hour))
+    hours = df.groupBy(*group, at.alias("_hour")).agg(F.min(ts).alias("lo"), F.min(F.when(F.col(ts) > at, F.col(ts))).alias("past"), F.max(ts).alias("hi"))
+    times = hours.select(*group, "_hour", F.explode(F.array_distinct(F.array_compact(F.array("lo", "past", "hi")))).alias("_t"))
+    placed = _folded(times, "_t", group, duration, hour).groupBy(*group, "_hour").agg(
+        F.max(F.when(F.col("_t") == F.col("_hour"), F.col("block_start"))).alias("_full"),
+        F.max(F.when(F.col("_t") > F.col("_hour"), F.col("block_start"))).alias("_past"),
+    )
+    rows = df.withColumn("_hour", at).join(placed, [*group, "_hour"])
+    return rows.withColumn("block_start", F.when(F.col(ts) == F.col("_hour"), F.col("_full")).otherwise(F.col("_past"))).drop("_hour", "_full", "_past")
+
+
+def _folded(df: DataFrame, ts: str, group: list[str], duration: int, hour: int) -> DataFrame:
+    """Gaps cut the times of a group into runs first (a window over all of them); a run's
+    distinct times are folded in order."""
     order = Window.partitionBy(*group).orderBy(ts)
     gap = F.coalesce(F.col(ts) - F.lag(ts).over(order) > duration, F.lit(True))
     runs = df.withColumn("_gap", F.when(gap, 1).otherwise(0))

@@ -153,3 +153,26 @@ def test_open_blocks(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted((r.user_id, r.block_start, r.entries) for r in spark.table("blocks").collect())
     assert got == sorted((r.user_id, r.block_start, r.entries) for r in queries.session_blocks(spark, SMALL).collect())
+
+
+@pytest.mark.parametrize("hours", [5.0, 1.0, 2.5])
+def test_blocks_are_the_sequential_ones(spark, hours):
+    import random
+
+    from tallyforge.operators.blocks import block_starts
+
+    rng, hour = random.Random(int(hours * 2)), 3_600_000
+    duration = int(hours * hour)
+    rows, t = [], 0
+    for _ in range(400):
+        t += rng.choice([0, hour, duration, duration + 1, 60_000, rng.randrange(hour), rng.randrange(2 * duration)])
+        t -= rng.choice([0, 0, t % hour])
+        rows.append((1, max(t, rows[-1][1] if rows else 0)))
+    want, start, last = [], None, None
+    for _, x in rows:
+        if start is None or x - start > duration or x - last > duration:
+            start = x - x % hour
+        last = x
+        want.append((x, start))
+    got = block_starts(spark.createDataFrame(rows, "g int, t long").repartition(5), "t", ["g"], duration, hour)
+    assert sorted((r.t, r.block_start) for r in got.collect()) == sorted(want)
