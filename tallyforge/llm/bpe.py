@@ -19,6 +19,8 @@ from tallyforge.llm.textblocks import U64, mix, word_hashes
 FREE = np.iinfo(np.int32).max
 #: Strings above this many bytes are merged one by one with a heap.
 WIDE = 64
+#: Distinct words worked out together.
+STEP = 16_384
 #: Below this code point the two regular-expression libraries class all characters alike.
 COMMON = 0x250
 
@@ -52,11 +54,11 @@ class Table:
 
     def put(self, keys: np.ndarray, values: np.ndarray) -> None:
         """Add distinct keys that are not there yet."""
-        if 4 * (self.n + len(keys)) > 1 << self.bits:
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
             full = self.keys >= 0
             keys, values = np.concatenate([keys, self.keys[full]]), np.concatenate([values, self.values[full]])
             self.n = 0
-            self._size(max(self.bits, int(8 * len(keys)).bit_length()))
+            self._size(max(self.bits, int(3 * len(keys)).bit_length()))
         self.n += len(keys)
         slot, todo = self._slots(keys), np.arange(len(keys))
         while len(todo):
@@ -90,7 +92,9 @@ class Vocabulary:
     def __init__(self, raw: bytes):
         spec = json.loads(raw)
         model = spec["model"]
-        self.library = Tokenizer.from_str(raw.decode())
+        #: The library's normaliser and word splitter; its own copy of the merges isn't needed.
+        parts = spec | {"added_tokens": [], "model": model | {"vocab": {}, "merges": []}}
+        self.library = Tokenizer.from_str(json.dumps(parts))
         self.suffix = model["end_of_word_suffix"]
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -105,7 +109,7 @@ class Vocabulary:
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else x for x in model["merges"]]
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int32)
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.int64)
-        self.ranks = Table(20)
+        self.ranks = Table(18)
         self.ranks.put(keys, np.arange(len(keys), dtype=np.int32))
         #: Bytes of each ordinary token, and whether it ends a word.
         self.ends = np.zeros(size, dtype=bool)
@@ -227,12 +231,6 @@ class Vocabulary:
         return np.array([x for x, here in zip(ids, alive) if here], dtype=np.int32)
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(raw: bytes) -> Vocabulary:
-    """The parsed file, once for each Python worker."""
-    return Vocabulary(raw)
-
-
 def packed(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Byte strings end to end, with their starts and lengths."""
     lengths = np.array([len(x) for x in strings], dtype=np.int64)
@@ -242,7 +240,7 @@ def packed(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 class Known:
     """What a worker has worked out for distinct words; emptied when it holds too many."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 200_000):
         self.make, self.most = make, most
         self._clear()
 
@@ -259,9 +257,10 @@ class Known:
             self._clear()
             new = np.arange(len(keys))
         if len(new) or self.columns is None:
-            words = [raw[a : a + n] for a, n in zip(starts[first[new]].tolist(), lengths[first[new]].tolist())]
-            made = self.make(words)
-            self.columns = made if self.columns is None else [np.concatenate([x, y]) for x, y in zip(self.columns, made)]
+            at = [*zip(starts[first[new]].tolist(), lengths[first[new]].tolist())]
+            made = [self.make([raw[a : a + n] for a, n in at[k : k + STEP]]) for k in range(0, max(1, len(at)), STEP)]
+            held = [] if self.columns is None else [self.columns]
+            self.columns = [np.concatenate(x) for x in zip(*held, *made)]
             self.at.put(keys[new], np.arange(self.n, self.n + len(new), dtype=np.int32))
             self.n += len(new)
             row = self.at.get(keys)

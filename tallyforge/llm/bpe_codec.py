@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bpe import Known, Vocabulary, packed, vocabulary
+from tallyforge.llm.bpe import Known, Vocabulary, packed
+from tallyforge.llm.common import bounded_batches, worker_state
 from tallyforge.llm.textblocks import U64, find_words, slices, text_bytes, word_hashes
 
 
@@ -77,13 +78,14 @@ def _known_words(vocab: Vocabulary) -> Known:
     return Known(make)
 
 
-_WORKER: dict[int, Known] = {}
+def _state(raw: bytes) -> tuple[Vocabulary, Known]:
+    vocab = Vocabulary(raw)
+    return vocab, _known_words(vocab)
 
 
 def _encode(raw_vocab, outputs: tuple[str, ...]):
     def run(batches):
-        vocab = vocabulary(raw_vocab.value)
-        known = _WORKER.setdefault(id(vocab), _known_words(vocab))
+        _, known = worker_state(("bpe", hash(raw_vocab.value)), lambda: _state(raw_vocab.value))
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column("text"))
@@ -126,6 +128,7 @@ def encode_decode(
     Defined results: null and blank texts have no tokens; null or repeated ids are kept as
     they are; other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     with open(vocab_path, "rb") as file:
         raw = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -141,7 +144,7 @@ def decode_column(df: DataFrame, vocab_path: str, ids_col: str = "ids", out: str
 
     @F.pandas_udf("string")
     def decode(column):
-        vocab = vocabulary(raw.value)
+        vocab, _ = worker_state(("bpe", hash(raw.value)), lambda: _state(raw.value))
         return column.map(lambda ids: None if ids is None else decode_ids(vocab, ids))
 
     return df.withColumn(out, decode(F.col(ids_col)))

@@ -29,6 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Documents are long: Arrow batches of the default 10,000 rows would hold tens of MB of
+    text in both the JVM and Python for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and replace its lineage by files in the shared folder."""
     shared_folder(df.sparkSession)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import components, cut, worker_state
+from tallyforge.llm.common import bounded_batches, components, cut, worker_state
 from tallyforge.llm.textblocks import LOWER, U64, find_words, mix, slices, text_bytes, word_hashes
 
 PAD = U64(0x5851F42D4C957F2D)
@@ -193,6 +193,7 @@ def near_duplicates(
     are one document, linked as any of them is; other columns, whatever their names,
     are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(base.mapInArrow(_sign(words), "id long, n_shingles long, f1 long, f2 long, groups array<long>"))
     usable = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))

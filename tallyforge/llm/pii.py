@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import packed
-from tallyforge.llm.common import blocks_for, cut
-from tallyforge.llm.textblocks import LOWER, U64, find_words, slices, text_bytes, word_hashes
+from tallyforge.llm.common import blocks_for, bounded_batches, cut, worker_state
+from tallyforge.llm.textblocks import LOWER, find_words, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, SUPPORT, DISCLOSURE, TERM_BYTES = 12, 3, 0.8, 4
@@ -118,7 +118,8 @@ def nearby(text: str, spans: list[tuple[int, str, int]]) -> dict[str, set[bytes]
 
 
 def _contexts(batches):
-    """entity, term, words of the term, text: 64-bit hashes; term null for the entity itself."""
+    """entity, term, text: 64-bit hashes; term null for the entity itself."""
+    worker_state("pii", dict)
     for batch in batches:
         for part in slices(batch, "text"):
             rows: list[tuple] = []
@@ -271,6 +272,7 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
     ignored unless kept; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     plain = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
     text = F.col(text_col).cast("string").alias("text")
     flagged = disclosing_terms(docs.select(text))

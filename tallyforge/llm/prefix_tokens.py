@@ -10,18 +10,17 @@ if the text ended there, and budget or truncation questions need no encoding aga
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bpe import Known, Table, Vocabulary, packed, vocabulary
+from tallyforge.llm.bpe import Known, Table, Vocabulary, packed
+from tallyforge.llm.common import bounded_batches, worker_state
 from tallyforge.llm.textblocks import find_words, slices, text_bytes
 
 #: Pairs whose answer a worker keeps.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 ALONE = 1 << 17
 
 
@@ -30,7 +29,7 @@ class Prefixes:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.pairs = Table(18)
+        self.pairs = Table(16)
         #: Tries of the reversed tokens: inside a word from state 0, at its end from state 1.
         states: dict[int, int] = {}
         token = [-1, -1]
@@ -43,7 +42,7 @@ class Prefixes:
                     token.append(-1)
                 at = states[key]
             token[at] = i
-        self.next = Table(20)
+        self.next = Table(19)
         self.next.put(np.fromiter(states.keys(), dtype=np.int64), np.fromiter(states.values(), dtype=np.int32))
         self.token = np.array(token, dtype=np.int32)
         self.longest = max(len(vocab.bytes[i]) for i in vocab.ordinary.tolist())
@@ -55,7 +54,7 @@ class Prefixes:
         if (known < 0).any():
             new = np.unique(keys[known < 0])
             if self.pairs.n + len(new) > PAIRS:
-                self.pairs, new = Table(18), np.unique(keys)
+                self.pairs, new = Table(16), np.unique(keys)
             x, y = new >> 18, new & 0x3FFFF
             of = self.vocab.bytes
             raw, starts, lengths = packed([(of[i] if i < ALONE else b"") + of[j] for i, j in zip(x.tolist(), y.tolist())])
@@ -107,58 +106,65 @@ class Prefixes:
         return final
 
 
-@functools.lru_cache(maxsize=2)
-def prefixes(raw: bytes) -> Prefixes:
-    return Prefixes(vocabulary(raw))
-
-
 def _begins(data: np.ndarray) -> np.ndarray:
     return (data & 0xC0) != 0x80
 
 
+def _plain_prefixes(dp: Prefixes, pieces: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts at the code points of words without special strings, which are the pieces
+    first[k] to first[k + 1], end to end; and n + 1 offsets of the words."""
+    raw, starts, lengths = packed(pieces)
+    if not raw:
+        return np.zeros(0, dtype=np.int32), np.zeros(len(first), dtype=np.int64)
+    counts = dp.counts(raw, starts, lengths)
+    for k in np.flatnonzero(lengths == 3).tolist():
+        if pieces[k] in (b"'re", b"'ve", b"'ll"):  # two pieces until the last letter
+            counts[starts[k] : starts[k] + 3] = 1, 2, counts[starts[k] + 2]
+    total = counts[starts + lengths - 1].astype(np.int64)
+    before = np.append(0, np.cumsum(total))
+    word = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    counts = counts + np.repeat(before[:-1] - before[first[word]], lengths)
+    ends = np.append(_begins(np.frombuffer(raw, dtype=np.uint8))[1:], True)
+    place = np.append(0, np.cumsum(ends))
+    return counts[ends].astype(np.int32), place[np.append(starts, len(raw))[first]]
+
+
+def _special_prefixes(dp: Prefixes, parts: list[str]) -> np.ndarray:
+    """The same for one word with special strings, which stand at the odd places of ``parts``."""
+    vocab, base, got = dp.vocab, 0, []
+    for k in range(0, len(parts), 2):
+        special = parts[k + 1] if k + 1 < len(parts) else ""
+        normal = vocab.normal(parts[k])
+        text = normal + special[:-1]  # a special string that isn't whole yet is ordinary text
+        pieces = vocab.pieces(text) if text else []
+        flat = base + _plain_prefixes(dp, pieces, np.array([0, len(pieces)]))[0]
+        shown = len(b"".join(vocab.pieces(normal)).decode("utf-8", "replace")) if normal else 0
+        base = (int(flat[shown - 1]) if shown else base) + bool(special)
+        got.append(np.append(flat, base) if special else flat)
+    return np.concatenate(got).astype(np.int32)
+
+
 def word_prefixes(dp: Prefixes, words: list[bytes]) -> list[np.ndarray]:
     """For each white-space-separated word the token count of its prefixes.
 
     Prefixes end at the code points of the normalised word; inside a special string the
     prefix is ordinary text, at its end it is one token.
     """
-    vocab, todo, plan = dp.vocab, [], []
-    for word in words:
-        parts = vocab.parts(word.decode("utf-8", "replace"))
-        steps = []
-        for k in range(0, len(parts), 2):
-            special = parts[k + 1] if k + 1 < len(parts) else ""
-            normal = vocab.normal(parts[k])
-            text = normal + special[:-1]  # a special string that isn't whole yet is ordinary text
-            mine = vocab.pieces(text) if text else []
-            steps.append((len(todo), len(todo) + len(mine), normal, special))
-            todo += mine
-        plan.append(steps)
-    raw, starts, lengths = packed(todo)
-    final = dp.counts(raw, starts, lengths)
-    begin = np.append(_begins(np.frombuffer(raw, dtype=np.uint8)), True)
-    out = []
-    for steps in plan:
-        base, got = 0, []
-        for a, b, normal, special in steps:
-            inside, own = base, []
-            for k in range(a, b):
-                s, n = int(starts[k]), int(lengths[k])
-                marks = final[s : s + n][begin[s + 1 : s + n + 1]]
-                if todo[k] in (b"'re", b"'ve", b"'ll"):
-                    marks = np.array([1, 2, 1])
-                own.append(inside + marks)
-                inside += int(final[s + n - 1])
-            flat = np.concatenate([np.zeros(0, dtype=np.int64), *own])
-            if special:
-                before = sum(len(x) for x in vocab.pieces(normal)) if normal else 0
-                visible = len(b"".join(vocab.pieces(normal)).decode("utf-8", "replace")) if before else 0
-                base = (int(flat[visible - 1]) if visible else base) + 1
-                flat = np.append(flat, base)
-            elif len(flat):
-                base = int(flat[-1])
-            got.append(flat)
-        out.append(np.concatenate(got).astype(np.int32) if got else np.zeros(0, dtype=np.int32))
+    vocab, pieces, first, special = dp.vocab, [], [0], {}
+    for k, word in enumerate(words):
+        if word.isalpha():  # ASCII letters only
+            pieces.append(word.lower())
+        else:
+            parts = vocab.parts(text := word.decode("utf-8", "replace"))
+            if len(parts) > 1:
+                special[k] = parts
+            else:
+                pieces += vocab.pieces(vocab.normal(text))
+        first.append(len(pieces))
+    flat, at = _plain_prefixes(dp, pieces, np.array(first))
+    out = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    for k, parts in special.items():
+        out[k] = _special_prefixes(dp, parts)
     return out
 
 
@@ -167,22 +173,26 @@ def _known_prefixes(dp: Prefixes) -> Known:
         each = word_prefixes(dp, words)
         held = np.empty(len(each), dtype=object)
         held[:] = each
-        total = np.array([x[-1] if len(x) else 0 for x in each], dtype=np.int64)
-        least = np.array([x.min() if len(x) else 0 for x in each], dtype=np.int64)
+        size = np.array([len(x) for x in each], dtype=np.int64)
+        flat = np.append(np.concatenate([np.zeros(0, dtype=np.int64), *each]), 0)
+        ends = np.cumsum(size)
+        total = np.where(size > 0, flat[ends - 1], 0)
+        least = np.where(size > 0, np.minimum.reduceat(flat, ends - size), 0) if len(each) else total
         return [total, least, held]
 
-    return Known(make, 200_000)
+    return Known(make, 250_000)
 
 
-_WORKER: dict[int, Known] = {}
+def _state(raw: bytes) -> tuple[Prefixes, Known]:
+    dp = Prefixes(Vocabulary(raw))
+    return dp, _known_prefixes(dp)
 
 
 def _count(raw_vocab, limit: int, prefix_column: bool):
     def run(batches):
-        dp = prefixes(raw_vocab.value)
-        known = _WORKER.setdefault(id(dp), _known_prefixes(dp))
+        _, known = worker_state(("prefixes", hash(raw_vocab.value)), lambda: _state(raw_vocab.value))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 6 << 20):
                 raw, offsets = text_bytes(part.column("text"))
                 starts, lengths, at = find_words(raw, offsets)
                 rows = known.get(raw, starts, lengths)
@@ -238,6 +248,7 @@ def prefix_token_counts(
     Defined results: null is an empty text with no tokens; null or repeated ids are kept
     as they are; other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocab_path, "rb") as file:
         raw = docs.sparkSession.sparkContext.broadcast(file.read())
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

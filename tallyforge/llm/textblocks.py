@@ -71,7 +71,7 @@ def word_hashes(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
     return out
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Cut a batch into runs of rows with about ``most`` bytes of text, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
@@ -80,4 +80,5 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
         done = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import Known, packed
+from tallyforge.llm.common import bounded_batches, worker_state
 from tallyforge.llm.textblocks import find_words, slices, text_bytes
 
 DECAY, FLOOR = 0.75, 0.4
@@ -183,20 +184,15 @@ class Pooler:
         return out
 
 
-_WORKER: dict[tuple, Pooler] = {}
-
-
 def _pooler(marks: tuple[bytes, ...]) -> Pooler:
-    if marks not in _WORKER:
-        _WORKER.clear()
-        _WORKER[marks] = Pooler(marks)
-    return _WORKER[marks]
+    return worker_state(("toxicity", marks), lambda: Pooler(marks))
 
 
 def _stems(batches):
     """Distinct folded words of each text and their beginnings of four to seven letters."""
+    worker_state("stems", dict)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):
             raw, offsets = text_bytes(part.column("text"))
             starts, lengths, at = find_words(raw, offsets)
             plain, s, n = fold(raw, starts, lengths)
@@ -296,6 +292,7 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learns from labelled rows that aren't held out, about ``most`` of them at most
     (drawn by a hash of the id). Without both classes the model scores everything 0."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     part = min(1.0, most / max(1, total))
@@ -357,9 +354,9 @@ def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     def run(batches):
         pooler = _pooler(model.marks)
         for batch in batches:
-            if model.marks:
-                marks = [model.score(pooler(part.column("text")).astype(np.float64)) for part in slices(batch, "text")]
-                batch = batch.filter(pa.array(np.concatenate([np.zeros(0), *marks]) < threshold))
-            yield batch
+            for part in slices(batch, "text"):
+                if model.marks:
+                    part = part.filter(pa.array(model.score(pooler(part.column("text")).astype(np.float64)) < threshold))
+                yield part
 
     return docs.select(*names).mapInArrow(run, docs.schema)
