@@ -26,6 +26,8 @@ from tallyforge.llm.textblocks import find_words, slices, text_bytes
 DECAY, FLOOR = 0.75, 0.4
 #: Bytes of a word that the kernel sees at once; longer words are read in overlapping windows.
 WINDOW, STRIDE = 24, 12
+#: (word, landmark) pairs that go through the kernel together.
+PAIRS = 8_192
 #: Fold of bytes: letters, look-alikes, and bytes above ASCII as they are; others go.
 FOLD = np.zeros(256, dtype=np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
@@ -63,17 +65,17 @@ def _matrix(raw: bytes, starts: np.ndarray, lengths: np.ndarray, width: int) ->
     return np.where(place < lengths[:, None], data[at], 0).astype(np.uint8)
 
 
-def kernel(words: np.ndarray, mark: bytes) -> np.ndarray:
-    """The subsequence kernel of each row of ``words`` (zero-padded bytes) and ``mark``."""
-    z = np.frombuffer(mark, dtype=np.uint8)
-    gap = np.arange(len(z))
+def kernel(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The subsequence kernel of each row of ``words`` and the same row of ``marks`` (bytes,
+    the first padded with 0, the second with 1, so that padding never matches)."""
+    gap = np.arange(marks.shape[1])
     decay = np.where(gap[None, :] >= gap[:, None], DECAY ** (gap[None, :] - gap[:, None] + 0.0), 0).astype(np.float32)
     n, squared = len(words), np.float32(DECAY**2)
-    one, two = (np.zeros((n, len(z) + 1), dtype=np.float32) for _ in range(2))
+    one, two = (np.zeros((n, len(gap) + 1), dtype=np.float32) for _ in range(2))
     total = np.zeros(n, dtype=np.float32)
     for k in range(words.shape[1]):
-        same = (words[:, k, None] == z).astype(np.float32) * squared
-        total += (same * two[:, :-1]).sum(axis=1)
+        same = (words[:, k, None] == marks).astype(np.float32) * squared
+        total += np.einsum("ij,ij->i", same, two[:, :-1])
         step = (same * one[:, :-1]) @ decay
         two *= DECAY
         two[:, 1:] += step
@@ -82,6 +84,12 @@ def kernel(words: np.ndarray, mark: bytes) -> np.ndarray:
     return total
 
 
+def _padded(marks) -> np.ndarray:
+    """Landmarks as rows of bytes for ``kernel``."""
+    wide = max(map(len, marks))
+    return np.frombuffer(b"".join(z.ljust(wide, b"\1") for z in marks), dtype=np.uint8).reshape(len(marks), wide)
+
+
 def _bits(words: np.ndarray) -> np.ndarray:
     """A set of letters (modulo 64) for each row."""
     out = np.zeros(len(words), dtype=np.uint64)
@@ -96,8 +104,10 @@ def holdings(raw: bytes, starts: np.ndarray, lengths: np.ndarray, marks: list[by
     out = np.zeros((len(starts), len(marks)), dtype=np.float32)
     if not marks:
         return out
-    own = [float(kernel(np.frombuffer(z, dtype=np.uint8)[None, :], z)[0]) for z in marks]
-    own_bits = [int(_bits(np.frombuffer(z, dtype=np.uint8)[None, :])[0]) for z in marks]
+    rows_of = _padded(marks)
+    plain = np.where(rows_of == 1, 0, rows_of)
+    own, own_bits = kernel(plain, rows_of), _bits(plain)
+    letters = np.bitwise_count(own_bits).astype(np.int64)
     windows = np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1)
     owner = np.repeat(np.arange(len(starts)), windows)
     shift = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
@@ -110,12 +120,13 @@ def holdings(raw: bytes, starts: np.ndarray, lengths: np.ndarray, marks: list[by
             rows = pick[a : a + (1 << 16)]
             words = _matrix(raw, starts[owner[rows]] + shift[rows], size[rows], wide)
             bits = _bits(words)
-            for k, z in enumerate(marks):
-                letters = own_bits[k].bit_count()
-                near = np.flatnonzero(3 * np.bitwise_count(bits & np.uint64(own_bits[k])) >= 2 * letters)
-                if len(near):
-                    share = (np.minimum(1, kernel(words[near], z) / own[k]) - FLOOR) / (1 - FLOOR)
-                    np.maximum.at(out[:, k], owner[rows[near]], np.maximum(0, share))
+            # all (word, landmark) pairs that share enough letters go through the kernel together
+            near = [np.flatnonzero(3 * np.bitwise_count(bits & own_bits[k]) >= 2 * letters[k]) for k in range(len(marks))]
+            word, mark = np.concatenate(near), np.repeat(np.arange(len(marks)), [*map(len, near)])
+            for b in range(0, len(word), PAIRS):
+                w, m = word[b : b + PAIRS], mark[b : b + PAIRS]
+                share = (np.minimum(1, kernel(words[w], rows_of[m]) / own[m]) - FLOOR) / (1 - FLOOR)
+                np.maximum.at(out, (owner[rows[w]], m), np.maximum(0, share))
     return out
 
 
@@ -250,7 +261,8 @@ def choose_marks(counts: list, n_toxic: int, n_clean: int) -> tuple[bytes, ...]:
 def _inverse_root(marks: tuple[bytes, ...]) -> np.ndarray:
     raw, starts, lengths = packed([*marks])
     words = _matrix(raw, starts, lengths, WINDOW)
-    gram = np.array([kernel(words, z) for z in marks], dtype=np.float64)
+    rows = _padded(marks)
+    gram = np.array([kernel(words, np.broadcast_to(z, (len(words), len(z)))) for z in rows], dtype=np.float64)
     size = np.sqrt(np.diag(gram))
     values, vectors = np.linalg.eigh(gram / size[:, None] / size[None, :])
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
