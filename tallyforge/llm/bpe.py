@@ -238,30 +238,40 @@ def packed(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class Known:
-    """What a worker has worked out for distinct words; emptied when it holds too many."""
+    """What a worker has worked out for distinct words; when it holds too many, those that
+    it met in most slices stay (many words of a corpus occur only once)."""
 
     def __init__(self, make, most: int = 200_000):
         self.make, self.most = make, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.at, self.n, self.columns = Table(16), 0, None
+        self.keys, self.uses = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def _shrink(self, room: int) -> None:
+        """Leave space for ``room`` words, and half of all at most."""
+        often = np.flatnonzero(self.uses > 1)
+        stay = often[np.argsort(-self.uses[often], kind="stable")][: max(0, min(self.most - room, self.most // 2))]
+        self.keys, self.uses, self.columns = self.keys[stay], self.uses[stay] // 2, [c[stay] for c in self.columns]
+        self.at, self.n = Table(16), len(stay)
+        self.at.put(self.keys, np.arange(self.n, dtype=np.int32))
 
     def get(self, raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """For each word its row in ``columns``, the arrays that ``make`` gave."""
         keys, first, inverse = np.unique(word_hashes(raw, starts, lengths) >> U64(1), return_index=True, return_inverse=True)
         keys = keys.astype(np.int64)
         row = self.at.get(keys)
+        self.uses[row[row >= 0]] += 1
         new = np.flatnonzero(row < 0)
         if len(new) and self.n and self.n + len(new) > self.most:
-            self._clear()
-            new = np.arange(len(keys))
+            self._shrink(len(new))
+            row = self.at.get(keys)
+            new = np.flatnonzero(row < 0)
         if len(new) or self.columns is None:
             at = [*zip(starts[first[new]].tolist(), lengths[first[new]].tolist())]
             made = [self.make([raw[a : a + n] for a, n in at[k : k + STEP]]) for k in range(0, max(1, len(at)), STEP)]
             held = [] if self.columns is None else [self.columns]
             self.columns = [np.concatenate(x) for x in zip(*held, *made)]
             self.at.put(keys[new], np.arange(self.n, self.n + len(new), dtype=np.int32))
+            self.keys, self.uses = np.append(self.keys, keys[new]), np.append(self.uses, np.ones(len(new), dtype=np.int32))
             self.n += len(new)
             row = self.at.get(keys)
         return row[inverse]
