@@ -1,11 +1,12 @@
-"""Near duplicates of vectors by a robust-pruned flat graph.
-
-Vectors of one label are dealt to overlapping shards around sampled centroids; shards
-that are too large are dealt again. Each shard builds a flat graph whose nodes keep
-near neighbours in different directions (robust pruning). The adjacency lists that a
-vector got in its shards are united, and each shard is searched anew with them: a greedy
-beam from the shard's medoid, then an expansion through everything near the range. What
-is found is confirmed in double precision.
+"""Near duplicates of vectors: all links of a cosine or more, found in tiles of blocks.
+
+Vectors of one label are dealt to one home shard each, around sampled centroids; shards
+that are too large are dealt again and at last divided by hash, so every block is bounded.
+A block keeps its mean direction and the largest angle to it. Two vectors within an angle
+of t can only lie in blocks whose directions are within t and both radii (the triangle
+inequality on angles), and all pairs of such blocks are compared, each pair in a task of
+its own. What is near the limit in single precision is decided in double precision. How
+vectors are dealt changes the cost and never the result.
 """
 
 from __future__ import annotations
@@ -20,13 +21,9 @@ from tallyforge.llm.common import components, cut
 from tallyforge.llm.vectors import matrices, usable
 
 #: Vectors for each centroid, centroids sent to the tasks in one round, vectors a shard holds.
-PER_CENTROID, CENTROIDS, SHARD = 150, 8192, 800
-#: Shards that a vector goes to at most, and how much farther (radians) they may be.
-OVERLAP, FARTHER = 3, 0.15
-#: Out-degree, candidates for it, pruning factor, beam, and how far below the range search goes on.
-DEGREE, POOL, ALPHA, BEAM, BELOW = 24, 64, 1.2, 24, 0.06
-#: (query, node) pairs looked at together.
-STEP = 4096
+PER_CENTROID, CENTROIDS, SHARD = 1000, 8192, 2000
+#: Rows of a tile that are compared at once, and parts over which block pairs of a label spread.
+STEP, SPREAD = 512, 16
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -34,82 +31,6 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
-def robust_prune(x: np.ndarray) -> np.ndarray:
-    """Neighbours [n, DEGREE] of the rows of ``x`` (unit vectors), -1 where there are fewer."""
-    n = len(x)
-    pool = min(POOL, n - 1)
-    if pool < 1:
-        return np.full((n, DEGREE), -1, dtype=np.int64)
-    near = np.empty((n, pool), dtype=np.int64)
-    for a in range(0, n, 1024):
-        sims = x[a : a + 1024] @ x.T
-        sims[np.arange(len(sims)), a + np.arange(len(sims))] = -2
-        near[a : a + 1024] = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
-    far = np.empty((n, pool), dtype=x.dtype)
-    for a in range(0, n, 256):
-        far[a : a + 256] = 2 - 2 * np.einsum("nd,npd->np", x[a : a + 256], x[near[a : a + 256]])
-    order = np.argsort(far, axis=1, kind="stable")
-    near, far = np.take_along_axis(near, order, 1), np.maximum(np.take_along_axis(far, order, 1), 0)
-    out = np.full((n, DEGREE), -1, dtype=np.int64)
-    alive, line = np.ones((n, pool), dtype=bool), np.arange(n)
-    for k in range(DEGREE):
-        first = alive.argmax(axis=1)
-        some = alive[line, first]
-        if not some.any():
-            break
-        chosen = near[line, first]
-        out[some, k] = chosen[some]
-        for a in range(0, n, 256):
-            between = 2 - 2 * np.einsum("nd,npd->np", x[chosen[a : a + 256]], x[near[a : a + 256]])
-            alive[a : a + 256] &= ALPHA**2 * np.maximum(between, 0) > far[a : a + 256]
-        alive[line, first] = False
-    return out
-
-
-def range_search(x: np.ndarray, lists: np.ndarray, least: float) -> np.ndarray:
-    """[n, n]: which rows did a search of each row find at a cosine of about ``least`` or more?"""
-    n, line = len(x), np.arange(len(x))
-    sims = np.full((n, n), -2, dtype=np.float32)
-    done = np.zeros((n, n), dtype=bool)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    sims[:, medoid] = x @ x[medoid]
-
-    def visit(q, nodes):
-        """Look at the neighbours of (query, node) pairs, some at a time to bound memory."""
-        done[q, nodes] = True
-        for a in range(0, len(q), STEP):
-            to = lists[nodes[a : a + STEP]]
-            at, col = np.nonzero(to >= 0)
-            pair = np.unique(q[a : a + STEP][at] * n + to[at, col])
-            qs, vs = pair // n, pair % n
-            new = sims[qs, vs] < -1
-            qs, vs = qs[new], vs[new]
-            for k in range(0, len(qs), 1 << 15):
-                part = slice(k, k + (1 << 15))
-                sims[qs[part], vs[part]] = np.einsum("nd,nd->n", x[qs[part]], x[vs[part]])
-
-    width = min(BEAM, n)
-    for block in range(0, n, 256):
-        todo = line[block : block + 256]
-        while len(todo):
-            best = np.argpartition(-sims[todo], width - 1, axis=1)[:, :width]
-            worth = np.where(done[todo[:, None], best], -2, sims[todo[:, None], best])
-            pick = worth.argmax(axis=1)
-            open_ = worth[np.arange(len(todo)), pick] > -1
-            todo, nodes = todo[open_], best[np.arange(len(pick)), pick][open_]
-            visit(todo, nodes)
-    for block in range(0, n, 256):
-        while True:
-            qs, nodes = np.nonzero((sims[block : block + 256] >= least - BELOW) & ~done[block : block + 256])
-            if not len(qs):
-                break
-            visit(qs + block, nodes)
-    found = sims >= least - 1e-4
-    found |= found.T
-    found[line, line] = False
-    return found
-
-
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
@@ -129,118 +50,139 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _deal(plan, overlap: int):
-    """Rows of (id, parent, vector) to rows (id, shard, vector); ``plan``: parent -> centroids."""
+def _deal(plan):
+    """Rows to rows with the shard of the nearest centroid; ``plan``: parent -> centroids."""
 
     def run(batches):
         held = plan.value
         for batch in batches:
             parents = np.array(batch.column("shard").to_pylist(), dtype=object)
-            take, shards = [], []
+            shards = parents.copy()
             for at, rows in matrices(batch.column("vector")):
                 x = unit(rows)
                 for parent in np.unique(parents[at].astype(str)):
-                    own = at[parents[at] == parent]
-                    centers = held[parent]
-                    angle = np.arccos(np.clip(x[parents[at] == parent] @ centers.T, -1, 1))
-                    most = min(overlap, len(centers))
-                    near = np.argsort(angle, axis=1, kind="stable")[:, :most]
-                    gap = np.take_along_axis(angle, near, 1)
-                    r, c = np.nonzero(gap <= gap[:, :1] + FARTHER)
-                    take.append(own[r])
-                    shards += [f"{parent}/{k}" for k in near[r, c]]
-            rows = batch.take(pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *take])))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(shards, pa.string()), rows.column("weight"), rows.column("vector")], names=["id", "shard", "weight", "vector"])
+                    own = parents[at] == parent
+                    shards[at[own]] = [f"{parent}/{k}" for k in (x[own] @ held[parent].T).argmax(axis=1)]
+            yield batch.set_column(batch.schema.get_field_index("shard"), "shard", pa.array(shards, pa.string()))
 
     return run
 
 
-_DEALT = "id long, shard string, weight long, vector array<double>"
+_DEALT = "node long, rep long, label string, shard string, weight long, vector array<double>"
 
 
 def shards_of(reps: DataFrame) -> DataFrame:
-    """Deals (id, shard, weight, vector) on until no shard holds more than SHARD vectors.
+    """Deals rows of ``_DEALT`` on until no shard holds more than about SHARD vectors.
 
-    Only the first round deals to overlapping shards; shards that are still too large are
-    divided without overlap, so the rows never multiply again."""
+    Each row keeps one shard, its home. Where too few centroids were drawn, or they didn't
+    divide a shard, it is divided by hash: a search meets all parts that can hold a link."""
     now, done = reps, None
-    for turn in range(12):
+    columns = ["node", "rep", "label", "shard", "weight", "vector"]
+    for turn in range(13):
         sizes = now.groupBy("shard").agg(F.count("*").alias("n"))
-        large = sizes.where(F.col("n") > SHARD)
-        fine = now.join(large, "shard", "left_anti").select("id", "shard", "weight", "vector")
+        large = cut(sizes.where(F.col("n") > SHARD))
+        fine = now.join(large, "shard", "left_anti").select(columns)
         done = fine if done is None else done.union(fine)
         total = large.agg(F.sum("n")).head()[0]
         if not total:
-            return cut(done.select("id", "shard", "weight", "vector"))
-        per = max(PER_CENTROID, -(-total // CENTROIDS))
-        picked = now.join(large, "shard").where(F.pmod(F.xxhash64("id", "shard"), F.lit(per)) == 0).select("shard", "vector").limit(2 * CENTROIDS).collect()
+            break
+        now = now.join(large, "shard")
         plan: dict[str, list] = {}
-        for row in picked:
-            plan.setdefault(row["shard"], []).append(row["vector"])
-        plan = {k: unit(np.array(v)) for k, v in plan.items() if len(v) > 1}
-        if not plan:  # nothing to split by: such shards stay as they are
-            rest = now.join(large, "shard", "left_semi").select("id", "shard", "weight", "vector")
-            return cut(done.union(rest))
+        if turn < 12:
+            per = max(PER_CENTROID, -(-total // CENTROIDS))
+            drawn = now.where(F.pmod(F.xxhash64("node", "shard"), F.lit(per)) == 0).select("shard", "vector").limit(2 * CENTROIDS).collect()
+            for row in drawn:
+                plan.setdefault(row["shard"], []).append(row["vector"])
+            plan = {k: unit(np.array(v)) for k, v in plan.items() if len(v) > 1}
+        parts = F.ceil(2 * F.col("n") / SHARD)
+        salted = F.concat_ws("#", "shard", F.pmod(F.xxhash64(F.lit("part"), F.lit(turn), "node"), parts))
+        rest = (now.where(~F.col("shard").isin(*plan)) if plan else now).withColumn("shard", salted)
+        if not plan:
+            done = done.union(rest.select(columns))
+            break
         sent = reps.sparkSession.sparkContext.broadcast(plan)
-        ready = now.where(F.col("shard").isin(*plan))
-        kept = now.join(large, "shard", "left_semi").where(~F.col("shard").isin(*plan)).select("id", "shard", "weight", "vector")
-        done = done.union(kept)
-        now = cut(ready.select("id", "shard", "weight", "vector").mapInArrow(_deal(sent, 1 if turn else OVERLAP), _DEALT).dropDuplicates(["id", "shard"]))
-    return cut(done.union(now.select("id", "shard", "weight", "vector")))
-
-
-def _build(table: pa.Table) -> pa.Table:
-    """A shard's rows to its nodes' adjacency lists, with edges in both directions."""
-    ids = table.column("id").to_numpy()
-    x = unit(matrices(table.column("vector").combine_chunks())[0][1]).astype(np.float32)
-    lists = robust_prune(x)
-    a, k = np.nonzero(lists >= 0)
-    b = lists[a, k]
-    pair = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))
-    return pa.table({"id": pa.array(ids[pair // len(ids)], pa.int64()), "to": pa.array(ids[pair % len(ids)], pa.int64())})
-
-
-def _search(least: float):
+        ready = now.where(F.col("shard").isin(*plan)).select(columns).mapInArrow(_deal(sent), _DEALT)
+        now = cut(ready.union(rest.select(columns)))
+    return cut(done)
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """A shard's rows to one row: its vectors, mean direction and radius."""
+    rows = matrices(table.column("vector").combine_chunks())[0][1]
+    x = unit(rows)
+    center = x.mean(axis=0)
+    length = np.sqrt((center**2).sum())
+    center = center / length if length > 1e-9 else x[0]
+    radius = float(np.arccos(np.clip(x @ center, -1, 1)).max())
+    short = rows.astype(np.float32)
+    whole = short if (short == rows).all() else rows
+    one = {
+        "label": table.column("label")[:1], "shard": table.column("shard")[:1], "center": pa.array([center.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]),
+        "nodes": pa.array([table.column("node").to_numpy().tobytes()]), "reps": pa.array([table.column("rep").to_numpy().tobytes()]),
+        "weights": pa.array([table.column("weight").to_numpy().tobytes()]), "vectors": pa.array([whole.tobytes()]),
+    }
+    return pa.table(one)
+
+
+_BLOCK = "label string, shard string, center array<double>, radius double, nodes binary, reps binary, weights binary, vectors binary"
+
+
+def tile_links(a: np.ndarray, b: np.ndarray | None, least: float):
+    """Pairs (rows of a, rows of b) with a cosine of ``least`` or more, some rows of a at a
+    time; without b the pairs i < j of a."""
+    x = unit(a).astype(np.float32)
+    y = x if b is None else unit(b).astype(np.float32)
+    other = a if b is None else b
+    close = max(1e-4, 2e-7 * a.shape[1])
+    for k in range(0, len(x), STEP):
+        sims = x[k : k + STEP] @ y.T
+        i, j = np.nonzero(sims >= least - close)
+        if b is None:
+            i, j = i[i + k < j], j[i + k < j]
+        doubt = np.flatnonzero(sims[i, j] < least + close)
+        sure = np.ones(len(i), dtype=bool)
+        for m in range(0, len(doubt), 65536):
+            at = doubt[m : m + 65536]
+            sure[at] = _cosines(a[k + i[at]], other[j[at]]) >= least
+        yield k + i[sure], j[sure]
+
+
+def _tile(least: float):
     def run(table: pa.Table) -> pa.Table:
-        """A shard's rows with united lists to (id, links, root)."""
-        ids = table.column("id").to_numpy()
-        weight = table.column("weight").to_numpy()
-        rows = matrices(table.column("vector").combine_chunks())[0][1]
-        n = len(ids)
-        order = np.argsort(ids)
-        column = table.column("lists").combine_chunks()
-        flat, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-        place = np.searchsorted(ids, flat, sorter=order)
-        inside = np.flatnonzero((place < n) & (ids[order[np.minimum(place, n - 1)]] == flat)) if n else np.zeros(0, dtype=np.int64)
-        owner, to = np.repeat(np.arange(n), sizes)[inside], order[place[inside]]
-        count = np.bincount(owner, minlength=n)
-        lists = np.full((n, max(1, int(count.max(initial=0)))), -1, dtype=np.int64)
-        lists[owner, np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)] = to
-        found = range_search(unit(rows).astype(np.float32), lists, least)
-        a, b = np.nonzero(np.triu(found))
-        sure = np.concatenate([np.zeros(0, dtype=bool), *(_cosines(rows[a[k : k + 65536]], rows[b[k : k + 65536]]) >= least for k in range(0, len(a), 65536))])
-        a, b = a[sure], b[sure]
-        #: A pair counts in the first of the shards that its ends share.
-        names = {s: k for k, s in enumerate(sorted({s for x in table.column("shards").to_pylist() for s in x}))}
-        most = max(len(x) for x in table.column("shards").to_pylist())
-        held = np.full((n, most), len(names))
-        for k, x in enumerate(table.column("shards").to_pylist()):
-            held[k, : len(x)] = [names[s] for s in x]
-        here = names[table.column("shard")[0].as_py()]
-        links = np.zeros(n, dtype=np.int64)
-        for k in range(0, len(a), 65536):
-            x, y = a[k : k + 65536], b[k : k + 65536]
-            both = (held[x][:, :, None] == held[y][:, None, :]) & (held[x] < len(names))[:, :, None]
-            first = np.where(both.any(axis=2), held[x], len(names)).min(axis=1)
-            own = first == here
-            np.add.at(links, x[own], weight[y[own]])
-            np.add.at(links, y[own], weight[x[own]])
-        root = ids[order][_roots(n, np.searchsorted(ids[order], ids[a]), np.searchsorted(ids[order], ids[b]))]
-        return pa.table({"id": pa.array(ids[order], pa.int64()), "links": pa.array(links[order], pa.int64()), "root": pa.array(root, pa.int64())})
+        """One or two blocks to (node, rep, links, root) of their linked rows."""
+        read = lambda name: [np.frombuffer(v.as_py(), dtype=np.int64) for v in table.column(name)]
+        nodes, reps, weights = read("nodes"), read("reps"), read("weights")
+        rows = []
+        for v, c, own in zip(table.column("vectors"), table.column("center"), nodes):
+            raw, dim = v.as_py(), len(c)
+            rows.append(np.frombuffer(raw, dtype=np.float32 if len(raw) == 4 * dim * len(own) else np.float64).reshape(-1, dim).astype(np.float64))
+        two = len(rows) == 2
+        shift = len(nodes[0]) if two else 0
+        node, rep, weight = (np.concatenate(x) for x in (nodes, reps, weights))
+        links, root = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
+        for i, j in tile_links(rows[0], rows[1] if two else None, least):
+            j = j + shift
+            links += np.bincount(i, weights=weight[j], minlength=len(node)).astype(np.int64) + np.bincount(j, weights=weight[i], minlength=len(node)).astype(np.int64)
+            #: What the strips before have joined goes in as one link a row.
+            old = np.flatnonzero(root != np.arange(len(node)))
+            root = _roots(len(node), np.concatenate([i, old]), np.concatenate([j, root[old]]))
+        at = np.flatnonzero(links)
+        return pa.table({"node": pa.array(node[at]), "rep": pa.array(rep[at]), "links": pa.array(links[at]), "root": pa.array(rep[root[at]])})
 
     return run
 
 
+def block_pairs(blocks: DataFrame, least: float) -> DataFrame:
+    """(a, b), a <= b: the pairs of blocks of a label that can hold a link."""
+    head = blocks.select("label", "shard", "center", "radius")
+    left = head.select("label", F.pmod(F.xxhash64("shard"), F.lit(SPREAD)).alias("part"), F.col("shard").alias("a"), F.col("center").alias("ac"), F.col("radius").alias("ar"))
+    right = head.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("part"), F.col("shard").alias("b"), F.col("center").alias("bc"), F.col("radius").alias("br"))
+    cosine = F.aggregate(F.zip_with("ac", "bc", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
+    reach = F.col("ar") + F.col("br") + F.lit(float(np.arccos(least)) + 1e-6)
+    return left.join(right, ["label", "part"]).where((F.col("a") <= F.col("b")) & ((F.col("a") == F.col("b")) | (angle <= reach))).select("a", "b")
+
+
 def vector_duplicates(
     vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -248,7 +190,7 @@ def vector_duplicates(
 
     Rows of the same label (not null) link at a cosine, in double precision, of ``least``
     or more. Equal vectors are one node with their number as weight; n_links counts the
-    other rows linked. Recall is audited by ``audit_recall``.
+    other rows linked. All links are found; ``audit_recall`` compares with all pairs.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite
     components, and rows without a label or id, link with nothing and are kept (their
@@ -262,19 +204,19 @@ def vector_duplicates(
     part = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")), F.lit(False))
     rows = rows.withColumn("label", F.when(part, F.concat_ws(":", "label", F.size("vector"))))
     able = rows.where("label is not null")
-    classes = cut(able.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    dealt = shards_of(classes.select(F.col("rep").alias("id"), F.col("label").alias("shard"), "weight", "vector").dropDuplicates(["id", "shard"]))
-    edges = dealt.groupBy("shard").applyInArrow(_build, "id long, to long")
-    lists = edges.groupBy("id").agg(F.collect_set("to").alias("lists"))
-    #: A vector has OVERLAP shards at most, and OVERLAP times the degree of neighbours on average.
-    homes = dealt.groupBy("id").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
-    about = dealt.join(homes, "id").join(lists, "id", "left").withColumn("lists", F.coalesce("lists", F.array().cast("array<bigint>")))
-    found = cut(about.groupBy("shard").applyInArrow(_search(least), "id long, links long, root long"))
-    near = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).where("a != b"), "a", "b")
-    by_class = classes.select("label", "vector", "rep", "weight")
-    placed = rows.join(by_class, ["label", "vector"], "left").select("id", "rep", "weight")
-    one = placed.join(near.select(F.col("id").alias("rep"), "links"), "rep", "left").join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    folded = able.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    classes = cut(folded.withColumn("node", F.monotonically_increasing_id()))
+    dealt = shards_of(classes.select("node", "rep", "label", F.col("label").alias("shard"), "weight", "vector"))
+    blocks = cut(dealt.groupBy("shard").applyInArrow(_pack, _BLOCK))
+    pairs = block_pairs(blocks, least)
+    sides = pairs.select("a", "b", F.col("a").alias("shard")).union(pairs.where("a != b").select("a", "b", F.col("b").alias("shard")))
+    met = blocks.join(sides, "shard").select("a", "b", "center", "nodes", "reps", "weights", "vectors")
+    found = cut(met.groupBy("a", "b").applyInArrow(_tile(least), "node long, rep long, links long, root long"))
+    near = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a != b"), "a", "b")
+    by_class = classes.select("label", "vector", "rep", "weight", "node")
+    placed = rows.join(by_class, ["label", "vector"], "left").select("id", "rep", "weight", "node")
+    one = placed.join(near, "node", "left").join(known.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return one.select(
         F.col("id").alias("vec_id"),

@@ -150,6 +150,26 @@ def test_vector_duplicates(spark, monkeypatch, shard):
     assert vector_duplicates(df.limit(0)).count() == 0
 
 
+def dense_groups(spark, n=700):
+    """A group of different vectors that nearly all link, and as many that stand alone."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=24) + rng.normal(size=(n, 24)) * 0.25, rng.normal(size=(n, 24))])
+    rows = [(k, [float(np.float32(c)) for c in v], 1) for k, v in enumerate(x)]
+    y = np.array([r[1] for r in rows])
+    y /= np.sqrt((y**2).sum(axis=1, keepdims=True))
+    link = y @ y.T >= 0.93
+    np.fill_diagonal(link, False)
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), link.sum(axis=1).tolist()
+
+
+def test_dense_group_keeps_all_links(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "SHARD", 200)
+    monkeypatch.setattr(graph_dedup, "PER_CENTROID", 50)
+    df, want = dense_groups(spark)
+    assert sum(want) > 100_000
+    assert [r.n_links for r in vector_duplicates(df).orderBy("vec_id").collect()] == want
+
+
 def test_nearest(spark):
     df = vectors(spark)
     rows = [tuple(r) for r in df.select("vec_id", "embedding").distinct().collect() if fine(r[1]) and r[0] is not None]
