@@ -170,6 +170,13 @@ def test_dense_group_keeps_all_links(spark, monkeypatch):
     assert [r.n_links for r in vector_duplicates(df).orderBy("vec_id").collect()] == want
 
 
+def test_later_rounds_keep_all_links(spark, monkeypatch):
+    for name, value in (("SHARD", 60), ("PER_CENTROID", 20), ("CENTROIDS", 4)):
+        monkeypatch.setattr(graph_dedup, name, value)
+    df, want = dense_groups(spark, 300)
+    assert [r.n_links for r in vector_duplicates(df).orderBy("vec_id").collect()] == want
+
+
 def test_nearest(spark):
     df = vectors(spark)
     rows = [tuple(r) for r in df.select("vec_id", "embedding").distinct().collect() if fine(r[1]) and r[0] is not None]
