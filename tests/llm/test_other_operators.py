@@ -177,6 +177,20 @@ def test_later_rounds_keep_all_links(spark, monkeypatch):
     assert [r.n_links for r in vector_duplicates(df).orderBy("vec_id").collect()] == want
 
 
+def test_shards_without_centroids_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(graph_dedup, "SHARD", 200)
+    monkeypatch.setattr(graph_dedup, "PER_CENTROID", 10**9)
+    df, want = dense_groups(spark)
+    met, inner = spark.sparkContext.accumulator(0), graph_dedup._pack
+
+    def pack(table):
+        met.add(int(table.num_rows > 200))
+        return inner(table)
+
+    monkeypatch.setattr(graph_dedup, "_pack", pack)
+    assert [r.n_links for r in vector_duplicates(df).orderBy("vec_id").collect()] == want and met.value == 0
+
+
 def test_nearest(spark):
     df = vectors(spark)
     rows = [tuple(r) for r in df.select("vec_id", "embedding").distinct().collect() if fine(r[1]) and r[0] is not None]
