@@ -66,7 +66,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tile(q_ids, q_rows, c_ids, c_rows, k: int):
-    """For each query of a tile its k nearest candidates: (query, candidate, distance)."""
+    """For each query of a tile its k nearest candidates: (query, candidate, distance).
+
+    The rows of either side are distinct: a repeated one would count twice in the bound."""
     q_code, q_scale, q_square, q_rest = coded(q_rows)
     c_code, c_scale, c_square, c_rest = coded(c_rows)
     #: Sums of products of int8 are exact in float32 up to 1,040 components, then in float64.
@@ -82,7 +84,7 @@ def tile(q_ids, q_rows, c_ids, c_rows, k: int):
     exact = np.concatenate([np.zeros(0), *(distances(q_rows[qs[i : i + 65536]], c_rows[cs[i : i + 65536]]) for i in range(0, len(qs), 65536))])
     ends = np.searchsorted(qs, np.arange(len(q_ids) + 1))
     for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-        for d, c in heapq.nsmallest(k, set(zip(exact[a:b].tolist(), c_ids[cs[a:b]].tolist()))):
+        for d, c in heapq.nsmallest(k, zip(exact[a:b].tolist(), c_ids[cs[a:b]].tolist())):
             yield int(q_ids[i]), c, d
 
 
@@ -116,13 +118,13 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     rows = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
     pick = [F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")]
     asked = rows.where(is_query).select(*pick).distinct()
-    spread = rows.select(*pick).repartition("id")
-    candidates = cut(spread.mapInArrow(_pack(CANDIDATES), kind).withColumn("c", F.monotonically_increasing_id()))
+    once = rows.select(*pick).distinct()
+    candidates = cut(once.mapInArrow(_pack(CANDIDATES), kind).withColumn("c", F.monotonically_increasing_id()))
     queries = cut(asked.mapInArrow(_pack(QUERIES), kind).withColumn("q", F.monotonically_increasing_id()))
     #: Block numbers only; the blocks themselves move once for each tile they are in.
     tiles = candidates.select("dim", "c").join(queries.select("dim", "q"), "dim").select("c", "q").repartition("c", "q")
     of = lambda df, x: df.select(x, *(["dim"] if x == "c" else []), F.col("ids").alias(f"{x}_ids"), F.col("rows").alias(f"{x}_rows"))
     whole = tiles.join(of(candidates, "c"), "c").join(of(queries, "q"), "q").repartition("c", "q")
-    found = whole.mapInArrow(_tiles(k), "query_id long, vec_id long, score double").distinct()
+    found = whole.mapInArrow(_tiles(k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

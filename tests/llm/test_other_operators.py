@@ -212,6 +212,15 @@ def test_nearest(spark):
     assert nearest(few, F.col("vec_id") == 0).count() == 2 and nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_nearest_with_many_copies(spark):
+    rows = [(0, [1.0, 0.0])] + [(5, [1.0, 1.0])] * 12 + [(6, [1.0, 2.0]), (7, [1.0, 3.0]), (8, [1.0, 4.0])] + [(9, [1.0, 5.0]), (9, [1.0, -5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest(df.repartition(3), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in got] == [(1, 5, 1.0), (2, 6, 2.0), (3, 7, 3.0)]
+    got = nearest(df, F.col("vec_id") == 0, k=9).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [5, 6, 7, 8, 9, 9]  # different vectors of one id are rows of their own
+
+
 def test_registered(spark, sf):
     import __spark_entry__ as entry
 
