@@ -3,7 +3,7 @@
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; each distinct
 value is a protected entity. How much a term t says about an entity e is estimated from
 the whole corpus: PMI(t; e) = log2(n(t, e) N / (n(t) n(e))), with n(t, e) the documents
-where t stands within CONTEXT words of e, and n(t), n(e) those that hold t or e at all.
+that hold both, wherever they stand, and n(t), n(e) those that hold t or e.
 An entity carries IC(e) = log2(N / n(e)). A term is disclosing if it gives away at least
 DISCLOSURE of an entity's information, seen in SUPPORT different texts or more (so copies
 of one text prove nothing); it is then replaced by its general class wherever it stands.
@@ -24,9 +24,11 @@ from tallyforge.llm.common import blocks_for, bounded_batches, cut, worker_state
 from tallyforge.llm.textblocks import LOWER, find_words, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT, SUPPORT, DISCLOSURE, TERM_BYTES = 12, 3, 0.8, 4
-#: Term hashes sent to the tasks at once (8 bytes each); more are sent in several steps.
+SUPPORT, DISCLOSURE = 3, 0.8
+#: Term or entity hashes sent to the tasks at once (8 bytes each); more are sent in several steps.
 SENT = 500_000
+#: Rows (entity, term, text) of a batch.
+ROWS = 1 << 18
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -96,47 +98,75 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 def _terms(words: list[str]) -> list[bytes]:
     shorn = (w.encode().translate(LOWER).strip(bytes(np.flatnonzero(PUNCT).tolist())) for w in words)
-    return [w for w in shorn if len(w) >= TERM_BYTES]
+    return [w for w in shorn if w]
 
 
 _SPACES = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def nearby(text: str, spans: list[tuple[int, str, int]]) -> dict[str, set[bytes]]:
-    """For each entity of a text the terms within CONTEXT words of it, base spans apart."""
+def apart(text: str, spans: list[tuple[int, str, int]]) -> list[bytes]:
+    """The distinct terms of a text, base spans apart."""
     taken = np.zeros(len(text) + 1, dtype=bool)
     for a, _, b in spans:
         taken[a:b] = True
-    words = [(m.start(), m.end(), m[0]) for m in _SPACES.finditer(text)]
-    starts, free = [w[0] for w in words], [not taken[a:b].any() for a, b, _ in words]
-    out: dict[str, set[bytes]] = {}
-    for a, kind, b in spans:
-        left, right = int(np.searchsorted(starts, a, side="right")), int(np.searchsorted(starts, b))
-        near = [k for k in [*range(max(0, left - CONTEXT - 1), left), *range(right, min(len(words), right + CONTEXT))] if free[k]]
-        out.setdefault(f"{kind}:{text[a:b].lower()}", set()).update(_terms([words[k][2] for k in near]))
-    return out
-
-
-def _contexts(batches):
-    """entity, term, text: 64-bit hashes; term null for the entity itself."""
+    return sorted({*_terms([m[0] for m in _SPACES.finditer(text) if not taken[m.start() : m.end()].any()])})
+
+
+def _name(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _named(text: str, spans: list[tuple[int, str, int]]) -> list[int]:
+    """Hashes of the distinct entities of a text."""
+    return sorted({_name(f"{kind}:{text[a:b].lower()}") for a, kind, b in spans})
+
+
+def _entities(batches):
+    """entity, text: 64-bit hashes."""
     worker_state("pii", dict)
     for batch in batches:
         for part in slices(batch, "text"):
-            rows: list[tuple] = []
+            rows: list[tuple[int, int]] = []
             for text in part.column("text").to_pylist():
-                spans = base_spans(text) if text else []
-                if spans:
-                    own = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
-                    for entity, terms in nearby(text, spans).items():
-                        name = int.from_bytes(hashlib.blake2b(entity.encode(), digest_size=8).digest(), "little", signed=True)
-                        rows.append((name, None, own))
-                        rows += [(name, t, own) for t in terms]
-            words = [t for _, t, _ in rows if t is not None]
-            hashed = iter(_hashes(words).tolist() if words else [])
-            terms = [None if t is None else next(hashed) for _, t, _ in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(terms, pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["entity", "term", "text"]
-            )
+                if spans := base_spans(text) if text else []:
+                    own = _name(text)
+                    rows += [(entity, own) for entity in _named(text, spans)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["entity", "text"])
+
+
+def _contexts(sent):
+    """entity, term, text: 64-bit hashes, for the sent entities and all terms of their texts."""
+
+    def run(batches):
+        wanted = sent.value
+        worker_state("pii", dict)
+        rows: list[list[np.ndarray]] = []
+        held_rows = 0
+
+        def flush():
+            held = [np.concatenate([np.zeros(0, dtype=np.int64), *(r[k] for r in rows)]) for k in range(3)]
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["entity", "term", "text"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    spans = base_spans(text) if text else []
+                    named = np.array(_named(text, spans), dtype=np.int64)
+                    named = named[np.isin(named, wanted)]
+                    words = apart(text, spans) if len(named) else []
+                    if not words:
+                        continue
+                    terms, own = _hashes(words), _name(text)
+                    for entity in named.tolist():
+                        rows.append([np.full(len(terms), entity), terms, np.full(len(terms), own)])
+                        held_rows += len(terms)
+                        if held_rows >= ROWS:
+                            yield flush()
+                            held_rows = 0
+        yield flush()
+
+    return run
 
 
 def _held(column, wanted: np.ndarray):
@@ -149,7 +179,7 @@ def _held(column, wanted: np.ndarray):
         none = np.zeros(0, dtype=np.int64)
         return raw, offsets, none, none, none, none
     starts, lengths = trim(np.frombuffer(low, dtype=np.uint8), starts, lengths)
-    able = lengths >= TERM_BYTES
+    able = lengths > 0
     starts, lengths = starts[able], lengths[able]
     keys = word_hashes(low, starts, lengths).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
     place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
@@ -161,12 +191,14 @@ def _held(column, wanted: np.ndarray):
 def _frequency(sent):
     def run(batches):
         wanted = sent.value
+        total = np.zeros(len(wanted), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 _, _, of, _, _, place = _held(part.column("text"), wanted)
-                each = np.unique(of * len(wanted) + place)
-                terms, n = np.unique(each % len(wanted), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(wanted[terms]), pa.array(n, pa.int64())], names=["term", "n"])
+                terms, n = np.unique(np.unique(of * len(wanted) + place) % len(wanted), return_counts=True)
+                total[terms] += n
+        terms = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[terms]), pa.array(total[terms])], names=["term", "n"])
 
     return run
 
@@ -231,9 +263,18 @@ def _finish(clean_text: bool):
 def disclosing_terms(base: DataFrame) -> DataFrame | None:
     """term (hash) and disclosure, of the terms in ``base`` (text) that give entities away."""
     spark = base.sparkSession
-    seen = cut(base.mapInArrow(_contexts, "entity long, term long, text long").groupBy("entity", "term", "text").agg(F.count("*").alias("n")))
-    entities = seen.where("term is null").groupBy("entity").agg(F.sum("n").alias("n_e"))
-    pairs = seen.where("term is not null").groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
+    seen = base.mapInArrow(_entities, "entity long, text long").groupBy("entity", "text").agg(F.count("*").alias("n"))
+    #: No term can have more support than its entity has.
+    entities = cut(seen.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).select("entity", "n_e"))
+    total = entities.count()
+    if not total:
+        return None
+    together = None
+    for sent in _in_steps(spark, entities.select(F.col("entity").alias("term")), total):
+        one = base.mapInArrow(_contexts(sent), "entity long, term long, text long")
+        together = one if together is None else together.union(one)
+    each = together.groupBy("entity", "term", "text").agg(F.count("*").alias("n"))
+    pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     pairs = cut(pairs.join(entities, "entity"))
     terms = cut(pairs.select("term").distinct())
     total = terms.count()

@@ -207,6 +207,17 @@ def test_personal_data(spark, docs):
     assert pii.find_personal_data(odd_rows(spark)).count() == len(ODD) + 2
 
 
+def test_short_and_distant_terms_disclose(spark):
+    rng = random.Random(6)
+    filler = lambda n: " ".join(f"fill{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = [(k, f"From Quuxley {filler(40)} ask Bo, at bo.w@corp.example {filler(40)} of it") for k in range(4)]
+    rows += [(4, f"Quuxley bo.w@corp.example {filler(5)}")] + [(10 + k, f"{filler(30)} of it From ask at {filler(5)}") for k in range(60)]
+    got = {r.doc_id: r.clean_text for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), clean_text=True).collect()}
+    assert all("Quuxley" not in got[k] for k in range(5)) and all(" Bo," not in got[k] for k in range(4))
+    assert all("From [NAME] fill" in got[k] and "ask [NAME], at [EMAIL]" in got[k] and got[k].endswith(" of it") for k in range(4))
+    assert all(got[i] == t for i, t in rows if i >= 10)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
