@@ -99,6 +99,8 @@ class Vocabulary:
         vocab: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
+        if size > 1 << 16:
+            raise ValueError(f"pair keys hold 16 bits an id, the vocabulary has ids up to {size - 1}")
         self.strings = np.full(size, "", dtype=object)
         for text, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = text
@@ -111,6 +113,7 @@ class Vocabulary:
         keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.int64)
         self.ranks = Table(18)
         self.ranks.put(keys, np.arange(len(keys), dtype=np.int32))
+        self._keys = keys
         #: Bytes of each ordinary token, and whether it ends a word.
         self.ends = np.zeros(size, dtype=bool)
         self.bytes: list[bytes] = [b""] * size
@@ -136,6 +139,11 @@ class Vocabulary:
         """A text cut at the special strings; these stand at the odd places."""
         return self._special.split(text) if self._special and "<" in text else [text]
 
+    @functools.cached_property
+    def rank_of(self) -> dict[int, int]:
+        """Pair key to rank, for long strings that are merged one by one."""
+        return dict(zip(self._keys.tolist(), range(len(self._keys))))
+
     @functools.cached_property
     def joined(self) -> np.ndarray:
         """[a, b]: do the bytes a, b stand side by side inside any token?"""
@@ -211,22 +219,22 @@ class Vocabulary:
             rank[behind, at[behind]] = self._rank(ids[behind, at[behind]], ids[behind, at[behind] + 1])
 
     def _merge_long(self, data: np.ndarray, last: bool) -> np.ndarray:
+        """One long string with a heap: its length times the logarithm of that."""
         ids = self._symbols(data[None, :], np.array([len(data)]), np.array([last]))[0].tolist()
-        n = len(ids)
+        n, rank_of, merged = len(ids), self.rank_of, self.merged.tolist()
         back, ahead, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        rank = self._rank(np.array(ids[:-1]), np.array(ids[1:]))
-        heap = [(int(r), k, ids[k], ids[k + 1]) for k, r in enumerate(rank) if r != FREE]
+        heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank_of.get(ids[k] << 16 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, k, a, b = heapq.heappop(heap)
             j = ahead[k]
             if not alive[k] or ids[k] != a or j >= n or ids[j] != b:
                 continue
-            ids[k], alive[j], ahead[k] = int(self.merged[r]), False, ahead[j]
+            ids[k], alive[j], ahead[k] = merged[r], False, ahead[j]
             if ahead[j] < n:
                 back[ahead[j]] = k
             for x, y in ((back[k], k), (k, ahead[k])):
-                if x >= 0 and y < n and (r := int(self._rank(np.array([ids[x]]), np.array([ids[y]]))[0])) != FREE:
+                if x >= 0 and y < n and (r := rank_of.get(ids[x] << 16 | ids[y])) is not None:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return np.array([x for x, here in zip(ids, alive) if here], dtype=np.int32)
 
@@ -238,19 +246,23 @@ def packed(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 class Known:
-    """What a worker has worked out for distinct words; when it holds too many, those that
-    it met in most slices stay (many words of a corpus occur only once)."""
+    """What a worker has worked out for distinct words; when it holds too many or too long
+    ones, those that it met in most slices stay (many words of a corpus occur only once).
+
+    Words are told apart by a 63-bit hash and their bytes are not compared: among n distinct
+    words of one worker two collide with a probability of about n**2 / 2**64."""
 
-    def __init__(self, make, most: int = 200_000):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int = 200_000, most_bytes: int = 16 << 20):
+        self.make, self.most, self.most_bytes = make, most, most_bytes
         self.at, self.n, self.columns = Table(16), 0, None
-        self.keys, self.uses = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.keys, self.uses, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
 
     def _shrink(self, room: int) -> None:
         """Leave space for ``room`` words, and half of all at most."""
         often = np.flatnonzero(self.uses > 1)
         stay = often[np.argsort(-self.uses[often], kind="stable")][: max(0, min(self.most - room, self.most // 2))]
-        self.keys, self.uses, self.columns = self.keys[stay], self.uses[stay] // 2, [c[stay] for c in self.columns]
+        stay = stay[np.cumsum(self.size[stay]) <= self.most_bytes // 2]
+        self.keys, self.uses, self.size, self.columns = self.keys[stay], self.uses[stay] // 2, self.size[stay], [c[stay] for c in self.columns]
         self.at, self.n = Table(16), len(stay)
         self.at.put(self.keys, np.arange(self.n, dtype=np.int32))
 
@@ -261,17 +273,18 @@ class Known:
         row = self.at.get(keys)
         self.uses[row[row >= 0]] += 1
         new = np.flatnonzero(row < 0)
-        if len(new) and self.n and self.n + len(new) > self.most:
+        if len(new) and self.n and (self.n + len(new) > self.most or self.size.sum() > self.most_bytes):
             self._shrink(len(new))
             row = self.at.get(keys)
             new = np.flatnonzero(row < 0)
         if len(new) or self.columns is None:
-            at = [*zip(starts[first[new]].tolist(), lengths[first[new]].tolist())]
+            size = lengths[first[new]].astype(np.int64)
+            at = [*zip(starts[first[new]].tolist(), size.tolist())]
             made = [self.make([raw[a : a + n] for a, n in at[k : k + STEP]]) for k in range(0, max(1, len(at)), STEP)]
             held = [] if self.columns is None else [self.columns]
             self.columns = [np.concatenate(x) for x in zip(*held, *made)]
             self.at.put(keys[new], np.arange(self.n, self.n + len(new), dtype=np.int32))
-            self.keys, self.uses = np.append(self.keys, keys[new]), np.append(self.uses, np.ones(len(new), dtype=np.int32))
+            self.keys, self.uses, self.size = np.append(self.keys, keys[new]), np.append(self.uses, np.ones(len(new), dtype=np.int32)), np.append(self.size, size)
             self.n += len(new)
             row = self.at.get(keys)
         return row[inverse]

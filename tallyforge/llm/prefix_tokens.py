@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bpe import Known, Table, Vocabulary, packed
+from tallyforge.llm.bpe import FREE, Known, Table, Vocabulary, packed
 from tallyforge.llm.common import bounded_batches, worker_state
 from tallyforge.llm.textblocks import find_words, slices, text_bytes
 
-#: Pairs whose answer a worker keeps.
+#: Pairs whose answer a worker keeps (half as many for long words).
 PAIRS = 1_000_000
+#: Words above this many bytes go through the program one by one, others side by side.
+LONG = 64
 ALONE = 1 << 17
 
 
@@ -42,6 +44,7 @@ class Prefixes:
                     token.append(-1)
                 at = states[key]
             token[at] = i
+        self.steps, self.tokens, self.known_pairs = states, token, {}
         self.next = Table(19)
         self.next.put(np.fromiter(states.keys(), dtype=np.int64), np.fromiter(states.values(), dtype=np.int32))
         self.token = np.array(token, dtype=np.int32)
@@ -65,6 +68,46 @@ class Prefixes:
             known = self.pairs.get(keys)
         return known > 0
 
+    def _apart_one(self, a: int, b: int) -> bool:
+        """``apart`` for one pair: merges the few symbols of the pair as plain integers."""
+        key = a << 17 | b
+        known = self.known_pairs.get(key)
+        if known is None:
+            vocab, rank_of = self.vocab, self.vocab.rank_of
+            ids = vocab.inner[[*(vocab.bytes[a] if a >= 0 else b""), *vocab.bytes[b]]].tolist()
+            if vocab.ends[b]:
+                ids[-1] = int(vocab.final[vocab.bytes[b][-1]])
+            while len(ids) > 1:
+                best, at = min((rank_of.get(x << 16 | y, FREE), k) for k, (x, y) in enumerate(zip(ids, ids[1:])))
+                if best == FREE:
+                    break
+                ids[at : at + 2] = [int(vocab.merged[best])]
+            if len(self.known_pairs) > PAIRS // 2:
+                self.known_pairs.clear()
+            known = self.known_pairs[key] = ids == ([a, b] if a >= 0 else [b])
+        return known
+
+    def _long_counts(self, word: bytes) -> np.ndarray:
+        """``counts`` of one word in time linear in its length: at each byte the tokens that end
+        there are found by walking back through the trie, which is as deep as the longest token."""
+        steps, tokens, apart = self.steps, self.tokens, self._apart_one
+        n = len(word)
+        last, inner, final = [-1] * n, [0] * n, [0] * n
+        for e in range(n):
+            for root, out in ((1, final), (0, inner)):
+                state, k, found = root, e, []
+                while k >= 0 and (state := steps.get(state << 8 | word[k], -1)) >= 0:
+                    if tokens[state] >= 0:
+                        found.append((k, tokens[state]))
+                    k -= 1
+                for k, token in reversed(found):
+                    if apart(last[k - 1] if k else -1, token):
+                        out[e] = 1 + (inner[k - 1] if k else 0)
+                        if not root:
+                            last[e] = token
+                        break
+        return np.array(final, dtype=np.int32)
+
     def _last(self, data, ends, sizes, root, last, width):
         """For strings that end at ``ends``: the token that ends there, and its length."""
         depth = min(self.longest, int(sizes.max()))
@@ -92,7 +135,10 @@ class Prefixes:
         """At each byte of the words: the tokens of the word's prefix that ends with it."""
         data = np.frombuffer(raw, dtype=np.uint8)
         last, inner, final = (np.full(len(data), -1, dtype=np.int32) for _ in range(3))
-        order = np.argsort(-lengths, kind="stable")
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            final[starts[k] : starts[k] + lengths[k]] = self._long_counts(raw[starts[k] : starts[k] + lengths[k]])
+        short = np.flatnonzero(lengths <= LONG)
+        order = short[np.argsort(-lengths[short], kind="stable")]
         starts, lengths = starts[order], lengths[order]
         for j in range(1, int(lengths[0]) + 1 if len(lengths) else 1):
             n = int(np.searchsorted(-lengths, -j, side="right"))
@@ -245,6 +291,8 @@ def prefix_token_counts(
     white space unless it is the whole text (a word whose normal form has another length
     counts whole or not at all).
 
+    Words of any length take time in proportion to it.
+
     Defined results: null is an empty text with no tokens; null or repeated ids are kept
     as they are; other columns are ignored; an empty table gives an empty result.
     """

@@ -76,6 +76,20 @@ def test_prefix_counts(spark, docs, library):
             assert size(text[: r.fit_chars]) <= 7 and all(size(text[:k]) > 7 for k in range(r.fit_chars + 1, len(text) + 1) if not text[k - 1].isspace())
 
 
+def test_long_words(spark, library):
+    """Unspaced text of 20,000 random and 1,000,000 repeated letters."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000)), "unspacedtext" * 83_334, "你好世界" * 3000 + "é" * 5000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [r.ids for r in encode_decode(rows, VOCAB).orderBy("doc_id").collect()] == ids
+    got = prefix_token_counts(rows, VOCAB, 2048, prefix_column=True).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(x) for x in ids]
+    assert all(got[0].prefix_tokens[k] == len(library.encode(texts[0][: k + 1], add_special_tokens=False).ids) for k in (63, 64, 65, 4321))
+    fit = got[1].fit_chars
+    assert len(library.encode(texts[1][:fit], add_special_tokens=False).ids) <= 2048
+
+
 def shingles(text, words):
     found = WORDS.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return {tuple(found[k : k + words]) for k in range(max(1, len(found) - words + 1))} if found else set()
