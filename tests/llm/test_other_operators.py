@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pytest
 
-from tallyforge.llm import graph_dedup
+from tallyforge.llm import block_knn, graph_dedup
 from tallyforge.llm.block_knn import nearest
 from tallyforge.llm.common import components
 from tallyforge.llm.graph_dedup import audit_recall, vector_duplicates
@@ -221,6 +221,18 @@ def test_nearest_with_many_copies(spark):
     assert [r.vec_id for r in got] == [5, 6, 7, 8, 9, 9]  # different vectors of one id are rows of their own
 
 
+def test_nearest_ties_at_the_last_rank(spark, monkeypatch):
+    """Sixty candidates at one distance over several blocks: the smallest ids count."""
+    monkeypatch.setattr(block_knn, "CANDIDATES", 8)
+    monkeypatch.setattr(block_knn, "TURN", 2)
+    ring = [[math.cos(t), math.sin(t)] for t in range(60)]
+    rows = [(0, [2.0, 0.0], 1)] + [(100 - k, [3.0, 0.0], 1) for k in range(60)] + [(200 + k, [2.0 + a, b], 1) for k, (a, b) in enumerate(ring)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, row int").repartition(5)
+    got = [r.vec_id for r in nearest(df, F.col("vec_id") == 0, k=10).orderBy("rank").collect()]
+    exact = sorted((math.sqrt(sum((x - y) ** 2 for x, y in zip(v, [2.0, 0.0]))), i) for i, v, _ in rows if i)
+    assert got == [i for _, i in exact[:10]]
+
+
 def test_registered(spark, sf):
     import __spark_entry__ as entry
 
