@@ -7,6 +7,9 @@ that hold both, wherever they stand, and n(t), n(e) those that hold t or e.
 An entity carries IC(e) = log2(N / n(e)). A term is disclosing if it gives away at least
 DISCLOSURE of an entity's information, seen in SUPPORT different texts or more (so copies
 of one text prove nothing); it is then replaced by its general class wherever it stands.
+
+No list of entities or terms is sent to the tasks: they get a bit filter of fixed size that
+lets all wanted hashes pass and few others, and joins by hash settle the rest.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import packed
-from tallyforge.llm.common import blocks_for, bounded_batches, cut, worker_state
-from tallyforge.llm.textblocks import LOWER, find_words, slices, text_bytes, word_hashes
+from tallyforge.llm.common import bounded_batches, cut, worker_state
+from tallyforge.llm.textblocks import LOWER, U64, find_words, mix, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, DISCLOSURE = 3, 0.8
-#: Term or entity hashes sent to the tasks at once (8 bytes each); more are sent in several steps.
-SENT = 500_000
-#: Rows (entity, term, text) of a batch.
-ROWS = 1 << 18
+#: Bits of the filter of hashes that is sent to the tasks (8 MB, however many hashes there are).
+FILTER_BITS = 26
+#: Rows (entity, term, text) of a batch; shares that one text's rows are dealt to.
+ROWS, SALTS = 1 << 18, 16
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
@@ -134,8 +137,36 @@ def _entities(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["entity", "text"])
 
 
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _bits(batches):
+    """Hashes to the non-zero bytes (place, value) of their bit filter."""
+    held = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    for batch in batches:
+        at = _place(np.asarray(batch.column("hash").to_numpy(zero_copy_only=False), dtype=np.int64))
+        np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int64))], names=["place", "value"])
+
+
+def _filter(hashes: DataFrame):
+    """A broadcast bit filter of the hashes; it has 2**FILTER_BITS bits at any size."""
+    rows = hashes.select(F.col(hashes.columns[0]).alias("hash")).mapInArrow(_bits, "place long, value long")
+    rows = rows.groupBy("place").agg(F.bit_or("value").alias("value")).toPandas()
+    held = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    held[rows["place"].to_numpy(dtype=np.int64)] = rows["value"].to_numpy(dtype=np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(held)
+
+
+def _passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _place(np.ascontiguousarray(keys))
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def _contexts(sent):
-    """entity, term, text: 64-bit hashes, for the sent entities and all terms of their texts."""
+    """entity, term, text: 64-bit hashes, for the entities that pass and all terms of their texts."""
 
     def run(batches):
         wanted = sent.value
@@ -153,7 +184,7 @@ def _contexts(sent):
                 for text in part.column("text").to_pylist():
                     spans = base_spans(text) if text else []
                     named = np.array(_named(text, spans), dtype=np.int64)
-                    named = named[np.isin(named, wanted)]
+                    named = named[_passes(wanted, named)]
                     words = apart(text, spans) if len(named) else []
                     if not words:
                         continue
@@ -170,62 +201,91 @@ def _contexts(sent):
 
 
 def _held(column, wanted: np.ndarray):
-    """Words of a column whose term is in the sorted array ``wanted``: raw, offsets, text,
-    start, length and place in ``wanted``."""
+    """Words of a column whose term passes the filter: raw, offsets, text, start, length, term."""
     raw, offsets = text_bytes(column)
     low = raw.translate(LOWER)
     starts, lengths, _ = find_words(low, offsets)
-    if not len(starts) or not len(wanted):
-        none = np.zeros(0, dtype=np.int64)
-        return raw, offsets, none, none, none, none
-    starts, lengths = trim(np.frombuffer(low, dtype=np.uint8), starts, lengths)
-    able = lengths > 0
-    starts, lengths = starts[able], lengths[able]
+    if len(starts):
+        starts, lengths = trim(np.frombuffer(low, dtype=np.uint8), starts, lengths)
+        able = lengths > 0
+        starts, lengths = starts[able], lengths[able]
     keys = word_hashes(low, starts, lengths).view(np.int64) if len(starts) else np.zeros(0, dtype=np.int64)
-    place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-    hit = np.flatnonzero(wanted[place] == keys)
+    hit = np.flatnonzero(_passes(wanted, keys)) if len(keys) else np.zeros(0, dtype=np.int64)
     of = np.searchsorted(offsets, starts[hit], side="right") - 1
-    return raw, offsets, of, starts[hit], lengths[hit], place[hit]
+    return raw, offsets, of, starts[hit], lengths[hit], keys[hit]
 
 
 def _frequency(sent):
+    """In how many texts each term that passes stands; a task gives each term once in a while."""
+
     def run(batches):
         wanted = sent.value
-        total = np.zeros(len(wanted), dtype=np.int64)
+        terms, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(terms), pa.array(counts)], names=["term", "n"])
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, of, _, _, place = _held(part.column("text"), wanted)
-                terms, n = np.unique(np.unique(of * len(wanted) + place) % len(wanted), return_counts=True)
-                total[terms] += n
-        terms = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[terms]), pa.array(total[terms])], names=["term", "n"])
+                _, _, of, _, _, keys = _held(part.column("text"), wanted)
+                if not len(keys):
+                    continue
+                order = np.lexsort((keys, of))
+                of, keys = of[order], keys[order]
+                new = np.append(True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1]))
+                terms, back = np.unique(np.concatenate([terms, keys[new]]), return_inverse=True)
+                counts = np.bincount(back, weights=np.concatenate([counts, np.ones(int(new.sum()), dtype=np.int64)]), minlength=len(terms)).astype(np.int64)
+                if len(terms) > ROWS:
+                    yield pack()
+                    terms, counts = terms[:0], counts[:0]
+        yield pack()
 
     return run
 
 
-def _general(word: str) -> str:
-    """The class that stands for a disclosing term."""
-    return "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]"
-
-
-def _add_terms(sent):
-    """Adds the places of disclosing terms (code points) to the column ``found``."""
+def _marks(sent):
+    """text_key, term and place (code points) of each term that passes; texts by 128 bits."""
 
     def run(batches):
         wanted = sent.value
         for batch in batches:
             for part in slices(batch, "text"):
-                raw, offsets, of, starts, lengths, _ = _held(part.column("text"), wanted)
-                found = part.column("found").to_pylist()
-                for k, s, n in zip(of.tolist(), starts.tolist(), lengths.tolist()):
-                    a = len(raw[offsets[k] : s].decode())
-                    found[k] = [*found[k], a, a + len(raw[s : s + n].decode())]
-                at = part.schema.get_field_index("found")
-                yield part.set_column(at, "found", pa.array(found, pa.list_(pa.int64())))
+                raw, offsets, of, starts, lengths, keys = _held(part.column("text"), wanted)
+                begins = (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
+                points = np.append(0, np.cumsum(begins))
+                a, b = points[starts] - points[offsets[of]], points[starts + lengths] - points[offsets[of]]
+                own = {k: _text_key(raw[offsets[k] : offsets[k + 1]]) for k in np.unique(of).tolist()}
+                yield pa.RecordBatch.from_arrays([pa.array([own[k] for k in of.tolist()], pa.binary()), pa.array(keys), pa.array(a), pa.array(b)], names=["text_key", "term", "a", "b"])
 
     return run
 
 
+def _text_key(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _general(word: str) -> str:
+    """The class that stands for a disclosing term."""
+    return "[NUMBER]" if word.isdigit() else "[NAME]" if word[:1].isupper() else "[TERM]"
+
+
+def _keyed(batches):
+    """Adds the column ``text_key``; null for texts that can have no marks."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            keys = [_text_key(x.encode()) if x else None for x in part.column("text").to_pylist()]
+            yield part.append_column("text_key", pa.array(keys, pa.binary()))
+
+
+def _beside(terms: list[tuple[int, int]], base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The terms that touch no base span; both lists are in order, ends of base spans aside."""
+    out, k, reach = [], 0, -1
+    for a, b in terms:
+        while k < len(base) and base[k][0] < b:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach <= a:
+            out.append((a, "term", b))
+    return out
+
+
 def _finish(clean_text: bool):
     def run(batches):
         for batch in batches:
@@ -234,8 +294,7 @@ def _finish(clean_text: bool):
                 cleaned: list = []
                 for text, found in zip(part.column("text").to_pylist(), part.column("found").to_pylist()):
                     base = base_spans(text) if text else []
-                    pairs = sorted(zip(found[::2], found[1::2]))
-                    terms = [(a, "term", b) for a, b in pairs if not any(a < y and x < b for x, _, y in base)]
+                    terms = _beside([*zip(found[::2], found[1::2])], base) if found else []
                     spans = sorted(base + terms, key=lambda x: (x[0], KINDS.index(x[1])))
                     show = lambda xs: ",".join(f"{kind}:{a}:{b}" for a, kind, b in xs)
                     for kind in KINDS:
@@ -262,28 +321,18 @@ def _finish(clean_text: bool):
 
 def disclosing_terms(base: DataFrame) -> DataFrame | None:
     """term (hash) and disclosure, of the terms in ``base`` (text) that give entities away."""
-    spark = base.sparkSession
     seen = base.mapInArrow(_entities, "entity long, text long").groupBy("entity", "text").agg(F.count("*").alias("n"))
     #: No term can have more support than its entity has.
     entities = cut(seen.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).select("entity", "n_e"))
-    total = entities.count()
-    if not total:
+    if entities.isEmpty():
         return None
-    together = None
-    for sent in _in_steps(spark, entities.select(F.col("entity").alias("term")), total):
-        one = base.mapInArrow(_contexts(sent), "entity long, term long, text long")
-        together = one if together is None else together.union(one)
+    together = base.mapInArrow(_contexts(_filter(entities)), "entity long, term long, text long")
     each = together.groupBy("entity", "term", "text").agg(F.count("*").alias("n"))
     pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     pairs = cut(pairs.join(entities, "entity"))
-    terms = cut(pairs.select("term").distinct())
-    total = terms.count()
-    if not total:
+    if pairs.isEmpty():
         return None
-    counts = None
-    for sent in _in_steps(spark, terms, total):
-        one = base.mapInArrow(_frequency(sent), "term long, n long")
-        counts = one if counts is None else counts.union(one)
+    counts = base.mapInArrow(_frequency(_filter(pairs.select("term"))), "term long, n long")
     n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
     n = base.count()
     told = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
@@ -292,12 +341,13 @@ def disclosing_terms(base: DataFrame) -> DataFrame | None:
     return cut(rows.groupBy("term").agg(F.max(told / carried).alias("disclosure")))
 
 
-def _in_steps(spark, terms: DataFrame, total: int):
-    """Broadcasts of sorted term hashes, of about SENT at most each."""
-    steps = blocks_for(total, SENT)
-    for k in range(steps):
-        part = terms.where(F.pmod(F.xxhash64("term"), F.lit(steps)) == k).select("term").toPandas()
-        yield spark.sparkContext.broadcast(np.sort(part["term"].to_numpy(dtype=np.int64)))
+def marked_texts(base: DataFrame, flagged: DataFrame) -> DataFrame:
+    """text_key and found: the places (a, b, a, b, ... in order) of flagged terms in each text."""
+    hits = base.mapInArrow(_marks(_filter(flagged)), "text_key binary, term long, a long, b long").distinct()
+    own = hits.join(flagged.select("term"), "term")
+    places = F.sort_array(F.collect_list(F.struct("a", "b")))
+    flat = F.flatten(F.transform(places, lambda p: F.array(p["a"], p["b"])))
+    return own.groupBy("text_key").agg(flat.alias("found"))
 
 
 def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), clean_text: bool = False) -> DataFrame:
@@ -310,22 +360,36 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", keep: tuple[str,
 
     Defined results: null and blank texts have no spans (clean_text of null is null);
     null and repeated ids are kept as they are; other columns, whatever their names, are
-    ignored unless kept; an empty table gives an empty result.
+    ignored unless kept; kept columns named like a column of the result give way to it; an
+    empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    plain = [F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)]
-    text = F.col(text_col).cast("string").alias("text")
-    flagged = disclosing_terms(docs.select(text))
-    rows = docs.select(*plain, text, F.array().cast("array<bigint>").alias("found"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{n} {t}" for n, t in kinds.items())
-    total = flagged.count() if flagged is not None else 0
-    if total:
-        for sent in _in_steps(spark, flagged, total):
-            rows = rows.mapInArrow(_add_terms(sent), schema)
-    kept = ", ".join(f"{n} {t}" for n, t in kinds.items() if n != "found")
-    out = rows.mapInArrow(
-        _finish(clean_text), kept + ", n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long" + ", clean_text string" * clean_text
-    )
-    return out.select(*(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)), *[c for c in out.columns if not c.startswith("keep_") and c != "text"])
+    bounded_batches(docs.sparkSession)
+    result = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_term long" + ", clean_text string" * clean_text
+    names = [x.split()[0] for x in result.split(", ")]
+    keep = [c for c in keep if c not in names]
+    plain = [F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)]
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    base = docs.select(text)
+    flagged = disclosing_terms(base)
+    rows, none = docs.select(*plain, text), F.array().cast("array<bigint>")
+    if flagged is None:
+        rows = rows.withColumn("found", none)
+    else:
+        #: A text that copies share is dealt to SALTS shares of the join; a null one joins nothing.
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        keyed = rows.mapInArrow(_keyed, f"{schema}, text_key binary")
+        share = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS))
+        keyed = keyed.withColumn("share", F.when(F.col("text_key").isNull(), -1 - share).otherwise(share))
+        marks = marked_texts(base, flagged).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        rows = keyed.join(marks, ["text_key", "share"], "left").withColumn("found", F.coalesce("found", none)).drop("text_key", "share")
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "found")
+    out = rows.mapInArrow(_finish(clean_text), f"{kept}, {result}")
+    return out.select(*(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)), *names)
+
+
+def sanitised_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with every span of its texts replaced by its class; all columns stay, under any names."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    at = docs.columns.index(text_col)
+    found = find_personal_data(plain, f"c{at}", tuple(c for k, c in enumerate(plain.columns) if k != at), clean_text=True)
+    return found.select(*(F.col("clean_text" if k == at else f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

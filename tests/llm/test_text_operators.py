@@ -1,6 +1,7 @@
 """Operators on texts against brute force, the tokenizer library or held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -232,6 +233,49 @@ def test_short_and_distant_terms_disclose(spark):
     assert all(got[i] == t for i, t in rows if i >= 10)
 
 
+def test_disclosing_terms_are_those_of_all_counts(spark):
+    """The terms of a random corpus against direct counts of documents."""
+    rng, rows = random.Random(7), []
+    for k in range(300):
+        words = [f"t{rng.randrange(60)}" for _ in range(rng.randint(1, 12))]
+        if rng.random() < 0.4:
+            e = rng.randrange(12)
+            words += [f"u{e}@corp.example"] + [f"x{e}"] * (rng.random() < 0.8) + [f"y{e % 5}"] * (rng.random() < 0.5)
+            rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    rows += [(300 + k, rows[k][1]) for k in range(40)]
+    docs, held, texts_of = defaultdict(set), defaultdict(set), {i: t for i, t in rows}
+    for i, t in rows:
+        for w in set(t.split()):
+            docs[w].add(i)
+            if "@" in w:
+                held[w].add(i)
+    want = set()
+    for e, mine in held.items():
+        for w, own in docs.items():
+            both = own & mine
+            if "@" not in w and len({texts_of[i] for i in both}) >= pii.SUPPORT:
+                carried = math.log2(len(rows) / len(mine))
+                if carried > 0 and math.log2(len(both) * len(rows) / (len(own) * len(mine))) >= pii.DISCLOSURE * carried:
+                    want.add(w)
+    assert 5 < len(want) < 60
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        text, at, spans = texts_of[r.doc_id], 0, []
+        for w in text.split():
+            spans += [f"term:{at}:{at + len(w)}"] * (w in want)
+            at += len(w) + 1
+        assert [x for x in r.spans.split(",") if x.startswith("term")] == spans
+
+
+def test_many_terms_in_a_long_text(spark):
+    rows = [(k, f"ann@corp.example {'é ' * k}" + " ".join(f"zz{j}" for j in range(20_000))) for k in range(3)] + [(10 + k, f"other {k} words") for k in range(50)]
+    got = pii.sanitised_documents(spark.createDataFrame([(t, i, {"a": 1}, "kept", i) for i, t in rows], "text string, doc_id long, n_term map<string,int>, clean_text string, found long"))
+    assert got.columns == ["text", "doc_id", "n_term", "clean_text", "found"]
+    held = {r.doc_id: r for r in got.collect()}
+    assert held[2].text.count("[TERM]") == 20_000 and held[2].clean_text == "kept" and held[2].n_term == {"a": 1} and held[12].text == "other 2 words"
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
