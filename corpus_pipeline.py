@@ -15,7 +15,7 @@ from tallyforge.llm.bpe_codec import encode_decode
 from tallyforge.llm.common import shared_folder, table
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mixed_documents
-from tallyforge.llm.pii import find_personal_data
+from tallyforge.llm.pii import sanitised_documents
 from tallyforge.llm.toxicity import clean_documents, train
 
 WORD_BPE = "word_bpe_49k.json"
@@ -34,9 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are replaced by their classes."""
-    kept = tuple(c for c in docs.columns if c != "text")
-    found = find_personal_data(docs, keep=kept, clean_text=True)
-    return _same_columns(found.withColumn("text", F.col("clean_text")), docs.columns)
+    return _same_columns(sanitised_documents(docs), docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
