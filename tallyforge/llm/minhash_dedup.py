@@ -8,9 +8,15 @@ full sets.
 
 No bucket is ever expanded into all its pairs. Each bucket first links its members to
 its smallest one. While that still joins many, members outside their bucket's largest
-component meet one more, drawn member of it; at last all that are still outside meet the
-whole bucket. Pairs inside one component need no look, so the components are those of
-all candidate pairs.
+component meet one more, drawn member of it. What is still outside then is settled by a
+prefix filter over the documents of the buckets that are still divided: in an order of all
+shingles from rare to frequent, two sets of a similarity s or more share one of the first
+n - ceil(s n) + 1 shingles of the larger set and n - ceil(2 s / (1 + s) n) + 1 of the
+smaller, so only pairs that share such a rare shingle are met.
+That is exact in any order, finds all pairs of those documents, and meets few pairs of a
+template family, whose members differ in what is rare. Rare shingles that many documents
+hold are dealt to tiles of bounded size. Pairs inside one component need no look, so the
+components are those of all candidate pairs.
 """
 
 from __future__ import annotations
@@ -31,7 +37,8 @@ GROUPS, VALUES = 8, 3
 #: MinHash values of the sketch by which candidates are sifted before their sets are fetched.
 SKETCH = 1024
 MARKS = [f"m{k}" for k in range(SKETCH // 32)]
-PARTS = [f"p{k}" for k in range(2 * GROUPS)]
+#: Bins of the shingle frequencies that order the prefix filter (8 MB when broadcast), rows of a tile's side.
+BINS, TILE = 1 << 20, 1000
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -80,11 +87,11 @@ def group_hashes(one: np.ndarray) -> np.ndarray:
 
 
 def tensored_keys(rows: DataFrame) -> DataFrame:
-    """key, id, table: a key for each pair of a group of either collection."""
+    """key, id: a key for each pair of a group of either collection."""
     table = F.explode(F.sequence(F.lit(0), F.lit(GROUPS * GROUPS - 1)))
     each = rows.select("id", "groups", table.alias("table"))
     first, second = F.expr(f"groups[table div {GROUPS}]"), F.expr(f"groups[{GROUPS} + table % {GROUPS}]")
-    return each.select(F.xxhash64(first, second, "table").alias("key"), "id", "table")
+    return each.select(F.xxhash64(first, second, "table").alias("key"), "id")
 
 
 def sketch(one: np.ndarray) -> np.ndarray:
@@ -120,12 +127,17 @@ def _sign(words: int):
 def _expand(words: int):
     def run(batches):
         worker_state("minhash", dict)
+        met: set = set()
         for batch in batches:
             for part in slices(batch, "text"):
+                #: Rows that repeat an id and a text within a task count once.
+                row = [(i, hash(t)) for i, t in zip(part.column("id").to_pylist(), part.column("text").to_pylist())]
+                new = [not (x in met or met.add(x)) for x in row]
+                part = part if all(new) else part.filter(pa.array(new, pa.bool_()))
                 sets = shingle_sets(part.column("text"), words)
-                marks = [np.concatenate([sketch(x), group_hashes(x)]) if len(x) else np.zeros(len(MARKS + PARTS), dtype=U64) for x in sets]
-                columns = np.array(marks, dtype=U64).reshape(-1, len(MARKS + PARTS)).T
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(sets), *map(_long, columns)], names=["id", "items", *MARKS, *PARTS])
+                marks = [sketch(x) if len(x) else np.zeros(len(MARKS), dtype=U64) for x in sets]
+                columns = np.array(marks, dtype=U64).reshape(-1, len(MARKS)).T
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(sets), *map(_long, columns)], names=["id", "items", *MARKS])
 
     return run
 
@@ -141,20 +153,8 @@ def _alike(percent: int):
     return fits & (differ <= F.lit(int(SKETCH * (1 - p) + 3.5 * (SKETCH * p * (1 - p)) ** 0.5)))
 
 
-def _side(about: DataFrame, name: str, more: list[str] = ()) -> DataFrame:
-    return about.select(F.col("id").alias(name), *(F.col(m).alias(f"{name}_{m}") for m in ("n", *MARKS, *more)))
-
-
-def _first_meeting():
-    """Is this table the first of those that a and b share? (Each pair counts there alone.)"""
-    first = {}
-    for half in (0, 1):
-        pick = F.lit(None)
-        for k in reversed(range(GROUPS)):
-            name = PARTS[half * GROUPS + k]
-            pick = F.when(F.col(f"a_{name}") == F.col(f"b_{name}"), k).otherwise(pick)
-        first[half] = pick
-    return F.col("table") == first[0] * GROUPS + first[1]
+def _side(about: DataFrame, name: str) -> DataFrame:
+    return about.select(F.col("id").alias(name), *(F.col(m).alias(f"{name}_{m}") for m in ("n", *MARKS)))
 
 
 def _sifted(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
@@ -174,12 +174,80 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _open_buckets(busy: DataFrame, known: DataFrame) -> DataFrame:
     """key, id, component and main (the bucket's largest component), of buckets with several."""
     placed = busy.join(known.select(F.col("node").alias("id"), "component"), "id", "left")
-    placed = placed.select("key", "table", "id", F.coalesce("component", "id").alias("component"))
+    placed = placed.select("key", "id", F.coalesce("component", "id").alias("component"))
     groups = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
     mixed = groups.groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.count("*").alias("parts"))
     return placed.join(mixed.where("parts > 1").select("key", "main"), "key")
 
 
+def _binned(batches):
+    """How often shingles of each bin stand in the sets of a task."""
+    held = np.zeros(BINS, dtype=np.int64)
+    for batch in batches:
+        items = batch.column("items").flatten().to_numpy(zero_copy_only=False)
+        held += np.bincount(items & (BINS - 1), minlength=BINS)
+    at = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["bin", "n"])
+
+
+def _prefixes(sent, percent: int):
+    """id, component, outer, n and each shingle of the set's prefix (its rarest) with its place."""
+
+    def run(batches):
+        often = sent.value
+        for batch in batches:
+            sets = batch.column("items")
+            values, offsets = sets.flatten().to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+            offsets, picked = offsets - offsets[0], []
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                own = values[a:b]
+                order = np.lexsort((own, often[own & (BINS - 1)]))
+                picked.append(own[order[: len(own) - -(-percent * len(own) // 100) + 1]])
+            size = np.array([*map(len, picked)], dtype=np.int64)
+            at = np.repeat(np.arange(len(picked)), size)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+            item = np.concatenate([np.zeros(0, dtype=np.int64), *picked])
+            columns = [batch.column(c).take(pa.array(at)) for c in ("id", "component", "outer")]
+            columns += [pa.array(np.diff(offsets)[at], pa.int64()), pa.array(item, pa.int64()), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "component", "outer", "n", "item", "place"])
+
+    return run
+
+
+def _rare_pairs(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components, one of them outside, that share a shingle
+    of their prefixes. ``divided``: id, component, outer."""
+    spark = sets.sparkSession
+    own = cut(sets.select("id", "items").join(divided, "id"))
+    often = np.zeros(BINS, dtype=np.int64)
+    bins = own.select("items").mapInArrow(_binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    often[bins["bin"].to_numpy(dtype=np.int64)] = bins["n"].to_numpy(dtype=np.int64)
+    sent = spark.sparkContext.broadcast(often)
+    rows = cut(own.mapInArrow(_prefixes(sent, percent), "id long, component long, outer boolean, n long, item long, place long"))
+    #: The smaller set of a pair needs a shorter prefix than the larger.
+    small = F.col("place") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent))
+    rows = rows.withColumn("small", small)
+    sides = rows.groupBy("item").agg(
+        F.count_if(F.col("small") & F.col("outer")).alias("small_outer"), F.count_if(F.col("small") & ~F.col("outer")).alias("small_inner"), F.count_if(F.col("outer")).alias("outers"), F.count("*").alias("all"),
+        F.min("component").alias("low"), F.max("component").alias("high"),
+    )
+    sides = sides.where("outers > 0 and low < high")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    share = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.col(n))
+    named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("id", "component", "n", "place")]
+    #: What the sets can share if this is the first shingle that they share.
+    first = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    fits = (F.col("a_component") != F.col("b_component")) & (F.struct("a_n", "a_id") < F.struct("b_n", "b_id")) & ((100 + percent) * first >= percent * (F.col("a_n") + F.col("b_n")))
+    found = []
+    for few, many, a_side, b_side in (("small_outer", "all", "small and outer", "true"), ("small_inner", "outers", "small and not outer", "outer")):
+        busy = sides.where(f"{few} > 0").select("item", F.ceil(F.col(few) / TILE).alias("down"), F.ceil(F.col(many) / TILE).alias("across"))
+        dealt = rows.join(busy, "item")
+        left = dealt.where(a_side).select("item", *named("a"), share("down").alias("i"), numbers("across").alias("j"))
+        right = dealt.where(b_side).select("item", *named("b"), share("across").alias("j"), numbers("down").alias("i"))
+        found.append(left.join(right, ["item", "i", "j"]).where(fits).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")))
+    return found[0].union(found[1]).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -198,20 +266,19 @@ def near_duplicates(
     signed = cut(base.mapInArrow(_sign(words), "id long, n_shingles long, f1 long, f2 long, groups array<long>"))
     usable = signed.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
 
-    classes = usable.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    member = cut(usable.select("id", "f1", "f2").distinct().join(classes, ["f1", "f2"]))
+    classes = usable.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("groups").alias("groups"))
+    member = cut(usable.select("id", "f1", "f2").distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"]))
     #: Classes that one repeated id ties together.
     tied = member.groupBy("id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
     tied = member.join(tied.select("id", "a"), "id").select("a", F.col("rep").alias("b")).where("a != b")
 
-    reps = usable.join(classes.withColumnRenamed("rep", "id"), ["id", "f1", "f2"])
-    rows = tensored_keys(reps)
+    rows = tensored_keys(classes.select(F.col("rep").alias("id"), "groups"))
     buckets = rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top")
     busy = cut(rows.join(buckets.select("key", "pivot"), "key"))
 
-    expanded = "id long, items array<long>, " + ", ".join(f"{m} long" for m in MARKS + PARTS)
+    expanded = "id long, items array<long>, " + ", ".join(f"{m} long" for m in MARKS)
     sets = cut(base.join(busy.select("id").distinct(), "id", "left_semi").mapInArrow(_expand(words), expanded))
-    about = sets.select("id", F.size("items").alias("n"), *MARKS, *PARTS)
+    about = sets.select("id", F.size("items").alias("n"), *MARKS)
 
     pairs = busy.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = _confirmed(_sifted(pairs, about, percent), sets, percent).union(tied)
@@ -227,11 +294,8 @@ def near_duplicates(
         pairs = open_.where("component != main").join(pivots, "key").select("a", F.col("id").alias("b"))
         links = _confirmed(_sifted(pairs, about, percent), sets, percent).union(known.select("node", "component"))
     if apart:
-        left = open_.where("component != main").select("key", "table", F.col("id").alias("a"), F.col("component").alias("ca")).join(_side(about, "a", PARTS), "a")
-        right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("major")).join(_side(about, "b", PARTS), "b")
-        apart_pair = (F.col("ca") != F.col("cb")) & (F.col("major") | (F.col("a") < F.col("b")))
-        met = left.join(right, "key").where(apart_pair & _alike(percent) & _first_meeting())
-        late = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        divided = open_.groupBy("id", "component").agg(F.max(F.col("component") != F.col("main")).alias("outer"))
+        late = _sifted(_rare_pairs(divided, sets, percent), about, percent)
         known = components(_confirmed(late, sets, percent).union(known.select("node", "component")), "a", "b")
 
     found = member.join(known.select(F.col("node").alias("rep"), "component"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))

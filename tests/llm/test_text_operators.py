@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tallyforge.llm import pii
+from tallyforge.llm import minhash_dedup, pii
 from tallyforge.llm.bpe_codec import decode_column, encode_decode
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources, mixed_documents
@@ -128,6 +128,34 @@ def test_near_duplicates_are_those_of_all_pairs(spark, docs):
     assert got == [(k, len(sets[k]), find(k), find(k) == k) for k in range(len(texts))]
 
 
+def test_template_family_meets_few_pairs(spark, monkeypatch):
+    """Texts of one template, some 0.7 alike, fill buckets without links: what is rare in them
+    tells the few real links; tiles of shared rare shingles are small."""
+    monkeypatch.setattr(minhash_dedup, "TILE", 7)
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(130)]
+    texts = [" ".join([*base, *(f"u{k}x{j}" for j in range(22))]) for k in range(150)]
+    texts += [t + f" end{k}" for k, t in enumerate(texts[:20])] + [" ".join([*base, *rng.choices([f"s{j}" for j in range(30)], k=20)]) for _ in range(60)]
+    rng.shuffle(texts)
+    sets, root = [shingles(t, 5) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    met, inner = [], minhash_dedup._rare_pairs
+    monkeypatch.setattr(minhash_dedup, "_rare_pairs", lambda *x: met.append(inner(*x)) or met[-1])
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(k, find(k)) for k in range(len(texts))]
+    assert met and met[0].count() < len(texts) * 20
+
+
 def test_near_duplicates_odd_rows(spark):
     got = near_duplicates(odd_rows(spark), words=5).collect()
     assert len(got) == len(ODD) + 2
