@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tallyforge.llm import minhash_dedup, pii
+from tallyforge.llm import minhash_dedup, mixing, pii
 from tallyforge.llm.bpe_codec import decode_column, encode_decode
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources, mixed_documents
@@ -201,6 +201,24 @@ def test_mix(spark, docs, hot):
     assert sum(len(WORDS.findall(r.text)) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mix_of_repeated_rows_and_any_columns(spark, monkeypatch):
+    """Equal rows are split over parts and shares; columns may be maps or named like the result."""
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(mixing, "SHARES", 4)
+    monkeypatch.setattr(mixing, "RANGE_SOURCES", 3)
+    rows = [(None, "a b c d", f"s{k}", {"x": k}, k, k) for k in range(9) for _ in range(40)] + [(1, "e f", "s1", None, 0, 0)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size map<string,int>, taken int, `a.b` int")
+    size, target = brute_targets([(None, t, x) for _, t, x, *_ in rows])
+    got = mix_sources(df).collect()
+    assert len(got) == len(rows) and all(r.target == pytest.approx(target[r.source]) for r in got)
+    mixed = mixed_documents(df)
+    assert mixed.columns == df.columns
+    words = defaultdict(int)
+    for r in mixed.collect():
+        words[r.source] += len(WORDS.findall(r.text))
+    assert all(abs(words[x] - target[x]) <= 0.5 + 1e-6 for x in size)
+
+
 def test_mix_empty(spark, docs):
     assert mix_sources(docs.limit(0)).count() == 0 and mixed_documents(docs.limit(0)).count() == 0
     assert mix_sources(odd_rows(spark)).count() == len(ODD) + 2
