@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A local folder is made only where the setting is absent, as in tests.
+    A local folder is made only where the setting is absent and Spark runs in one machine, as
+    in tests; a cluster without the setting is an error, since its executors share no disk.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,6 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own, wherever Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole_path(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme, as Spark reads it: a bare path is one of ``fs.defaultFS``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Documents are long: Arrow batches of the default 10,000 rows would hold tens of MB of
     text in both the JVM and Python for each task."""
