@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe_codec import encode_decode
-from tallyforge.llm.common import shared_folder, table
+from tallyforge.llm.common import cut, remove, shared_folder, table
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mixed_documents
 from tallyforge.llm.pii import sanitised_documents
@@ -27,9 +27,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group (runs of five words, similarity 0.8 or more) the smallest id stays."""
+    """Of each group (runs of five words, similarity 0.8 or more) the smallest id stays; of rows
+    that repeat an id and a text, one."""
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    text = F.xxhash64("text")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id", text.alias("text_hash")).count().where("count > 1").select("doc_id").distinct()
+    repeated = cut(repeated)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).union(once.select(docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each result is written to the shared folder and read again."""
+    """All stages on ``documents``; each result is written to the shared folder and read again.
+    A stage's folder goes when the next one's is written; only the last stays, as the result."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
