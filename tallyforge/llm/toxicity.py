@@ -1,17 +1,21 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 The kernel of two strings sums, over all subsequences of three characters that they
-share, the weight DECAY to the power of the lengths these span in both; so a gapped or
-padded insult still shares most of the weight of the plain one. Landmarks are strings
-that labelled texts tie to toxicity, and common clean words that resemble them. A word is
-described by how much of each landmark's weight it holds, a text by its best words (for
-each landmark the most), mapped by the inverse root of the landmarks' kernel matrix; a
-linear SVM with calibrated margins scores that. Characters are folded first (case, look-alike
-digits, punctuation inside words dropped; lone letters in a row are read as one word).
+share, the weight DECAY to the power of the lengths these span in both, and is divided by
+the root of both strings' own kernels; so a gapped or padded insult stays close to the plain
+one. Landmarks are strings that labelled texts tie to toxicity, and common clean words that
+resemble them. The Nystroem map of a word is its kernel values with the landmarks times the
+inverse root of the landmarks' kernel matrix, and a linear SVM over that map judges words. A
+text is as toxic as its most toxic word: training starts from the strings of labelled texts,
+then finds that word of each text in every round and adds it (a multiple-instance SVM). Margins of texts whose words the
+fitted part hasn't been given (three folds) calibrate the score. Characters are folded first (case, look-alike digits,
+punctuation inside words dropped; lone letters in a row are read as one word).
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,24 +24,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import Known, packed
-from tallyforge.llm.common import bounded_batches, worker_state
+from tallyforge.llm.common import bounded_batches, cut, worker_state
 from tallyforge.llm.textblocks import find_words, slices, text_bytes
 
-DECAY, FLOOR = 0.75, 0.4
-#: Bytes of a word that the kernel sees at once; longer words are read in overlapping windows.
-WINDOW, STRIDE = 24, 12
-#: (word, landmark) pairs that go through the kernel together.
-PAIRS = 8_192
+DECAY = 0.75
+#: Letters of a word that the kernel sees at once; longer words are as many overlapping windows
+#: as they need, the last one at their end.
+WINDOW, STRIDE = 12, 4
+#: Subsequences that are looked up together.
+TOGETHER = 1 << 21
 #: Fold of bytes: letters, look-alikes, and bytes above ASCII as they are; others go.
 FOLD = np.zeros(256, dtype=np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
 for _a, _b in zip(b"013457@$!", b"oieastasi"):
     FOLD[_a] = _b
-#: The most labelled texts that training looks at, and how many landmarks it takes.
-TRAIN_ROWS, TOXIC_MARKS, CLEAN_MARKS = 12_000, 40, 16
+#: Folded bytes as numbers below SYMBOLS.
+SYMBOLS = 155
+CODE = np.zeros(256, dtype=np.int32)
+CODE[97:123], CODE[128:] = np.arange(1, 27), np.arange(27, SYMBOLS)
+#: The most labelled texts that training looks at, how many landmarks it takes, and from how
+#: many of the strongest strings of either kind.
+TRAIN_ROWS, TOXIC_MARKS, CLEAN_MARKS, MARK_POOL = 12_000, 40, 16, 2000
 #: How strongly (twice a log likelihood ratio) a string must go with toxic texts.
 TIE = 20
+ROUNDS, FOLDS = 4, 3
 
 
 def fold(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -58,76 +69,103 @@ def fold(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np
     return inside.tobytes(), np.cumsum(size) - size, size
 
 
-def _matrix(raw: bytes, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    data = np.frombuffer(raw + b"\0", dtype=np.uint8)
-    place = np.arange(width)
-    at = np.minimum(starts[:, None] + place, len(data) - 1)
-    return np.where(place < lengths[:, None], data[at], 0).astype(np.uint8)
-
-
-def kernel(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of each row of ``words`` and the same row of ``marks`` (bytes,
-    the first padded with 0, the second with 1, so that padding never matches)."""
-    gap = np.arange(marks.shape[1])
-    decay = np.where(gap[None, :] >= gap[:, None], DECAY ** (gap[None, :] - gap[:, None] + 0.0), 0).astype(np.float32)
-    n, squared = len(words), np.float32(DECAY**2)
-    one, two = (np.zeros((n, len(gap) + 1), dtype=np.float32) for _ in range(2))
-    total = np.zeros(n, dtype=np.float32)
-    for k in range(words.shape[1]):
-        same = (words[:, k, None] == marks).astype(np.float32) * squared
-        total += np.einsum("ij,ij->i", same, two[:, :-1])
-        step = (same * one[:, :-1]) @ decay
-        two *= DECAY
-        two[:, 1:] += step
-        one *= DECAY
-        one[:, 1:] += same @ decay
-    return total
-
-
-def _padded(marks) -> np.ndarray:
-    """Landmarks as rows of bytes for ``kernel``."""
-    wide = max(map(len, marks))
-    return np.frombuffer(b"".join(z.ljust(wide, b"\1") for z in marks), dtype=np.uint8).reshape(len(marks), wide)
-
-
-def _bits(words: np.ndarray) -> np.ndarray:
-    """A set of letters (modulo 64) for each row."""
-    out = np.zeros(len(words), dtype=np.uint64)
-    for k in range(words.shape[1]):
-        out |= np.where(words[:, k] > 0, np.uint64(1) << (words[:, k] % 64).astype(np.uint64), np.uint64(0))
-    return out
+@functools.cache
+def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the subsequences of three among n letters, and the lengths they span."""
+    i, j, k = (np.array(x) for x in zip(*itertools.combinations(range(n), 3)))
+    return i, j, k, k - i + 1
+
+
+WEIGHTS = DECAY ** np.arange(WINDOW + 4.0)
+
+
+def _sequences(codes: np.ndarray) -> np.ndarray:
+    """[words, subsequences]: a number for each subsequence of words of one length."""
+    i, j, k, _ = triples(codes.shape[1])
+    first = codes * SYMBOLS
+    return (first[:, i] + codes[:, j]) * SYMBOLS + codes[:, k]
+
+
+def _own(sequences: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """The kernel of each word with itself: squares of the summed weights of equal subsequences."""
+    ranked = np.sort(sequences.astype(np.int64) * 16 + spans, axis=1)
+    first = np.ones(ranked.shape, dtype=bool)
+    first[:, 1:] = ranked[:, 1:] >> 4 != ranked[:, :-1] >> 4
+    sums = np.add.reduceat(WEIGHTS[ranked & 15].ravel(), np.flatnonzero(first.ravel()))
+    return np.add.reduceat(sums**2, np.append(0, np.cumsum(first.sum(axis=1))[:-1]))
+
+
+def features(word: bytes) -> dict[int, float]:
+    """The normalised weight of each subsequence of a folded word of WINDOW letters at most."""
+    found: dict[int, float] = {}
+    if len(word) >= 3:
+        spans = triples(len(word))[3]
+        for x, n in zip(_sequences(CODE[np.frombuffer(word, dtype=np.uint8)][None, :])[0].tolist(), spans.tolist()):
+            found[x] = found.get(x, 0.0) + DECAY**n
+    size = sum(w * w for w in found.values()) ** 0.5
+    return {x: w / size for x, w in found.items()}
+
+
+def product(a: dict[int, float], b: dict[int, float]) -> float:
+    """The normalised kernel of two words by their features."""
+    return sum(w * b[x] for x, w in a.items() if x in b)
+
+
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of words: word, offset, size."""
+    n = np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1)
+    owner = np.repeat(np.arange(len(lengths)), n)
+    number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    offset = np.minimum(number * STRIDE, np.maximum(lengths[owner] - WINDOW, 0))
+    return owner, offset, np.minimum(lengths[owner], WINDOW)
+
+
+class Landmarks:
+    """The kernel with a fixed list of strings (of WINDOW letters at most), by their subsequences."""
 
+    def __init__(self, marks: tuple[bytes, ...]):
+        self.marks, own = marks, [features(z) for z in marks]
+        self.known = np.array(sorted({x for f in own for x in f}), dtype=np.int64)
+        self.weight = np.array([[f.get(x, 0.0) for f in own] for x in self.known.tolist()]).reshape(len(self.known), len(marks))
+
+    def table(self, beta: np.ndarray) -> np.ndarray:
+        """What each subsequence adds to the sum of the kernel values times ``beta``."""
+        out = np.zeros(SYMBOLS**3, dtype=np.float32)
+        out[self.known] = self.weight @ beta
+        return out
 
-def holdings(raw: bytes, starts: np.ndarray, lengths: np.ndarray, marks: list[bytes]) -> np.ndarray:
-    """[words, marks]: the share of each landmark's own weight that a folded word holds,
-    from FLOOR (0) to all (1). Words that miss over a third of its letters count as 0."""
-    out = np.zeros((len(starts), len(marks)), dtype=np.float32)
-    if not marks:
+    def matrix(self, words: list[bytes]) -> np.ndarray:
+        """[words, marks]: kernel values of folded words of WINDOW letters at most."""
+        own = [features(w) for w in words]
+        place = {x: k for k, x in enumerate(self.known.tolist())}
+        out = np.zeros((len(words), len(self.marks)))
+        for row, f in zip(out, own):
+            for x, w in f.items():
+                if x in place:
+                    row += w * self.weight[place[x]]
         return out
-    rows_of = _padded(marks)
-    plain = np.where(rows_of == 1, 0, rows_of)
-    own, own_bits = kernel(plain, rows_of), _bits(plain)
-    letters = np.bitwise_count(own_bits).astype(np.int64)
-    windows = np.maximum(1, -(-(lengths - WINDOW) // STRIDE) + 1)
-    owner = np.repeat(np.arange(len(starts)), windows)
-    shift = (np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)) * STRIDE
-    size = np.minimum(lengths[owner] - shift, WINDOW)
-    floor = 2
-    for wide in (6, 9, 12, 16, WINDOW):
-        pick = np.flatnonzero((size > floor) & (size <= wide))
-        floor = wide
-        for a in range(0, len(pick), 1 << 16):
-            rows = pick[a : a + (1 << 16)]
-            words = _matrix(raw, starts[owner[rows]] + shift[rows], size[rows], wide)
-            bits = _bits(words)
-            # all (word, landmark) pairs that share enough letters go through the kernel together
-            near = [np.flatnonzero(3 * np.bitwise_count(bits & own_bits[k]) >= 2 * letters[k]) for k in range(len(marks))]
-            word, mark = np.concatenate(near), np.repeat(np.arange(len(marks)), [*map(len, near)])
-            for b in range(0, len(word), PAIRS):
-                w, m = word[b : b + PAIRS], mark[b : b + PAIRS]
-                share = (np.minimum(1, kernel(words[w], rows_of[m]) / own[m]) - FLOOR) / (1 - FLOOR)
-                np.maximum.at(out, (owner[rows[w]], m), np.maximum(0, share))
-    return out
+
+
+def linear(tables: list[np.ndarray], raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, offset, size, [tables]) for each window of folded words whose kernel values times
+    beta have a sum above 0 for some table; other windows can't raise a margin."""
+    code = CODE[np.frombuffer(raw, dtype=np.uint8)]
+    owner, offset, size = windows(lengths)
+    rows_of, values = [np.zeros(0, dtype=np.int64)], [np.zeros((0, len(tables)))]
+    for n in range(3, WINDOW + 1):
+        spans = triples(n)[3]
+        weights = WEIGHTS[spans].astype(np.float32)
+        pick, step = np.flatnonzero(size == n), max(1, TOGETHER // len(spans))
+        for k in range(0, len(pick), step):
+            rows = pick[k : k + step]
+            found = _sequences(code[(starts[owner[rows]] + offset[rows])[:, None] + np.arange(n)])
+            sums = np.column_stack([t[found] @ weights for t in tables])
+            up = np.flatnonzero((sums > 0).any(axis=1))
+            if len(up):
+                rows_of.append(rows[up])
+                values.append(sums[up] / np.sqrt(_own(found[up], spans))[:, None])
+    at = np.concatenate(rows_of)
+    return owner[at], offset[at], size[at], np.concatenate(values)
 
 
 def _spelled(raw: bytes, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> list[tuple[int, bytes]]:
@@ -146,136 +184,152 @@ def _spelled(raw: bytes, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray
     return out
 
 
-def features(pooled: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """The Nystroem map of pooled holdings, and the largest of them (one insult is enough)."""
-    return np.column_stack([pooled @ root, pooled.max(axis=1)])
+@dataclass(frozen=True)
+class Judge:
+    """A linear function of the kernel with the landmarks: what it gives a word."""
+
+    beta: np.ndarray
+    bias: float
 
 
 @dataclass(frozen=True)
 class Model:
     marks: tuple[bytes, ...]
-    root: np.ndarray
-    weights: np.ndarray
-    bias: float
+    judge: Judge
     slope: float
     shift: float
 
-    def score(self, pooled: np.ndarray) -> np.ndarray:
-        margin = features(pooled, self.root) @ self.weights + self.bias
+    def score(self, margin: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
 
 
-class Pooler:
-    """Texts to [texts, marks]; keeps what it knows of distinct words."""
-
-    def __init__(self, marks: tuple[bytes, ...]):
-        self.marks = marks
+class Reader:
+    """Texts to the margins of their most toxic words, for some judges; keeps what it knows of
+    distinct words. A text without words, and any text beside its words, has the margin of a
+    word that is like no landmark."""
 
-        def make(words):
-            raw, starts, lengths = packed(words)
-            folded = fold(raw, starts, lengths)
-            return [holdings(*folded, [*marks])]
+    def __init__(self, marks: tuple[bytes, ...], judges: tuple[Judge, ...]):
+        self.landmarks, self.base = Landmarks(marks), np.array([j.bias for j in judges])
+        self.tables = [self.landmarks.table(j.beta) for j in judges]
+        self.known = Known(lambda words: [self._margins(*fold(*packed(words)))], 200_000)
 
-        self.known = Known(make, 200_000)
+    def _margins(self, raw, starts, lengths) -> np.ndarray:
+        """[words, judges]"""
+        out = np.tile(self.base, (len(starts), 1))
+        owner, _, _, values = linear(self.tables, raw, starts, lengths)
+        np.maximum.at(out, owner, values + self.base)
+        return out
 
-    def __call__(self, column) -> np.ndarray:
+    def __call__(self, column, witness: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """[texts, judges] margins and, for ``witness``, [texts, marks]: the kernel values of the
+        word with the first judge's margin."""
         raw, offsets = text_bytes(column)
         starts, lengths, at = find_words(raw, offsets)
-        out = np.zeros((len(at) - 1, len(self.marks)), dtype=np.float32)
-        if not len(starts):
-            return out
-        rows = self.known.get(raw, starts, lengths)
-        table = self.known.columns[0]
-        hot = np.flatnonzero(table.any(axis=1)[rows])
-        np.maximum.at(out, np.searchsorted(at, hot, side="right") - 1, table[rows[hot]])
-        spelled = _spelled(raw, starts, lengths, at)
-        if spelled:
-            own = fold(*packed([w for _, w in spelled]))
-            np.maximum.at(out, np.array([t for t, _ in spelled]), holdings(*own, [*self.marks]))
-        return out
-
-
-def _pooler(marks: tuple[bytes, ...]) -> Pooler:
-    return worker_state(("toxicity", marks), lambda: Pooler(marks))
+        out = np.tile(self.base, (len(at) - 1, 1))
+        best = np.full(len(out), b"", dtype=object)
+
+        def raise_to(texts, margins, word):
+            """Margins of words go to their texts; ``word(k)`` is the folded k-th of them."""
+            hot = np.flatnonzero((margins > self.base).any(axis=1))
+            before = out[:, 0].copy()
+            np.maximum.at(out, texts[hot], margins[hot])
+            if witness:
+                for k in hot[(margins[hot, 0] == out[texts[hot], 0]) & (margins[hot, 0] > before[texts[hot]])].tolist():
+                    best[texts[k]] = word(k)
+
+        if len(starts):
+            rows, held = self.known.get(raw, starts, lengths), self.known.columns[0]
+            hot = np.flatnonzero((held > self.base).any(axis=1)[rows])
+            raise_to(np.searchsorted(at, hot, side="right") - 1, held[rows[hot]], lambda k: raw[starts[hot[k]] : starts[hot[k]] + lengths[hot[k]]])
+            if spelled := _spelled(raw, starts, lengths, at):
+                words = [w for _, w in spelled]
+                raise_to(np.array([t for t, _ in spelled]), self._margins(*fold(*packed(words))), lambda k: words[k])
+        return out, self._vectors(best.tolist()) if witness else out[:, :0]
+
+    def _vectors(self, words: list[bytes]) -> np.ndarray:
+        """[words, marks]: kernel values of each word's window with the largest margin."""
+        raw, starts, lengths = fold(*packed(words))
+        owner, offset, size, values = linear(self.tables[:1], raw, starts, lengths)
+        picked = [b""] * len(words)
+        for k in np.lexsort((offset, values[:, 0])).tolist():
+            begin = starts[owner[k]] + offset[k]
+            picked[owner[k]] = raw[begin : begin + size[k]]
+        return self.landmarks.matrix(picked)
 
 
 def _stems(batches):
-    """Distinct folded words of each text and their beginnings of four to seven letters."""
+    """Distinct folded words of each text (their windows, if long) and their beginnings of four
+    to seven letters."""
     worker_state("stems", dict)
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             raw, offsets = text_bytes(part.column("text"))
             starts, lengths, at = find_words(raw, offsets)
             plain, s, n = fold(raw, starts, lengths)
+            owner, offset, size = windows(n)
+            own_at = np.searchsorted(owner, at)
+            begin = (s[owner] + offset).tolist()
+            size = size.tolist()
             toxic = part.column("toxic").to_pylist()
             words, flags = [], []
-            for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                own = {plain[s[j] : s[j] + min(n[j], WINDOW)] for j in range(a, b) if n[j] >= 4}
+            for k, (a, b) in enumerate(zip(own_at[:-1].tolist(), own_at[1:].tolist())):
+                own = {plain[begin[j] : begin[j] + size[j]] for j in range(a, b) if size[j] >= 4}
                 own |= {w[:m] for w in own for m in range(4, min(8, len(w)))}
                 words += own
                 flags += [toxic[k]] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(flags, pa.int32())], names=["word", "toxic"])
 
 
-def _pool(marks: tuple[bytes, ...], keep: str):
-    def run(batches):
-        pooler = _pooler(marks)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows = pooler(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column(keep), pa.array(rows.tolist(), pa.list_(pa.float32()))], names=[keep, "pooled"])
-
-    return run
-
-
-def choose_marks(counts: list, n_toxic: int, n_clean: int) -> tuple[bytes, ...]:
-    """Landmarks from (word, toxic, clean) counts: strongest ties first, none within another."""
+def _tie(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Twice the log likelihood ratio, negative if the word is rarer in toxic texts."""
     whole = n_toxic + n_clean
-
-    def tie(toxic, clean):
-        """Twice the log likelihood ratio, negative if the word is rarer in toxic texts."""
-        cells = [(toxic, n_toxic), (clean, n_clean), (n_toxic - toxic, n_toxic), (n_clean - clean, n_clean)]
-        share = [(toxic + clean) / whole] * 2 + [1 - (toxic + clean) / whole] * 2
-        g = 2 * sum(x * np.log(x / (n * p)) for (x, n), p in zip(cells, share) if x > 0)
-        return g if toxic * n_clean > clean * n_toxic else -g
-
-    ranked = sorted(((-tie(t, c), -len(w), w) for w, t, c in counts if t >= 3 and tie(t, c) > TIE))
+    cells = [(toxic, n_toxic), (clean, n_clean), (n_toxic - toxic, n_toxic), (n_clean - clean, n_clean)]
+    share = [(toxic + clean) / whole] * 2 + [1 - (toxic + clean) / whole] * 2
+    g = 2 * sum(x * np.log(x / (n * p)) for (x, n), p in zip(cells, share) if x > 0)
+    return g if toxic * n_clean > clean * n_toxic else -g
+
+
+def choose_marks(counts: list, n_toxic: int, n_clean: int) -> tuple[list[bytes], list[bytes]]:
+    """Toxic and clean landmarks from (word, toxic, clean) counts: strongest ties first, none
+    too like another; the clean ones are those most like the toxic ones."""
+    ties = {w: _tie(t, c, n_toxic, n_clean) for w, t, c in counts}
+    ranked = sorted((-ties[w], -len(w), w) for w, t, c in counts if t >= 3 and ties[w] > TIE)
+    known = functools.cache(features)
+    apart = lambda w, zs: all(product(known(w), known(z)) <= 0.7 for z in zs)
     marks: list[bytes] = []
-    held = lambda w, zs: holdings(*packed([w]), zs)[0] if zs else np.zeros(0)
     for _, _, w in ranked:
-        apart = not (held(w, marks) > 0.7).any() and not any(w in z for z in marks)
-        if len(marks) < TOXIC_MARKS and apart:
+        if len(marks) < TOXIC_MARKS and not any(w in z or z in w for z in marks) and apart(w, marks):
             marks.append(w)
-    clean = sorted(((w, c) for w, t, c in counts if c >= 5 and tie(t, c) <= 0), key=lambda x: (-x[1], x[0]))[:2000]
+    clean = sorted((w for w, t, c in counts if c >= 5 and ties[w] <= 0))
+    chosen: list[bytes] = []
     if marks and clean:
-        near = holdings(*packed([w for w, _ in clean]), marks).max(axis=1)
-        order = sorted(range(len(clean)), key=lambda k: (-near[k], clean[k][0]))
-        chosen: list[bytes] = []
-        for k in order:
-            if len(chosen) < CLEAN_MARKS and near[k] > 0 and not (held(clean[k][0], chosen) > 0.7).any():
-                chosen.append(clean[k][0])
-        marks += chosen
-    return tuple(marks)
-
-
-def _inverse_root(marks: tuple[bytes, ...]) -> np.ndarray:
-    raw, starts, lengths = packed([*marks])
-    words = _matrix(raw, starts, lengths, WINDOW)
-    rows = _padded(marks)
-    gram = np.array([kernel(words, np.broadcast_to(z, (len(words), len(z)))) for z in rows], dtype=np.float64)
-    size = np.sqrt(np.diag(gram))
-    values, vectors = np.linalg.eigh(gram / size[:, None] / size[None, :])
+        near = Landmarks(tuple(marks)).matrix(clean).max(axis=1)
+        for k in np.argsort(-near, kind="stable"):
+            if len(chosen) < CLEAN_MARKS and near[k] > 0 and apart(clean[k], chosen):
+                chosen.append(clean[k])
+    return marks, chosen
+
+
+def inverse_root(gram: np.ndarray) -> np.ndarray:
+    values, vectors = np.linalg.eigh(gram)
     return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """A linear SVM with squared hinge loss, by Newton steps; y is -1 or 1."""
+def fit_judge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, root: np.ndarray) -> Judge:
+    """The SVM over the Nystroem map ``x @ root``, as a function of the kernel values x."""
+    order = np.lexsort([*x.T, weight, y])  # sums don't depend on the order of the rows
+    w, bias = fit_svm(x[order] @ root, y[order], weight[order])
+    return Judge(root @ w, bias)
+
+
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """A linear SVM with weighted squared hinge loss, by Newton steps; y is -1 or 1."""
     with_one = np.column_stack([x, np.ones(len(x))])
     w, ridge = np.zeros(with_one.shape[1]), np.append(np.full(x.shape[1], penalty), 1e-3)
     for _ in range(50):
         inside = y * (with_one @ w) < 1
-        a = with_one[inside]
-        new = np.linalg.solve(a.T @ a + np.diag(ridge), a.T @ y[inside])
+        a, c = with_one[inside], weight[inside]
+        new = np.linalg.solve((a * c[:, None]).T @ a + np.diag(ridge), a.T @ (c * y[inside]))
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -301,48 +355,89 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
+def _witness(marks, judges, vectors: bool):
+    """Labelled texts to toxic, fold, margins and the kernel values of the most toxic word."""
+
+    def run(batches):
+        reader = Reader(marks, judges)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                margins, held = reader(part.column("text"), vectors)
+                lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), lists(margins), lists(held)], names=["toxic", "fold", "margins", "vector"])
+
+    return run
+
+
+def _collected(rows: DataFrame, marks, judges, vectors: bool):
+    got = rows.mapInArrow(_witness(marks, judges, vectors), "toxic int, fold int, margins array<double>, vector array<double>").collect()
+    column = lambda name: np.array([r[name] for r in got], dtype=np.float64)
+    return np.where(column("toxic") > 0, 1.0, -1.0), column("fold").astype(int), column("margins"), column("vector")
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learns from labelled rows that aren't held out, about ``most`` of them at most
-    (drawn by a hash of the id). Without both classes the model scores everything 0."""
+    (drawn by a hash of the id). Without both classes the model scores everything 0.
+
+    What the driver gets is a row of a few dozen numbers for each text of that sample."""
     bounded_batches(docs.sparkSession)
+    nothing = Model((), Judge(np.zeros(0), 0.0), 0.0, -60.0)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     total = known.count()
     part = min(1.0, most / max(1, total))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     text = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = text.join(F.broadcast(some), "doc_id").dropDuplicates(["text"])  # the sample has a bound
-    counts = rows.select("text", "toxic").mapInArrow(_stems, "word binary, toxic int").groupBy("word").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
-    )
+    fold_of = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = cut(text.join(F.broadcast(some), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")).select("text", "toxic", fold_of))  # the sample has a bound
     classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n_toxic, n_clean = classes.get(1, 0), classes.get(0, 0)
     if not n_toxic or not n_clean:
-        return Model((), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -60.0)
-    counts = counts.where("t + c >= 3")
+        return nothing
+    counts = rows.select("text", "toxic").mapInArrow(_stems, "word binary, toxic int").groupBy("word").agg(
+        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
+    )
+    counts = cut(counts.where("t + c >= 3"))
     rate = (F.col("t") + 0.5) / (F.col("c") + 0.5)
-    strong = counts.orderBy(F.desc(F.sqrt("t") * F.log(rate * n_clean / n_toxic)), "word").limit(2000).collect()
-    common = counts.where(rate * n_clean < n_toxic).orderBy(F.desc("c"), "word").limit(2000).collect()
-    marks = choose_marks([(bytes(r["word"]), r["t"], r["c"]) for r in {bytes(r["word"]): r for r in [*strong, *common]}.values()], n_toxic, n_clean)
-    if not marks:
-        return Model((), np.zeros((0, 0)), np.zeros(0), 0.0, 0.0, -60.0)
-    got = rows.select("toxic", "text").mapInArrow(_pool(marks, "toxic"), "toxic int, pooled array<float>").collect()
-    pooled = np.array([r["pooled"] for r in got], dtype=np.float64)
-    y = np.where(np.array([r["toxic"] for r in got]) > 0, 1.0, -1.0)
-    order = np.lexsort([*pooled.T, y])  # sums don't depend on the order of the rows
-    pooled, y, root = pooled[order], y[order], _inverse_root(marks)
-    x = features(pooled, root)
-    w, b = fit_svm(x, y)
-    slope, shift = calibrate(x @ w + b, y)
-    return Model(marks, root, w, b, slope, shift)
+    strong = counts.orderBy(F.desc(F.sqrt("t") * F.log(rate * n_clean / n_toxic)), "word").limit(MARK_POOL).collect()
+    common = counts.where(rate * n_clean < n_toxic).orderBy(F.desc("c"), "word").limit(MARK_POOL).collect()
+    found = {bytes(r["word"]): r for r in [*strong, *common]}
+    toxic, clean = choose_marks([(w, r["t"], r["c"]) for w, r in sorted(found.items())], n_toxic, n_clean)
+    marks = (*toxic, *clean)
+    if not toxic:
+        return nothing
+    landmarks = Landmarks(marks)
+    root = inverse_root(landmarks.matrix([*marks]))
+    #: Landmarks count once for each toxic and each clean text that holds them.
+    pool = landmarks.matrix([*marks])
+    times = np.array([(found[w]["t"], found[w]["c"]) for w in marks], dtype=np.float64)
+    x, z = np.concatenate([pool, pool]), np.repeat([1.0, -1.0], len(pool))
+    weight, of = times.T.ravel(), np.full(2 * len(pool), -1)
+    judge = fit_judge(x, z, weight, root)
+    for _ in range(ROUNDS):  # the most toxic words of texts, as they are found
+        y, fold, _, vectors = _collected(rows, marks, (judge,), True)
+        x, z = np.concatenate([x, vectors]), np.append(z, y)
+        weight, of = np.append(weight, np.ones(len(y))), np.append(of, fold)
+        judge = fit_judge(x, z, weight, root)
+    apart = tuple(fit_judge(x[of != k], z[of != k], weight[of != k], root) for k in range(FOLDS))
+    y, fold, margins, _ = _collected(rows, marks, apart, False)
+    slope, shift = calibrate(margins[np.arange(len(y)), fold], y)
+    return Model(marks, judge, slope, shift)
+
+
+def _reader(model: Model) -> Reader:
+    key = ("toxicity", model.marks, model.judge.beta.tobytes(), model.judge.bias)
+    return worker_state(key, lambda: Reader(model.marks, (model.judge,)))
+
+
+def _scores(model: Model, column) -> np.ndarray:
+    return model.score(_reader(model)(column)[0][:, 0]) if model.marks else np.zeros(len(column))
 
 
 def _score(model: Model):
     def run(batches):
-        pooler = _pooler(model.marks)
         for batch in batches:
             for part in slices(batch, "text"):
-                score = model.score(pooler(part.column("text")).astype(np.float64)) if model.marks else np.zeros(part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_scores(model, part.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -360,15 +455,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    names = docs.columns
+    """The rows of ``docs`` that score below ``threshold``, with all their columns, whatever
+    their names and types."""
 
     def run(batches):
-        pooler = _pooler(model.marks)
         for batch in batches:
             for part in slices(batch, "text"):
-                if model.marks:
-                    part = part.filter(pa.array(model.score(pooler(part.column("text")).astype(np.float64)) < threshold))
-                yield part
+                yield part.filter(pa.array(_scores(model, part.column("text")) < threshold))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,16 +1,19 @@
 """Operators on texts against brute force, the tokenizer library or held-out labels."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tallyforge.llm import minhash_dedup, mixing, pii
+from tallyforge.llm import minhash_dedup, mixing, pii, toxicity
 from tallyforge.llm.bpe_codec import decode_column, encode_decode
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources, mixed_documents
@@ -343,6 +346,47 @@ def test_toxicity_held_out(spark):
     assert score(few, nobody).where("score > 0.01").count() == 0
 
 
+def test_kernel_is_that_of_all_subsequences():
+    """The kernel, its Nystroem map and the margins against direct enumeration."""
+    rng = random.Random(4)
+
+    def brute(a, b):
+        total = 0.0
+        for i in itertools.combinations(range(len(a)), 3):
+            for j in itertools.combinations(range(len(b)), 3):
+                if [a[x] for x in i] == [b[x] for x in j]:
+                    total += toxicity.DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1)
+        return total
+
+    like = lambda a, b: brute(a, b) / math.sqrt(brute(a, a) * brute(b, b)) if min(len(a), len(b)) > 2 else 0.0
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))).encode() for _ in range(60)] + ["éaéb".encode()]
+    marks = tuple(sorted({w for w in words if len(w) > 2}))[:9]
+    landmarks = toxicity.Landmarks(marks)
+    want = np.array([[like(w, z) for z in marks] for w in words])
+    assert np.allclose(landmarks.matrix(words), want)
+    gram = landmarks.matrix([*marks])
+    root = toxicity.inverse_root(gram)
+    assert np.linalg.eigvalsh(gram).min() > -1e-9
+    if np.linalg.eigvalsh(gram).min() > 0.05:
+        assert np.allclose((gram @ root) @ (gram @ root).T, gram)
+    judges = tuple(toxicity.Judge(np.array([rng.gauss(0, 1) for _ in marks]), b) for b in (-0.5, 0.25))
+    reader = toxicity.Reader(marks, judges)
+    texts = [b" ".join(words[k : k + 4]).decode() for k in range(0, 60, 4)] + ["", None, "a b c a b"]
+    margins, vectors = reader(pa.array(texts), witness=True)
+    for t, got, vector in zip(texts, margins, vectors):
+        own = [w.encode() for w in (t or "").split()] + ([b"abcab"] if t == "a b c a b" else [])
+        rows = np.array([[like(w, z) for z in marks] for w in own]).reshape(-1, len(marks))
+        assert np.allclose(got, [max([j.bias, *(rows @ j.beta + j.bias)]) for j in judges], atol=1e-5)
+        assert np.allclose(vector @ judges[0].beta + judges[0].bias, got[0], atol=1e-5)
+
+
+def test_long_words_are_read_whole():
+    owner, offset, size = toxicity.windows(np.array([5, 12, 13, 30, 0]))
+    for k, n in enumerate([5, 12, 13, 30]):
+        seen = {x for o, a, m in zip(owner, offset, size) if o == k for x in range(a, a + m)}
+        assert seen == set(range(n))
+
+
 def test_hashes_of_crc32(spark):
     import zlib
 
