@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.block_knn import nearest
 from tallyforge.llm.bpe_codec import encode_decode
-from tallyforge.llm.common import cut, shared_folder, table
+from tallyforge.llm.common import cut, remove, shared_folder, table
 from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
@@ -18,7 +18,7 @@ from tallyforge.llm.pii import find_personal_data
 from tallyforge.llm.prefix_tokens import prefix_token_counts
 from tallyforge.llm.quality import score_quality
 from tallyforge.llm.toxicity import score, train
-from tallyforge.llm.warc import file_system, read_warc, write_warc
+from tallyforge.llm.warc import base32_of_hex, read_warc, write_warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -29,12 +29,18 @@ def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives, then reads every record's payload back: size and digest of a response
+    are those of the bytes read, a revisit's are those of its response."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), folder, least_bytes=0)
-    read = read_warc(spark, folder, payloads=False).where("record_type in ('response', 'revisit')")
-    out = cut(read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri"))
-    fs, root = file_system(folder)
-    fs.delete_dir(root)
+    read = read_warc(spark, folder).where("record_type in ('response', 'revisit')")
+    own = F.col("record_type") == "response"
+    digest = F.when(own, base32_of_hex(F.sha1("payload"))).otherwise(F.col("payload_digest"))
+    size = F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    same = digest.eqNullSafe(F.col("payload_digest")) & size.eqNullSafe(F.col("payload_bytes"))
+    as_told = F.assert_true(same, F.lit("a payload differs from its headers")).isNull()
+    out = cut(read.where(as_told).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "target_uri"))
+    remove(spark, folder)
     return out
 
 

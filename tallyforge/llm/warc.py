@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tallyforge.llm.common import whole_path
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
@@ -91,8 +92,8 @@ def gzip_member(data: bytes) -> bytes:
     """A gzip member whose extra field "sl" holds its own and the plain length."""
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
-    whole = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, whole & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    whole = 10 + 2 + 20 + len(body) + 8
+    extra = b"sl" + struct.pack("<HQQ", 16, whole, len(data))
     return MAGIC + b"\x04" + bytes(6) + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -157,8 +158,8 @@ def _zipped(data: _Bytes, start: int, end: int, size: int, wanted, payloads: boo
             at += hit if hit > 0 else max(1, len(window) - 2)
             continue
         skip = 0
-        if head[3] & 4 and head[12:14] == b"sl":
-            skip = struct.unpack("<I", head[16:20])[0]
+        if head[3] & 4 and head[12:16] == b"sl\x10\0":
+            skip = struct.unpack("<Q", head[16:24])[0]
         inflate, text, used = zlib.decompressobj(31), b"", 0
         try:
             while b"\r\n\r\n" not in text and not inflate.eof:
@@ -179,7 +180,8 @@ def _zipped(data: _Bytes, start: int, end: int, size: int, wanted, payloads: boo
         keep = wanted(row)
         need = keep and payloads
         if need or not skip:
-            blocks = [rest]
+            blocks, plain, size_of = [rest], len(rest), row["content_length"] or 0
+            behind = rest[size_of:]
             while not inflate.eof:
                 piece = inflate.unconsumed_tail or data.want(used + CHUNK)[used:]
                 if not piece:
@@ -187,10 +189,15 @@ def _zipped(data: _Bytes, start: int, end: int, size: int, wanted, payloads: boo
                 before = len(inflate.unconsumed_tail)
                 out = inflate.decompress(piece, CHUNK)
                 used += 0 if before else len(piece)
+                if plain + len(out) > size_of and not behind.strip():
+                    behind = out[max(0, size_of - plain) :]
+                plain += len(out)
                 if need:
                     blocks.append(out)
+            if behind.strip():
+                raise ValueError(f"the gzip member at {at} holds more than one record, which this reader does not split")
             length = used - len(inflate.unused_data)
-            block = b"".join(blocks)[: row["content_length"] or 0] if need else b""
+            block = b"".join(blocks)[:size_of] if need else b""
         if keep:
             yield row, headers, payload_of(block, headers) if need else None
         at += skip or max(1, length)
@@ -376,8 +383,9 @@ def register(spark: SparkSession) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The records below ``path`` (a path without scheme is one of Spark's default file system)."""
     register(spark)
-    return spark.read.format("warc").option("payloads", str(payloads).lower()).load(path)
+    return spark.read.format("warc").option("payloads", str(payloads).lower()).load(whole_path(spark, path))
 
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -421,4 +429,4 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, mode: str = "overwrite") -> None:
     """Writes ``pages`` (page_id, url, html) as archives below ``path``; see with_revisits."""
     register(pages.sparkSession)
-    with_revisits(pages, least_bytes).write.format("warc").mode(mode).save(path)
+    with_revisits(pages, least_bytes).write.format("warc").mode(mode).save(whole_path(pages.sparkSession, path))

@@ -90,6 +90,13 @@ def test_warc_ranges_and_foreign_archives(spark, archive, tmp_path):
     assert sorted((r.target_uri, len(r.payload)) for r in got) == sorted([("u0", 3), ("u1", 12), ("u2", 5000)] * 2)
 
 
+def test_warc_members_of_several_records_are_an_error(spark, tmp_path):
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(one + one))
+    with pytest.raises(Exception, match="more than one record"):
+        read_warc(spark, str(tmp_path)).count()
+
+
 def test_warc_overwrite_and_empty(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     write_warc(empty, str(tmp_path / "w"))
@@ -162,6 +169,12 @@ def dense_groups(spark, n=700):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), link.sum(axis=1).tolist()
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.01, 1.0], 1)]
+    got = vector_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_dense_group_keeps_all_links(spark, monkeypatch):
     monkeypatch.setattr(graph_dedup, "SHARD", 200)
     monkeypatch.setattr(graph_dedup, "PER_CENTROID", 50)
