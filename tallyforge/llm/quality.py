@@ -1,7 +1,7 @@
 """Document quality by co-training of two views.
 
 One logistic classifier sees the text's content, another the page's metadata (language,
-source, stated length). Both start from labelled rows; in each round either learns also
+source, stated length: all that ``documents`` has; ``pages`` shares no key with it). Both start from labelled rows; in each round either learns also
 from the documents of which the other is confident, over all documents. Last, each view
 is calibrated on labelled rows, and the two are combined as independent evidence.
 
@@ -11,6 +11,7 @@ in which a task gives one row of sums; nothing of a single document goes to the
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import bounded_batches, cut, worker_state
-from tallyforge.llm.textblocks import find_words, mix, slices, text_bytes, word_hashes, U64
+from tallyforge.llm.textblocks import find_words, slices, text_bytes, word_hashes
 from tallyforge.llm.toxicity import held_out
 
 ROUNDS, STEPS, FIRST_STEPS = 3, 3, 6
@@ -33,7 +34,10 @@ CLASS[33:48] = CLASS[58:65] = CLASS[91:97] = CLASS[123:127] = 6
 CLASS[[32, 9, 11, 12]], CLASS[[10, 13]] = 3, 4
 CLASS[[ord(c) for c in ".,;:!?'\"-()"]] = 5
 CLASSES = 9
-SOURCES, LANGS = 32, 8
+#: Buckets of hashed names (whole names).
+SOURCES, LANGS = 64, 16
+#: Partial sums that reach the driver at most.
+SUMS = 32
 TEXT_SIZE, META_SIZE = CLASSES * CLASSES + CLASSES + 14, SOURCES + LANGS + 12
 
 
@@ -89,7 +93,7 @@ def meta_features(lang, source, n_chars) -> np.ndarray:
     """[rows, META_SIZE]: hashed source and language, and ranges of the stated length."""
     n = len(lang)
     out = np.zeros((n, META_SIZE))
-    place = lambda x, m: int(mix(np.array([np.frombuffer((x or "\0").encode().ljust(8, b"\0")[:8], dtype="<u8")[0] ^ U64(len(x or "")) ], dtype=U64))[0] % U64(m))
+    place = lambda x, m: int.from_bytes(hashlib.blake2b(b"\0" if x is None else x.encode(), digest_size=8).digest(), "little") % m
     known: dict = {}
     for k in range(n):
         for x, m, base in ((source[k], SOURCES, 0), (lang[k], LANGS, SOURCES)):
@@ -158,9 +162,18 @@ def _pass(weights, teachers, scales):
     return run
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sums of a group of tasks, in the order of tasks."""
+    table = table.sort_by("task")
+    sums = table.column("sums").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+    return pa.table({"part": table.column("part")[:1], "sums": pa.array([sums.sum(axis=0).tolist()], pa.list_(pa.float64()))})
+
+
 def _step(rows: DataFrame, weights, teachers=None, scales=None):
-    """One Newton step; sums come from each task, in the order of tasks."""
-    got = rows.mapInArrow(_pass(weights, teachers, scales), "sums array<double>").collect()
+    """One Newton step. Sums of tasks are added in SUMS groups before they reach the driver."""
+    each = rows.mapInArrow(_pass(weights, teachers, scales), "sums array<double>").withColumn("task", F.spark_partition_id())
+    parts = each.withColumn("part", F.col("task") % SUMS).groupBy("part").applyInArrow(_added, "part int, sums array<double>")
+    got = sorted(parts.collect(), key=lambda r: r["part"])
     now = scales if scales is not None else weights
     if not got:
         return now, (0, 0)

@@ -27,6 +27,47 @@ def test_odd_rows(spark):
     assert all(abs(r.score - 0.5) < 1e-6 for r in none)
 
 
+def test_names_are_hashed_whole():
+    rows = quality.meta_features(["en"] * 3, ["https://a.example/1", "https://a.example/2", "https://b.example/1"], [5] * 3)
+    assert len({tuple(r) for r in rows}) == 3
+
+
+def brute_co_train(text, meta, label):
+    """All rounds on whole arrays."""
+    views, y0 = (text, meta), np.array([-1 if x is None else x for x in label])
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+    def newton(x, w, y, c, ridge):
+        p = sigmoid(x @ w)
+        hessian = (x * (c * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        return w - np.linalg.solve(hessian, x.T @ (c * (p - y)) + ridge * w)
+
+    known, w = (y0 >= 0).astype(float), [np.zeros(x.shape[1]) for x in views]
+    for _ in range(quality.FIRST_STEPS):
+        w = [newton(x, v, np.maximum(y0, 0), known, quality.RIDGE) for x, v in zip(views, w)]
+    for _ in range(quality.ROUNDS):
+        other = [sigmoid(x @ v) for x, v in zip(views, w)][::-1]
+        taught = [np.where((y0 < 0) & ((o >= quality.CONFIDENT) | (o <= 1 - quality.CONFIDENT)), 1.0, 0.0) for o in other]
+        for _ in range(quality.STEPS):
+            w = [newton(x, v, np.where(t > 0, o > 0.5, np.maximum(y0, 0)), np.where(t > 0, quality.PSEUDO, known), quality.RIDGE) for x, v, o, t in zip(views, w, other, taught)]
+    return w
+
+
+def test_rounds_are_those_of_whole_arrays(spark):
+    rng = np.random.default_rng(3)
+    n = 240
+    hidden = rng.normal(size=n)
+    text, meta = rng.normal(size=(n, quality.TEXT_SIZE)) * 0.2, rng.normal(size=(n, quality.META_SIZE)) * 0.2
+    text[:, 0] += 4 * hidden
+    meta[:, 1] += 4 * hidden
+    text, meta = text.astype(np.float32).astype(np.float64), meta.astype(np.float32).astype(np.float64)
+    label = [int(hidden[k] > 0) if k % 3 == 0 else None for k in range(n)]
+    rows = spark.createDataFrame([(k, text[k].tolist(), meta[k].tolist(), label[k]) for k in range(n)], "id long, text_view array<float>, meta_view array<float>, label int").repartition(3)
+    want = brute_co_train(text, meta, label)
+    for got, w in zip(quality.co_train(rows).weights, want):
+        assert np.allclose(got, w, atol=1e-5)
+
+
 def test_newton_step_is_the_whole_fit(spark):
     rng = np.random.default_rng(1)
     n = 300
