@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
+def gathered(rows: DataFrame, size: int, kind: str = "int64") -> np.ndarray:
+    """(place, value) rows with places below ``size`` as one array on the driver; a task packs
+    them, so the driver gets a single value of that fixed size."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        held = np.zeros(size, dtype=kind)
+        held[table.column("place").to_numpy()] = table.column("value").to_numpy()
+        return pa.table({"held": pa.array([held.tobytes()], pa.binary())})
+
+    got = rows.select("place", "value").groupBy(F.lit(0)).applyInArrow(pack, "held binary").collect()
+    return np.frombuffer(got[0]["held"], dtype=kind) if got else np.zeros(size, dtype=kind)
+
+
 _STATE: dict = {}
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import bounded_batches, components, cut, worker_state
+from tallyforge.llm.common import bounded_batches, components, cut, gathered, worker_state
 from tallyforge.llm.textblocks import LOWER, U64, find_words, mix, slices, text_bytes, word_hashes
 
 PAD = U64(0x5851F42D4C957F2D)
@@ -37,8 +37,8 @@ GROUPS, VALUES = 8, 3
 #: MinHash values of the sketch by which candidates are sifted before their sets are fetched.
 SKETCH = 1024
 MARKS = [f"m{k}" for k in range(SKETCH // 32)]
-#: Bins of the shingle frequencies that order the prefix filter (8 MB when broadcast), rows of a tile's side.
-BINS, TILE = 1 << 20, 1000
+#: Bins of the shingle frequencies that order the prefix filter (2 MB when broadcast), rows of a tile's side.
+BINS, TILE = 1 << 18, 1000
 
 
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -187,7 +187,7 @@ def _binned(batches):
         items = batch.column("items").flatten().to_numpy(zero_copy_only=False)
         held += np.bincount(items & (BINS - 1), minlength=BINS)
     at = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["bin", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["place", "value"])
 
 
 def _prefixes(sent, percent: int):
@@ -219,9 +219,8 @@ def _rare_pairs(divided: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     of their prefixes. ``divided``: id, component, outer."""
     spark = sets.sparkSession
     own = cut(sets.select("id", "items").join(divided, "id"))
-    often = np.zeros(BINS, dtype=np.int64)
-    bins = own.select("items").mapInArrow(_binned, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    often[bins["bin"].to_numpy(dtype=np.int64)] = bins["n"].to_numpy(dtype=np.int64)
+    bins = own.select("items").mapInArrow(_binned, "place long, value long").groupBy("place").agg(F.sum("value").alias("value"))
+    often = gathered(bins, BINS)
     sent = spark.sparkContext.broadcast(often)
     rows = cut(own.mapInArrow(_prefixes(sent, percent), "id long, component long, outer boolean, n long, item long, place long"))
     #: The smaller set of a pair needs a shorter prefix than the larger.

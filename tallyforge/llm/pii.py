@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.bpe import packed
-from tallyforge.llm.common import bounded_batches, cut, worker_state
+from tallyforge.llm.common import bounded_batches, cut, gathered, worker_state
 from tallyforge.llm.textblocks import LOWER, U64, find_words, mix, slices, text_bytes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, DISCLOSURE = 3, 0.8
-#: Bits of the filter of hashes that is sent to the tasks (8 MB, however many hashes there are).
-FILTER_BITS = 26
+#: Bits of the filter of hashes that is sent to the tasks (2 MB, however many hashes there are).
+FILTER_BITS = 24
 #: Rows (entity, term, text) of a batch; shares that one text's rows are dealt to.
 ROWS, SALTS = 1 << 18, 16
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -154,10 +154,8 @@ def _bits(batches):
 def _filter(hashes: DataFrame):
     """A broadcast bit filter of the hashes; it has 2**FILTER_BITS bits at any size."""
     rows = hashes.select(F.col(hashes.columns[0]).alias("hash")).mapInArrow(_bits, "place long, value long")
-    rows = rows.groupBy("place").agg(F.bit_or("value").alias("value")).toPandas()
-    held = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    held[rows["place"].to_numpy(dtype=np.int64)] = rows["value"].to_numpy(dtype=np.uint8)
-    return hashes.sparkSession.sparkContext.broadcast(held)
+    rows = rows.groupBy("place").agg(F.bit_or("value").alias("value"))
+    return hashes.sparkSession.sparkContext.broadcast(gathered(rows, 1 << (FILTER_BITS - 3), "uint8"))
 
 
 def _passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
