@@ -106,7 +106,7 @@ def gathered(rows: DataFrame, size: int, kind: str = "int64") -> np.ndarray:
         held[table.column("place").to_numpy()] = table.column("value").to_numpy()
         return pa.table({"held": pa.array([held.tobytes()], pa.binary())})
 
-    got = rows.select("place", "value").groupBy(F.lit(0)).applyInArrow(pack, "held binary").collect()
+    got = rows.select("place", "value", F.lit(0).alias("all")).groupBy("all").applyInArrow(pack, "held binary").collect()
     return np.frombuffer(got[0]["held"], dtype=kind) if got else np.zeros(size, dtype=kind)
 
 
