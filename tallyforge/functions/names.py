@@ -122,3 +122,10 @@ def claude_session(file: Column) -> tuple[Column, Column, Column]:
     session = F.when(flat, stem).when(nested, F.try_element_at(below, F.lit(-3))).otherwise(F.coalesce(F.try_element_at(below, F.lit(-2)), F.lit("unknown")))
     where = F.when(flat, F.element_at(below, 1)).when(nested, F.coalesce(joined(3), F.lit("Unknown Project"))).otherwise(F.coalesce(joined(2), F.lit("Unknown Project")))
     return project, session, where
+
+
+def model_label(label: Column, aliases: dict[str, str]) -> Column:
+    """A model's display name, or what an alias says for exactly that name."""
+    if not aliases:
+        return label
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)), label), label)

@@ -45,6 +45,9 @@ def week_start(day: Column, first: str = "sunday") -> Column:
     return F.date_sub(day, F.pmod(F.dayofweek(day) - 1 - WEEKDAYS.index(first), F.lit(7)))
 
 
+#: Fixed values below: the limits by which sources tell seconds, ms, us and ns apart.
+
+
 def epoch_ms(number: Column, seconds_below: int) -> Column:
     """A count of seconds, if below a source's own limit, or of milliseconds."""
     return F.when(number < seconds_below, number * 1000).otherwise(number)
@@ -63,3 +66,10 @@ def otel_ms(number: Column) -> Column:
 
 def clock_12(ms: Column, timezone: str = "UTC") -> Column:
     return F.date_format(F.from_utc_timestamp(F.timestamp_millis(ms), timezone), "h a")
+
+
+def in_days(ts: Column, since: str, until: str, kind: str = "timestamp_ntz") -> Column:
+    """Is an instant in the days from ``since`` to ``until``, both included? Compares the column
+    itself with two instants, so scans can skip by it."""
+    day = lambda x: F.to_date(F.lit(x.replace("-", "")), "yyyyMMdd")
+    return (ts >= day(since).cast(kind)) & (ts < F.date_add(day(until), 1).cast(kind))

@@ -36,3 +36,9 @@ def leading_run(df: DataFrame, inside: Column, group: list[str], order: list[str
     """Adds ``name``: is the row in the run of ``inside`` rows that its group begins with?"""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(name, F.min(F.when(inside, 1).otherwise(0)).over(w) == 1)
+
+
+def with_lookup(df: DataFrame, table: DataFrame, keys: list[str], defaults: dict[str, Column]) -> DataFrame:
+    """``df`` with columns of ``table`` (a row a key); where it has none, the defaults."""
+    out = df.join(table.select(*keys, *defaults), keys, "left")
+    return out.withColumns({name: F.coalesce(F.col(name), value) for name, value in defaults.items()})

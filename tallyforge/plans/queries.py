@@ -6,15 +6,20 @@ cost, props = the raw usage object. Each query goes through the operators of thi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import costs, formats, jsonpick, names
 from tallyforge.functions import timestamps as T
 from tallyforge.functions.tokens import saturating_minus
 from tallyforge.operators.blocks import block_starts, gap_blocks, is_active
-from tallyforge.operators.carry import as_of, carry_forward, leading_run, running_delta
-from tallyforge.operators.dedupe import keep_first, keep_last, keep_ranked
+from tallyforge.operators.carry import as_of, carry_forward, leading_run, running_delta, with_lookup
+from tallyforge.operators.dedupe import keep_first, keep_highest, keep_last, keep_ranked
+from tallyforge.operators.pricing import price
+from tallyforge.plans import reports as R
+from tallyforge.sources.agents import usage
 from tallyforge.sources.rates import Rate, built_in, match_models
 
 HOUR_US = 3_600_000_000
@@ -111,76 +116,133 @@ def block_projection(spark, sf_dir):
 
 @query("select event_id, case when event_type = 'error' then null when value > 50 then event_type || '-fast' else event_type end as model, value from events where strftime(ts, '%Y%m%d') between '20240105' and '20240112'")
 def scan_filter_project(spark, sf_dir):
-    day = F.date_format("ts", "yyyyMMdd")
     model = F.when(F.col("event_type") != "error", F.when(F.col("value") > 50, F.concat("event_type", F.lit("-fast"))).otherwise(F.col("event_type")))
-    return _events(spark, sf_dir).where(day.between("20240105", "20240112")).select("event_id", model.alias("model"), "value")
+    rows = table(spark, sf_dir, "events").where(T.in_days(F.col("ts"), "20240105", "2024-01-12"))
+    return rows.select("event_id", model.alias("model"), "value")
 
 
-def _summary(rows: DataFrame, *keys) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count("*").alias("entries"), _money(F.sum("value")).alias("total"), F.min("us").alias("first"), F.max("us").alias("last"))
+def _as_usage(rows: DataFrame, agent: str, ts, key, model, tokens, cost, **more) -> DataFrame:
+    """A table as priced usage rows: what the reports of this package take."""
+    rows = usage(rows, agent, ts_ms=F.unix_millis(ts.cast("timestamp")), file=F.lit("f"), line_no=key, model=model, input_tokens=F.floor(tokens).cast("long"), output_tokens=(key % 10).cast("long"), recorded_cost=cost, **more)
+    return R.dated(rows.withColumns({"cost": F.col("recorded_cost"), "missing_pricing": F.lit(None).cast("string")}))
 
 
-_SUMS = "count(*) as entries, round(sum(value), 6) as total, min(epoch_us(ts)) as first, max(epoch_us(ts)) as last"
+def _usage(spark, sf_dir) -> DataFrame:
+    """events as usage: user = session, type = model (none for errors) and version, value = tokens and cost."""
+    project = F.concat(F.lit("p"), F.col("user_id") % 7)
+    return _as_usage(
+        table(spark, sf_dir, "events"), "events", F.col("ts"), F.col("event_id"), F.when(F.col("event_type") != "error", F.col("event_type")), F.col("value"), F.col("value"),
+        session_id=F.col("user_id"), project=project, project_path=project, version=F.col("event_type"),
+    )
 
 
-@query(f"select strftime(ts, '%Y-%m-%d') as date, {_SUMS} from events group by all")
-def daily_summary(spark, sf_dir):
-    return _summary(_events(spark, sf_dir), T.local_date(F.unix_millis("ts")).alias("date"))
+_U = "u as (select *, case when event_type <> 'error' then event_type end as model, floor(value)::bigint as i, event_id % 10 as o, epoch_us(ts) // 1000 as ms from events)"
 
 
-@query(f"select strftime(ts, '%Y-%m') as month, {_SUMS} from events group by all")
-def monthly_summary(spark, sf_dir):
-    return _summary(_events(spark, sf_dir), F.date_format("ts", "yyyy-MM").alias("month"))
+def _report_sql(**keys: str) -> str:
+    names = ", ".join(keys)
+    return f"""with {_U}, m as (
+            select {", ".join(f"{v} as {k}" for k, v in keys.items())}, model, sum(i) as i, sum(o) as o, sum(value) as c, min((ms, event_id)) as first from u group by all)
+        select {names}, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, (sum(i) + sum(o))::bigint as total_tokens, round(sum(c), 6) as cost,
+            coalesce(string_agg(model, ',' order by first) filter (model is not null), '') as models, arg_max(model, c) filter (model is not null) as dearest from m group by {names}"""
 
 
-_WEEK = "strftime(ts::date - ((dayofweek(ts::date) - {0} + 7) % 7)::int, '%Y-%m-%d') as week"
+def _report(table_: DataFrame, *keys) -> DataFrame:
+    dearest = F.get("model_breakdowns", F.lit(0))["model"]
+    return table_.select(*keys, "input_tokens", "output_tokens", "total_tokens", _money(F.col("cost")).alias("cost"), F.array_join("models_used", ",").alias("models"), dearest.alias("dearest"))
 
 
-def _weekly(spark, sf_dir, first):
-    week = T.week_start(F.to_date("ts"), first)
-    return _summary(_events(spark, sf_dir), F.date_format(week, "yyyy-MM-dd").alias("week"))
+@query(_report_sql(date="strftime(ts, '%Y-%m-%d')"))
+def daily_summary(spark, sf_dir):
+    return _report(R.daily(_usage(spark, sf_dir)), "date")
 
 
-@query(f"select {_WEEK.format(0)}, {_SUMS} from events group by all")
+@query(_report_sql(month="strftime(ts, '%Y-%m')"))
+def monthly_summary(spark, sf_dir):
+    return _report(R.monthly(_usage(spark, sf_dir)), "month")
+
+
+_WEEK = "strftime(ts::date - ((dayofweek(ts::date) - {0} + 7) % 7)::int, '%Y-%m-%d')"
+
+
+@query(_report_sql(week=_WEEK.format(0)))
 def weekly_summary_sunday(spark, sf_dir):
-    return _weekly(spark, sf_dir, "sunday")
+    return _report(R.weekly(_usage(spark, sf_dir)), "week")
 
 
-@query(f"select {_WEEK.format(1)}, {_SUMS} from events group by all")
+@query(_report_sql(week=_WEEK.format(1)))
 def weekly_summary_monday(spark, sf_dir):
-    return _weekly(spark, sf_dir, "monday")
+    return _report(R.weekly(_usage(spark, sf_dir), R.Options(week_starts="monday")), "week")
 
 
-@query(f"select strftime(ts, '%Y-%m-%d') as date, user_id % 7 as project, {_SUMS} from events group by all")
+@query(_report_sql(date="strftime(ts, '%Y-%m-%d')", project="'p' || (user_id % 7)"))
 def daily_by_project(spark, sf_dir):
-    return _summary(_events(spark, sf_dir).withColumn("project", F.col("user_id") % 7), F.date_format("ts", "yyyy-MM-dd").alias("date"), "project")
+    return _report(R.daily(_usage(spark, sf_dir), by_project=True), "date", "project")
 
 
-@query(
-    """select user_id, count(*) as entries, round(sum(value), 6) as total, min(epoch_us(ts)) as first, max(epoch_us(ts)) as last,
-        arg_max(event_id, ts) as latest_id, list_aggregate(list_sort(list(distinct event_type)), 'string_agg', ',') as versions from events group by user_id"""
-)
+@query(_report_sql(date="strftime(ts, '%Y-%m-%d')") + " having date between '2024-01-10' and '2024-01-12'")
+def daily_in_bounds(spark, sf_dir):
+    return _report(R.daily(_usage(spark, sf_dir), R.Options(since="20240110", until="2024-01-12")), "date")
+
+
+_SESSIONS = f"""with {_U}, s as (select user_id::varchar as session_id, 'p' || (user_id % 7) as project_path, sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, round(sum(value), 6) as cost,
+        min(ms) as first_ms, max(ms) as last_ms, string_agg(distinct event_type, ',' order by event_type) as versions from u group by all)
+    select * from s where input_tokens + output_tokens > 0"""
+
+
+def _sessions(spark, sf_dir, options) -> DataFrame:
+    out = R.sessions(_usage(spark, sf_dir), options)
+    return out.select("session_id", "project_path", "input_tokens", "output_tokens", _money(F.col("cost")).alias("cost"), "first_ms", "last_ms", F.array_join("versions", ",").alias("versions"))
+
+
+@query(_SESSIONS)
 def session_summary(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    more = rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("us", -F.col("event_id"))).alias("latest_id"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("versions"))
-    return _summary(rows, "user_id").join(more, "user_id")
+    return _sessions(spark, sf_dir, R.Options())
+
+
+@query(_SESSIONS + " and strftime(make_timestamp(last_ms * 1000), '%Y-%m-%d') between '2024-01-20' and '2024-01-29'")
+def session_date_filter(spark, sf_dir):
+    """Sessions whose last activity is in the bounds, with all their rows."""
+    return _sessions(spark, sf_dir, R.Options(since="20240120", until="20240129"))
 
 
 @query(
-    """with m as (select user_id, event_type as model, count(*) as entries, sum(value) as total, min((epoch_us(ts), event_id)) as first from events group by all)
-    select user_id, model, entries, round(total, 6) as total, row_number() over (partition by user_id order by round(total, 6) desc, first) as dearest,
-        row_number() over (partition by user_id order by first) as first_use from m"""
+    f"""with {_U}, m as (select user_id::varchar as session_id, model, sum(i)::bigint as input_tokens, sum(value) as c, min((ms, event_id)) as first from u where model is not null group by all)
+    select session_id, model, input_tokens, round(c, 6) as cost, row_number() over (partition by session_id order by c desc, first)::int as dearest,
+        row_number() over (partition by session_id order by first)::int as first_use from m"""
 )
 def model_breakdown(spark, sf_dir):
-    m = _events(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("model")).agg(F.count("*").alias("entries"), _money(F.sum("value")).alias("total"), F.min(F.struct("us", "event_id")).alias("first"))
-    group = Window.partitionBy("user_id")  # a row for each model: a handful
-    return m.select("user_id", "model", "entries", "total", F.row_number().over(group.orderBy(F.desc("total"), "first")).cast("long").alias("dearest"), F.row_number().over(group.orderBy("first")).cast("long").alias("first_use"))
+    s = R.sessions(_usage(spark, sf_dir)).withColumn("used", F.col("models_used"))
+    each = s.select("session_id", "used", F.posexplode("model_breakdowns").alias("place", "m"))
+    return each.select("session_id", "m.model", "m.input_tokens", _money(F.col("m.cost")).alias("cost"), (F.col("place") + 1).alias("dearest"), F.array_position("used", F.col("m.model")).cast("int").alias("first_use"))
 
 
-@query(f"select {_SUMS}, count(distinct user_id) as sessions from events")
+@query(f"with {_U} select sum(i)::bigint as input_tokens, sum(o)::bigint as output_tokens, (sum(i) + sum(o))::bigint as total_tokens, round(sum(value), 6) as cost from u")
 def totals(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    return rows.agg(F.count("*").alias("entries"), _money(F.sum("value")).alias("total"), F.min("us").alias("first"), F.max("us").alias("last"), F.countDistinct("user_id").alias("sessions"))
+    return R.totals(R.daily(_usage(spark, sf_dir))).select("input_tokens", "output_tokens", "total_tokens", _money(F.col("cost")).alias("cost"))
+
+
+@query(f"with {_U} select count(*) as entries, (sum(i) + sum(o))::bigint as total_tokens, round(sum(value), 6) as cost from u where user_id = 7")
+def session_detail_totals(spark, sf_dir):
+    return R.session_totals(_usage(spark, sf_dir), "7").select("entries", "total_tokens", _money(F.col("cost")).alias("cost"))
+
+
+@query(f"with {_U} select round(sum(value) filter (user_id = 7), 6) as session_cost, round(coalesce(sum(value) filter (strftime(ts, '%Y-%m-%d') = '2024-01-15'), 0), 6) as today_cost from u")
+def statusline_costs(spark, sf_dir):
+    out = R.statusline_costs(_usage(spark, sf_dir), "7", "2024-01-15")
+    return out.select(*(_money(F.col(c)).alias(c) for c in ("session_cost", "today_cost")))
+
+
+@query(
+    _BLOCKS.replace("epoch_us(ts) as us", "epoch_us(ts) // 1000 as us").replace("3600000000", "3600000").replace("18000000000", "18000000").replace("value, row_number", "floor(value)::bigint + event_id % 10 as tokens, value, row_number").replace("select user_id, n, us, value", "select user_id, n, us, tokens, value").replace("e.us, e.value", "e.us, e.tokens, e.value").replace("sum(value) as total", "sum(tokens)::bigint as total_tokens, sum(value) as total")
+    + """select user_id::varchar as session_id, start as block_start, entries, total_tokens, round(total, 6) as cost, first, last from blocks
+        where strftime(make_timestamp(start * 1000), '%Y-%m-%d') between '2024-01-10' and '2024-01-20'"""
+)
+def blocks_in_bounds(spark, sf_dir):
+    """Blocks that start in the bounds; they form over all rows."""
+    options = R.Options(since="20240110", until="20240120", now_ms=1_800_000_000_000)
+    out = R.activity_blocks(_usage(spark, sf_dir), options, ["session_id"]).where("not is_gap")
+    return out.select("session_id", "block_start", "entries", "total_tokens", _money(F.col("cost")).alias("cost"), "first", "last")
 
 
 @query(
@@ -231,14 +293,20 @@ def cost_modes(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", *(_money(costs.by_mode(m, recorded, computed)).alias(m) for m in costs.MODES))
 
 
+#: Dollars a token of a card for three event types.
+_TYPES = {"view": 1.5, "click": 2.0, "purchase": 9.25}
+
+
+def _priced(spark, sf_dir) -> DataFrame:
+    return price(_usage(spark, sf_dir).drop("cost", "missing_pricing"), [{k: Rate(k, input=v) for k, v in _TYPES.items()}], "calculate")
+
+
 @query(
-    """with card(model, rate) as (values ('view', 1.5), ('click', 2.0), ('purchase', 9.25))
-    select event_id, round(value * coalesce(rate, 0), 6) as cost, rate is null as missing from events left join card on event_type = model"""
+    f"""with {_U}, card(name, rate) as (values {", ".join(f"('{k}', {v}::double)" for k, v in _TYPES.items())})
+    select event_id, round(i * coalesce(rate, 0), 6) as cost, rate is null and model is not null and i + o > 0 as missing from u left join card on model = name"""
 )
 def pricing_exact_join(spark, sf_dir):
-    card = spark.createDataFrame([("view", 1.5), ("click", 2.0), ("purchase", 9.25)], "model string, rate double")  # a fixed card
-    rows = _events(spark, sf_dir).join(F.broadcast(card), F.col("event_type") == F.col("model"), "left")
-    return rows.select("event_id", _money(F.col("value") * F.coalesce("rate", F.lit(0.0))).alias("cost"), F.col("rate").isNull().alias("missing"))
+    return _priced(spark, sf_dir).select(F.col("line_no").alias("event_id"), _money(F.col("cost")).alias("cost"), F.col("missing_pricing").isNotNull().alias("missing"))
 
 
 _CARD = {"promo": 1.0, "promo brushed": 2.0, "economy": 3.0, "standard": 4.0, "steel": 5.0, "tin": 6.0, "brushed steel": 7.0}
@@ -314,18 +382,16 @@ def dedupe_replayed(spark, sf_dir):
     return dedupe(rows).select("event_id")
 
 
-@query("select event_id from events e where event_type = 'view' and not exists (select 1 from events p where p.user_id = e.user_id and p.event_type = 'purchase' and p.value > 90 and p.value is not null)")
+@query("select event_id from events e where not exists (select 1 from events p where p.user_id = e.user_id and p.event_type < e.event_type)")
 def anti_suppress(spark, sf_dir):
-    rows = _events(spark, sf_dir)
-    higher = rows.where("event_type = 'purchase' and value > 90").select("user_id").distinct()
-    return rows.where("event_type = 'view'").join(higher, "user_id", "left_anti").select("event_id")
+    return keep_highest(_events(spark, sf_dir), ["user_id"], "event_type").select("event_id")
 
 
 @query("select c_custkey, coalesce(n, 0) as n_orders, round(coalesce(total, 0), 2) as total from customer left join (select o_custkey, count(*) as n, sum(o_totalprice) as total from orders group by 1) on o_custkey = c_custkey")
 def left_lookup_default(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
-    rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
-    return rows.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.round(F.coalesce("total", F.lit(0.0)), 2).alias("total"))
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    rows = with_lookup(table(spark, sf_dir, "customer"), orders, ["c_custkey"], {"n_orders": F.lit(0).cast("long"), "total": F.lit(0.0)})
+    return rows.select("c_custkey", "n_orders", F.round("total", 2).alias("total"))
 
 
 @query(
@@ -348,22 +414,33 @@ def leading_replay_run(spark, sf_dir):
     return leading_run(_events(spark, sf_dir), F.col("event_type") != "purchase", ["user_id"], ["us", "event_id"], "inside").where("inside").select("event_id")
 
 
-@query("select 'order' as agent, strftime(o_orderdate, '%Y-%m') as period, count(*) as entries from orders group by all union all select 'line', strftime(l_shipdate, '%Y-%m'), count(*) from lineitem group by all union all select 'event', strftime(ts, '%Y-%m'), count(*) from events group by all")
+def _tools(spark, sf_dir) -> DataFrame:
+    """Three tables as three tools, by month."""
+    o, x = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rows = {
+        "order": _as_usage(o, "order", F.col("o_orderdate"), F.col("o_orderkey"), F.col("o_orderpriority"), F.col("o_totalprice"), F.col("o_totalprice")),
+        "line": _as_usage(x, "line", F.col("l_shipdate"), F.col("l_orderkey"), F.col("l_returnflag"), F.col("l_quantity"), F.col("l_extendedprice")),
+        "event": _usage(spark, sf_dir),
+    }
+    return reduce(DataFrame.unionByName, (R.of_agent(R.period_rows(R.monthly(r), "month"), a) for a, r in rows.items()))
+
+
+_TOOLS = """with t as (
+        select 'order' as agent, strftime(o_orderdate, '%Y-%m') as period, o_orderpriority as model, floor(o_totalprice)::bigint as i, o_orderkey % 10 as o, o_totalprice as c from orders
+        union all select 'line', strftime(l_shipdate, '%Y-%m'), l_returnflag, floor(l_quantity)::bigint, l_orderkey % 10, l_extendedprice from lineitem
+        union all select 'event', strftime(ts, '%Y-%m'), case when event_type <> 'error' then event_type end, floor(value)::bigint, event_id % 10, value from events)
+"""
+
+
+@query(_TOOLS + "select agent, period, (sum(i) + sum(o))::bigint as total_tokens, round(sum(c), 6) as cost, count(distinct model) as models from t group by agent, period")
 def union_sources(spark, sf_dir):
-    parts = [("order", "orders", "o_orderdate"), ("line", "lineitem", "l_shipdate"), ("event", "events", "ts")]
-    each = [table(spark, sf_dir, t).groupBy(F.lit(a).alias("agent"), F.date_format(c, "yyyy-MM").alias("period")).agg(F.count("*").alias("entries")) for a, t, c in parts]
-    return each[0].unionByName(each[1]).unionByName(each[2])
+    return _tools(spark, sf_dir).select("agent", "period", "total_tokens", _money(F.col("cost")).alias("cost"), F.size("models_used").cast("long").alias("models"))
 
 
-@query(
-    """with p as (select 'order' as agent, strftime(o_orderdate, '%Y') as period, count(*) as n from orders group by all
-        union all select 'line', strftime(l_shipdate, '%Y'), count(*) from lineitem group by all)
-    select period, sum(n)::bigint as entries, string_agg(agent, ',' order by agent) as agents from p group by period"""
-)
+@query(_TOOLS + "select period, string_agg(distinct agent, ',' order by agent) as agents, (sum(i) + sum(o))::bigint as total_tokens, round(sum(c), 6) as cost, string_agg(distinct model, ',' order by model) as models from t group by period")
 def unified_rollup(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").groupBy(F.lit("order").alias("agent"), F.date_format("o_orderdate", "yyyy").alias("period")).agg(F.count("*").alias("n"))
-    x = table(spark, sf_dir, "lineitem").groupBy(F.lit("line").alias("agent"), F.date_format("l_shipdate", "yyyy").alias("period")).agg(F.count("*").alias("n"))
-    return o.unionByName(x).groupBy("period").agg(F.sum("n").alias("entries"), F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("agents"))
+    out = R.roll_up(_tools(spark, sf_dir))
+    return out.select("period", F.array_join("agents", ",").alias("agents"), "total_tokens", _money(F.col("cost")).alias("cost"), F.array_join("models_used", ",").alias("models"))
 
 
 @query(
@@ -421,16 +498,9 @@ def short_model_name(spark, sf_dir):
     return rows.select("p_partkey", names.short_model_name(F.col("model")).alias("short"), names.pricing_key(F.col("model")).alias("pricing_key"))
 
 
-@query("select distinct event_type as model from events where event_type not in ('view', 'click') and value > 0")
+@query("select distinct event_type as model from events where event_type not in ('view', 'click', 'purchase', 'error') and floor(value)::bigint + event_id % 10 > 0")
 def missing_pricing(spark, sf_dir):
-    card = spark.createDataFrame([("view",), ("click",)], "event_type string")  # a fixed card
-    return _events(spark, sf_dir).where("value > 0").join(F.broadcast(card), "event_type", "left_anti").select(F.col("event_type").alias("model")).distinct()
-
-
-@query("select user_id, last_activity from (select user_id, strftime(max(ts), '%Y-%m-%d') as last_activity, sum(value) as total from events group by user_id) where total > 0 and last_activity between '2024-01-10' and '2024-01-30'")
-def session_date_filter(spark, sf_dir):
-    rows = _events(spark, sf_dir).groupBy("user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_activity"), F.sum("value").alias("total"))
-    return rows.where("total > 0 and last_activity between '2024-01-10' and '2024-01-30'").select("user_id", "last_activity")
+    return R.missing_models(_priced(spark, sf_dir))
 
 
 @query("select epoch, case when epoch < 1000000000000 then epoch * 1000 else epoch end as ms, case when o >= 100000000000000000 then o // 1000000 when o >= 100000000000000 then o // 1000 when o >= 100000000000 then o else o * 1000 end as otel_ms from (select event_id, case when event_id % 2 = 0 then epoch_us(ts) // 1000 else epoch_us(ts) // 1000000 end as epoch, epoch_us(ts) // 1000000 * case event_id % 4 when 0 then 1 when 1 then 1000 when 2 then 1000000 else 1000000000 end as o from events)")

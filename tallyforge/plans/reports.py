@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge.functions import jsonpick as J
 from tallyforge.functions import timestamps as T
 from tallyforge.functions.costs import burn_rate, cumulative_log_cost, limit_status, projection
+from tallyforge.functions.names import project_name
 from tallyforge.functions.tokens import COUNTERS, total_tokens
 from tallyforge.operators.blocks import block_starts, gap_blocks, is_active
 from tallyforge.operators.dedupe import dedupe_agent
 from tallyforge.operators.pricing import price
 from tallyforge.sources.agents import READERS
-from tallyforge.sources.codex import dedupe_events, read_codex
+from tallyforge.sources.codex import dedupe_events, read_codex, wants_fast_tier
 from tallyforge.sources.rates import Rate, built_in, match_models
-from tallyforge.sources.textlogs import written
+from tallyforge.sources.textlogs import json_lines, lines, whole_files, written
 
 ORD = ["ts_ms", "file", "line_no", "item_no"]
 
@@ -38,14 +41,37 @@ class Options:
     fast: bool = False
 
 
-def load_usage(spark: SparkSession, agent: str, path: str, options: Options = Options()) -> DataFrame:
-    """Read, deduplicated and priced usage of one tool, with its local ``date``.
+#: Option names of settings files and the fields that they set.
+SETTING_NAMES = {"since": "since", "until": "until", "timezone": "timezone", "mode": "mode", "order": "order", "startOfWeek": "week_starts", "project": "project", "sessionLength": "block_hours", "speed": "fast"}
+
+
+def options_of(found: dict, cards: list[dict[str, Rate]] | None = None) -> Options:
+    """Options from merged settings (see ``plans.config.settings``); unknown names are left out."""
+    given = {field_name: found[name] for name, field_name in SETTING_NAMES.items() if found.get(name) is not None}
+    given |= {f.name: found[f.name] for f in fields(Options) if f.name in found and f.name not in given}
+    if "fast" in given:
+        given["fast"] = given["fast"] in (True, "fast", "priority")
+    if "block_hours" in given:
+        given["block_hours"] = float(given["block_hours"])
+    return Options(**given | ({"cards": cards} if cards else {}))
+
+
+def load_usage(spark: SparkSession, agent: str, path: str | list[str], options: Options = Options()) -> DataFrame:
+    """Read, deduplicated and priced usage of one tool, with its local ``date``. ``path`` may be
+    a list of roots. Date bounds are left to the reports: a session or block that straddles
+    one is whole until it is filtered.
 
     The parsed rows are written once to the checkpoint folder: reports read them several
     times, and parsing logs is the dear part."""
-    rows = written(dedupe_agent(READERS[agent](spark, path), agent))
-    rows = price(rows, options.cards, options.mode).withColumn("date", T.local_date(F.col("ts_ms"), options.timezone))
-    rows = between(rows, F.col("date"), options)
+    roots = [path] if isinstance(path, str) else [*path]
+    read = reduce(DataFrame.unionByName, (READERS[agent](spark, root) for root in roots))
+    rows = price(written(dedupe_agent(read, agent)), options.cards, options.mode)
+    return dated(rows, options)
+
+
+def dated(rows: DataFrame, options: Options = Options()) -> DataFrame:
+    """Priced rows with their local ``date``, of the asked project."""
+    rows = rows.withColumn("date", T.local_date(F.col("ts_ms"), options.timezone))
     return rows.where(F.col("project") == options.project) if options.project else rows
 
 
@@ -65,14 +91,16 @@ def sorted_by(df: DataFrame, options: Options, *keys: str) -> DataFrame:
 _SUMS = [*COUNTERS, "extra_tokens", "cost"]
 
 
-def summarize(rows: DataFrame, keys: list[str], more: list[Column] = ()) -> DataFrame:
+def summarize(rows: DataFrame, keys: list[str], more: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Sums for each key, models in order of first use, and a breakdown by model, dearest first.
 
     Two levels: (key, model), then key; both combine before they shuffle. Rows without a
-    model count in the sums alone.
+    model count in the sums alone. ``more``: further columns, as aggregates of either level.
     """
+    more = more or {}
     first = F.min(F.struct(*ORD)).alias("first")
-    by_model = rows.groupBy(*keys, "model").agg(*(F.sum(c).alias(c) for c in _SUMS), F.sum("credits").alias("credits"), F.sum("message_count").alias("message_count"), F.max(F.col("missing_pricing").isNotNull()).alias("missing_pricing"), first, *more)
+    inner = [one.alias(name) for name, (one, _) in more.items()]
+    by_model = rows.groupBy(*keys, "model").agg(*(F.sum(c).alias(c) for c in _SUMS), F.sum("credits").alias("credits"), F.sum("message_count").alias("message_count"), F.max(F.col("missing_pricing").isNotNull()).alias("missing_pricing"), first, *inner)
     named = F.col("model").isNotNull()
     item = F.struct((-F.col("cost")).alias("_by"), F.col("first").alias("_then"), F.col("model").alias("model"), *(F.col(c) for c in _SUMS), F.col("missing_pricing"))
     out = by_model.groupBy(*keys).agg(
@@ -81,42 +109,77 @@ def summarize(rows: DataFrame, keys: list[str], more: list[Column] = ()) -> Data
         F.sum("message_count").alias("message_count"),
         F.transform(F.sort_array(F.collect_list(F.when(named, F.struct("first", "model")))), lambda x: x["model"]).alias("models_used"),
         F.transform(F.sort_array(F.collect_list(F.when(named, item))), lambda x: x.dropFields("_by", "_then")).alias("model_breakdowns"),
+        *(two.alias(name) for name, (_, two) in more.items()),
     )
     return out.withColumn("total_tokens", total_tokens())
 
 
-def daily(rows: DataFrame, options: Options = Options(), by_project: bool = False) -> DataFrame:
-    return sorted_by(summarize(rows, ["date", "project"] if by_project else ["date"]), options, "date")
+def daily(rows: DataFrame, options: Options = Options(), by_project: bool = False, aliases: dict[str, str] | None = None) -> DataFrame:
+    """By day (and project, with a readable ``project_label``)."""
+    out = summarize(between(rows, F.col("date"), options), ["date", "project"] if by_project else ["date"])
+    if by_project:
+        out = out.withColumn("project_label", project_name(F.col("project"), aliases))
+    return sorted_by(out, options, "date")
 
 
 def monthly(rows: DataFrame, options: Options = Options()) -> DataFrame:
-    return sorted_by(summarize(rows.withColumn("month", F.substring("date", 1, 7)), ["month"]), options, "month")
+    rows = between(rows, F.col("date"), options).withColumn("month", F.substring("date", 1, 7))
+    return sorted_by(summarize(rows, ["month"]), options, "month")
 
 
 def weekly(rows: DataFrame, options: Options = Options()) -> DataFrame:
     week = T.week_start(T.iso_date(F.col("date")), options.week_starts)
-    rows = rows.withColumn("week", F.coalesce(F.date_format(week, "yyyy-MM-dd"), "date"))
+    rows = between(rows, F.col("date"), options).withColumn("week", F.coalesce(F.date_format(week, "yyyy-MM-dd"), "date"))
     return sorted_by(summarize(rows, ["week"]), options, "week")
 
 
 def sessions(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """By (project path, session), dearest first: activity, versions, the usual sums; sessions
-    without tokens go. Bounds hold the local day of the last activity, both ends included."""
+    without tokens go. Bounds hold the local day of the last activity, both ends included;
+    a session that straddles a bound keeps all its rows or none."""
     keys = ["project_path", "session_id"]
-    about = rows.groupBy(*keys).agg(
-        F.min("ts_ms").alias("first_ms"),
-        F.max("ts_ms").alias("last_ms"),
-        F.array_sort(F.collect_set("version")).alias("versions"),
-    )
-    out = summarize(rows, keys).join(about, keys).where(total_tokens(extra=False) > 0)
+    about = {
+        "first_ms": (F.min("ts_ms"), F.min("first_ms")),
+        "last_ms": (F.max("ts_ms"), F.max("last_ms")),
+        "versions": (F.collect_set("version"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("versions"))))),
+    }
+    out = summarize(rows, keys, about).where(total_tokens(extra=False) > 0)
     out = out.withColumns({"first_activity": T.iso_ms(F.col("first_ms")), "last_activity": T.iso_ms(F.col("last_ms"))})
     out = between(out, T.local_date(F.col("last_ms"), options.timezone), options)
     return out.orderBy(F.desc("cost"), *keys)
 
 
+def _of_session(session_id: str) -> Column:
+    """Rows under the session's own id or the one of their file."""
+    return (F.col("session_id") == session_id) | F.coalesce(F.col("raw_session_id") == session_id, F.lit(False))
+
+
 def session_detail(rows: DataFrame, session_id: str) -> DataFrame:
     """The entries of one session in time order."""
-    return rows.where(F.col("session_id") == session_id).withColumn("total_tokens", total_tokens()).orderBy(*ORD)
+    return rows.where(_of_session(session_id)).withColumn("total_tokens", total_tokens()).orderBy(*ORD)
+
+
+def session_totals(rows: DataFrame, session_id: str) -> DataFrame:
+    """entries, total_tokens and cost of one session."""
+    return rows.where(_of_session(session_id)).agg(F.count("*").alias("entries"), F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("total_tokens"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"))
+
+
+def statusline_costs(rows: DataFrame, session_id: str, today: str) -> DataFrame:
+    """session_cost (null without rows) and today_cost, in one pass."""
+    own = F.sum(F.when(_of_session(session_id), F.col("cost"))).alias("session_cost")
+    return rows.agg(own, F.coalesce(F.sum(F.when(F.col("date") == today, F.col("cost"))), F.lit(0.0)).alias("today_cost"))
+
+
+def transcript_context(spark: SparkSession, transcript: str, model: str, options: Options = Options()) -> DataFrame:
+    """context_tokens of a transcript's last assistant line with usage, and the model's
+    context_limit by the cards (null if none knows it)."""
+    rows, v = json_lines(lines(whole_files(spark, transcript, "*"))), F.col("v")
+    u = ("message", "usage")
+    rows = rows.where((J.raw_text(v, "type") == "assistant") & J.exists(v, *u, "input_tokens"))
+    tokens = J.u64(v, *u, "input_tokens") + J.u64(v, *u, "cache_creation_input_tokens") + J.u64(v, *u, "cache_read_input_tokens")
+    last = rows.agg(F.max_by(tokens, "line_no").alias("context_tokens"))
+    limits = match_models(spark.createDataFrame([(model,)], "model string"), options.cards)
+    return last.crossJoin(F.broadcast(limits.select(F.col("rate.context_limit").alias("context_limit"))))  # one row each
 
 
 def totals(summary: DataFrame) -> DataFrame:
@@ -132,8 +195,9 @@ def activity_blocks(rows: DataFrame, options: Options = Options(), group: list[s
     """Blocks and the gaps between them: times, counters (without extra tokens), models, burn
     rate, and for the active block a projection and how it stands to the limit.
 
-    ``token_limit`` None takes the largest finished block. Without ``group`` the whole
-    history is one sequence, as the report has it."""
+    ``token_limit`` None takes the largest finished block of all. Without ``group`` the whole
+    history is one sequence, as the report has it. Date bounds hold the local day on which a
+    block or gap starts; blocks form before they are filtered."""
     duration = int(options.block_hours * T.HOUR_MS)
     now = F.lit(options.now_ms) if options.now_ms is not None else F.unix_millis(F.current_timestamp())
     group = [*group] or ["_all"]
@@ -172,7 +236,8 @@ def activity_blocks(rows: DataFrame, options: Options = Options(), group: list[s
     else:
         out = out.withColumn("token_limit", F.lit(token_limit))
     out = out.withColumn("limit_status", limit_status(F.col("projected_tokens"), F.nullif("token_limit", F.lit(0))))
-    return sorted_by(out.unionByName(gaps, allowMissingColumns=True).drop("_all", "extra_tokens", "plain"), options, "block_start")
+    out = out.unionByName(gaps, allowMissingColumns=True).drop("_all", "extra_tokens", "plain")
+    return sorted_by(between(out, T.local_date(F.col("block_start"), options.timezone), options), options, "block_start")
 
 
 def recent_blocks(blocks: DataFrame, options: Options, days: int = 3, active_only: bool = False) -> DataFrame:
@@ -184,8 +249,11 @@ def recent_blocks(blocks: DataFrame, options: Options, days: int = 3, active_onl
 # ---- logs with running totals --------------------------------------------------------
 
 
-def codex_report(spark: SparkSession, homes, kind: str, options: Options = Options()) -> DataFrame:
-    """Periods or sessions: sums by model are priced after they are summed."""
+def codex_report(spark: SparkSession, homes, kind: str, options: Options = Options(), config_text: str | None = None) -> DataFrame:
+    """Periods or sessions: sums by model are priced after they are summed. ``config_text`` is
+    the tool's own settings file, which can ask for the fast tier."""
+    if config_text is not None and wants_fast_tier(config_text):
+        options = replace(options, fast=True)
     rows = dedupe_events(written(read_codex(spark, homes)), by_session=kind == "session").where("ts_ms is not null")
     rows = rows.withColumn("date", T.local_date(F.col("ts_ms"), options.timezone))
     rows = between(rows, F.col("date"), options)
@@ -211,6 +279,16 @@ def codex_report(spark: SparkSession, homes, kind: str, options: Options = Optio
 PERIODS = ("daily", "weekly", "monthly", "session")
 
 
+def period_rows(table: DataFrame, period: str) -> DataFrame:
+    """A tool's report in the columns that all tools share."""
+    return table.select(F.col(period).alias("period"), "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens", "cost", "models_used", "model_breakdowns")
+
+
+def of_agent(periods: DataFrame, agent: str) -> DataFrame:
+    """Period rows of one tool, those with tokens, under its name."""
+    return periods.where("total_tokens > 0").withColumn("agent", F.lit(agent))
+
+
 def unified_rows(spark: SparkSession, places: dict[str, str], kind: str, options: Options = Options()) -> DataFrame:
     """One row for each (period, tool): sums, distinct models, breakdown; rows without tokens go.
 
@@ -235,22 +313,22 @@ def unified_rows(spark: SparkSession, places: dict[str, str], kind: str, options
             part = rows.select("period", "input_tokens", "output_tokens", F.lit(0).cast("long").alias("cache_creation_tokens"), "cache_read_tokens", "total_tokens", "cost", F.transform("models", lambda m: m["model"]).alias("models_used"), flat.alias("model_breakdowns"))
         else:
             rows = load_usage(spark, agent, path, options)
-            monday = Options(**{**options.__dict__, "week_starts": "monday", "since": None, "until": None})
+            monday = replace(options, week_starts="monday")
             table = {"daily": daily, "weekly": weekly, "monthly": monthly, "session": sessions}[kind](rows, monday)
             period = {"daily": "date", "weekly": "week", "monthly": "month", "session": "session_id"}[kind]
-            part = table.select(F.col(period).alias("period"), "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens", "cost", "models_used", "model_breakdowns")
-        parts.append(part.where("total_tokens > 0").withColumn("agent", F.lit(agent)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            part = period_rows(table, period)
+        parts.append(of_agent(part, agent))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unified(spark: SparkSession, places: dict[str, str], kind: str = "daily", options: Options = Options()) -> DataFrame:
     """All tools by period, each period with a row for each tool inside; sessions stay rows."""
     rows = unified_rows(spark, places, kind, options)
-    if kind == "session":
-        return sorted_by(rows, options, "period", "agent")
+    return sorted_by(rows, options, "period", "agent") if kind == "session" else sorted_by(roll_up(rows), options, "period")
+
+
+def roll_up(rows: DataFrame) -> DataFrame:
+    """Rows of (period, tool) by period, with the tools' rows inside and models merged."""
     sums = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "total_tokens", "cost"]
     inner = F.struct("agent", *sums, F.array_sort("models_used").alias("models_used"), "model_breakdowns")
     out = rows.groupBy("period").agg(
@@ -263,4 +341,4 @@ def unified(spark: SparkSession, places: dict[str, str], kind: str = "daily", op
     merged = each.groupBy("period", "model").agg(*(F.sum(c).alias(c) for c in _SUMS), F.max("missing_pricing").alias("missing_pricing"))
     item = F.struct((-F.col("cost")).alias("_by"), F.col("model"), *(F.col(c) for c in _SUMS), F.col("missing_pricing"))
     merged = merged.groupBy("period").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("_by")).alias("model_breakdowns"))
-    return sorted_by(out.join(merged, "period", "left"), options, "period")
+    return out.join(merged, "period", "left")

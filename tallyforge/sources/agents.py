@@ -17,7 +17,8 @@ from tallyforge.functions import jsonpick as J
 from tallyforge.functions import names as N
 from tallyforge.functions import timestamps as T
 from tallyforge.functions.tokens import saturating_minus, total_tokens, with_total_fallback
-from tallyforge.operators.carry import carry_forward
+from tallyforge.operators.carry import carry_forward, with_lookup
+from tallyforge.operators.dedupe import keep_highest
 from tallyforge.sources.sqlite import sqlite_rows
 from tallyforge.sources.textlogs import json_lines, lines, whole_files
 
@@ -29,6 +30,7 @@ COLUMNS = {
     "ts_ms": "long",
     "ts_text": "string",
     "session_id": "string",
+    "raw_session_id": "string",
     "project": "string",
     "project_path": "string",
     "message_id": "string",
@@ -128,6 +130,7 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
         ts_ms=T.strict_ms(J.raw_text(v, "timestamp")),
         ts_text=J.raw_text(v, "timestamp"),
         session_id=session,
+        raw_session_id=J.raw_text(v, "sessionId"),
         project=project,
         project_path=where,
         message_id=J.raw_text(v, "message", "id"),
@@ -350,8 +353,7 @@ def read_copilot(spark: SparkSession, path: str) -> DataFrame:
     )
     out = _settle(out)
     for key in ("request_id", "message_id"):
-        higher = out.where(F.col(key).isNotNull()).groupBy("file", key).agg(F.min("version").alias("first"))
-        out = out.join(higher, ["file", key], "left").where("first is null or version <= first").drop("first")
+        out = keep_highest(out, ["file", key], "version")
     return out.select(*COLUMNS).withColumn("version", F.lit(None).cast("string"))
 
 
@@ -381,7 +383,8 @@ def read_amp(spark: SparkSession, path: str) -> DataFrame:
     )
     e = F.col("e")
     events = _items(docs.where(has_ledger), J.node(v, "usageLedger", "events"), "e").withColumn("to_id", J.integer(e, "toMessageId"))
-    events = events.join(cache, ["file", "to_id"], "left")
+    nothing = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("r"))
+    events = with_lookup(events, cache, ["file", "to_id"], {"cache": nothing})
     common = {"project_path": F.lit("Amp"), "bill_extra": F.lit(True), "session_id": F.col("thread")}
     ledger = usage(
         events.where(J.exists(e, "tokens")),
@@ -392,8 +395,8 @@ def read_amp(spark: SparkSession, path: str) -> DataFrame:
         message_id=J.text(e, "id"),
         credits=J.number(e, "credits"),
         **_counters(e, input=("tokens", "input"), output=("tokens", "output")),
-        cache_creation_tokens=F.coalesce("cache.c", F.lit(0)),
-        cache_read_tokens=F.coalesce("cache.r", F.lit(0)),
+        cache_creation_tokens=F.col("cache.c"),
+        cache_read_tokens=F.col("cache.r"),
         message_count=J.u64(e, "tokens", "total"),
         **common,
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -201,20 +202,14 @@ def frame(spark: SparkSession, card: dict[str, Rate]) -> DataFrame:
 
 
 def _within(value: str, key: str) -> bool:
-    """Does ``key`` stand in ``value`` between non-alphanumeric neighbours, and not as the
-    start of another version (a further number, unless that is a date of eight digits)?"""
-    at = value.find(key)
-    plain = lambda c: c.isascii() and c.isalnum()
-    while at >= 0 and key:
-        rest = value[at + len(key) :]
-        if not (at and plain(value[at - 1])) and not (rest and plain(rest[0])):
-            digits = rest[1:][: len(rest[1:]) - len(rest[1:].lstrip("0123456789"))] if rest[:1] in ("-", ".") else ""
-            after = rest[1 + len(digits) :][:1]
-            dated = len(digits) == 8 and not (after and plain(after))
-            if not (digits and key[-1] in "0123456789" and not dated):
-                return True
-        at = value.find(key, at + 1)
-    return False
+    """Does ``key`` stand in ``value`` as a whole name? Its neighbours are no ASCII letters or
+    digits; behind a key that ends in a digit no further number follows, except a date."""
+    if not key:
+        return False
+    behind = r"(?![0-9A-Za-z])"
+    if key[-1] in "0123456789":
+        behind += r"(?![-.](?![0-9]{8}(?![0-9A-Za-z]))[0-9])"
+    return re.search(rf"(?<![0-9A-Za-z]){re.escape(key)}{behind}", value) is not None
 
 
 def card_key(model: str, keys: list[str]) -> str | None:

@@ -34,8 +34,10 @@ class SqliteReader(DataSourceReader):
         try:
             for number, row in enumerate(connection.execute(self.query)):
                 yield (partition.path, number, *(self._fit(x, k) for x, k in zip(row, self.kinds[2:])))
-        except sqlite3.DatabaseError:  # not a database, or without that table: no rows
-            return
+        except sqlite3.DatabaseError as error:
+            #: Without that table, or no database at all: no rows. Damage is an error, since rows may be missing.
+            if "no such table" not in str(error) and "not a database" not in str(error):
+                raise
         finally:
             connection.close()
 

@@ -8,16 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, computed once and kept in ``spark.checkpoint.dir`` (a folder of our own only
-    where that isn't set, as in tests)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; a folder of our own only where that isn't set and Spark runs in
+    one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tallyforge-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import formats, names
 from tallyforge.functions import timestamps as T
-from tallyforge.plans import queries
+from tallyforge.plans import queries, source_queries
 from tallyforge.sources import rates
 from tallyforge.streaming.usage_stream import daily_totals, open_blocks, usage_stream, without_replays
 
@@ -29,12 +29,13 @@ def same(a, b):
     return a == b or isinstance(a, float) and isinstance(b, float) and a == pytest.approx(b, rel=1e-9)
 
 
-@pytest.mark.parametrize("name", list(queries.Q))
+@pytest.mark.parametrize("name", [*queries.Q, *source_queries.Q])
 def test_query_is_its_sql(spark, duck, name):
-    df = queries.Q[name](spark, SMALL)
+    held, sql = queries.Q | source_queries.Q, queries.SQL | source_queries.SQL
+    df = held[name](spark, SMALL)
     cols = sorted(df.columns)
     got = sorted(([r[c] for c in cols] for r in df.collect()), key=str)
-    found = duck.execute(queries.SQL[name])
+    found = duck.execute(sql[name])
     heads = [d[0] for d in found.description]
     assert sorted(heads) == cols
     want = sorted(([r[heads.index(c)] for c in cols] for r in found.fetchall()), key=str)
@@ -73,6 +74,11 @@ def test_rate_matching():
     assert rates.card_key("gpt-5.3-spark", ["gpt-5.3-codex-spark"]) == "gpt-5.3-codex-spark"
 
 
+def test_scan_pushes_the_days(spark):
+    plan = queries.scan_filter_project(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+
+
 def test_rate_cards():
     card = rates.load_per_token(json.dumps({"m": {"input_cost_per_token": 2e-6, "output_cost_per_token": 4e-6}, "bad": {"input_cost_per_token": 1}, "n": 5}))
     assert list(card) == ["m"] and card["m"].cache_create == pytest.approx(2.5e-6) and not card["m"].cache_read_explicit
@@ -141,8 +147,8 @@ def test_stream_ends_as_the_batch(spark, tmp_path):
     q = daily_totals(stream, "ts", "value").writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
     q.awaitTermination(120)
     got = {r.date: (r.entries, round(r.total, 6)) for r in spark.table("days").collect()}
-    want = {r.date: (r.entries, r.total) for r in queries.daily_summary(spark, SMALL).collect()}
-    assert got == want
+    want = events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("entries"), F.round(F.sum("value"), 6).alias("total")).collect()
+    assert got == {r.date: (r.entries, r.total) for r in want}
 
 
 def test_open_blocks(spark, tmp_path):

@@ -16,10 +16,14 @@ from tallyforge.plans.reports import (
     load_usage,
     missing_models,
     monthly,
+    options_of,
     recent_blocks,
     session_detail,
+    session_totals,
     sessions,
+    statusline_costs,
     totals,
+    transcript_context,
     unified,
     weekly,
 )
@@ -47,107 +51,117 @@ def claude(ts, model, i, o, cw=0, cr=0, cost=None, mid=None, rid=None, session="
     return row | more
 
 
+FAST, SLOW, TINY = "claude-opus-4-6", "claude-sonnet-4", "claude-3-haiku"
+
+
 @pytest.fixture(scope="module")
 def claude_logs(tmp_path_factory):
+    """Three sessions of June 2025; one runs over midnight before the 17th (a Tuesday)."""
     root = tmp_path_factory.mktemp("claude")
-    sonnet, opus, haiku = "claude-sonnet-4-20250514", "claude-opus-4-20250514", "claude-haiku-4-5-20251001"
     put(
         root,
-        "projects/project-alpha/session-alpha/chat.jsonl",
+        "projects/harbor/night/turns.jsonl",
         [
-            claude("2026-01-09T10:00:00.000Z", sonnet, 100, 50, 25, 10, 0.12, "m1", "r1", version="1.0.20"),
-            claude("2026-01-09T10:00:05.000Z", sonnet, 90, 50, 25, 10, 9.0, "m1", "r9", isSidechain=True),
-            claude("2026-01-09T12:30:00.000Z", opus, 200, 75, 50, 20, 0.34, "m2", "r2", speed="fast", version="1.0.21"),
-            claude("2026-01-10T09:15:00.000Z", sonnet, 300, 125, 0, 40, 0.56, "m3", "r3"),
-            claude("2026-01-10T09:15:00.000Z", sonnet, 300, 125, 0, 40, 0.56, "m3", "r3"),
+            claude("2025-06-16T22:10:00.000Z", SLOW, 7, 3, 2, 1, 0.5, "a", "q1", version="2.0.1"),
+            claude("2025-06-16T22:10:09.000Z", SLOW, 6, 3, 2, 1, 8.0, "a", "q7", isSidechain=True),
+            claude("2025-06-17T00:30:00.000Z", FAST, 11, 5, 0, 4, 0.25, "b", "q2", speed="fast", version="2.0.3"),
+            claude("2025-06-17T00:30:00.000Z", FAST, 11, 5, 0, 4, 0.25, "b", "q2", speed="fast", version="2.0.3"),
         ],
     )
+    put(root, "projects/harbor/noon/turns.jsonl", [claude("2025-06-17T12:45:00.000Z", SLOW, 13, 6, 1, 0, 0.125, "c", "q3", session="raw-noon")])
+    ts = "2025-06-20T05:00:00.000Z"
     bad = [
-        '{"timestamp":"2026-01-09T10:00:00.000Z","message": {"usage": {"input_tokens":1,"output_tokens":1}}}',
-        '{"timestamp":"2026-01-09T10:00:00.000Z","requestId":null,"message":{"usage":{"input_tokens":1,"output_tokens":1}}}',
-        json.dumps(claude("2026-01-09T10:00:00.000Z", "", 1, 1), separators=(",", ":")),
-        json.dumps(claude("2026-01-09T10:00:00.000Z", "m", -3, 1), separators=(",", ":")),
-        json.dumps(claude("2026-01-09T10:00:00.000Z", "m", "7", 1), separators=(",", ":")),
-        json.dumps(claude("2026-01-09 10:00", "m", 1, 1), separators=(",", ":")),
-        json.dumps(claude("2026-01-09T10:00:00.000Z", "m", 1, 1, version="abc"), separators=(",", ":")),
-        json.dumps(claude("2026-01-09T10:00:00.000Z", "m", 1, 1, speed="slow"), separators=(",", ":")),
+        '{"timestamp":"2025-06-20T05:00:00.000Z","message": {"usage": {"input_tokens":1,"output_tokens":1}}}',
+        '{"timestamp":"2025-06-20T05:00:00.000Z","requestId":null,"message":{"usage":{"input_tokens":1,"output_tokens":1}}}',
         "not json \"usage\":{",
+        *(claude(*x, **y) for x, y in [((ts, "", 1, 1), {}), ((ts, "m", -3, 1), {}), ((ts, "m", "7", 1), {}), (("2025-06-20 05:00", "m", 1, 1), {}), ((ts, "m", 1, 1), {"version": "abc"}), ((ts, "m", 1, 1), {"speed": "slow"})]),
     ]
-    put(
-        root,
-        "projects/project-beta/session-beta/chat.jsonl",
-        [
-            claude("2026-02-03T08:00:00.000Z", haiku, 80, 40, 15, 10, 0.03),
-            claude("2026-02-03T11:45:00.000Z", haiku, 50, 20, 0, 30, 0.04),
-            *bad,
-        ],
-    )
+    put(root, "projects/quay/dawn/turns.jsonl", [claude("2025-06-20T05:20:00.000Z", TINY, 17, 8, 0, 0, 1.0), claude("2025-06-20T08:20:00.000Z", TINY, 19, 9, 0, 10, 2.0), *bad])
     return str(root)
 
 
-DISPLAY = Options(mode="display", now_ms=1_770_120_000_000)
+#: 20 June 2025, 09:00 UTC.
+DISPLAY = Options(mode="display", now_ms=1_750_410_000_000)
 
 
 def test_claude_daily(spark, claude_logs):
     rows = load_usage(spark, "claude", claude_logs, DISPLAY)
-    got = [(r.date, r.input_tokens, r.output_tokens, r.cache_creation_tokens, r.cache_read_tokens, r.total_tokens, round(r.cost, 6), r.models_used) for r in daily(rows).collect()]
+    got = [(r.date, r.input_tokens, r.output_tokens, r.cache_creation_tokens, r.cache_read_tokens, r.total_tokens, r.cost, r.models_used) for r in daily(rows).collect()]
     assert got == [
-        ("2026-01-09", 300, 125, 75, 30, 530, 0.46, ["claude-sonnet-4-20250514", "claude-opus-4-20250514-fast"]),
-        ("2026-01-10", 300, 125, 0, 40, 465, 0.56, ["claude-sonnet-4-20250514"]),
-        ("2026-02-03", 130, 60, 15, 40, 245, 0.07, ["claude-haiku-4-5-20251001"]),
+        ("2025-06-16", 7, 3, 2, 1, 13, 0.5, [SLOW]),
+        ("2025-06-17", 24, 11, 1, 4, 40, 0.375, [FAST + "-fast", SLOW]),
+        ("2025-06-20", 36, 17, 0, 10, 63, 3.0, [TINY]),
     ]
-    assert [r.week for r in weekly(rows).collect()] == ["2026-01-04", "2026-02-01"]
-    assert [r.week for r in weekly(rows, Options(week_starts="monday")).collect()] == ["2026-01-05", "2026-02-02"]
-    assert [(r.month, round(r.cost, 6)) for r in monthly(rows, Options(order="desc")).collect()] == [("2026-02", 0.07), ("2026-01", 1.02)]
-    assert [(r.date, r.project) for r in daily(rows, by_project=True).collect()][0] == ("2026-01-09", "project-alpha")
-    assert round(totals(daily(rows)).head().cost, 6) == 1.09
-    assert load_usage(spark, "claude", claude_logs, Options(since="2026-01-10", until="20260110")).count() == 1
-    assert load_usage(spark, "claude", claude_logs, Options(project="project-beta")).count() == 2
+    assert [(r.week, r.cost) for r in weekly(rows).collect()] == [("2025-06-15", 3.875)]
+    assert [r.week for r in weekly(rows, Options(week_starts="tuesday")).collect()] == ["2025-06-10", "2025-06-17"]
+    assert [(r.month, r.cost) for r in monthly(rows, Options(order="desc")).collect()] == [("2025-06", 3.875)]
+    assert [(r.date, r.project, r.project_label) for r in daily(rows, by_project=True, aliases={"quay": "Quay side"}).collect()][-1] == ("2025-06-20", "quay", "Quay side")
+    assert totals(daily(rows)).head().cost == 3.875
+    assert [r.date for r in daily(rows, Options(since="2025-06-17", until="20250617")).collect()] == ["2025-06-17"]
+    assert load_usage(spark, "claude", claude_logs, Options(project="quay")).count() == 2
 
 
 def test_claude_sessions(spark, claude_logs):
     rows = load_usage(spark, "claude", claude_logs, DISPLAY)
     got = sessions(rows).collect()
-    assert [(r.session_id, r.project_path, r.versions) for r in got] == [("session-alpha", "project-alpha", ["1.0.20", "1.0.21"]), ("session-beta", "project-beta", [])]
-    assert got[0].first_activity == "2026-01-09T10:00:00.000Z" and got[0].last_activity == "2026-01-10T09:15:00.000Z"
-    assert [r.session_id for r in sessions(rows, Options(until="20260110")).collect()] == ["session-alpha"]
-    assert session_detail(rows, "session-beta").count() == 2
+    assert [(r.session_id, r.project_path, r.versions) for r in got] == [("dawn", "quay", []), ("night", "harbor", ["2.0.1", "2.0.3"]), ("noon", "harbor", [])]
+    assert got[1].first_activity == "2025-06-16T22:10:00.000Z" and got[1].last_activity == "2025-06-17T00:30:00.000Z"
+    assert session_detail(rows, "dawn").count() == 2
+    assert [tuple(session_totals(rows, x).head()) for x in ("raw-noon", "noon", "none")] == [(1, 20, 0.125), (1, 20, 0.125), (0, 0, 0.0)]
+    assert tuple(statusline_costs(rows, "night", "2025-06-20").head()) == (0.75, 3.0)
+
+
+def test_bounds_keep_what_straddles_them_whole(spark, claude_logs):
+    since = Options(mode="display", now_ms=DISPLAY.now_ms, since="20250617", until="20250617")
+    rows = load_usage(spark, "claude", claude_logs, since)
+    assert {r.session_id: r.input_tokens for r in sessions(rows, since).collect()} == {"night": 18, "noon": 13}
+    assert {r.period: r.input_tokens for r in unified(spark, {"claude": claude_logs}, "session", since).collect()} == {"night": 18, "noon": 13}
+    assert [(b.id, b.entries) for b in activity_blocks(rows, since).where("not is_gap").collect()] == [("2025-06-17T12:00:00.000Z", 1)]
+    early = Options(mode="display", now_ms=DISPLAY.now_ms, until="20250616")
+    assert [(b.id, b.entries, b.input_tokens) for b in activity_blocks(rows, early).where("not is_gap").collect()] == [("2025-06-16T22:00:00.000Z", 2, 18)]
 
 
 def test_claude_costs(spark, claude_logs):
     computed = {(r.date, r.model): r.cost for r in load_usage(spark, "claude", claude_logs, Options(mode="calculate")).collect()}
-    assert computed["2026-01-09", "claude-sonnet-4-20250514"] == pytest.approx(100 * 3e-6 + 50 * 15e-6 + 25 * 3.75e-6 + 10 * 0.3e-6)
-    assert computed["2026-01-09", "claude-opus-4-20250514-fast"] == pytest.approx(200 * 15e-6 + 75 * 75e-6 + 50 * 18.75e-6 + 20 * 1.5e-6)
+    assert computed["2025-06-16", SLOW] == pytest.approx(7 * 3e-6 + 3 * 15e-6 + 2 * 3.75e-6 + 1 * 0.3e-6)
+    assert computed["2025-06-17", FAST + "-fast"] == pytest.approx(6 * (11 * 5e-6 + 5 * 25e-6 + 4 * 0.5e-6))
     assert missing_models(load_usage(spark, "claude", claude_logs, Options(mode="calculate"))).count() == 0
 
 
 def test_claude_blocks(spark, claude_logs):
     blocks = activity_blocks(load_usage(spark, "claude", claude_logs, DISPLAY), DISPLAY).collect()
     assert [(b.id, b.is_gap, b.entries) for b in blocks] == [
-        ("2026-01-09T10:00:00.000Z", False, 2),
-        ("gap-2026-01-09T17:30:00.000Z", True, None),
-        ("2026-01-10T09:00:00.000Z", False, 1),
-        ("gap-2026-01-10T14:15:00.000Z", True, None),
-        ("2026-02-03T08:00:00.000Z", False, 2),
+        ("2025-06-16T22:00:00.000Z", False, 2),
+        ("gap-2025-06-17T05:30:00.000Z", True, None),
+        ("2025-06-17T12:00:00.000Z", False, 1),
+        ("gap-2025-06-17T17:45:00.000Z", True, None),
+        ("2025-06-20T05:00:00.000Z", False, 2),
     ]
     last = blocks[-1]
-    assert last.is_active and last.remaining_minutes == 60 and last.tokens_per_minute == pytest.approx(245 / 225)
-    assert last.projected_tokens == round(245 + 245 / 225 * 60) and last.token_limit == 530 and last.limit_status == "ok"
+    assert last.is_active and last.remaining_minutes == 60 and last.tokens_per_minute == pytest.approx(63 / 180)
+    assert last.projected_tokens == 84 and last.token_limit == 33 and last.limit_status == "exceeds"
     assert blocks[2].tokens_per_minute is None
     rows = activity_blocks(load_usage(spark, "claude", claude_logs, DISPLAY), DISPLAY)
-    assert recent_blocks(rows, DISPLAY).count() == 1 and recent_blocks(rows, DISPLAY, active_only=True).count() == 1
-    line = render.statusline("Opus", 1.5, 0.07, last, DISPLAY.now_ms, (50_000, 200_000))
-    assert line == "Opus | $1.50 session / $0.07 today / $0.07 block (1h 0m left) | $0.02/hr (Normal) | 50,000 (25%)"
+    assert recent_blocks(rows, DISPLAY).count() == 3 and recent_blocks(rows, DISPLAY, active_only=True).count() == 1
+    line = render.statusline("Haiku", 1.5, 0.07, last, DISPLAY.now_ms, (50_000, 200_000))
+    assert line == "Haiku | $1.50 session / $0.07 today / $3.00 block (1h 0m left) | $1.00/hr (Normal) | 50,000 (25%)"
+
+
+def test_transcript_context(spark, tmp_path):
+    said = lambda kind, **u: {"type": kind, "message": {"usage": u}}
+    path = put(tmp_path, "t.jsonl", [said("assistant", input_tokens=5), said("assistant", input_tokens=40, cache_creation_input_tokens=2, cache_read_input_tokens=3), said("user", input_tokens=9), {"type": "assistant"}])
+    assert tuple(transcript_context(spark, str(path), "claude-opus-4-6-20260101").head()) == (45, 1_000_000)
+    assert tuple(transcript_context(spark, str(path), "nobody").head()) == (45, None)
 
 
 def test_render(spark, claude_logs):
     report = daily(load_usage(spark, "claude", claude_logs, DISPLAY))
     out = json.loads(render.report_json(report, totals(report), "daily"))
-    assert out["daily"][0]["modelsUsed"] == ["claude-sonnet-4-20250514", "claude-opus-4-20250514-fast"]
-    assert out["daily"][0]["modelBreakdowns"][0]["modelName"] == "claude-opus-4-20250514-fast" and out["totals"]["totalTokens"] == 1240
+    assert out["daily"][1]["modelsUsed"] == [FAST + "-fast", SLOW]
+    assert out["daily"][1]["modelBreakdowns"][0]["modelName"] == FAST + "-fast" and out["totals"]["totalTokens"] == 116
     assert "totalCost" not in render.report_json(report, totals(report), "daily", costs=False)
     text = render.table(report, {"date": "Date", "models_used": "Models", "input_tokens": "Input", "cache_read_tokens": "Cache", "cost": "Cost"})
-    assert "$1.09" in text and "- claude-opus-4-20250514-fast" in text
+    assert "$3.88" in text and f"- {FAST}-fast" in text
     assert "Cache" not in render.table(report, {"date": "Date", "cache_read_tokens": "Cache"}, width=80)
 
 
@@ -318,13 +332,23 @@ def test_sqlite_agents(spark, tmp_path):
 
 
 def test_unified(spark, claude_logs, tmp_path):
-    put(tmp_path, "sessions/s.jsonl", [codex_event("2026-01-09T08:00:01.000Z", last=(1000, 250, 125, 75, 1200), model="gpt-5")])
+    put(tmp_path, "sessions/s.jsonl", [codex_event("2025-06-17T08:00:01.000Z", last=(400, 100, 30, 20, 430), model="gpt-5")])
     rows = unified(spark, {"claude": claude_logs, "codex": str(tmp_path)}, "daily", DISPLAY).collect()
-    assert [(r.period, r.agents, r.total_tokens) for r in rows] == [("2026-01-09", ["claude", "codex"], 1730), ("2026-01-10", ["claude"], 465), ("2026-02-03", ["claude"], 245)]
-    assert [b.agent for b in rows[0].agent_breakdowns] == ["claude", "codex"] and len(rows[0].model_breakdowns) == 3
-    assert [r.period for r in unified(spark, {"claude": claude_logs}, "weekly", DISPLAY).collect()] == ["2026-01-05", "2026-02-02"]
-    assert unified(spark, {"claude": claude_logs, "codex": str(tmp_path)}, "session", DISPLAY).count() == 3
-    assert unified(spark, {"claude": claude_logs}, "monthly", DISPLAY).count() == 2
+    assert [(r.period, r.agents, r.total_tokens) for r in rows] == [("2025-06-16", ["claude"], 13), ("2025-06-17", ["claude", "codex"], 470), ("2025-06-20", ["claude"], 63)]
+    assert [b.agent for b in rows[1].agent_breakdowns] == ["claude", "codex"] and len(rows[1].model_breakdowns) == 3
+    assert [r.period for r in unified(spark, {"claude": claude_logs}, "weekly", DISPLAY).collect()] == ["2025-06-16"]
+    assert unified(spark, {"claude": claude_logs, "codex": str(tmp_path)}, "session", DISPLAY).count() == 4
+    assert unified(spark, {"claude": claude_logs}, "monthly", DISPLAY).count() == 1
+
+
+def test_several_roots(spark, claude_logs, tmp_path):
+    put(tmp_path, "projects/x/y/z.jsonl", [claude("2025-07-01T00:00:00.000Z", SLOW, 1, 1)])
+    assert load_usage(spark, "claude", [claude_logs, str(tmp_path)], DISPLAY).count() == 6
+
+
+def test_options_of_settings():
+    got = options_of({"since": "20250101", "startOfWeek": "monday", "sessionLength": 3, "speed": "fast", "other": 1, "mode": None})
+    assert (got.since, got.week_starts, got.block_hours, got.fast, got.mode) == ("20250101", "monday", 3.0, True, "auto")
 
 
 def test_settings():
