@@ -48,7 +48,7 @@ SETTING_NAMES = {"since": "since", "until": "until", "timezone": "timezone", "mo
 def options_of(found: dict, cards: list[dict[str, Rate]] | None = None) -> Options:
     """Options from merged settings (see ``plans.config.settings``); unknown names are left out."""
     given = {field_name: found[name] for name, field_name in SETTING_NAMES.items() if found.get(name) is not None}
-    given |= {f.name: found[f.name] for f in fields(Options) if f.name in found and f.name not in given}
+    given |= {f.name: found[f.name] for f in fields(Options) if found.get(f.name) is not None and f.name not in given}
     if "fast" in given:
         given["fast"] = given["fast"] in (True, "fast", "priority")
     if "block_hours" in given:
