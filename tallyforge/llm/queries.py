@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from tallyforge.llm.pii import find_personal_data
 from tallyforge.llm.prefix_tokens import prefix_token_counts
 from tallyforge.llm.quality import score_quality
 from tallyforge.llm.toxicity import score, train
-from tallyforge.llm.warc import base32_of_hex, read_warc, write_warc
+from tallyforge.llm.warc import read_warc, write_warc
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -28,18 +31,29 @@ def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")), threshold=0.7)
 
 
+def _as_read(batches):
+    """Sizes and digests of responses, from the payloads that were read; they must be as told."""
+    for batch in batches:
+        size, digest = batch.column("payload_bytes").to_pylist(), batch.column("payload_digest").to_pylist()
+        for k, (kind, body) in enumerate(zip(batch.column("record_type").to_pylist(), batch.column("payload").to_pylist())):
+            if kind == "response":
+                own = (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
+                if own != (size[k], digest[k]):
+                    raise ValueError(f"a payload differs from its headers: {own}, {size[k], digest[k]}")
+                size[k], digest[k] = own
+        names = [n for n in batch.schema.names if n != "payload"]
+        held = {"payload_bytes": pa.array(size, pa.int64()), "payload_digest": pa.array(digest, pa.string())}
+        yield pa.RecordBatch.from_arrays([held.get(n, batch.column(n)) for n in names], names=names)
+
+
 def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the archives, then reads every record's payload back: size and digest of a response
     are those of the bytes read, a revisit's are those of its response."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(table(spark, sf_dir, "pages"), folder, least_bytes=0)
     read = read_warc(spark, folder).where("record_type in ('response', 'revisit')")
-    own = F.col("record_type") == "response"
-    digest = F.when(own, base32_of_hex(F.sha1("payload"))).otherwise(F.col("payload_digest"))
-    size = F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    same = digest.eqNullSafe(F.col("payload_digest")) & size.eqNullSafe(F.col("payload_bytes"))
-    as_told = F.assert_true(same, F.lit("a payload differs from its headers")).isNull()
-    out = cut(read.where(as_told).select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to", "target_uri"))
+    told = read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "payload")
+    out = cut(told.mapInArrow(_as_read, told.drop("payload").schema))
     remove(spark, folder)
     return out
 

@@ -127,21 +127,20 @@ class _Bytes:
     """A window over a file that grows on demand and forgets what is behind."""
 
     def __init__(self, file):
-        self.file, self.at, self.held = file, 0, b""
+        self.file, self.at, self.base, self.held = file, 0, 0, b""
 
     def seek(self, at: int) -> None:
-        if self.at <= at <= self.at + len(self.held):
-            self.held = self.held[at - self.at :]
-        else:
-            self.file.seek(at)
-            self.held = b""
+        if not self.base <= at <= self.base + len(self.held):
+            self.base, self.held = at, b""
         self.at = at
 
     def want(self, n: int) -> bytes:
-        if len(self.held) < n:
-            self.file.seek(self.at + len(self.held))
-            self.held += self.file.read(max(n - len(self.held), CHUNK))
-        return self.held[:n]
+        skip = self.at - self.base
+        if len(self.held) - skip < n:
+            self.file.seek(self.base + len(self.held))
+            self.held = self.held[skip:] + self.file.read(max(n - len(self.held) + skip, CHUNK))
+            self.base, skip = self.at, 0
+        return self.held[skip : skip + n]
 
 
 def _zipped(data: _Bytes, start: int, end: int, size: int, wanted, payloads: bool):
@@ -183,7 +182,7 @@ def _zipped(data: _Bytes, start: int, end: int, size: int, wanted, payloads: boo
             blocks, plain, size_of = [rest], len(rest), row["content_length"] or 0
             behind = rest[size_of:]
             while not inflate.eof:
-                piece = inflate.unconsumed_tail or data.want(used + CHUNK)[used:]
+                piece = inflate.unconsumed_tail or data.want(max(used + 1, min(skip or used + CHUNK, used + CHUNK)))[used:]
                 if not piece:
                     break
                 before = len(inflate.unconsumed_tail)
