@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.block_knn import nearest
 from tallyforge.llm.bpe_codec import encode_decode
 from tallyforge.llm.common import cut, remove, shared_folder, table
+from tallyforge.llm.divergence import divergence_audit
 from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
@@ -92,6 +93,10 @@ def op10_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFram
     return find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
 QUERIES = {
     "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
     "op2_warc_source": op2_warc_source,
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_block_nearest": op8_block_nearest,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_information_theoretic_pii": op10_information_theoretic_pii,
+    "op11_source_divergence": op11_source_divergence,
 }
 _COMPONENTS = """
         reach(node, root) as (
@@ -148,6 +154,34 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
         from d qualify rank <= 10
     """,
+    "op11_source_divergence": """
+        with d as (
+            select coalesce(lang, '') as lang, coalesce(source, '') as source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as words from documents
+        ), g as (select distinct lang, source from d),
+        n as (select lang, source, term, count(*)::hugeint as n from (select lang, source, unnest(words) as term from d) group by all),
+        kept as (select lang, term from (select lang, unnest(list_distinct(words)) as term from d) group by all having count(*) >= 10),
+        v as (select lang, count(*)::hugeint as v from kept group by lang),
+        c as (
+            select g.lang, g.source, term, coalesce(n.n, 0)::hugeint as n from g join kept using (lang) left join n using (lang, source, term)
+            union all select lang, null, term, sum(n)::hugeint from n semi join kept using (lang, term) group by lang, term
+        ), p as materialized (
+            select lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) over (partition by lang, source) + 2 * v)::hugeint as p from c join v using (lang)
+        ), pair as (
+            select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+            from p as a join p as b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ), term as (
+            select a.lang, a.source, a.term as item, (a.p - q.p) * (a.p - q.p) // (a.p + q.p) as value
+            from p as a join p as q on a.lang = q.lang and a.term = q.term and q.source is null where a.n > 0 and a.p > q.p
+        ), u as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+            from g as a join g as b on a.lang = b.lang and a.source <> b.source left join pair on pair.lang = a.lang and pair.source = a.source and item = b.source
+            union all select lang, source, 'term', item, value from term
+        )
+        select lang, source, part, item, value::bigint as value, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+        from u qualify part = 'pair' or rank <= 10
+    """,
     "op2_warc_source": """
         with p as (
             select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h, trim(url) as target_uri from pages
