@@ -90,9 +90,9 @@ def _overlaps(table: pa.Table) -> pa.Table:
     """Corrections of one cell: for each pair of its sources, over the terms that both use."""
     lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
     term = table.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
-    k, p, zero = (table.column(c).to_numpy() for c in ("k", "p", "zero"))
-    order = np.lexsort((k, term))
-    term, k, p, zero = term[order], k[order], p[order], zero[order]
+    order = np.lexsort((table.column("k").to_numpy(), term))
+    term = term[order]
+    k, p, zero, side = (table.column(c).to_numpy()[order] for c in ("k", "p", "zero", "side"))
     names, slot = np.unique(k, return_inverse=True)
     total, met = np.zeros((2, len(names) ** 2), dtype=np.int64)
     step = 1
@@ -102,7 +102,7 @@ def _overlaps(table: pa.Table) -> pa.Table:
             break
         b = a + step
         if lo != hi:  # pairs within one side have a cell of their own
-            apart = k[a] // SIDE != k[b] // SIDE
+            apart = side[a] != side[b]
             a, b = a[apart], b[apart]
         at = slot[a] * len(names) + slot[b]
         np.add.at(total, at, _f(p[a], p[b]) - _f(p[a], zero[b]) - _f(zero[a], p[b]) + _f(zero[a], zero[b]))
@@ -170,7 +170,7 @@ def _pair_sums(groups: DataFrame, postings: DataFrame, buckets: int) -> DataFram
     side = F.floor(F.col("k") / SIDE)
     facing = F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)).alias("facing")
     dealt = postings.select("lang", "term", "k", "p", "zero", side.alias("side"), facing)
-    dealt = dealt.select("lang", "term", "k", "p", "zero", F.least("side", "facing").alias("lo"), F.greatest("side", "facing").alias("hi"), F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket"))
+    dealt = dealt.select("lang", "term", "k", "p", "zero", "side", F.least("side", "facing").alias("lo"), F.greatest("side", "facing").alias("hi"), F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket"))
     both = dealt.groupBy("lang", "lo", "hi", "bucket").applyInArrow(_overlaps, "lang string, k long, other long, value long")
     both = both.groupBy("lang", "k", "other").agg(F.sum("value").alias("value"))
     turned = lambda df: df.union(df.select("lang", F.col("other").alias("k"), F.col("k").alias("other"), "value"))
