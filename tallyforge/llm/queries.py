@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.block_knn import nearest
 from tallyforge.llm.bpe_codec import encode_decode
 from tallyforge.llm.common import cut, remove, shared_folder, table
+from tallyforge.llm.conversations import damaged, repair_conversations, with_all
 from tallyforge.llm.divergence import divergence_audit
 from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
@@ -97,6 +98,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return with_all(repair_conversations(damaged(rows)), rows)
+
+
 QUERIES = {
     "op1_string_kernel_toxicity": op1_string_kernel_toxicity,
     "op2_warc_source": op2_warc_source,
@@ -109,6 +115,7 @@ QUERIES = {
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_information_theoretic_pii": op10_information_theoretic_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 _COMPONENTS = """
         reach(node, root) as (
