@@ -16,6 +16,7 @@ from tallyforge.llm.bpe_codec import encode_decode
 from tallyforge.llm.common import cut, remove, shared_folder, table
 from tallyforge.llm.conversations import damaged, repair_conversations, with_all
 from tallyforge.llm.divergence import divergence_audit
+from tallyforge.llm.fingerprints import fingerprint_documents
 from tallyforge.llm.graph_dedup import vector_duplicates
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources
@@ -98,6 +99,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents"), least_docs=10, top=10)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return with_all(repair_conversations(damaged(rows)), rows)
@@ -115,6 +120,7 @@ QUERIES = {
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_information_theoretic_pii": op10_information_theoretic_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op12_document_fingerprints": op12_document_fingerprints,
     "op13_conversation_repair": op13_conversation_repair,
 }
 _COMPONENTS = """
