@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 
@@ -19,7 +20,7 @@ from tallyforge.operators.pricing import price
 from tallyforge.sources.agents import READERS
 from tallyforge.sources.codex import dedupe_events, read_codex, wants_fast_tier
 from tallyforge.sources.rates import Rate, built_in, match_models
-from tallyforge.sources.textlogs import json_lines, lines, whole_files, written
+from tallyforge.sources.textlogs import json_lines, last_line, listed_files, written
 
 ORD = ["ts_ms", "file", "line_no", "item_no"]
 
@@ -64,7 +65,8 @@ def load_usage(spark: SparkSession, agent: str, path: str | list[str], options:
     The parsed rows are written once to the checkpoint folder: reports read them several
     times, and parsing logs is the dear part."""
     roots = [path] if isinstance(path, str) else [*path]
-    read = reduce(DataFrame.unionByName, (READERS[agent](spark, root) for root in roots))
+    own = {"project": options.project} if agent == "claude" and options.project else {}
+    read = reduce(DataFrame.unionByName, (READERS[agent](spark, root, **own) for root in roots))
     rows = price(written(dedupe_agent(read, agent)), options.cards, options.mode)
     return dated(rows, options)
 
@@ -170,14 +172,24 @@ def statusline_costs(rows: DataFrame, session_id: str, today: str) -> DataFrame:
     return rows.agg(own, F.coalesce(F.sum(F.when(F.col("date") == today, F.col("cost"))), F.lit(0.0)).alias("today_cost"))
 
 
+def _assistant_usage(line: bytes) -> bool:
+    """Is it an assistant's line with usage?"""
+    if b"input_tokens" not in line:
+        return False
+    try:
+        row = json.loads(line)
+        return row["type"] == "assistant" and row["message"]["usage"]["input_tokens"] is not None
+    except (ValueError, TypeError, KeyError):
+        return False
+
+
 def transcript_context(spark: SparkSession, transcript: str, model: str, options: Options = Options()) -> DataFrame:
     """context_tokens of a transcript's last assistant line with usage, and the model's
-    context_limit by the cards (null if none knows it)."""
-    rows, v = json_lines(lines(whole_files(spark, transcript, "*"))), F.col("v")
+    context_limit by the cards (null if none knows it). The transcript is read from its end."""
+    rows, v = json_lines(last_line(listed_files(spark, transcript, "*"), _assistant_usage)), F.col("v")
     u = ("message", "usage")
-    rows = rows.where((J.raw_text(v, "type") == "assistant") & J.exists(v, *u, "input_tokens"))
     tokens = J.u64(v, *u, "input_tokens") + J.u64(v, *u, "cache_creation_input_tokens") + J.u64(v, *u, "cache_read_input_tokens")
-    last = rows.agg(F.max_by(tokens, "line_no").alias("context_tokens"))
+    last = rows.agg(F.max(tokens).alias("context_tokens"))  # of one row
     limits = match_models(spark.createDataFrame([(model,)], "model string"), options.cards)
     return last.crossJoin(F.broadcast(limits.select(F.col("rate.context_limit").alias("context_limit"))))  # one row each
 

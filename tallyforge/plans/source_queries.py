@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.plans.reports import Options, codex_report, load_usage
 from tallyforge.sources.logfiles import write_databases, write_logs
 from tallyforge.sources.rates import built_in
-from tallyforge.sources.textlogs import shared_folder
+from tallyforge.sources.textlogs import remove, shared_folder
 
 #: The model that an event type stands for; the last has no price.
 MODELS = {"view": "gpt-5", "click": "claude-sonnet-4", "purchase": "claude-opus-4-5", "signup": "claude-haiku-4-5", "error": "mystery-1"}
@@ -55,6 +55,7 @@ def source(agent: str, sql: str):
             folder = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
             write(_events(spark, sf_dir), folder)
             rows = load_usage(spark, agent, folder, Options())
+            remove(spark, folder)  # the parsed rows are written by now
             return rows.select(
                 "session_id", "ts_ms", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens", F.round("cost", 12).alias("cost")
             )
@@ -70,6 +71,11 @@ def source(agent: str, sql: str):
 c, text = F.col, F.lit
 
 
+def share():
+    """A log's share of a session, so that the number of files grows with the events."""
+    return F.floor(F.col("n") / 5000)
+
+
 def _lines(e: DataFrame, folder: str, file, record) -> None:
     write_logs(e.select(file.alias("file"), "n", F.to_json(record).alias("line")), folder)
 
@@ -79,7 +85,7 @@ def claude(e, folder):
     usage = j(input_tokens=c("i"), output_tokens=c("o"), cache_creation_input_tokens=c("w"), cache_read_input_tokens=c("r"))
     record = j(timestamp=c("iso"), sessionId=c("s"), requestId=F.concat(text("q"), "n"), version=text("1.2.3"), message=j(id=F.concat(text("g"), "n"), model=c("m"), usage=usage))
     again = j(timestamp=c("iso"), sessionId=c("s"), requestId=F.concat(text("z"), "n"), isSidechain=text(True), message=j(id=F.concat(text("g"), "n"), model=c("m"), usage=usage))
-    file = F.concat(text("projects/p"), "s", text("/"), "s", text("/chat.jsonl"))
+    file = F.concat(text("projects/p"), "s", text("/"), "s", text("/chat"), share(), text(".jsonl"))
     both = F.explode(F.array(F.to_json(record), F.when(c("n") % 5 == 0, F.to_json(again)))).alias("line")
     write_logs(e.select(file.alias("file"), "n", both).where("line is not null"), folder)
 
@@ -87,20 +93,20 @@ def claude(e, folder):
 @source("pi", expected(model="'[pi] ' || m"))
 def pi(e, folder):
     usage = j(input=c("i"), output=c("o"), cacheWrite=c("w"), cacheRead=c("r"), cost=F.when(c("m") == "mystery-1", j(total=text(0.0))))
-    _lines(e, folder, F.concat(text("sessions/p/x_"), "s", text(".jsonl")), j(type=text("message"), timestamp=c("iso"), message=j(role=text("assistant"), model=c("m"), usage=usage)))
+    _lines(e, folder, F.concat(text("sessions/p/x"), share(), text("_"), "s", text(".jsonl")), j(type=text("message"), timestamp=c("iso"), message=j(role=text("assistant"), model=c("m"), usage=usage)))
 
 
 @source("qwen", expected(w="0", extra="event_id % 3", billed="o + event_id % 3"))
 def qwen(e, folder):
     usage = j(promptTokenCount=c("i"), candidatesTokenCount=c("o"), cachedContentTokenCount=c("r"), thoughtsTokenCount=c("n") % 3)
-    _lines(e, folder, F.concat(text("projects/p/chats/"), "s", text(".jsonl")), j(type=text("assistant"), timestamp=c("iso"), sessionId=c("s"), model=c("m"), usageMetadata=usage))
+    _lines(e, folder, F.concat(text("projects/p/chats/"), "s", text("-"), share(), text(".jsonl")), j(type=text("assistant"), timestamp=c("iso"), sessionId=c("s"), model=c("m"), usageMetadata=usage))
 
 
 @source("kimi", expected(ms="ms // 1000 * 1000", model="'kimi-for-coding'", cost="i * 0.6e-6 + o * 3e-6 + w * 0.75e-6 + r * 0.1e-6"))
 def kimi(e, folder):
     usage = j(input_other=c("i"), output=c("o"), input_cache_creation=c("w"), input_cache_read=c("r"))
     record = j(timestamp=F.floor(c("ms") / 1000), message=j(type=text("StatusUpdate"), payload=j(message_id=F.concat(text("g"), "n"), token_usage=usage)))
-    _lines(e, folder, F.concat(text("sessions/g/"), "s", text("/wire.jsonl")), record)
+    _lines(e, folder, F.concat(text("sessions/g"), share(), text("/"), "s", text("/wire.jsonl")), record)
 
 
 @source("openclaw", expected(model="'[openclaw] ' || m"))
@@ -108,7 +114,7 @@ def openclaw(e, folder):
     change = j(type=text("model_change"), modelId=c("m"), provider=text("p"))
     used = j(type=text("message"), message=j(role=text("assistant"), timestamp=c("ms"), usage=j(input=c("i"), output=c("o"), cacheWrite=c("w"), cacheRead=c("r"))))
     both = F.posexplode(F.array(F.to_json(change), F.to_json(used))).alias("k", "line")
-    rows = e.select(F.concat(text("a/"), "s", text(".jsonl")).alias("file"), "n", both)
+    rows = e.select(F.concat(text("a"), share(), text("/"), "s", text(".jsonl")).alias("file"), "n", both)
     write_logs(rows.select("file", (c("n") * 2 + c("k")).alias("n"), "line"), folder)
 
 
@@ -121,14 +127,14 @@ def copilot(e, folder):
         "gen_ai.request.model": c("m"), "session.id": c("s"),
     }
     record = j(type=text("span"), name=F.when(low, "invoke_agent x").otherwise("chat x"), traceId=trace, endTime=F.array(F.floor(c("ms") / 1000), c("ms") % 1000 * 1_000_000), attributes=j(**attributes))
-    _lines(e, folder, text("otel.jsonl"), record)
+    _lines(e, folder, F.concat(text("otel"), share(), text(".jsonl")), record)
 
 
 @source("gemini", expected(w="0", extra="event_id % 5", billed="o + event_id % 5", model="m"))
 def gemini(e, folder):
     tokens = j(input=c("i"), output=c("o"), cached=c("r"), thoughts=c("n") % 5, total=c("i") + c("o") + c("r") + c("n") % 5 + 0)
     record = j(type=text("gemini"), id=F.concat(text("g"), "n"), sessionId=c("s"), model=c("m"), timestamp=c("iso"), tokens=tokens)
-    _lines(e, folder, F.concat("s", text("/log.jsonl")), record)
+    _lines(e, folder, F.concat("s", text("/log"), share(), text(".jsonl")), record)
 
 
 def _documents(e: DataFrame, folder: str, file, item, build) -> None:
@@ -166,7 +172,7 @@ def droid(e, folder):
 
 
 def _database(e: DataFrame, folder: str, name: str, table: str, columns: str, *cells) -> None:
-    file = F.concat(text("d"), c("user_id") % 5, text("/"), text(name))
+    file = F.concat(text("d"), c("user_id") % 5, text("-"), share(), text("/"), text(name))
     write_databases(e.select(file.alias("file"), "n", F.array(*(x.cast("string") for x in cells)).alias("cells")), folder, table, columns)
 
 

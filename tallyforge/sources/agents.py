@@ -20,7 +20,7 @@ from tallyforge.functions.tokens import saturating_minus, total_tokens, with_tot
 from tallyforge.operators.carry import carry_forward, with_lookup
 from tallyforge.operators.dedupe import keep_highest
 from tallyforge.sources.sqlite import sqlite_rows
-from tallyforge.sources.textlogs import json_lines, lines, whole_files
+from tallyforge.sources.textlogs import json_lines, log_lines, whole_files
 
 COLUMNS = {
     "agent": "string",
@@ -96,11 +96,12 @@ def _well_typed(v: Column, text: list[tuple], flags: list[tuple], numbers: list[
     return ok
 
 
-def read_claude(spark: SparkSession, path: str) -> DataFrame:
+def read_claude(spark: SparkSession, path: str, project: str | None = None) -> DataFrame:
     """Lines with the bytes ``"usage":{`` that are fully well-formed; also such records nested
-    under ``data.message``."""
-    rows = lines(whole_files(spark, path, "*.jsonl"))
-    rows = rows.where(F.col("value").contains('"usage":{') & ~F.col("value").rlike(f'"({NULLS})"[^"]?:null'))
+    under ``data.message``. With ``project`` the files of other projects are not opened."""
+    own = None if project is None else N.claude_session(F.col("file"))[0] == project
+    rows = log_lines(spark, path, "*.jsonl", [['"usage":{']], own)
+    rows = rows.where(~F.col("value").rlike(f'"({NULLS})"[^"]?:null'))
     rows = json_lines(rows)
     nested = ~J.exists(F.col("v"), "message") & J.exists(F.col("v"), "data", "message", "message")
     rows = rows.withColumn("v", F.when(nested, J.node(F.col("v"), "data", "message")).otherwise(F.col("v")))
@@ -155,7 +156,7 @@ def read_claude(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pi(spark: SparkSession, path: str) -> DataFrame:
-    rows = lines(whole_files(spark, path, "*.jsonl")).where(F.col("value").contains('"usage"') & F.col("value").contains('"message"'))
+    rows = log_lines(spark, path, "*.jsonl", [['"usage"', '"message"']])
     rows, v = json_lines(rows), F.col("v")
     rows = rows.where(F.coalesce(J.raw_text(v, "type") == "message", F.lit(True)) & (J.raw_text(v, "message", "role") == "assistant") & J.exists(v, "message", "usage"))
     u = ("message", "usage")
@@ -185,8 +186,8 @@ def _settle(df: DataFrame) -> DataFrame:
 
 
 def read_qwen(spark: SparkSession, path: str) -> DataFrame:
-    rows, v = json_lines(lines(whole_files(spark, path, "*.jsonl"))), F.col("v")
-    rows = rows.where(F.col("file").rlike(r"/projects/[^/]+/chats/[^/]+\.jsonl$") & (J.raw_text(v, "type") == "assistant") & J.exists(v, "usageMetadata"))
+    rows, v = json_lines(log_lines(spark, path, "*.jsonl", [["usageMetadata"]], F.col("file").rlike(r"/projects/[^/]+/chats/[^/]+\.jsonl$"))), F.col("v")
+    rows = rows.where((J.raw_text(v, "type") == "assistant") & J.exists(v, "usageMetadata"))
     u = "usageMetadata"
     project = F.regexp_extract("file", "/projects/([^/]+)/chats/", 1)
     stem = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)
@@ -215,7 +216,7 @@ KIMI_CUTOVER = 1_776_698_890_072
 
 def read_kimi(spark: SparkSession, path: str) -> DataFrame:
     """Status updates; the model is in the config file four folders up (a left join by folder)."""
-    rows = lines(whole_files(spark, path, "wire.jsonl")).where(F.col("value").contains('"StatusUpdate"') & F.col("value").contains('"token_usage"'))
+    rows = log_lines(spark, path, "wire.jsonl", [['"StatusUpdate"', '"token_usage"']])
     rows, v = json_lines(rows), F.col("v")
     rows = rows.where(~F.coalesce(J.raw_text(v, "type") == "metadata", F.lit(False)) & (J.raw_text(v, "message", "type") == "StatusUpdate"))
     root = lambda up: F.regexp_replace("file", f"(/[^/]*){{{up}}}$", "")
@@ -246,9 +247,9 @@ def read_kimi(spark: SparkSession, path: str) -> DataFrame:
 
 def read_openclaw(spark: SparkSession, path: str) -> DataFrame:
     """Messages take model and provider from the last change before them in their file."""
-    files = whole_files(spark, path, "*.jsonl*").where(F.col("file").rlike(r"\.jsonl$|\.jsonl\.(deleted|reset)\."))
-    marks = F.col("value").contains('"model_change"') | F.col("value").contains('"model-snapshot"') | F.col("value").contains('"usage"')
-    rows, v = json_lines(lines(files).where(marks)), F.col("v")
+    marks = [['"model_change"'], ['"model-snapshot"'], ['"usage"']]
+    rows = log_lines(spark, path, "*.jsonl*", marks, F.col("file").rlike(r"\.jsonl$|\.jsonl\.(deleted|reset)\."))
+    rows, v = json_lines(rows), F.col("v")
     change = (J.raw_text(v, "type") == "model_change") | ((J.raw_text(v, "type") == "custom") & (J.raw_text(v, "customType") == "model-snapshot"))
     change = F.coalesce(change, F.lit(False))
     data = F.when(J.kind(v, "data").startswith("OBJECT"), J.node(v, "data")).otherwise(v)
@@ -295,7 +296,7 @@ def _loose(v: Column, *keys) -> Column:
 def read_copilot(spark: SparkSession, path: str) -> DataFrame:
     """Four kinds of records tell of the same calls; a lower kind counts only where no higher
     one has its trace or response (anti joins within the file)."""
-    rows, v = json_lines(lines(whole_files(spark, path, "*.jsonl")).where(F.col("value").contains('"attributes"'))), F.col("v")
+    rows, v = json_lines(log_lines(spark, path, "*.jsonl", [['"attributes"']])), F.col("v")
     a = lambda key: ("attributes", key)
     typed = J.raw_text(v, "type")
     spanlike = J.text(v, "name").isNotNull() & (J.text(v, "spanId").isNotNull() | J.text(v, "traceId").isNotNull() | J.exists(v, "startTime") | J.exists(v, "endTime") | J.exists(v, "duration") | J.exists(v, "kind"))
@@ -421,7 +422,7 @@ def read_droid(spark: SparkSession, path: str) -> DataFrame:
     docs, v = _documents(spark, path, "*.settings.json").where("v is not null"), F.col("v")
     stem = F.regexp_replace("file", r"\.settings\.json$", "")
     said = F.regexp_extract("value", r'(?s)Model:([^"\\\[]*)', 1)
-    beside = lines(whole_files(spark, path, "*.jsonl")).where("line_no < 500").select(F.regexp_replace("file", r"\.jsonl$", "").alias("stem"), "line_no", N.plain_model_name(said).alias("said"))
+    beside = log_lines(spark, path, "*.jsonl", [["Model:"]], numbered=True).where("line_no < 500").select(F.regexp_replace("file", r"\.jsonl$", "").alias("stem"), "line_no", N.plain_model_name(said).alias("said"))
     beside = beside.where("said <> ''").groupBy("stem").agg(F.min_by("said", "line_no").alias("said"))
     docs = docs.where(J.kind(v, "tokenUsage").startswith("OBJECT")).withColumn("stem", stem).join(beside, "stem", "left")
     docs = docs.withColumn("given", N.plain_provider(J.text(v, "providerLock")))
@@ -602,7 +603,7 @@ def read_gemini(spark: SparkSession, path: str) -> DataFrame:
     lines session and model carry forward, and a repeated message id replaces the earlier."""
     v = F.col("v")
     docs = _documents(spark, path, "*.json").where(J.kind(v).startswith("OBJECT")).withColumn("item_no", F.lit(0))
-    rows = json_lines(lines(whole_files(spark, path, "*.jsonl"))).where(J.kind(v).startswith("OBJECT")).withColumn("item_no", F.lit(0))
+    rows = json_lines(log_lines(spark, path, "*.jsonl")).where(J.kind(v).startswith("OBJECT")).withColumn("item_no", F.lit(0))
     stem = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
     sess = lambda x: F.coalesce(J.text(x, "sessionId"), J.text(x, "session_id"))
     told = lambda x, *keys: F.coalesce(*(T.strict_ms(J.raw_text(x, k)) for k in keys))
@@ -634,6 +635,10 @@ def read_gemini(spark: SparkSession, path: str) -> DataFrame:
 # ---- SQLite --------------------------------------------------------------------------
 
 
+MESSAGE = {"id": "string", "session": "string", "value": "string"}
+MESSAGE_PLACES = {"session": "session_id", "value": "data"}
+
+
 def _opencode(df: DataFrame, session: Column, message: Column) -> DataFrame:
     v, t = F.col("v"), "tokens"
     model, provider = J.text(v, "modelID"), J.text(v, "providerID")
@@ -662,7 +667,7 @@ def _opencode(df: DataFrame, session: Column, message: Column) -> DataFrame:
 def read_opencode(spark: SparkSession, path: str) -> DataFrame:
     """Messages of the databases, then of message files; a message id counts once, from the
     database first (see dedupe)."""
-    db = sqlite_rows(spark, path, "SELECT id, session_id, data FROM message", "id string, session string, value string", "opencode*.db")
+    db = sqlite_rows(spark, path, "message", MESSAGE, "opencode*.db", MESSAGE_PLACES)
     db = db.withColumn("v", F.try_parse_json("value")).where("v is not null")
     files = _documents(spark, path, "*.json").where(F.col("file").contains("/storage/message/"))
     none = F.lit(None).cast("string")
@@ -672,7 +677,8 @@ def read_opencode(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_kilo(spark: SparkSession, path: str) -> DataFrame:
-    db = sqlite_rows(spark, path, "SELECT id, session_id, data FROM message", "id string, session string, value string", "kilo.db")
+    #: Only texts that name the role are parsed.
+    db = sqlite_rows(spark, path, "message", MESSAGE, "kilo.db", MESSAGE_PLACES, [("instr(data, ?) > 0", ["assistant"])])
     db, v, t = db.withColumn("v", F.try_parse_json("value")), F.col("v"), "tokens"
     db = db.where((J.raw_text(v, "role") == "assistant") & J.exists(v, t))
     model, provider = J.text(v, "modelID"), F.translate(J.text(v, "providerID"), "-", "_")
@@ -695,10 +701,20 @@ def read_kilo(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_hermes(spark: SparkSession, path: str) -> DataFrame:
-    counters = "input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens"
-    query = f"SELECT id, model, billing_provider, started_at, message_count, {counters}, estimated_cost_usd, actual_cost_usd FROM sessions"
-    ddl = "id string, model string, provider string, started double, messages long, i long, o long, r long, w long, t long, estimated double, actual double"
-    db = sqlite_rows(spark, path, query, ddl, "state.db")
+    places = {
+        "provider": "billing_provider",
+        "started": "started_at",
+        "messages": "message_count",
+        "i": "input_tokens",
+        "o": "output_tokens",
+        "r": "cache_read_tokens",
+        "w": "cache_write_tokens",
+        "t": "reasoning_tokens",
+        "estimated": "estimated_cost_usd",
+        "actual": "actual_cost_usd",
+    }
+    columns = {c: "string" for c in ("id", "model", "provider")} | {"started": "double"} | {c: "long" for c in ("messages", *"iorwt")} | {"estimated": "double", "actual": "double"}
+    db = sqlite_rows(spark, path, "sessions", columns, "state.db", places)
     low = F.lower("model")
     inferred = F.when(low.rlike("^claude[-/]"), "anthropic").when(low.rlike("^(gpt|chatgpt|o[0-9])"), "openai").when(low.rlike("^gemini[-/]"), "google").otherwise("hermes")
     said = F.translate(F.lower(F.trim("provider")), "-", "_")
@@ -731,9 +747,10 @@ def read_hermes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_goose(spark: SparkSession, path: str) -> DataFrame:
-    sums = "total_tokens, input_tokens, output_tokens, accumulated_total_tokens, accumulated_input_tokens, accumulated_output_tokens"
-    query = f"SELECT id, model_config_json, provider_name, CAST(created_at AS TEXT), {sums} FROM sessions"
-    db = sqlite_rows(spark, path, query, "id string, config string, provider string, created string, t long, i long, o long, at long, ai long, ao long", "sessions.db")
+    places = {"config": "model_config_json", "provider": "provider_name", "created": "CAST(created_at AS TEXT)"}
+    places |= {"t": "total_tokens", "i": "input_tokens", "o": "output_tokens"} | {f"a{c}": f"accumulated_{name}_tokens" for c, name in zip("tio", ("total", "input", "output"))}
+    columns = {c: "string" for c in ("id", "config", "provider", "created")} | {c: "long" for c in ("t", "i", "o", "at", "ai", "ao")}
+    db = sqlite_rows(spark, path, "sessions", columns, "sessions.db", places)
     when = F.trim("created")
     count = when.try_cast("long")
     day = F.when(when.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(when, F.lit("T00:00:00Z"))).when(

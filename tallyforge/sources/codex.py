@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import timestamps as T
 from tallyforge.operators.carry import leading_run
-from tallyforge.sources.textlogs import lines, whole_files
+from tallyforge.sources.textlogs import file_heads, listed_files, range_lines
 
 # The model that a review label stood for, by date.
 REVIEW_MODEL = "codex-auto-review"
@@ -72,7 +72,7 @@ def session_files(spark: SparkSession, homes: list[str]) -> DataFrame:
     first. session_id is the path below the folder, without its ending."""
     out = None
     for place, home in enumerate(homes):
-        files = whole_files(spark, home, "*.jsonl").withColumn("home", F.lit(place))
+        files = listed_files(spark, home, "*.jsonl").withColumn("home", F.lit(place))
         out = files if out is None else out.unionByName(files)
     below = F.regexp_extract("file", r"/(?:archived_)?sessions/(.+)$", 1)
     below = F.when(below == "", F.regexp_extract("file", "([^/]+)$", 1)).otherwise(below)
@@ -100,10 +100,10 @@ def read_codex(spark: SparkSession, homes: list[str] | str) -> DataFrame:
     event and those that inherit it as fallback.
     """
     homes = [homes] if isinstance(homes, str) else homes
-    files = session_files(spark, homes).withColumn("spawned", F.substring("value", 1, HEAD_BYTES).contains(SPAWNED))
-    rows = lines(files)
-    extra = files.select("file", "session_id", "spawned")
-    rows = rows.where(F.col("value").rlike("turn_context|token_count|usage|input_tokens|prompt_tokens"))
+    files = session_files(spark, homes)
+    spawned = file_heads(files, HEAD_BYTES).where(F.col("head").contains(SPAWNED)).select("file", F.lit(True).alias("spawned"))
+    extra = files.select("file", "session_id").join(spawned, "file", "left").fillna(False, "spawned")
+    rows = range_lines(files, [[x] for x in ("turn_context", "token_count", "usage", "input_tokens", "prompt_tokens")])
     rows = rows.join(extra, "file").withColumn("j", F.from_json("value", _LINE)).where("j is not null")
     context = F.coalesce(F.col("j.type") == "turn_context", F.lit(False))
     counted = F.coalesce((F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count"), F.lit(False))

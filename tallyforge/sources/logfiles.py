@@ -11,9 +11,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.sources.textlogs import opened, whole_path
+
 
 def _place(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
-    fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+    fs, root = opened(folder)
     path = f"{root}/{name}"
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     return fs, path
@@ -21,7 +23,9 @@ def _place(folder: str, name: str) -> tuple[pafs.FileSystem, str]:
 
 def write_logs(rows: DataFrame, folder: str) -> None:
     """Rows (file, n, line) to text files below ``folder``, their lines in the order of n.
-    A file is one task's work, so it should be of the size of a log."""
+    A file is one task's work, so it should be of the size of a log. A bare path is one of
+    ``fs.defaultFS``, as it is for the readers."""
+    folder = whole_path(rows.sparkSession, folder)
 
     def write(table: pa.Table) -> pa.Table:
         table = table.sort_by("n")
@@ -36,7 +40,7 @@ def write_logs(rows: DataFrame, folder: str) -> None:
 
 def write_databases(rows: DataFrame, folder: str, table_name: str, columns: str) -> None:
     """Rows (file, n, cells array<string>) to SQLite databases with a table of text ``columns``."""
-    names = columns.split(", ")
+    names, folder = columns.split(", "), whole_path(rows.sparkSession, folder)
 
     def write(table: pa.Table) -> pa.Table:
         fs, path = _place(folder, table.column("file")[0].as_py())

@@ -1,78 +1,201 @@
-"""SQLite tables as a Spark data source (read only, one partition a database file)."""
+"""SQLite tables as a Spark data source (read only): ranges of row ids as partitions, filters in SQL.
+
+Databases are found through the file system of the path's scheme. One that tasks can open in
+place (``file:``, a disk that all of them share) is divided by row ids; one of another file
+system is fetched by the task that reads it, whole, and so is one partition. Filters that Spark
+offers (``spark.sql.python.filterPushdown.enabled``), and those given as the option ``where``, are
+evaluated by SQLite; Spark checks the former again, since SQLite's values have types of their own.
+"""
 
 from __future__ import annotations
 
-import glob
+import json
 import os
 import sqlite3
+import tempfile
+from contextlib import contextmanager
 from dataclasses import dataclass
+from fnmatch import fnmatch
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
+)
+
+from tallyforge.sources.textlogs import opened, whole_path
+
+#: Row ids of a partition.
+ROWS = 100_000
+_COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 @dataclass
-class Database(InputPartition):
-    path: str
+class RowRange(InputPartition):
+    uri: str
+    low: int | None
+    high: int | None
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.names = schema.fieldNames()
-        self.kinds = [f.dataType.typeName() for f in schema.fields]
-        self.path, self.query, self.match = options["path"], options["query"], options.get("match", "*.db")
+        self.kinds = [f.dataType.typeName() for f in schema.fields][2:]
+        self.names = schema.fieldNames()[2:]
+        self.uri, self.table, self.match = options["path"], options["table"], options.get("match", "*.db")
+        self.places = json.loads(options.get("columns", "{}"))
+        self.rows = int(options.get("rows", ROWS))
+        self.conditions: list[tuple[str, list]] = [(text, values) for text, values in json.loads(options.get("where", "[]"))]
+
+    # -- planning
+
+    def _condition(self, f):
+        if not hasattr(f, "attribute") or len(f.attribute) != 1 or f.attribute[0] not in self.names:
+            return None
+        place, kind = self._place(f.attribute[0]), self.kinds[self.names.index(f.attribute[0])]
+        if isinstance(f, IsNotNull):
+            return f"{place} IS NOT NULL", []
+        values = list(f.value) if isinstance(f, In) else [getattr(f, "value", None)]
+        if any(not isinstance(x, (str, int, float)) or isinstance(x, bool) for x in values):
+            return None
+        if kind == "string" and not isinstance(f, (EqualTo, In)):
+            return None  # the order of texts is the collation's
+        typed = place if kind == "string" else f"CAST({place} AS {'INTEGER' if kind == 'long' else 'REAL'})"
+        #: Numbers are shown as text where a column is text, not always as SQLite would show them.
+        loose = f"typeof({place}) NOT IN ('text', 'null') OR " if kind == "string" else ""
+        if isinstance(f, In):
+            return f"({loose}{typed} IN ({','.join('?' * len(values))}))", values
+        return (f"({loose}{typed} {_COMPARED[type(f)]} ?)", values) if type(f) in _COMPARED else None
 
     def partitions(self):
-        path = self.path.removeprefix("file:")
-        files = [path] if os.path.isfile(path) else sorted(glob.glob(os.path.join(path, "**", self.match), recursive=True))
-        return [Database(f) for f in files] or [Database("")]
+        fs, root = opened(self.uri)
+        info = fs.get_file_info(root)
+        if info.type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"no file or folder: {self.uri}")
+        found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        paths = sorted(x.path for x in found if x.type == pafs.FileType.File and (x is info or fnmatch(x.path.rpartition("/")[2], self.match)))
+        if not isinstance(fs, pafs.LocalFileSystem):
+            scheme = self.uri.split("://")[0]
+            return [RowRange(f"{scheme}://{p}", None, None) for p in paths] or [RowRange("", None, None)]
+        out = []
+        for path in paths:
+            low, high = self._bounds(path)
+            step = low
+            while low is not None and step <= high:
+                out.append(RowRange(f"file:{path}", step, min(step + self.rows - 1, high)))
+                step += self.rows
+        return out or [RowRange("", None, None)]
+
+    def _bounds(self, path):
+        """First and last row id; none for an empty table, an empty file or another application's."""
+        with _database(f"file:{path}") as db:
+            if db.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", [self.table]).fetchone() is None:
+                return None, None
+            return db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
+
+    # -- reading
+
+    def _place(self, name: str) -> str:
+        return self.places.get(name) or _quoted(name)
+
+    def sql(self, partition: RowRange) -> tuple[str, list]:
+        wanted, values = [text for text, _ in self.conditions], [x for _, given in self.conditions for x in given]
+        if partition.low is not None:
+            wanted, values = ["rowid BETWEEN ? AND ?", *wanted], [partition.low, partition.high, *values]
+        where = " WHERE " + " AND ".join(wanted) if wanted else ""
+        return f"SELECT rowid, {', '.join(map(self._place, self.names))} FROM {_quoted(self.table)}{where} ORDER BY rowid", values
 
     def read(self, partition):
-        if not partition.path:
+        if not partition.uri:
             return
-        connection = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        named = "/" + partition.uri.split(":", 1)[1].lstrip("/")
+        with _database(partition.uri) as db:
+            if partition.low is None and db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", [self.table]).fetchone() is None:
+                return
+            for number, *row in db.execute(*self.sql(partition)):
+                yield (named, number, *(_fit(x, k) for x, k in zip(row, self.kinds)))
+
+
+class FilteringReader(SqliteReader):
+    """Takes Spark's filters too; Spark refuses such a reader where its setting is off."""
+
+    def pushFilters(self, filters):
+        self.conditions += [made for made in map(self._condition, filters) if made]
+        return filters  # all are checked again: what SQLite keeps is a superset
+
+
+@contextmanager
+def _database(uri: str):
+    """A database opened read only; one of another file system from a copy for this task. A file
+    that isn't a database raises (SQLite takes an empty one for an empty database)."""
+    if uri.startswith("file:"):
+        db = sqlite3.connect(f"file:{'/' + uri.removeprefix('file:').lstrip('/')}?mode=ro", uri=True)
         try:
-            for number, row in enumerate(connection.execute(self.query)):
-                yield (partition.path, number, *(self._fit(x, k) for x, k in zip(row, self.kinds[2:])))
-        except sqlite3.DatabaseError as error:
-            #: Without that table, or no database at all: no rows. Damage is an error, since rows may be missing.
-            if "no such table" not in str(error) and "not a database" not in str(error):
-                raise
+            yield db
         finally:
-            connection.close()
-
-    @staticmethod
-    def _fit(value, kind):
-        """SQLite types are per value; what doesn't fit the column is null."""
-        if value is None:
-            return None
-        if kind == "string":
-            return value if isinstance(value, str) else str(value) if isinstance(value, (int, float)) else None
-        if kind == "long":
-            return int(value) if isinstance(value, (int, float)) and abs(value) < 2**63 else None
-        if kind == "double":
-            return float(value) if isinstance(value, (int, float)) else None
+            db.close()
+        return
+    fs, path = opened(uri)
+    with tempfile.TemporaryDirectory() as own:
+        with fs.open_input_stream(path, compression=None) as source, open(os.path.join(own, "db"), "wb") as copy:
+            while block := source.read(8 << 20):
+                copy.write(block)
+        with _database(f"file:{own}/db") as db:
+            yield db
+
+
+def _fit(value, kind):
+    """SQLite types are per value; what doesn't fit the column is null."""
+    if value is None:
         return None
+    if kind == "string":
+        return value if isinstance(value, str) else str(value) if isinstance(value, (int, float)) else None
+    if kind == "long":
+        return int(value) if isinstance(value, (int, float)) and abs(value) < 2**63 else None
+    if kind == "double":
+        return float(value) if isinstance(value, (int, float)) else None
+    return None
 
 
 class SqliteDataSource(DataSource):
-    """``format("sqlite_query")``; options path (file or folder), query, match (``*.db``).
+    """``format("sqlite_table")``; options path (file or folder), table, match (``*.db``), rows (of a
+    partition), columns (JSON: SQL for a column that isn't one of the table), where (JSON:
+    conditions with their values), filters (``true``: take Spark's filters).
 
-    The schema's first two columns are the database file and the row number."""
+    The schema's first two columns are the database file and the row id; only the columns after
+    them are read."""
 
     @classmethod
     def name(cls):
-        return "sqlite_query"
+        return "sqlite_table"
 
     def schema(self):
-        return self.options["columns"]
+        return self.options["ddl"]
 
     def reader(self, schema):
-        return SqliteReader(schema, self.options)
+        return (FilteringReader if self.options.get("filters") == "true" else SqliteReader)(schema, self.options)
 
 
-def sqlite_rows(spark: SparkSession, path: str, query: str, columns: str, match: str = "*.db") -> DataFrame:
-    """file, line_no and ``columns`` (DDL) of a query over every database below ``path``."""
+def sqlite_rows(
+    spark: SparkSession, path: str, table: str, columns: dict[str, str], match: str = "*.db", places: dict[str, str] | None = None, where: list[tuple[str, list]] | None = None, rows: int = ROWS
+) -> DataFrame:
+    """file, line_no (the row id) and ``columns`` (name: type) of a table in every database below
+    ``path``. ``places``: SQL for columns that the table calls otherwise; ``where``: conditions
+    that SQLite checks. A missing path raises; a database without the table has no rows."""
     spark.dataSource.register(SqliteDataSource)
-    ddl = f"file string, line_no long, {columns}"
-    return spark.read.format("sqlite_query").schema(ddl).option("query", query).option("match", match).load(path)
+    ddl = "file string, line_no long, " + ", ".join(f"{name} {kind}" for name, kind in columns.items())
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = spark.read.format("sqlite_table").schema(ddl).options(table=table, match=match, rows=rows, filters=pushed)
+    return reader.option("columns", json.dumps(places or {})).option("where", json.dumps(where or [])).load(whole_path(spark, path))
