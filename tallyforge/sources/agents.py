@@ -20,7 +20,7 @@ from tallyforge.functions.tokens import saturating_minus, total_tokens, with_tot
 from tallyforge.operators.carry import carry_forward, with_lookup
 from tallyforge.operators.dedupe import keep_highest
 from tallyforge.sources.sqlite import sqlite_rows
-from tallyforge.sources.textlogs import json_lines, log_lines, whole_files
+from tallyforge.sources.textlogs import RANGE, json_lines, log_lines, whole_files
 
 COLUMNS = {
     "agent": "string",
@@ -259,7 +259,7 @@ def read_openclaw(spark: SparkSession, path: str) -> DataFrame:
             "changed_provider": F.when(change, J.text(data, "provider")),
         }
     )
-    rows = carry_forward(rows, ["changed_model", "changed_provider"], ["file"], ["line_no"])
+    rows = carry_forward(rows, ["changed_model", "changed_provider"], ["file"], ["line_no"], span=F.floor(F.col("line_no") / RANGE))
     rows = rows.where(~change & (J.raw_text(v, "type") == "message") & (J.raw_text(v, "message", "role") == "assistant") & J.exists(v, "message", "usage"))
     m, u = "message", ("message", "usage")
     name = F.regexp_extract("file", "([^/]+)$", 1)
@@ -609,7 +609,7 @@ def read_gemini(spark: SparkSession, path: str) -> DataFrame:
     told = lambda x, *keys: F.coalesce(*(T.strict_ms(J.raw_text(x, k)) for k in keys))
     docs = docs.withColumns({"session": F.coalesce(sess(v), stem), "hint": J.text(v, "model")})
     rows = rows.withColumns({"session": sess(v), "hint": J.text(v, "model")})
-    rows = carry_forward(rows, ["session", "hint"], ["file"], ["line_no"]).withColumn("session", F.coalesce("session", stem))
+    rows = carry_forward(rows, ["session", "hint"], ["file"], ["line_no"], span=F.floor(F.col("line_no") / RANGE)).withColumn("session", F.coalesce("session", stem))
     m, no = F.col("m"), F.lit(False)
     listed = F.coalesce(J.kind(v, "messages").startswith("ARRAY"), no)
     single = F.coalesce(J.raw_text(v, "type") == "gemini", no)

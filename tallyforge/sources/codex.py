@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import timestamps as T
-from tallyforge.operators.carry import leading_run
-from tallyforge.sources.textlogs import file_heads, listed_files, range_lines
+from tallyforge.operators.carry import carry_forward, leading_run, running_delta
+from tallyforge.sources.textlogs import RANGE, file_heads, listed_files, range_lines, written
 
 # The model that a review label stood for, by date.
 REVIEW_MODEL = "codex-auto-review"
@@ -124,15 +124,21 @@ def read_codex(spark: SparkSession, homes: list[str] | str) -> DataFrame:
         F.when(context, _model("j.payload")).when(counted, _model("j.payload", "j.payload.info")).otherwise(_model(*_PLACES)).alias("named"),
     ).where("context or own is not null or counted")
 
+    rows = written(rows)  # parsed once, read by each step below
     second = F.substring("ts_text", 1, 19)
     real = F.col("counted") & (F.col("own").isNotNull() | F.col("total").isNotNull()) & F.col("ts_text").isNotNull()
-    firsts = rows.where(real).groupBy("file").agg(F.slice(F.sort_array(F.collect_list(F.struct("line_no", second.alias("second")))), 1, 2).alias("two"))
-    replay = firsts.where((F.size("two") == 2) & (F.col("two")[0]["second"] == F.col("two")[1]["second"])).select("file", F.col("two")[0]["second"].alias("replay"))
+    #: Whether the first two count events share a second: the least place, then the least after it.
+    real_rows = rows.where(real).select("file", "line_no", second.alias("second"))
+    one = real_rows.groupBy("file").agg(F.min(F.struct("line_no", "second")).alias("one"))
+    two = real_rows.join(one, "file").where(F.col("line_no") > F.col("one.line_no")).groupBy("file", "one").agg(F.min(F.struct("line_no", "second")).alias("two"))
+    replay = two.where(F.col("one.second") == F.col("two.second")).select("file", F.col("one.second").alias("replay"))
     counts = rows.where("counted").join(replay, "file", "left")
     counts = leading_run(counts, F.coalesce(F.col("spawned") & (second == F.col("replay")), F.lit(False)), ["file"], ["line_no"], "skipped")
-    order = Window.partitionBy("file").orderBy("line_no")
-    last = F.last("total", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    minus = F.struct(*(F.greatest(F.col(f"total.{k}") - F.coalesce(last[k], F.lit(0)), F.lit(0)).alias(k) for k in ("input", "cached", "output", "reasoning", "total")))
+    span = F.floor(F.col("line_no") / RANGE)  # a long session is spread by its bytes
+    parts = ("input", "cached", "output", "reasoning", "total")
+    counts = counts.withColumns({f"t_{k}": F.col(f"total.{k}") for k in parts})
+    counts = running_delta(counts, [f"t_{k}" for k in parts], ["file"], ["line_no"], span=span)
+    minus = F.struct(*(F.col(f"t_{k}_delta").alias(k) for k in parts))
     counts = counts.withColumn("usage", F.coalesce("own", F.when(F.col("total").isNotNull(), minus))).where("not skipped")
     others = rows.where("not counted").withColumn("usage", F.col("own"))
     names = ["file", "line_no", "session_id", "ts_text", "usage", "named", "context"]
@@ -140,8 +146,8 @@ def read_codex(spark: SparkSession, homes: list[str] | str) -> DataFrame:
     some = sum((F.coalesce(F.col(f"usage.{k}"), F.lit(0)) for k in ("input", "cached", "output", "reasoning")), F.lit(0)) > 0
     events = events.withColumn("is_usage", ~F.col("context") & F.coalesce(some, F.lit(False)) & F.col("ts_text").isNotNull())
     #: Only contexts and events with usage can set the model.
-    carried = F.last(F.when(F.col("context") | F.col("is_usage"), F.col("named")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    events = events.withColumn("carried", carried).where("is_usage")
+    events = events.withColumn("carried", F.when(F.col("context") | F.col("is_usage"), F.col("named")))
+    events = carry_forward(events, ["carried"], ["file"], ["line_no"], span=span).where("is_usage")
     model = F.coalesce("carried", F.lit(DEFAULT))
     day = F.when(F.col("ts_text").rlike(r"^\d{4}-\d{2}-\d{2}") & F.substring("ts_text", 1, 10).try_cast("date").isNotNull(), F.substring("ts_text", 1, 10))
     return events.select(

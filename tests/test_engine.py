@@ -182,3 +182,40 @@ def test_blocks_are_the_sequential_ones(spark, hours):
         want.append((x, start))
     got = block_starts(spark.createDataFrame(rows, "g int, t long").repartition(5), "t", ["g"], duration, hour)
     assert sorted((r.t, r.block_start) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("hours", [5, 2.5, 1, 0.1])
+def test_blocks_of_one_group_by_doubling(spark, sf, monkeypatch, hours):
+    """All events as one group: hours in spans, jumps doubled; equal to the sequential fold."""
+    from tallyforge.operators import blocks
+
+    monkeypatch.setattr(blocks, "FOLD", 0)
+    monkeypatch.setattr(blocks, "SPAN", 8)
+    hour = 3_600_000_000
+    duration = int(hours * hour)
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.lit(None).cast("int").alias("g"))
+    start, want = None, []
+    for x in sorted(r.t for r in events.collect()):
+        if start is None or x - start > duration:
+            start = x - x % hour
+        want.append((x, start))
+    got = blocks.block_starts(events, "t", ["g"], duration, hour)
+    assert sorted((r.t, r.block_start) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("span", [1, 10, 1000])
+def test_carries_in_two_levels(spark, span):
+    import random
+
+    from tallyforge.operators.carry import carry_forward, leading_run, running_delta
+
+    rng = random.Random(span)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([None, None, k % 7, k]), rng.choice([None, None, None, f"m{k % 5}"])) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, k long, total long, model string").repartition(5)
+    far = F.floor(F.col("k") / span)
+    one, two = (sorted(map(repr, f(df).collect())) for f in (lambda d: carry_forward(d, ["model", "total"], ["g"], ["k"]), lambda d: carry_forward(d, ["model", "total"], ["g"], ["k"], span=far)))
+    assert one == two and len(one) == 300
+    one, two = (sorted(map(repr, running_delta(df, ["total"], ["g"], ["k"], span=s).collect())) for s in (None, far))
+    assert one == two and len(one) == 300
+    runs = {r.k for r in leading_run(df, F.col("k") < 100, ["g"], ["k"], "inside").where("inside").collect()}
+    assert runs == set(range(100))
