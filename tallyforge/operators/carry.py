@@ -59,6 +59,20 @@ def as_of(df: DataFrame, versions: DataFrame, day: str, since: str, value: str,
     return rows.withColumn(value, F.coalesce(hit["value"], F.lit(default))).drop("held")
 
 
+def as_of_merge(df: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, value: str, default: str, span: Column | None = None) -> DataFrame:
+    """Like ``as_of`` for version lists of any length, one for each of ``keys``: both sides are
+    dealt by key, sorted by time together, and each row takes the last version before it.
+
+    Nothing is broadcast. A version holds from its ``since`` on; of versions of one moment the
+    greatest value counts; a null time has the default; versions without a time count for
+    nothing. ``span``: a coarse value of the column ``_at`` (the time) that spreads large keys."""
+    told = versions.where(F.col(since).isNotNull()).select(*keys, F.col(since).alias("_at"), F.lit(0).alias("_side"), F.col(value).alias("_value"))
+    rows = df.drop(value).withColumns({"_at": F.col(at), "_side": F.lit(1)})
+    both = rows.unionByName(told, allowMissingColumns=True).withColumn("_by", F.col("_value"))
+    out = carry_forward(both, ["_value"], keys, ["_at", "_side", "_by"], span=span).where("_side = 1")
+    return out.withColumn(value, F.coalesce("_value", F.lit(default))).drop("_at", "_side", "_value", "_by")
+
+
 def leading_run(df: DataFrame, inside: Column, group: list[str], order: list[str], name: str) -> DataFrame:
     """Adds ``name``: is the row in the run of ``inside`` rows that its group begins with? The run
     ends at the first row outside, a minimum a group; no group is sorted. Rows of equal

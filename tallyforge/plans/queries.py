@@ -15,7 +15,7 @@ from tallyforge.functions import costs, formats, jsonpick, names
 from tallyforge.functions import timestamps as T
 from tallyforge.functions.tokens import saturating_minus
 from tallyforge.operators.blocks import block_starts, gap_blocks, is_active
-from tallyforge.operators.carry import as_of, carry_forward, leading_run, running_delta, with_lookup
+from tallyforge.operators.carry import as_of, as_of_merge, carry_forward, leading_run, running_delta, with_lookup
 from tallyforge.operators.dedupe import keep_first, keep_highest, keep_last, keep_ranked
 from tallyforge.operators.pricing import price
 from tallyforge.plans import reports as R
@@ -543,3 +543,46 @@ def price_after_aggregate(spark, sf_dir):
     r = built_in()["gpt-5.3-codex"]
     rate = F.struct(*(F.lit(v).alias(k) for k, v in r.__dict__.items() if k not in ("model", "context_limit") and v is not None))
     return rows.select("model", _money(costs.cumulative_log_cost(rate, fast=True)).alias("cost"))
+
+
+@query(
+    """with recursive e as (select epoch_us(ts) as us, value from events), b(first) as (
+        select min(us) from e
+        union all
+        select min(e.us) from b join e on e.us > b.first - b.first % 3600000000 + 9000000000 group by b.first
+    ), f as (select first, coalesce(lead(first) over (order by first), 1::bigint << 62) as until from b)
+    select first - first % 3600000000 as block_start, min(us) as first, max(us) as last, count(*) as entries, round(sum(value), 6) as total
+    from f join e on us >= f.first and us < until group by f.first"""
+)
+def blocks_of_all_events(spark, sf_dir):
+    """Blocks of two and a half hours over all events as one history."""
+    placed = block_starts(_events(spark, sf_dir).withColumn("all", F.lit(1)), "us", ["all"], HOUR_US * 5 // 2, HOUR_US)
+    sums = placed.groupBy("block_start").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("entries"), F.sum("value").alias("total"))
+    return sums.withColumn("total", _money(F.col("total")))
+
+
+@query(
+    """select event_id, case when event_id % 4 = 0 then null else greatest(floor(value)::bigint - coalesce(last_value(case when event_id % 4 <> 0 then floor(value)::bigint end ignore nulls)
+        over (order by ts, event_id rows between unbounded preceding and 1 preceding), 0), 0) end as total_delta,
+        last_value(case when event_type in ('view', 'signup') then event_type end ignore nulls) over (order by ts, event_id rows between unbounded preceding and current row) as model from events"""
+)
+def carries_of_one_session(spark, sf_dir):
+    """Running differences and carried models over all events as one session, a day at a time."""
+    day = F.floor(F.col("us") / (24 * HOUR_US))
+    total, model = F.when(F.col("event_id") % 4 != 0, F.floor("value").cast("long")), F.when(F.col("event_type").isin("view", "signup"), F.col("event_type"))
+    rows = _events(spark, sf_dir).withColumns({"session": F.lit(1), "total": total, "model": model})
+    rows = running_delta(rows, ["total"], ["session"], ["us", "event_id"], span=day)
+    return carry_forward(rows, ["model"], ["session"], ["us", "event_id"], span=day).select("event_id", "total_delta", "model")
+
+
+@query(
+    """with v as (select l_suppkey as k, l_shipdate as since, max(l_returnflag) as flag from lineitem where l_linenumber = 1 group by all)
+    select l_orderkey, l_linenumber, coalesce(flag, 'none') as flag from lineitem asof left join v on l_suppkey = k and l_shipdate >= since"""
+)
+def asof_long_versions(spark, sf_dir):
+    """The flag of the supplier's latest first line by the day a line ships: a version for each order."""
+    lines = table(spark, sf_dir, "lineitem")
+    versions = lines.where("l_linenumber = 1").select("l_suppkey", F.col("l_shipdate").alias("since"), F.col("l_returnflag").alias("flag"))
+    facts = lines.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate")
+    year = F.year("_at")
+    return as_of_merge(facts, versions, ["l_suppkey"], "l_shipdate", "since", "flag", "none", span=year).select("l_orderkey", "l_linenumber", "flag")

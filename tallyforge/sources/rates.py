@@ -212,16 +212,43 @@ def _within(value: str, key: str) -> bool:
     return re.search(rf"(?<![0-9A-Za-z]){re.escape(key)}{behind}", value) is not None
 
 
-def card_key(model: str, keys: list[str]) -> str | None:
+def _parts(name: str) -> set[str]:
+    """Runs of ASCII letters and digits. A name that stands whole in another has all its parts there."""
+    return set(re.findall("[0-9A-Za-z]+", name))
+
+
+class NameIndex:
+    """A card's keys by their parts, so that a name is held against few of them."""
+
+    def __init__(self, keys):
+        self.keys = set(keys)
+        self.holding: dict[str, list[str]] = {}
+        for key in sorted(self.keys):
+            for part in _parts(key) or {""}:
+                self.holding.setdefault(part, []).append(key)
+        self.rarest: dict[str, list[str]] = {}
+        for key in sorted(self.keys):
+            self.rarest.setdefault(min(_parts(key) or {""}, key=lambda p: (len(self.holding[p]), p)), []).append(key)
+
+    def near(self, name: str) -> set[str]:
+        """Keys that may stand in the name, or it in them."""
+        parts = _parts(name)
+        out = {key for part in parts | {""} for key in self.rarest.get(part, ())}
+        fewest = min((self.holding.get(part, []) for part in parts), key=len, default=self.keys)
+        return out | set(fewest)
+
+
+def card_key(model: str, keys: list[str] | NameIndex) -> str | None:
     """The card row a model means: its own, else the longest (then first) that holds it or
     that it holds, as written or with dots and at-signs read as dashes; else by alias."""
+    index = keys if isinstance(keys, NameIndex) else NameIndex(keys)
 
     def find(name):
-        if name in keys:
+        if name in index.keys:
             return name
         flat = name.replace(".", "-").replace("@", "-")
         fits = []
-        for key in keys:
+        for key in index.near(name):
             other = key.replace(".", "-").replace("@", "-")
             if _within(name, key) or _within(key, name) or _within(flat, other) or _within(other, flat):
                 fits.append(key)
@@ -233,11 +260,11 @@ def card_key(model: str, keys: list[str]) -> str | None:
 def match_models(models: DataFrame, cards: list[dict[str, Rate]]) -> DataFrame:
     """Distinct ``model`` names with ``rate`` (struct of the card row, null if unpriced).
 
-    Later cards are asked only for what the earlier ones miss. Model names are few; the
-    matcher runs once for each, and facts join its result.
+    Later cards are asked only for what the earlier ones miss. Each distinct name meets the
+    keys that share a part with it (an index of the card's size), and facts join the result.
     """
     spark = models.sparkSession
-    held = [(sorted(card), card) for card in cards]
+    held = [(NameIndex(card), card) for card in cards]
 
     @F.pandas_udf("string")
     def key(names: pd.Series) -> pd.Series:

@@ -219,3 +219,40 @@ def test_carries_in_two_levels(spark, span):
     assert one == two and len(one) == 300
     runs = {r.k for r in leading_run(df, F.col("k") < 100, ["g"], ["k"], "inside").where("inside").collect()}
     assert runs == set(range(100))
+
+
+def test_name_index_finds_what_a_full_search_finds():
+    import random
+
+    from tallyforge.sources import rates
+
+    def full(model, keys):
+        flat = lambda x: x.replace(".", "-").replace("@", "-")
+        hold = lambda a, b: rates._within(a, b) or rates._within(b, a)
+        fits = [k for k in keys if hold(model, k) or hold(flat(model), flat(k))]
+        return model if model in keys else min(fits, key=lambda k: (-len(k.encode()), k), default=None)
+
+    rng, parts = random.Random(1), ["gpt", "5", "mini", "claude", "4", "20250101", "é", "a1", "-", ".", "@", "/", "--"]
+    name = lambda: "".join(rng.choice(parts) + rng.choice(["-", ".", "/", "@", "", "_"]) for _ in range(rng.randint(1, 5)))
+    keys = sorted({name() for _ in range(150)})
+    index = rates.NameIndex(keys)
+    names = [name() for _ in range(600)]
+    assert [rates.card_key(m, index) for m in names] == [full(m, keys) for m in names]
+    many = rates.NameIndex([f"vendor{k % 40}/model-{k}-{k % 7}" for k in range(3000)])
+    assert sum(len(many.near(f"model-{k}-x")) for k in range(10_000)) < 10_000 * 100
+
+
+@pytest.mark.parametrize("span", [None, 3])
+def test_as_of_merge_is_as_of(spark, span):
+    import random
+
+    from tallyforge.operators.carry import as_of, as_of_merge
+
+    rng = random.Random(4)
+    day = lambda: rng.choice([None, *(f"2024-01-{k:02d}" for k in range(1, 28))])
+    facts = spark.createDataFrame([(k, "x", day()) for k in range(200)], "id int, key string, day string")
+    versions = spark.createDataFrame([(d, f"v{k % 9}") for k in range(30) if (d := day())], "since string, version string")
+    want = {r.id: r.version for r in as_of(facts, versions, "day", "since", "version", "none").collect()}
+    coarse = None if span is None else F.floor(F.substring("_at", 9, 2).cast("int") / span)
+    got = as_of_merge(facts, versions.withColumn("key", F.lit("x")), ["key"], "day", "since", "version", "none", coarse)
+    assert {r.id: r.version for r in got.collect()} == want and set(got.columns) == {"id", "key", "day", "version"}
