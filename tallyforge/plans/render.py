@@ -1,11 +1,15 @@
-"""Finished reports as JSON or text. A report is small by then: a row a period or session."""
+"""Finished reports as JSON or text: whole (a row a period), or written in parts by Spark (sessions)."""
 
 from __future__ import annotations
 
 import json
 import re
 
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.sources.textlogs import listed_files, opened, whole_path
 
 NAMES = {
     "input_tokens": "inputTokens",
@@ -30,9 +34,9 @@ COSTS = {"totalCost", "costUSD", "cost"}
 
 def plain(value, nested: bool = False):
     """Rows to dicts under report names; whole floats print as integers."""
-    if isinstance(value, Row):
+    if isinstance(value, (Row, dict)):
         out = {}
-        for name, x in value.asDict().items():
+        for name, x in (value.asDict() if isinstance(value, Row) else value).items():
             if name in HIDDEN or name in OPTIONAL and x is None:
                 continue
             key = "modelName" if nested and name == "model" else "cost" if nested and name == "cost" else NAMES.get(name, name)
@@ -62,13 +66,76 @@ def report_json(rows: DataFrame, totals: DataFrame | None, key: str, costs: bool
     else:
         out = {key: data}
     if totals is not None:
-        sums = plain(totals.head())
-        if not sums.get("credits"):
-            sums.pop("credits", None)
-        out["totals"] = sums
+        out["totals"] = _sums(totals)
     return json.dumps(out if costs else without_costs(out), indent=2, ensure_ascii=False)
 
 
+def _sums(totals: DataFrame) -> dict:
+    sums = plain(totals.head())
+    if not sums.get("credits"):
+        sums.pop("credits", None)
+    return sums
+
+
+def write_report(rows: DataFrame, totals: DataFrame | None, folder: str, key: str, costs: bool = True, by_project: bool = False) -> None:
+    """A report of any size as text below ``folder``: ``rows`` in parts, each a sorted range with
+    a JSON object a line, and ``last``, the name of the list and the totals. Nothing but the
+    totals comes to the driver; ``join_report`` makes the one document of it."""
+    if by_project:  # in the order of projects, and in each in the report's
+        rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_group", F.coalesce(F.nullif("project", F.lit("")), F.lit("unknown")))
+        rows = rows.orderBy("_group", "_at")
+
+    def lines(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                group = row.pop("_group", None)
+                row.pop("_at", None)
+                shown = plain(row)
+                out.append(json.dumps([group, shown if costs else without_costs(shown)], ensure_ascii=False))
+            yield pa.RecordBatch.from_pydict({"value": pa.array(out, pa.string())})
+
+    rows.mapInArrow(lines, "value string").write.text(f"{folder}/rows")
+    last = [key, by_project, None if totals is None else _sums(totals) if costs else without_costs(_sums(totals))]
+    rows.sparkSession.createDataFrame([(json.dumps(last, ensure_ascii=False),)], "value string").coalesce(1).write.text(f"{folder}/last")
+
+
+def join_report(spark: SparkSession, folder: str, out_path: str) -> None:
+    """The parts of ``write_report`` as one JSON document, the same text that ``report_json`` gives.
+    Parts are copied through one after the other, a line at a time."""
+
+    def parts(of):
+        for row in listed_files(spark, f"{folder}/{of}", "part-*").select("uri").orderBy("uri").toLocalIterator():
+            fs, path = opened(row["uri"])
+            with fs.open_input_stream(path, compression=None) as file, pa.PythonFile(file, mode="r") as lines:
+                rest = b""
+                while block := lines.read(1 << 20):
+                    *whole, rest = (rest + block).split(b"\n")
+                    yield from (json.loads(x) for x in whole if x)
+                if rest:
+                    yield json.loads(rest)
+
+    key, by_project, sums = next(parts("last"))
+    fs, path = opened(whole_path(spark, out_path))
+    deep = "      " if by_project else "    "
+    shown = lambda x, pad: json.dumps(x, indent=2, ensure_ascii=False).replace("\n", "\n" + pad)
+    opens, closes = ("{", "}") if by_project else ("[", "]")
+    with fs.open_output_stream(path, compression=None) as out:
+        put = lambda text: out.write(text.encode())
+        put(f'{{\n  {json.dumps("projects" if by_project else key)}: {opens}')
+        count, now = 0, None
+        for group, row in parts("rows"):
+            if by_project and (count == 0 or group != now):
+                put(("\n    ]," if count else "") + f"\n    {json.dumps(group, ensure_ascii=False)}: [\n")
+            else:
+                put(",\n" if count else "\n")
+            put(deep + shown(row, deep))
+            count, now = count + 1, group
+        put(("\n    ]" if by_project and count else "") + ("\n  " if count else "") + closes)
+        put("" if sums is None else ',\n  "totals": ' + shown(sums, "  "))
+        put("\n}")
+
+
 def table(rows: DataFrame, columns: dict[str, str], width: int | None = None, total: bool = True) -> str:
     """A text table: ``columns`` maps column names to headings; numbers right-aligned, lists a
     line each; narrow tables drop the cache columns."""

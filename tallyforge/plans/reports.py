@@ -151,6 +151,14 @@ def sessions(rows: DataFrame, options: Options = Options()) -> DataFrame:
     return out.orderBy(F.desc("cost"), *keys)
 
 
+def agent_sessions(rows: DataFrame, options: Options = Options()) -> DataFrame:
+    """The session form of tools without project paths: by session alone, in the order of ids,
+    with the last activity; sessions without tokens stay. Bounds as in ``sessions``."""
+    out = summarize(rows, ["session_id"], {"last_ms": (F.max("ts_ms"), F.max("last_ms"))})
+    out = between(out, T.local_date(F.col("last_ms"), options.timezone), options)
+    return out.withColumn("last_activity", T.iso_ms(F.col("last_ms"))).orderBy("session_id")
+
+
 def _of_session(session_id: str) -> Column:
     """Rows under the session's own id or the one of their file."""
     return (F.col("session_id") == session_id) | F.coalesce(F.col("raw_session_id") == session_id, F.lit(False))

@@ -47,8 +47,8 @@ def j(**fields):
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
-def source(agent: str, sql: str):
-    """Registers ``source_<agent>``; the function writes events to a folder in the tool's format."""
+def source(agent: str, sql: str, form: str = ""):
+    """Registers ``source_<agent>`` (and the form of its log); the function writes events to a folder in the tool's format."""
 
     def keep(write):
         def run(spark, sf_dir):
@@ -60,7 +60,7 @@ def source(agent: str, sql: str):
                 "session_id", "ts_ms", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens", F.round("cost", 12).alias("cost")
             )
 
-        name = f"source_{agent}"
+        name = f"source_{agent}{form}"
         run.__name__ = name
         Q[name], SQL[name] = run, sql
         return write
@@ -138,8 +138,8 @@ def gemini(e, folder):
 
 
 def _documents(e: DataFrame, folder: str, file, item, build) -> None:
-    """One JSON document for each session, its items in the order of events."""
-    rows = e.withColumn("item", item).groupBy("s").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
+    """One JSON document for each session and share, its items in the order of events."""
+    rows = e.withColumns({"item": item, "share": share()}).groupBy("s", "share").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "item"))), lambda x: x["item"]).alias("items"))
     write_logs(rows.select(file.alias("file"), text(0).alias("n"), F.to_json(build).alias("line")), folder)
 
 
@@ -148,14 +148,22 @@ def amp(e, folder):
     event = j(id=F.concat(text("g"), "n"), timestamp=c("iso"), model=c("m"), toMessageId=F.when(c("n") % 2 == 0, c("n")), tokens=j(input=c("i"), output=c("o")))
     message = j(role=text("assistant"), messageId=c("n"), usage=j(cacheCreationInputTokens=c("w"), cacheReadInputTokens=c("r")))
     thread = j(id=c("s"), messages=F.transform("items", lambda x: x["message"]), usageLedger=j(events=F.transform("items", lambda x: x["event"])))
-    _documents(e, folder, F.concat(text("threads/"), "s", text(".json")), j(event=event, message=message), thread)
+    _documents(e, folder, F.concat(text("threads/"), "s", text("-"), "share", text(".json")), j(event=event, message=message), thread)
 
 
 @source("codebuff", expected(session="'manicode/p/' || s"))
 def codebuff(e, folder):
     usage = j(inputTokens=c("i"), outputTokens=c("o"), cacheCreationInputTokens=c("w"), cacheReadInputTokens=c("r"))
     item = j(variant=text("ai"), id=c("n").cast("string"), timestamp=c("iso"), metadata=j(model=c("m"), usage=usage))
-    _documents(e, folder, F.concat(text("manicode/projects/p/chats/"), "s", text("/chat-messages.json")), item, c("items"))
+    _documents(e, folder, F.concat(text("r"), "share", text("/manicode/projects/p/chats/"), "s", text("/chat-messages.json")), item, c("items"))
+
+
+@source("gemini", expected(w="0", extra="event_id % 5", billed="o + event_id % 5"), "_documents")
+def gemini_documents(e, folder):
+    """Session documents; cached tokens are within the input there, as the total shows."""
+    tokens = j(input=c("i") + c("r"), output=c("o"), cached=c("r"), thoughts=c("n") % 5, total=c("i") + c("r") + c("o") + c("n") % 5)
+    message = j(type=text("gemini"), id=F.concat(text("g"), "n"), model=c("m"), timestamp=c("iso"), tokens=tokens)
+    _documents(e, folder, F.concat(text("chats/"), "s", text("-"), "share", text(".json")), message, j(sessionId=c("s"), messages=c("items")))
 
 
 _DROID = _BASE + """, d as (select s, max(ms) as ms, sum(i)::bigint as i, sum(o)::bigint as o, sum(w)::bigint as w, sum(r)::bigint as r from e group by s)

@@ -11,6 +11,7 @@ from tallyforge.plans.config import settings
 from tallyforge.plans.reports import (
     Options,
     activity_blocks,
+    agent_sessions,
     codex_report,
     daily,
     load_usage,
@@ -355,3 +356,14 @@ def test_settings():
     config = {"defaults": {"mode": "auto", "order": "asc"}, "commands": {"daily": {"order": "desc"}, "claude:daily": {"mode": "display"}}, "claude": {"defaults": {"timezone": "UTC"}, "commands": {"daily": {"timezone": "Asia/Tokyo"}}}}
     assert settings(config, "daily") == {"mode": "auto", "order": "desc"}
     assert settings(config, "daily", "claude", order="asc", mode=None) == {"mode": "display", "order": "asc", "timezone": "Asia/Tokyo"}
+
+
+def test_reports_in_parts_join_to_the_same_json(spark, claude_logs, tmp_path):
+    rows = load_usage(spark, "claude", claude_logs, DISPLAY)
+    for k, (report, by_project, costs) in enumerate([(daily(rows), False, True), (daily(rows, by_project=True), True, False), (sessions(rows).repartition(1), False, True), (daily(rows).where("false"), False, True)]):
+        render.write_report(report, totals(report), str(tmp_path / f"r{k}"), "list", costs, by_project)
+        render.join_report(spark, str(tmp_path / f"r{k}"), str(tmp_path / f"r{k}.json"))
+        assert (tmp_path / f"r{k}.json").read_text() == render.report_json(report, totals(report), "list", costs, by_project)
+    got = agent_sessions(rows).collect()
+    assert [(r.session_id, r.cost, r.last_activity) for r in got] == [("dawn", 3.0, "2025-06-20T08:20:00.000Z"), ("night", 0.75, "2025-06-17T00:30:00.000Z"), ("noon", 0.125, "2025-06-17T12:45:00.000Z")]
+    assert [r.session_id for r in agent_sessions(rows, Options(until="20250617")).collect()] == ["night", "noon"]
