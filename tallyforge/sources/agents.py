@@ -20,7 +20,7 @@ from tallyforge.functions.tokens import saturating_minus, total_tokens, with_tot
 from tallyforge.operators.carry import carry_forward, with_lookup
 from tallyforge.operators.dedupe import keep_highest
 from tallyforge.sources.sqlite import sqlite_rows
-from tallyforge.sources.textlogs import RANGE, json_lines, log_lines, whole_files
+from tallyforge.sources.textlogs import RANGE, json_lines, log_lines, once, whole_files, written
 
 COLUMNS = {
     "agent": "string",
@@ -65,6 +65,8 @@ def usage(df: DataFrame, agent: str, **given: Column) -> DataFrame:
         value = given.get(name, F.col(name) if name in df.columns else empty.get(name, F.lit(None)))
         pick[name] = value.cast(kind).alias(name)
     out = df.select(*pick.values())
+    #: Filters on the columns stay above this, so none of them is computed twice.
+    out = once(out.select(F.struct(*COLUMNS).alias("_row")), "_row", F.col("_row")).select("_row.*")
     out = out.withColumn("ts_text", F.coalesce("ts_text", T.iso_ms(F.col("ts_ms"))))
     return out.withColumn("candidates", F.coalesce("candidates", F.when(F.col("model").isNotNull(), F.array("model"))))
 
@@ -104,7 +106,7 @@ def read_claude(spark: SparkSession, path: str, project: str | None = None) -> D
     rows = rows.where(~F.col("value").rlike(f'"({NULLS})"[^"]?:null'))
     rows = json_lines(rows)
     nested = ~J.exists(F.col("v"), "message") & J.exists(F.col("v"), "data", "message", "message")
-    rows = rows.withColumn("v", F.when(nested, J.node(F.col("v"), "data", "message")).otherwise(F.col("v")))
+    rows = once(rows, "v", F.when(nested, J.node(F.col("v"), "data", "message")).otherwise(F.col("v")))
     v, u = F.col("v"), ("message", "usage")
     strict = _well_typed(
         v,
@@ -313,9 +315,8 @@ def read_copilot(spark: SparkSession, path: str) -> DataFrame:
     for key, p in reversed(sorted(_SESSION_ATTRS, key=lambda x: x[1])):
         have = J.text(v, *a(key))
         session, priority = F.coalesce(session, have), F.when(priority > 0, priority).when(have.isNotNull(), p).otherwise(0)
-    rows = rows.withColumns(
+    rows = once(rows, "rank", rank).withColumns(
         {
-            "rank": rank,
             "trace": F.coalesce(J.text(v, "traceId"), J.text(v, "spanContext", "traceId")),
             "response": J.text(v, *a("gen_ai.response.id")),
             "own_model": F.coalesce(*(J.text(v, *a(k)) for k in _MODEL_ATTRS)),
@@ -352,7 +353,7 @@ def read_copilot(spark: SparkSession, path: str) -> DataFrame:
         message_count=n(u + "total_tokens", u + "total.token_count"),
         bill_extra=F.lit(True),
     )
-    out = _settle(out)
+    out = written(_settle(out))
     for key in ("request_id", "message_id"):
         out = keep_highest(out, ["file", key], "version")
     return out.select(*COLUMNS).withColumn("version", F.lit(None).cast("string"))
@@ -362,7 +363,7 @@ def read_copilot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return whole_files(spark, path, glob).withColumn("line_no", F.lit(0)).withColumn("v", F.try_parse_json("value")).where("v is not null")
+    return json_lines(whole_files(spark, path, glob).withColumn("line_no", F.lit(0)))
 
 
 def _items(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -610,6 +611,7 @@ def read_gemini(spark: SparkSession, path: str) -> DataFrame:
     docs = docs.withColumns({"session": F.coalesce(sess(v), stem), "hint": J.text(v, "model")})
     rows = rows.withColumns({"session": sess(v), "hint": J.text(v, "model")})
     rows = carry_forward(rows, ["session", "hint"], ["file"], ["line_no"], span=F.floor(F.col("line_no") / RANGE)).withColumn("session", F.coalesce("session", stem))
+    docs, rows = written(docs), written(rows)  # several forms are looked for in each
     m, no = F.col("m"), F.lit(False)
     listed = F.coalesce(J.kind(v, "messages").startswith("ARRAY"), no)
     single = F.coalesce(J.raw_text(v, "type") == "gemini", no)
@@ -668,7 +670,7 @@ def read_opencode(spark: SparkSession, path: str) -> DataFrame:
     """Messages of the databases, then of message files; a message id counts once, from the
     database first (see dedupe)."""
     db = sqlite_rows(spark, path, "message", MESSAGE, "opencode*.db", MESSAGE_PLACES)
-    db = db.withColumn("v", F.try_parse_json("value")).where("v is not null")
+    db = json_lines(db)
     files = _documents(spark, path, "*.json").where(F.col("file").contains("/storage/message/"))
     none = F.lit(None).cast("string")
     return _opencode(db, F.col("session"), F.col("id")).withColumn("item_no", F.lit(0).cast("long")).unionByName(
@@ -679,7 +681,7 @@ def read_opencode(spark: SparkSession, path: str) -> DataFrame:
 def read_kilo(spark: SparkSession, path: str) -> DataFrame:
     #: Only texts that name the role are parsed.
     db = sqlite_rows(spark, path, "message", MESSAGE, "kilo.db", MESSAGE_PLACES, [("instr(data, ?) > 0", ["assistant"])])
-    db, v, t = db.withColumn("v", F.try_parse_json("value")), F.col("v"), "tokens"
+    db, v, t = json_lines(db), F.col("v"), "tokens"
     db = db.where((J.raw_text(v, "role") == "assistant") & J.exists(v, t))
     model, provider = J.text(v, "modelID"), F.translate(J.text(v, "providerID"), "-", "_")
     created = J.integer(v, "time", "created")

@@ -250,6 +250,13 @@ def last_line(files: DataFrame, matches, block: int = 64 << 10) -> DataFrame:
     return files.select("uri", "file").mapInArrow(read, "file string, value string, bytes_read long")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row. A plain projection would be repeated in
+    each filter and expression that reads it, since filters move below it; a generator of one
+    row stays where it is."""
+    return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
 def json_lines(rows: DataFrame) -> DataFrame:
     """Lines that parse as JSON, with the VARIANT column ``v``."""
-    return rows.withColumn("v", F.try_parse_json("value")).where("v is not null")
+    return once(rows, "v", F.try_parse_json("value")).where("v is not null")
