@@ -34,8 +34,8 @@ from pyspark.sql.datasource import (
 
 from tallyforge.sources.textlogs import opened, whole_path
 
-#: Row ids of a partition.
-ROWS = 100_000
+#: Row ids of a partition; bytes of a database's header (a file below that holds no table).
+ROWS, HEADER = 100_000, 100
 _COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
@@ -85,7 +85,8 @@ class SqliteReader(DataSourceReader):
         if info.type == pafs.FileType.NotFound:
             raise FileNotFoundError(f"no file or folder: {self.uri}")
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
-        paths = sorted(x.path for x in found if x.type == pafs.FileType.File and (x is info or fnmatch(x.path.rpartition("/")[2], self.match)))
+        files = [x for x in found if x.type == pafs.FileType.File and x.size >= HEADER]
+        paths = sorted(x.path for x in files if x is info or fnmatch(x.path.rpartition("/")[2], self.match))
         if not isinstance(fs, pafs.LocalFileSystem):
             scheme = self.uri.split("://")[0]
             return [RowRange(f"{scheme}://{p}", None, None) for p in paths] or [RowRange("", None, None)]
@@ -99,7 +100,7 @@ class SqliteReader(DataSourceReader):
         return out or [RowRange("", None, None)]
 
     def _bounds(self, path):
-        """First and last row id; none for an empty table, an empty file or another application's."""
+        """First and last row id; none for an empty table or another application's database."""
         with _database(f"file:{path}") as db:
             if db.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ?", [self.table]).fetchone() is None:
                 return None, None
@@ -139,7 +140,7 @@ class FilteringReader(SqliteReader):
 @contextmanager
 def _database(uri: str):
     """A database opened read only; one of another file system from a copy for this task. A file
-    that isn't a database raises (SQLite takes an empty one for an empty database)."""
+    that isn't a database raises."""
     if uri.startswith("file:"):
         db = sqlite3.connect(f"file:{'/' + uri.removeprefix('file:').lstrip('/')}?mode=ro", uri=True)
         try:
@@ -193,7 +194,8 @@ def sqlite_rows(
 ) -> DataFrame:
     """file, line_no (the row id) and ``columns`` (name: type) of a table in every database below
     ``path``. ``places``: SQL for columns that the table calls otherwise; ``where``: conditions
-    that SQLite checks. A missing path raises; a database without the table has no rows."""
+    that SQLite checks. A missing path raises, and so does a damaged database; one without the
+    table has no rows, nor has a file too short for a database's header."""
     spark.dataSource.register(SqliteDataSource)
     ddl = "file string, line_no long, " + ", ".join(f"{name} {kind}" for name, kind in columns.items())
     pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
