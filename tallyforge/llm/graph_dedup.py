@@ -1,12 +1,14 @@
-"""Near duplicates of vectors: all links of a cosine or more, found in tiles of blocks.
-
-Vectors of one label are dealt to one home shard each, around sampled centroids; shards
-that are too large are dealt again and at last divided by hash, so every block is bounded.
-A block keeps its mean direction and the largest angle to it. Two vectors within an angle
-of t can only lie in blocks whose directions are within t and both radii (the triangle
-inequality on angles), and all pairs of such blocks are compared, each pair in a task of
-its own. What is near the limit in single precision is decided in double precision. How
-vectors are dealt changes the cost and never the result.
+"""Near duplicates of vectors by a robust-pruned graph, with exact tiles for dense groups.
+
+Vectors of one label are dealt to overlapping shards around sampled centroids: the nearest one
+(their home) and the next nearest that a link could reach. Each shard builds a graph by robust
+pruning; the lists of a vector are united over its shards. A range-expanding greedy search from
+medoids then runs in each shard over the united lists; edges that leave a shard from a row in
+range give candidates elsewhere, which are verified and followed in turn. A search whose list
+fills up marks a dense vector. A bounded audit compares drawn vectors with all others, and
+shards in which it finds a loss are treated as dense too. Links between two dense vectors come
+from exact tiles: all pairs of blocks that can hold a link (triangle inequality on angles) are
+compared. Every link is decided in double precision where single precision leaves a doubt.
 """
 
 from __future__ import annotations
@@ -18,10 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import components, cut
+from tallyforge.llm.pruned_graph import padded, range_search, robust_prune
 from tallyforge.llm.vectors import matrices, usable
 
-#: Vectors for each centroid, centroids sent to the tasks in one round, vectors a shard holds.
-PER_CENTROID, CENTROIDS, SHARD = 1000, 8192, 2000
+#: Vectors for each centroid, bytes of centroids sent to the tasks in one round, vectors a shard holds.
+PER_CENTROID, CENTROID_BYTES, SHARD = 400, 4 << 20, 2000
+#: Shards that a vector joins in a round, rounds of dealing.
+OVERLAP, ROUNDS = 2, 8
+#: Vectors that the audit compares with all others, and the bytes they may have.
+AUDIT, AUDIT_BYTES = 1024, 4 << 20
 #: Rows of a tile that are compared at once, and parts over which block pairs of a label spread.
 STEP, SPREAD = 512, 16
 
@@ -50,62 +57,211 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _deal(plan):
-    """Rows to rows with the shard of the nearest centroid; ``plan``: parent -> centroids."""
+def _deal(plan, least: float):
+    """Rows to rows with the shard of the nearest centroid; ``plan``: parent -> centroids. A home
+    row also becomes a guest of the next nearest, unless no link can reach it: both ends
+    are nearest to their own centroid, so that one is at most two linking angles farther."""
+    reach = 2 * float(np.arccos(least)) + 1e-6
 
     def run(batches):
         held = plan.value
         for batch in batches:
             parents = np.array(batch.column("shard").to_pylist(), dtype=object)
-            shards = parents.copy()
+            homes = np.array(batch.column("home").to_pylist(), dtype=bool)
+            rows_of, shards, home = [], [], []
             for at, rows in matrices(batch.column("vector")):
                 x = unit(rows)
                 for parent in np.unique(parents[at].astype(str)):
-                    own = parents[at] == parent
-                    shards[at[own]] = [f"{parent}/{k}" for k in (x[own] @ held[parent].T).argmax(axis=1)]
-            yield batch.set_column(batch.schema.get_field_index("shard"), "shard", pa.array(shards, pa.string()))
+                    own = np.flatnonzero(parents[at] == parent)
+                    angle = np.arccos(np.clip(x[own] @ held[parent].T, -1, 1))
+                    order = np.argsort(angle, axis=1, kind="stable")[:, :OVERLAP]
+                    near = np.take_along_axis(angle, order, axis=1)
+                    fits = (near - near[:, :1] <= reach) & homes[at[own]][:, None]
+                    fits[:, 0] = True
+                    r, c = np.nonzero(fits)
+                    rows_of.append(at[own[r]])
+                    shards += [f"{parent}/{k}" for k in order[r, c]]
+                    home.append(homes[at[own[r]]] & (c == 0))
+            if rows_of:
+                out = batch.take(pa.array(np.concatenate(rows_of)))
+                out = out.set_column(out.schema.get_field_index("shard"), "shard", pa.array(shards, pa.string()))
+                yield out.set_column(out.schema.get_field_index("home"), "home", pa.array(np.concatenate(home)))
 
     return run
 
 
-_DEALT = "node long, rep long, label string, shard string, weight long, vector array<double>"
+_MEMBER = ["node", "rep", "label", "shard", "weight", "home", "hard", "vector"]
 
 
-def shards_of(reps: DataFrame) -> DataFrame:
-    """Deals rows of ``_DEALT`` on until no shard holds more than about SHARD vectors.
+def shards_of(reps: DataFrame, least: float, widest: int) -> DataFrame:
+    """Deals rows of ``_MEMBER`` on until no shard holds more than SHARD vectors.
 
-    Each row keeps one shard, its home. Where too few centroids were drawn, or they didn't
-    divide a shard, it is divided by hash: a search meets all parts that can hold a link."""
+    Each row has one home and may be a guest elsewhere. What centroids don't divide within
+    ROUNDS is divided by hash and marked ``hard``: only exact tiles serve it."""
     now, done = reps, None
-    columns = ["node", "rep", "label", "shard", "weight", "vector"]
-    for turn in range(13):
+    schema = reps.select(_MEMBER).schema
+    most = max(2, CENTROID_BYTES // (8 * widest))
+    for turn in range(ROUNDS + 1):
         sizes = now.groupBy("shard").agg(F.count("*").alias("n"))
         large = cut(sizes.where(F.col("n") > SHARD))
-        fine = now.join(large, "shard", "left_anti").select(columns)
+        fine = now.join(large, "shard", "left_anti").select(_MEMBER)
         done = fine if done is None else done.union(fine)
         total = large.agg(F.sum("n")).head()[0]
         if not total:
             break
         now = now.join(large, "shard")
-        plan: dict[str, list] = {}
-        if turn < 12:
-            per = max(PER_CENTROID, -(-total // CENTROIDS))
-            drawn = now.where(F.pmod(F.xxhash64("node", "shard"), F.lit(per)) == 0).select("shard", "vector").limit(2 * CENTROIDS).collect()
-            for row in drawn:
-                plan.setdefault(row["shard"], []).append(row["vector"])
-            plan = {k: unit(np.array(v)) for k, v in plan.items() if len(v) > 1}
-        parts = F.ceil(2 * F.col("n") / SHARD)
-        salted = F.concat_ws("#", "shard", F.pmod(F.xxhash64(F.lit("part"), F.lit(turn), "node"), parts))
-        rest = (now.where(~F.col("shard").isin(*plan)) if plan else now).withColumn("shard", salted)
-        if not plan:
-            done = done.union(rest.select(columns))
+        if turn == ROUNDS:
+            parts = F.ceil(2 * F.col("n") / SHARD)
+            salted = F.concat_ws("#", "shard", F.pmod(F.xxhash64(F.lit("part"), "node"), parts))
+            done = done.union(now.withColumn("shard", salted).withColumn("hard", F.lit(True)).select(_MEMBER))
             break
-        sent = reps.sparkSession.sparkContext.broadcast(plan)
-        ready = now.where(F.col("shard").isin(*plan)).select(columns).mapInArrow(_deal(sent), _DEALT)
-        now = cut(ready.union(rest.select(columns)))
+        per = max(PER_CENTROID, -(-2 * total // most))
+        drawn = now.where(F.pmod(F.xxhash64("node", "shard", F.lit(turn)), F.lit(per)) == 0).select("shard", "vector").limit(most).collect()
+        plan: dict[str, list] = {}
+        for row in drawn:
+            plan.setdefault(row["shard"], []).append(row["vector"])
+        plan = {k: unit(np.array(v, dtype=np.float64)) for k, v in plan.items() if len(v) > 1}
+        if plan:
+            sent = reps.sparkSession.sparkContext.broadcast(plan)
+            ready = now.where(F.col("shard").isin(*plan)).select(_MEMBER).mapInArrow(_deal(sent, least), schema)
+            now = cut(ready.union(now.where(~F.col("shard").isin(*plan)).select(_MEMBER)))
+        else:
+            now = now.select(_MEMBER)
     return cut(done)
 
 
+_EDGES = "node long, near array<struct<id: long, cos: float>>"
+
+
+def _graph(table: pa.Table) -> pa.Table:
+    """A shard's rows to their pruned lists of neighbours."""
+    node = table.column("node").to_numpy()
+    x = unit(matrices(table.column("vector").combine_chunks())[0][1]).astype(np.float32)
+    sims = x @ x.T
+    a, b = robust_prune(sims)
+    ends = pa.StructArray.from_arrays([pa.array(node[b], pa.int64()), pa.array(sims[a, b], pa.float32())], names=["id", "cos"])
+    offsets = np.append(0, np.cumsum(np.bincount(a, minlength=len(node))))
+    return pa.table({"node": pa.array(node), "near": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ends)})
+
+
+def _cosine_at_least(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows have a cosine of ``least`` in double precision, some at a time."""
+    parts = [_cosines(a[k : k + 65536], b[k : k + 65536]) >= least for k in range(0, len(a), 65536)]
+    return np.concatenate([np.zeros(0, dtype=bool), *parts])
+
+
+#: What a search gives: 0 a link (a < b), 1 a dense vector a, 2 a candidate b in another shard.
+_FOUND = "kind int, a long, b long, ra long, rb long, wa long, wb long"
+
+
+def _search(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        node, rep, weight = (table.column(name).to_numpy() for name in ("node", "rep", "weight"))
+        rows = matrices(table.column("vector").combine_chunks())[0][1]
+        lists = table.column("near").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        begin = np.repeat(np.arange(len(node)), sizes)
+        to, cos = flat.field("id").to_numpy(), flat.field("cos").to_numpy()
+        order = np.argsort(node)
+        place = order[np.minimum(np.searchsorted(node, to, sorter=order), len(node) - 1)]
+        inside = node[place] == to
+        x = unit(rows).astype(np.float32)
+        close = max(1e-4, 2e-7 * x.shape[1])
+        q, y, full = range_search(x, padded(len(node), begin[inside], place[inside]), least - close)
+        sure = _cosine_at_least(rows[q], rows[y], least)
+        q, y = q[sure], y[sure]
+        # edges that leave the shard from a row in range, where the angles allow a link
+        out_from, out_to, out_cos = begin[~inside], to[~inside], cos[~inside]
+        count = np.bincount(out_from, minlength=len(node))
+        first = np.cumsum(count) - count
+        starts, via = np.concatenate([q, np.flatnonzero(~full)]), np.concatenate([y, np.flatnonzero(~full)])
+        who = np.repeat(np.arange(len(starts)), count[via])
+        edge = first[via[who]] + np.arange(len(who)) - np.repeat(np.cumsum(count[via]) - count[via], count[via])
+        angle = lambda c: np.arccos(np.clip(c, -1, 1))
+        reach = angle(least) + angle(np.einsum("kd,kd->k", x[starts], x[via])) + 1e-3
+        could = angle(out_cos[edge]) <= reach[who]
+        outer = np.unique(np.column_stack([node[starts[who[could]]], out_to[edge[could]]]), axis=0)
+        low, high = np.where(node[q] < node[y], q, y), np.where(node[q] < node[y], y, q)
+        pairs = np.unique(np.column_stack([low, high]), axis=0)
+        low, high = pairs[:, 0], pairs[:, 1]
+        dense = np.flatnonzero(full)
+        none = np.zeros(len(dense) + len(outer), dtype=np.int64)
+        return pa.table({
+            "kind": pa.array(np.repeat([0, 1, 2], [len(low), len(dense), len(outer)]), pa.int32()),
+            "a": np.concatenate([node[low], node[dense], outer[:, 0]]), "b": np.concatenate([node[high], node[dense], outer[:, 1]]),
+            "ra": np.concatenate([rep[low], none]), "rb": np.concatenate([rep[high], none]),
+            "wa": np.concatenate([weight[low], none]), "wb": np.concatenate([weight[high], none]),
+        })
+
+    return run
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b), a < b, that are links, as rows of ``_FOUND``."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("rep").alias(f"r{x}"), F.col("weight").alias(f"w{x}"), F.col("vector").alias(f"v{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size("va") == F.size("vb")).select(F.lit(0).alias("kind"), "a", "b", "ra", "rb", "wa", "wb", "va", "vb")
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            other = dict((len(rows[0]), rows) for _, rows in matrices(batch.column("vb")))
+            for at, rows in matrices(batch.column("va")):
+                keep[at] = _cosine_at_least(rows, other[rows.shape[1]], least)
+            yield batch.select(["kind", "a", "b", "ra", "rb", "wa", "wb"]).filter(pa.array(keep))
+
+    return met.mapInArrow(run, _FOUND)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+
+
+def graph_links(members: DataFrame, classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, dense): links found by search, and the nodes whose search list filled up."""
+    lists = cut(members.where("not hard").groupBy("shard").applyInArrow(_graph, _EDGES).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    ready = members.where("not hard").select("node", "rep", "shard", "weight", "vector").join(lists, "node")
+    got = cut(ready.groupBy("shard").applyInArrow(_search(least), _FOUND))
+    dense = cut(got.where("kind = 1").select(F.col("a").alias("node")).union(members.where("hard").select("node")).distinct())
+    links = got.where("kind = 0").distinct()
+    fresh = _ordered(got.where("kind = 2").select("a", "b")).join(links.select("a", "b"), ["a", "b"], "left_anti")
+    new = cut(_verified(fresh, classes, least))
+    while not new.isEmpty():  # each round follows links that cross shards by one edge more
+        links = cut(links.union(new))
+        both = new.select(F.col("a").alias("q"), F.col("b").alias("node")).union(new.select(F.col("b").alias("q"), F.col("a").alias("node")))
+        step = both.join(dense.withColumnRenamed("node", "q"), "q", "left_anti").join(lists, "node").select("q", F.explode("near").alias("e"))
+        step = step.where(F.col("e.cos") >= float(np.cos(min(np.pi, 2 * np.arccos(least) + 1e-3)))).select(F.col("q").alias("a"), F.col("e.id").alias("b"))
+        new = cut(_verified(_ordered(step).join(links.select("a", "b"), ["a", "b"], "left_anti"), classes, least))
+    return links, dense
+
+
+def audited(classes: DataFrame, links: DataFrame, dense: DataFrame, least: float, widest: int) -> DataFrame:
+    """The links (a, b) that the search lost, of at most AUDIT vectors that aren't dense, drawn by
+    hash: these are compared with all others, a linear amount of work. Their bytes are bounded."""
+    most = max(1, min(AUDIT, AUDIT_BYTES // (8 * widest)))
+    sparse = classes.join(dense, "node", "left_anti")
+    drawn = sparse.orderBy(F.xxhash64("node"), "node").select("node", "label", "vector").limit(most).collect()
+    asked: dict[str, tuple] = {}
+    for label in sorted({r["label"] for r in drawn}):
+        own = [r for r in drawn if r["label"] == label]
+        asked[label] = (np.array([r["node"] for r in own]), np.array([r["vector"] for r in own], dtype=np.float64))
+    sent = classes.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        for batch in batches:
+            labels, node = np.array(batch.column("label").to_pylist(), dtype=object), batch.column("node").to_numpy()
+            for at, rows in matrices(batch.column("vector")):
+                for label in np.unique(labels[at].astype(str)):
+                    if label in sent.value:
+                        own = labels[at] == label
+                        q, x = sent.value[label]
+                        for i, j in tile_links(x, rows[own], least):
+                            yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(node[at[own]][j])], names=["a", "b"])
+
+    true = _ordered(classes.select("node", "label", "vector").mapInArrow(run, "a long, b long"))
+    return true.join(links.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _pack(table: pa.Table) -> pa.Table:
     """A shard's rows to one row: its vectors, mean direction and radius."""
     rows = matrices(table.column("vector").combine_chunks())[0][1]
@@ -190,7 +346,8 @@ def vector_duplicates(
 
     Rows of the same label (not null) link at a cosine, in double precision, of ``least``
     or more. Equal vectors are one node with their number as weight; n_links counts the
-    other rows linked. All links are found; ``audit_recall`` compares with all pairs.
+    other rows linked. Links of dense vectors are all found; others as the graph's search
+    finds them, and ``audit_recall`` compares with all pairs.
 
     Defined results: vectors that are null, empty, zero or hold null or non-finite
     components, and rows without a label or id, link with nothing and are kept (their
@@ -198,20 +355,33 @@ def vector_duplicates(
     repeat an id are vectors of their own for n_links and one node for components; other
     columns are ignored; an empty table gives an empty result.
     """
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector")
-    )
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"  # floats are exact as they are
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(kind).alias("vector"))
     part = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & usable(F.col("vector")), F.lit(False))
     rows = rows.withColumn("label", F.when(part, F.concat_ws(":", "label", F.size("vector"))))
     able = rows.where("label is not null")
     folded = able.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     classes = cut(folded.withColumn("node", F.monotonically_increasing_id()))
-    dealt = shards_of(classes.select("node", "rep", "label", F.col("label").alias("shard"), "weight", "vector"))
-    blocks = cut(dealt.groupBy("shard").applyInArrow(_pack, _BLOCK))
+    widest = classes.agg(F.max(F.size("vector"))).head()[0] or 1
+    reps = classes.select("*", F.col("label").alias("shard"), F.lit(True).alias("home"), F.lit(False).alias("hard"))
+    members = shards_of(reps, least, widest)
+    links, full = graph_links(members, classes, least)
+    lost = cut(audited(classes, links, full, least, widest))
+    homes = members.where("home")
+    ends = lost.select(F.col("a").alias("node")).union(lost.select(F.col("b").alias("node"))).distinct()
+    worse = homes.join(homes.join(ends, "node").select("shard").distinct(), "shard").select("node")
+    dense = cut(full.union(worse).distinct())
+    # links of two dense vectors come from tiles, all others from the search of the other one
+    a, b = (dense.select(F.col("node").alias(x), F.lit(True).alias(f"dense_{x}")) for x in "ab")
+    kept = links.join(a, "a", "left").join(b, "b", "left").where("dense_a is null or dense_b is null")
+    one = lambda x, y: kept.select(F.col(x).alias("node"), F.col(f"r{x}").alias("rep"), F.col(f"w{y}").alias("links"), F.col(f"r{y}").alias("root"))
+    blocks = cut(homes.join(dense, "node").groupBy("shard").applyInArrow(_pack, _BLOCK))
     pairs = block_pairs(blocks, least)
     sides = pairs.select("a", "b", F.col("a").alias("shard")).union(pairs.where("a != b").select("a", "b", F.col("b").alias("shard")))
     met = blocks.join(sides, "shard").select("a", "b", "center", "nodes", "reps", "weights", "vectors")
-    found = cut(met.groupBy("a", "b").applyInArrow(_tile(least), "node long, rep long, links long, root long"))
+    tiled = met.groupBy("a", "b").applyInArrow(_tile(least), "node long, rep long, links long, root long")
+    found = cut(one("a", "b").union(one("b", "a")).union(tiled))
     near = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a != b"), "a", "b")
     by_class = classes.select("label", "vector", "rep", "weight", "node")
