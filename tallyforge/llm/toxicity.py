@@ -9,13 +9,15 @@ inverse root of the landmarks' kernel matrix, and a linear SVM over that map jud
 text is as toxic as its most toxic word: training starts from the strings of labelled texts,
 then finds that word of each text in every round and adds it (a multiple-instance SVM). Margins of texts whose words the
 fitted part hasn't been given (three folds) calibrate the score. Characters are folded first (case, look-alike digits,
-punctuation inside words dropped; lone letters in a row are read as one word).
+punctuation inside words and invisible marks dropped; lone letters in a row are read as one word); a word
+with a letter three times or more in a row is also read with that letter once and twice.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,11 +51,16 @@ TRAIN_ROWS, TOXIC_MARKS, CLEAN_MARKS, MARK_POOL = 12_000, 40, 16, 2000
 #: How strongly (twice a log likelihood ratio) a string must go with toxic texts.
 TIE = 20
 ROUNDS, FOLDS = 4, 3
+#: Characters without width, in UTF-8: soft hyphen, zero-width space, joiners, direction marks, word joiner, byte order mark.
+INVISIBLE = re.compile(rb"\xc2\xad|\xe2\x80[\x8b-\x8f]|\xe2\x81\xa0|\xef\xbb\xbf")
+LONG_RUN = re.compile(rb"(.)\1\1+", re.DOTALL)
 
 
 def fold(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Words (ranges of ``raw``) after folding, end to end."""
     code = FOLD[np.frombuffer(raw, dtype=np.uint8)]
+    for m in INVISIBLE.finditer(raw):
+        code[m.start() : m.end()] = 0
     kept = np.append(0, np.cumsum(code > 0))
     # look-alikes alone ("1", "$5") are no letters: a word needs a real one
     real = np.append(0, np.cumsum((code >= 97) & (code == np.frombuffer(raw, dtype=np.uint8) | 32)))
@@ -69,6 +76,24 @@ def fold(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np
     return inside.tobytes(), np.cumsum(size) - size, size
 
 
+def views(raw: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded words, end to end, followed by those with a letter three times or more in a row, that letter
+    once and twice: bytes, starts, lengths and the word each one is a view of."""
+    code = np.frombuffer(raw, dtype=np.uint8)
+    run = np.flatnonzero((code[2:] == code[1:-1]) & (code[1:-1] == code[:-2]))
+    words = np.unique(np.searchsorted(starts + lengths, run, side="right"))
+    more, owner = [], []
+    for k in words.tolist():
+        word = raw[starts[k] : starts[k] + lengths[k]]
+        if LONG_RUN.search(word):
+            more += [LONG_RUN.sub(rb"\1", word), LONG_RUN.sub(rb"\1\1", word)]
+            owner += [k, k]
+    size = np.array([len(w) for w in more], dtype=np.int64)
+    begin = len(raw) + np.cumsum(size) - size
+    whole = np.concatenate([np.arange(len(starts)), np.array(owner, dtype=np.int64)])
+    return raw + b"".join(more), np.concatenate([starts, begin]), np.concatenate([lengths, size]), whole
+
+
 @functools.cache
 def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of the subsequences of three among n letters, and the lengths they span."""
@@ -216,8 +241,9 @@ class Reader:
     def _margins(self, raw, starts, lengths) -> np.ndarray:
         """[words, judges]"""
         out = np.tile(self.base, (len(starts), 1))
+        raw, starts, lengths, word = views(raw, starts, lengths)
         owner, _, _, values = linear(self.tables, raw, starts, lengths)
-        np.maximum.at(out, owner, values + self.base)
+        np.maximum.at(out, word[owner], values + self.base)
         return out
 
     def __call__(self, column, witness: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -248,12 +274,12 @@ class Reader:
 
     def _vectors(self, words: list[bytes]) -> np.ndarray:
         """[words, marks]: kernel values of each word's window with the largest margin."""
-        raw, starts, lengths = fold(*packed(words))
+        raw, starts, lengths, word = views(*fold(*packed(words)))
         owner, offset, size, values = linear(self.tables[:1], raw, starts, lengths)
         picked = [b""] * len(words)
         for k in np.lexsort((offset, values[:, 0])).tolist():
             begin = starts[owner[k]] + offset[k]
-            picked[owner[k]] = raw[begin : begin + size[k]]
+            picked[word[owner[k]]] = raw[begin : begin + size[k]]
         return self.landmarks.matrix(picked)
 
 

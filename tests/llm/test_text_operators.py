@@ -394,3 +394,20 @@ def test_hashes_of_crc32(spark):
 
     rows = spark.range(200).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in rows)
+
+
+def test_runs_of_letters_and_invisible_marks():
+    words = [b"idddiot", "tr\u200bash".encode(), b"grassss", b"see", b"", b"aaa"]
+    raw = b" ".join(words)
+    lengths = np.array([len(w) for w in words])
+    starts = np.cumsum(lengths + 1) - lengths - 1
+    plain, s, n = toxicity.fold(raw, starts, lengths)
+    assert [plain[a : a + k] for a, k in zip(s, n)] == [b"idddiot", b"trash", b"grassss", b"see", b"", b"aaa"]
+    whole, s, n, of = toxicity.views(plain, s, n)
+    got = {}
+    for a, k, w in zip(s.tolist(), n.tolist(), of.tolist()):
+        got.setdefault(w, []).append(whole[a : a + k])
+    assert got == {
+        0: [b"idddiot", b"idiot", b"iddiot"], 1: [b"trash"], 2: [b"grassss", b"gras", b"grass"],
+        3: [b"see"], 4: [b""], 5: [b"aaa", b"a", b"aa"],
+    }
