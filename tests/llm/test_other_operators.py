@@ -187,6 +187,27 @@ def test_later_rounds_keep_all_links(spark, monkeypatch):
     assert [r.n_links for r in vector_duplicates(df).orderBy("vec_id").collect()] == want
 
 
+def test_one_dense_group_and_even_spread(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    clique = rng.normal(size=24) + rng.normal(size=(4000, 24)) * 0.05
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(clique)], "vec_id long, embedding array<double>, label int")
+    assert vector_duplicates(df).agg(F.min("n_links"), F.max("n_links"), F.max("component_id")).head()[:] == (3999, 3999, 0)
+    even = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(rng.normal(size=(3000, 24)))], "vec_id long, embedding array<double>, label int")
+    tiles, inner = spark.sparkContext.accumulator(0), graph_dedup._tile
+
+    def tile(least):
+        run = inner(least)
+
+        def counted(table):
+            tiles.add(1)
+            return run(table)
+
+        return counted
+
+    monkeypatch.setattr(graph_dedup, "_tile", tile)
+    assert vector_duplicates(even).agg(F.max("n_links")).head()[0] == 0 and tiles.value == 0
+
+
 def test_shards_without_centroids_are_divided(spark, monkeypatch):
     monkeypatch.setattr(graph_dedup, "SHARD", 200)
     monkeypatch.setattr(graph_dedup, "PER_CENTROID", 10**9)
