@@ -8,8 +8,13 @@ An entity carries IC(e) = log2(N / n(e)). A term is disclosing if it gives away
 DISCLOSURE of an entity's information, seen in SUPPORT different texts or more (so copies
 of one text prove nothing); it is then replaced by its general class wherever it stands.
 
-No list of entities or terms is sent to the tasks: they get a bit filter of fixed size that
-lets all wanted hashes pass and few others, and joins by hash settle the rest.
+No list of entities or terms is sent to the tasks: they get tables of fixed size that let all
+wanted hashes pass and few others, and joins by hash settle the rest.
+
+Pairs of entities and terms of a text are not written out. PMI(t; e) >= D IC(e) needs
+n(t) <= N^(1 - D) n(e)^D, so terms are counted first, and those too common for every entity of a
+text leave it. Of the rest, terms of the same texts are one class, entities too, and a text's
+pairs are those of its classes; copies of one long directory make one pair.
 """
 
 from __future__ import annotations
@@ -30,7 +35,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, DISCLOSURE = 3, 0.8
 #: Bits of the filter of hashes that is sent to the tasks (2 MB, however many hashes there are).
 FILTER_BITS = 24
-#: Rows (entity, term, text) of a batch; shares that one text's rows are dealt to.
+#: Slots of the tables of levels, a byte each, and levels to a doubling.
+SLOT_BITS, LEVELS = 21, 4
+#: Rows (term, text) of a batch; shares that one text's rows are dealt to.
 ROWS, SALTS = 1 << 18, 16
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -137,62 +144,109 @@ def _entities(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["entity", "text"])
 
 
-def _place(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+def _place(keys: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    return (mix(np.ascontiguousarray(keys).view(U64)) >> U64(64 - bits)).astype(np.int64)
+
+
+def _set(held: np.ndarray, keys: np.ndarray) -> None:
+    at = _place(keys)
+    np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _filled(held: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(held)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int64))], names=["place", "value"])
 
 
 def _bits(batches):
     """Hashes to the non-zero bytes (place, value) of their bit filter."""
     held = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
     for batch in batches:
-        at = _place(np.asarray(batch.column("hash").to_numpy(zero_copy_only=False), dtype=np.int64))
-        np.bitwise_or.at(held, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    at = np.flatnonzero(held)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at].astype(np.int64))], names=["place", "value"])
+        _set(held, np.asarray(batch.column("hash").to_numpy(zero_copy_only=False), dtype=np.int64))
+    yield _filled(held)
 
 
-def _filter(hashes: DataFrame):
-    """A broadcast bit filter of the hashes; it has 2**FILTER_BITS bits at any size."""
-    rows = hashes.select(F.col(hashes.columns[0]).alias("hash")).mapInArrow(_bits, "place long, value long")
+def _sent(rows: DataFrame):
+    """A broadcast bit filter of the bytes (place, value) of its parts; 2**FILTER_BITS bits at any size."""
     rows = rows.groupBy("place").agg(F.bit_or("value").alias("value"))
-    return hashes.sparkSession.sparkContext.broadcast(gathered(rows, 1 << (FILTER_BITS - 3), "uint8"))
+    return rows.sparkSession.sparkContext.broadcast(gathered(rows, 1 << (FILTER_BITS - 3), "uint8"))
+
+
+def _filter(hashes: DataFrame):
+    """A broadcast bit filter of the hashes."""
+    return _sent(hashes.select(F.col(hashes.columns[0]).alias("hash")).mapInArrow(_bits, "place long, value long"))
+
+
+def _highest(batches):
+    """(hash, level) to the highest level (place, value) of each slot that has one."""
+    held = np.zeros(1 << SLOT_BITS, dtype=np.uint8)
+    for batch in batches:
+        keys, level = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False), dtype=np.int64) for k in ("hash", "level"))
+        np.maximum.at(held, _place(keys, SLOT_BITS), level.astype(np.uint8))
+    yield _filled(held)
+
+
+def _levels(rows: DataFrame, level):
+    """A broadcast table of the highest level (1 to 255, 0: none) of the hashes of each slot."""
+    rows = rows.select(F.col(rows.columns[0]).alias("hash"), F.least(F.greatest(level, F.lit(1)), F.lit(255)).cast("long").alias("level"))
+    rows = rows.mapInArrow(_highest, "place long, value long").groupBy("place").agg(F.max("value").alias("value"))
+    return rows.sparkSession.sparkContext.broadcast(gathered(rows, 1 << SLOT_BITS, "uint8"))
 
 
 def _passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = _place(np.ascontiguousarray(keys))
+    at = _place(keys)
     return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def _contexts(sent):
-    """entity, term, text: 64-bit hashes, for the entities that pass and all terms of their texts."""
+def _named_texts(batches, levels: np.ndarray):
+    """(text, its base spans, the highest level of its entities) of texts with wanted entities."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for text in part.column("text").to_pylist():
+                if spans := base_spans(text) if text else []:
+                    top = int(levels[_place(np.array(_named(text, spans), dtype=np.int64), SLOT_BITS)].max())
+                    if top:
+                        yield text, spans, top
+
+
+def _near(sent):
+    """The bit filter (place, value) of all terms of texts with wanted entities."""
+
+    def run(batches):
+        worker_state("pii", dict)
+        held = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+        for text, spans, _ in _named_texts(batches, sent.value):
+            if words := apart(text, spans):
+                _set(held, _hashes(words))
+        yield _filled(held)
+
+    return run
+
+
+def _contexts(sent, counted):
+    """term, text: 64-bit hashes, for the terms of texts with wanted entities that are rare
+    enough (by ``counted``, 255 less their level) for one of the text's entities."""
 
     def run(batches):
-        wanted = sent.value
         worker_state("pii", dict)
         rows: list[list[np.ndarray]] = []
         held_rows = 0
 
         def flush():
-            held = [np.concatenate([np.zeros(0, dtype=np.int64), *(r[k] for r in rows)]) for k in range(3)]
+            held = [np.concatenate([np.zeros(0, dtype=np.int64), *(r[k] for r in rows)]) for k in range(2)]
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["entity", "term", "text"])
-
-        for batch in batches:
-            for part in slices(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    spans = base_spans(text) if text else []
-                    named = np.array(_named(text, spans), dtype=np.int64)
-                    named = named[_passes(wanted, named)]
-                    words = apart(text, spans) if len(named) else []
-                    if not words:
-                        continue
-                    terms, own = _hashes(words), _name(text)
-                    for entity in named.tolist():
-                        rows.append([np.full(len(terms), entity), terms, np.full(len(terms), own)])
-                        held_rows += len(terms)
-                        if held_rows >= ROWS:
-                            yield flush()
-                            held_rows = 0
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["term", "text"])
+
+        for text, spans, top in _named_texts(batches, sent.value):
+            if words := apart(text, spans):
+                terms = _hashes(words)
+                level = counted.value[_place(terms, SLOT_BITS)].astype(np.int64)
+                terms = terms[(level > 0) & (255 - level <= top)]
+                rows.append([terms, np.full(len(terms), _name(text))])
+                held_rows += len(terms)
+                if held_rows >= ROWS:
+                    yield flush()
+                    held_rows = 0
         yield flush()
 
     return run
@@ -317,26 +371,45 @@ def _finish(clean_text: bool):
     return run
 
 
+def _same_texts() -> list:
+    """Aggregates over rows of different texts that tell sets of texts apart (128 bits and their number)."""
+    return [F.count("*").alias("texts"), F.bit_xor(F.xxhash64("text")).alias("f1"), F.bit_xor(F.xxhash64("text", F.lit(1))).alias("f2")]
+
+
+SAME = ["texts", "f1", "f2"]
+
+
 def disclosing_terms(base: DataFrame) -> DataFrame | None:
     """term (hash) and disclosure, of the terms in ``base`` (text) that give entities away."""
-    seen = base.mapInArrow(_entities, "entity long, text long").groupBy("entity", "text").agg(F.count("*").alias("n"))
+    seen = cut(base.mapInArrow(_entities, "entity long, text long").groupBy("entity", "text").agg(F.count("*").alias("n")))
     #: No term can have more support than its entity has.
-    entities = cut(seen.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT).select("entity", "n_e"))
+    entities = cut(seen.groupBy("entity").agg(F.sum("n").alias("n_e"), *_same_texts()).where(F.col("texts") >= SUPPORT))
     if entities.isEmpty():
         return None
-    together = base.mapInArrow(_contexts(_filter(entities)), "entity long, term long, text long")
-    each = together.groupBy("entity", "term", "text").agg(F.count("*").alias("n"))
-    pairs = each.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
-    pairs = cut(pairs.join(entities, "entity"))
-    if pairs.isEmpty():
-        return None
-    counts = base.mapInArrow(_frequency(_filter(pairs.select("term"))), "term long, n long")
-    n_t = counts.groupBy("term").agg(F.sum("n").alias("n_t"))
-    n = base.count()
-    told = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
-    carried = F.log2(F.lit(float(n)) / F.col("n_e"))
-    rows = pairs.join(n_t, "term").where((carried > 0) & (told >= DISCLOSURE * carried))
-    return cut(rows.groupBy("term").agg(F.max(told / carried).alias("disclosure")))
+    n = float(base.count())
+    most = (1 - DISCLOSURE) * F.log2(F.lit(n)) + DISCLOSURE * F.log2("n_e")
+    sent = _levels(entities.select("entity", "n_e"), F.ceil(LEVELS * most) + 1)
+    near = _sent(base.mapInArrow(_near(sent), "place long, value long"))
+    counts = base.mapInArrow(_frequency(near), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counts = cut(counts.where(F.col("n_t") >= SUPPORT))
+    counted = _levels(counts, 255 - F.floor(LEVELS * F.log2("n_t")))
+    rows = cut(base.mapInArrow(_contexts(sent, counted), "term long, text long").distinct())
+    terms = cut(rows.groupBy("term").agg(*_same_texts()).where(F.col("texts") >= SUPPORT).join(counts, "term"))
+    #: One term, and one entity, for each set of texts.
+    leading = terms.groupBy(*SAME).agg(F.min("term").alias("term"), F.min("n_t").alias("least"))
+    first = entities.groupBy(*SAME).agg(F.min("entity").alias("entity"), F.first("n_e").alias("n_e"))
+    own_terms = rows.join(leading.select("term", "least"), "term")
+    own_entities = seen.join(first.select("entity", "n_e"), "entity")
+    #: The bound with some room, since it is of doubles.
+    both = own_terms.join(own_entities, "text").where(F.log2("least") <= most + 0.01)
+    pairs = both.groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.first("n_e").alias("n_e"), F.count("*").alias("shared")).where(F.col("shared") >= SUPPORT)
+    pairs = pairs.select(F.col("term").alias("leader"), "n_te", "n_e")
+    members = terms.join(leading.select(*SAME, F.col("term").alias("leader")), SAME).select("term", "n_t", "leader")
+    told = F.log2(F.col("n_te") * F.lit(n) / (F.col("n_t") * F.col("n_e")))
+    carried = F.log2(F.lit(n) / F.col("n_e"))
+    found = members.join(pairs, "leader").where((carried > 0) & (told >= DISCLOSURE * carried))
+    flagged = cut(found.groupBy("term").agg(F.max(told / carried).alias("disclosure")))
+    return None if flagged.isEmpty() else flagged
 
 
 def marked_texts(base: DataFrame, flagged: DataFrame) -> DataFrame:
