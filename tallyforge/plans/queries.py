@@ -19,6 +19,7 @@ from tallyforge.operators.carry import as_of, as_of_merge, carry_forward, leadin
 from tallyforge.operators.dedupe import keep_first, keep_highest, keep_last, keep_ranked
 from tallyforge.operators.pricing import price
 from tallyforge.plans import reports as R
+from tallyforge.plans.statusline import session_cost, status
 from tallyforge.sources.agents import usage
 from tallyforge.sources.rates import Rate, built_in, match_models
 
@@ -233,6 +234,24 @@ def statusline_costs(spark, sf_dir):
     return out.select(*(_money(F.col(c)).alias(c) for c in ("session_cost", "today_cost")))
 
 
+@query(
+    f"""with {_U}, s as (select user_id::varchar as session_id, sum(value) as logged, count(*) as n, max(event_id) as last from u group by all)
+    select session_id, round(logged, 6) as logged_cost, case when last % 3 <> 0 then last / 4.0 end as hook_cost, case when n % 2 = 0 then 'short' else 'Model ' || n end as model_label,
+        floor(n * 70000.0 / 4300 + 0.5)::bigint as context_percent,
+        printf('$%.2f', case when last % 3 <> 0 then last / 4.0 else logged end) as session_cost from s"""
+)
+def status_of_sessions(spark, sf_dir):
+    """A hook for each session that the log has; two thirds of them tell a cost."""
+    rows = _usage(spark, sf_dir)
+    s = _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    text = F.struct(F.when(F.col("n") % 2 == 0, "Model X").otherwise(F.concat(F.lit("Model "), "n")).alias("display_name"))
+    cost = F.when(F.col("last") % 3 != 0, F.struct((F.col("last") / 4).alias("total_cost_usd")))
+    window = F.struct((F.col("n") * 700).alias("total_input_tokens"), F.lit(4300).alias("context_window_size"))
+    hook = F.struct(F.col("user_id").cast("string").alias("session_id"), F.lit("/t").alias("transcript_path"), text.alias("model"), cost.alias("cost"), window.alias("context_window"))
+    out = status(s.select(F.to_json(hook).alias("json")), rows, R.Options(now_ms=1_800_000_000_000), aliases={"Model X": "short"})
+    return out.select("session_id", *(_money(F.col(c)).alias(c) for c in ("logged_cost", "hook_cost")), "model_label", "context_percent", session_cost().alias("session_cost"))
+
+
 @query(
     _BLOCKS.replace("epoch_us(ts) as us", "epoch_us(ts) // 1000 as us").replace("3600000000", "3600000").replace("18000000000", "18000000").replace("value, row_number", "floor(value)::bigint + event_id % 10 as tokens, value, row_number").replace("select user_id, n, us, value", "select user_id, n, us, tokens, value").replace("e.us, e.value", "e.us, e.tokens, e.value").replace("sum(value) as total", "sum(tokens)::bigint as total_tokens, sum(value) as total")
     + """select user_id::varchar as session_id, start as block_start, entries, total_tokens, round(total, 6) as cost, first, last from blocks

@@ -180,7 +180,7 @@ def statusline_costs(rows: DataFrame, session_id: str, today: str) -> DataFrame:
     return rows.agg(own, F.coalesce(F.sum(F.when(F.col("date") == today, F.col("cost"))), F.lit(0.0)).alias("today_cost"))
 
 
-def _assistant_usage(line: bytes) -> bool:
+def last_usage(line: bytes) -> bool:
     """Is it an assistant's line with usage?"""
     if b"input_tokens" not in line:
         return False
@@ -194,7 +194,7 @@ def _assistant_usage(line: bytes) -> bool:
 def transcript_context(spark: SparkSession, transcript: str, model: str, options: Options = Options()) -> DataFrame:
     """context_tokens of a transcript's last assistant line with usage, and the model's
     context_limit by the cards (null if none knows it). The transcript is read from its end."""
-    rows, v = json_lines(last_line(listed_files(spark, transcript, "*"), _assistant_usage)), F.col("v")
+    rows, v = json_lines(last_line(listed_files(spark, transcript, "*"), last_usage)), F.col("v")
     u = ("message", "usage")
     tokens = J.u64(v, *u, "input_tokens") + J.u64(v, *u, "cache_creation_input_tokens") + J.u64(v, *u, "cache_read_input_tokens")
     last = rows.agg(F.max(tokens).alias("context_tokens"))  # of one row

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from tallyforge.plans import render
+from tallyforge.plans import render, statusline
 from tallyforge.plans.config import settings
 from tallyforge.plans.reports import (
     Options,
@@ -155,6 +155,39 @@ def test_transcript_context(spark, tmp_path):
     assert tuple(transcript_context(spark, str(path), "nobody").head()) == (45, None)
 
 
+def test_status_of_hooks(spark, claude_logs, tmp_path):
+    said = lambda n: {"type": "assistant", "message": {"usage": {"input_tokens": n, "cache_read_input_tokens": 10_000}}}
+    for name, tokens in (("a", 50_000), ("b", 890_000), ("unasked", 1)):
+        put(tmp_path, f"{name}.jsonl", [said(3), said(tokens), {"type": "user"}])
+    at = lambda name, kind, **more: {"transcript_path": str(tmp_path / f"{name}.jsonl"), "model": {"id": kind, "display_name": f"Model {name}"}, **more}
+    hooks = [
+        {"session_id": "dawn", **at("a", "nobody")},
+        {"session_id": "raw-noon", **at("b", "claude-opus-4-6-20260101"), "cost": {"total_cost_usd": 1.5}},
+        {"session_id": "night", **at("unasked", None), "context_window": {"total_input_tokens": 1234, "context_window_size": 0}, "more": 1},
+        {"session_id": "none", **at("absent", None)},
+        {"session_id": "none", **at("absent", None)},
+    ]
+    frame = lambda xs: spark.createDataFrame([(x if isinstance(x, str) else json.dumps(x),) for x in xs], "json string")
+    rows = load_usage(spark, "claude", claude_logs, DISPLAY)
+    got = statusline.status(frame(hooks), rows, DISPLAY, str(tmp_path), aliases={"Model b": "B"})
+    lines = {r.session_id: r for r in got.select("*", statusline.line(burn="emoji-text").alias("line"), statusline.session_cost("both").alias("both")).collect()}
+    assert got.count() == 5
+    block = "$3.00 today / $3.00 block (1h 0m left) | 🔥 $1.00/hr 🟢 (Normal) | 🧠 "
+    assert lines["dawn"].line == f"🤖 Model a | 💰 $3.00 session / {block}60,000 (30%)"
+    assert lines["raw-noon"].line == f"🤖 B | 💰 $1.50 session / {block}900,000 (90%)" and lines["raw-noon"].context_color == "red"
+    assert lines["raw-noon"].both == "($1.50 hook / $0.13 logs)" and lines["dawn"].both == "(N/A hook / $3.00 logs)"
+    assert lines["night"].line.endswith("🧠 1,234 (0%)") and lines["none"].line == f"🤖 Model absent | 💰 $0.00 session / {block}N/A"
+    later = Options(mode="display", now_ms=DISPLAY.now_ms + 90 * 86_400_000)
+    idle = statusline.status(frame(hooks[:1]), rows, later).select(statusline.line()).head()[0]
+    assert idle == "🤖 Model a | 💰 $3.00 session / $0.00 today / No active block | 🧠 N/A"
+    assert statusline.status(frame([]), rows, DISPLAY, str(tmp_path)).count() == 0
+    for bad in ("", "no json", '{"session_id": "x"}'):
+        with pytest.raises(Exception, match="a hook needs"):
+            statusline.status(frame([bad]), rows, DISPLAY).collect()
+    with pytest.raises(ValueError, match="cost source"):
+        statusline.line("other")
+
+
 def test_render(spark, claude_logs):
     report = daily(load_usage(spark, "claude", claude_logs, DISPLAY))
     out = json.loads(render.report_json(report, totals(report), "daily"))
