@@ -102,9 +102,9 @@ def read_codex(spark: SparkSession, homes: list[str] | str) -> DataFrame:
     homes = [homes] if isinstance(homes, str) else homes
     files = session_files(spark, homes)
     spawned = file_heads(files, HEAD_BYTES).where(F.col("head").contains(SPAWNED)).select("file", F.lit(True).alias("spawned"))
-    extra = files.select("file", "session_id").join(spawned, "file", "left").fillna(False, "spawned")
-    rows = range_lines(files, [[x] for x in ("turn_context", "token_count", "usage", "input_tokens", "prompt_tokens")])
-    rows = rows.join(extra, "file").withColumn("j", F.from_json("value", _LINE)).where("j is not null")
+    files = files.join(spawned, "file", "left").fillna(False, "spawned")
+    rows = range_lines(files, [[x] for x in ("turn_context", "token_count", "usage", "input_tokens", "prompt_tokens")], also=["session_id", "spawned"])
+    rows = rows.withColumn("j", F.from_json("value", _LINE)).where("j is not null")
     context = F.coalesce(F.col("j.type") == "turn_context", F.lit(False))
     counted = F.coalesce((F.col("j.type") == "event_msg") & (F.col("j.payload.type") == "token_count"), F.lit(False))
     headless = F.coalesce(~F.col("j.type").isin("event_msg", "turn_context"), F.lit(True))

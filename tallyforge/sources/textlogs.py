@@ -127,14 +127,15 @@ def _text(line: bytes) -> str:
     return line.removesuffix(b"\r").decode("utf-8", "replace")
 
 
-def _reader(needles: list[list[bytes]] | None):
-    schema = pa.schema([("file", pa.string()), ("modified_ms", pa.int64()), ("at", pa.int64()), ("line_no", pa.int64()), ("value", pa.string())])
+def _reader(needles: list[list[bytes]] | None, also: list[str]):
+    schema = pa.schema([("file", pa.string()), ("modified_ms", pa.int64()), ("line_no", pa.int64()), ("value", pa.string())])
 
     def wanted(line: bytes) -> bool:
         return bool(line.strip(b"\r")) and (needles is None or any(all(x in line for x in some) for some in needles))
 
     def read(batches):
         for batch in batches:
+            more = [batch.schema.field(c) for c in also]
             for row in batch.to_pylist():
                 fs, path = opened(row["uri"])
                 with fs.open_input_file(path) as file:
@@ -148,15 +149,15 @@ def _reader(needles: list[list[bytes]] | None):
                                 held.append((at, _text(line)))
                                 size += len(line)
                             if size > BATCH:
-                                yield made(row, held)
+                                yield made(row, held, more)
                                 held, size = [], 0
                         if held:
-                            yield made(row, held)
+                            yield made(row, held, more)
 
-    def made(row, held):
-        n = len(held)
-        columns = [pa.repeat(row["file"], n).cast(pa.string()), pa.repeat(row["modified_ms"], n).cast(pa.int64()), pa.repeat(row["at"], n).cast(pa.int64())]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string())], schema=schema)
+    def made(row, held, more):
+        same = lambda field: pa.repeat(pa.scalar(row[field.name], field.type), len(held))
+        columns = [*map(same, [schema.field("file"), schema.field("modified_ms")]), pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, *map(same, more)], schema=pa.schema([*schema, *more]))
 
     return read
 
@@ -170,9 +171,14 @@ def _counted(batches):
             yield pa.RecordBatch.from_pydict({"uri": [row["uri"]], "at": [row["at"]], "n": [n]})
 
 
-def range_lines(files: DataFrame, needles: list[list[str]] | None = None, numbered: bool = False, size: int | None = None) -> DataFrame:
+def range_lines(files: DataFrame, needles: list[list[str]] | None = None, numbered: bool = False, size: int | None = None, also: list[str] = ()) -> DataFrame:
     """file, modified_ms, line_no, value: the lines of listed ``files``, without empty ones.
 
+    ``also``: further columns of ``files`` that each line gets. Spark takes the lines for as small
+    as the listing that they are read from, so a join with them can end as a broadcast of
+    either side: what is known of a file travels with its ranges, and joins of lines with
+    tables that grow with them ask for ``merge``.
+
     line_no is the line's byte offset in its file, or with ``numbered`` its number from 0: a
     first pass counts the lines of each range, and the sums of the ranges before are added.
     ``needles``: texts that a line must hold, as alternatives of all-of lists; other lines are
@@ -188,7 +194,8 @@ def range_lines(files: DataFrame, needles: list[list[str]] | None = None, number
     else:
         ranges = ranges.withColumn("first", F.lit(None).cast("long"))
     asked = None if needles is None else [[x.encode() for x in some] for some in needles]
-    return ranges.select(*told, "first").mapInArrow(_reader(asked), "file string, modified_ms long, at long, line_no long, value string").drop("at")
+    kinds = "".join(f", {c} {files.schema[c].dataType.simpleString()}" for c in also)
+    return ranges.select(*told, "first", *also).mapInArrow(_reader(asked, [*also]), "file string, modified_ms long, line_no long, value string" + kinds)
 
 
 def log_lines(spark: SparkSession, paths: str | list[str], glob: str, needles: list[list[str]] | None = None, keep: Column | None = None, **how) -> DataFrame:

@@ -4,10 +4,12 @@ import json
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.plans.reports import transcript_context
+from tallyforge.sources import codex, logfiles
 from tallyforge.sources import sqlite as S
 from tallyforge.sources.textlogs import file_heads, last_line, listed_files, log_lines, range_lines, ranges_of
 
@@ -171,3 +173,36 @@ def test_missing_and_damaged_databases_raise(spark, tmp_path):
     (tmp_path / "bad.db").write_bytes(b"damaged header" * 100)
     with pytest.raises(Exception, match="not a database"):
         S.sqlite_rows(spark, str(tmp_path), "t", {"n": "long"}).collect()
+
+
+def test_what_is_known_of_a_file_travels_with_its_lines(spark, logs):
+    root, texts = logs
+    files = listed_files(spark, str(root), "*.jsonl").withColumns({"tag": F.length("file"), "odd": F.col("file").contains("p1")})
+    got = range_lines(files, also=["tag", "odd"]).select("file", "line_no", "value", "tag", "odd").collect()
+    assert sorted((r.file, r.line_no, r.value) for r in got) == direct(texts, False)
+    assert all(r.tag == len(r.file) and r.odd == ("/p1/" in r.file) for r in got)
+
+
+def plans_of(monkeypatch, module, read):
+    """The plans of what a reader writes, and of its result."""
+    plans, keep = [], module.written
+    monkeypatch.setattr(module, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    plans.append(read()._jdf.queryExecution().optimizedPlan().toString())
+    return plans
+
+
+def test_lines_of_codex_are_not_joined(spark, tmp_path, monkeypatch):
+    (tmp_path / "sessions").mkdir()
+    (tmp_path / "sessions" / "s.jsonl").write_text('{"type":"turn_context","payload":{"model":"m"}}\n')
+    first = plans_of(monkeypatch, codex, lambda: codex.read_codex(spark, str(tmp_path)))[0]
+    reading = first.index("MapInArrow")  # the tree's upper part comes first
+    assert "value#" in first[reading : first.index("\n", reading)] and "Join" not in first[:reading]
+
+
+def test_files_are_written_in_order_by_streams(spark, tmp_path):
+    rows = spark.range(30_000).select(F.concat(F.lit("d/f"), F.col("id") % 3).alias("file"), (-F.col("id")).alias("n"), F.col("id").cast("string").alias("line"))
+    logfiles.write_logs(rows, str(tmp_path / "logs"))
+    for k in range(3):
+        assert (tmp_path / "logs" / "d" / f"f{k}").read_text().split() == [str(x) for x in reversed(range(k, 30_000, 3))]
+    batches = [pa.RecordBatch.from_pydict({"file": ["a"] * 5 + ["b"] * 5, "line": ["x"] * 10})] * 2
+    assert list(logfiles._runs(batches, "line")) == [("a", ["x"] * 5), ("b", ["x"] * 5)] * 2
