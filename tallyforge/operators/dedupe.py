@@ -27,9 +27,9 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str] = ORDER) -> DataF
 
 def keep_highest(df: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """Rows for whose key there is no row of a smaller ``rank``; rows with a null in the last
-    key all stay."""
+    key all stay. The join asks for ``merge``: there are as many keys as rows."""
     first = df.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.min(rank).alias("_first"))
-    return df.join(first, keys, "left").where(F.col("_first").isNull() | (F.col(rank) <= F.col("_first"))).drop("_first")
+    return df.join(first.hint("merge"), keys, "left").where(F.col("_first").isNull() | (F.col(rank) <= F.col("_first"))).drop("_first")
 
 
 def dedupe_replayed(df: DataFrame) -> DataFrame:

@@ -290,6 +290,13 @@ _MODEL_ATTRS = ("gen_ai.response.model", "gen_ai.request.model")
 _SESSION_ATTRS = (("gen_ai.conversation.id", 3), ("copilot_chat.session_id", 3), ("copilot_chat.chat_session_id", 3), ("session.id", 3), ("github.copilot.interaction_id", 2), ("gen_ai.response.id", 1))
 
 
+_PAIRS, _MOMENTS = ("endTime", "startTime", "hrTime", "_hrTime", "time"), ("timestamp", "observedTimestamp", "timeUnixNano")
+_USED = {
+    "input": ("input_tokens",), "output": ("output_tokens",), "cached": ("cache_read.input_tokens",), "written": ("cache_write.input_tokens", "cache_creation.input_tokens"),
+    "reasoning": ("reasoning.output_tokens", "reasoning_tokens"), "total": ("total_tokens", "total.token_count"),
+}
+
+
 def _loose(v: Column, *keys) -> Column:
     """A non-negative integer, also one written as text."""
     return F.when(J.integer(v, *keys) >= 0, J.integer(v, *keys)).otherwise(F.when(J.text(v, *keys).rlike(r"^\+?\d+$"), J.text(v, *keys).try_cast("long")))
@@ -300,57 +307,69 @@ def read_copilot(spark: SparkSession, path: str) -> DataFrame:
     one has its trace or response (anti joins within the file)."""
     rows, v = json_lines(log_lines(spark, path, "*.jsonl", [['"attributes"']])), F.col("v")
     a = lambda key: ("attributes", key)
+    #: Values are picked once each, then read: nested in each other the picks outgrow a compiled method.
+    texts = {k: (k,) for k in ("name", "spanId", "traceId", "body", "_body")} | {"trace_of": ("spanContext", "traceId"), "kind": a("gen_ai.operation.name"), "event": a("event.name")}
+    texts |= {f"model_{i}": a(k) for i, k in enumerate(_MODEL_ATTRS)} | {f"session_{i}": a(k) for i, (k, _) in enumerate(_SESSION_ATTRS)}
+    rows = once(rows, "t", F.array(*(J.text(v, *keys) for keys in texts.values())))
+    t = {k: F.col("t")[i] for i, k in enumerate(texts)}
     typed = J.raw_text(v, "type")
-    spanlike = J.text(v, "name").isNotNull() & (J.text(v, "spanId").isNotNull() | J.text(v, "traceId").isNotNull() | J.exists(v, "startTime") | J.exists(v, "endTime") | J.exists(v, "duration") | J.exists(v, "kind"))
+    spanlike = t["name"].isNotNull() & (t["spanId"].isNotNull() | t["traceId"].isNotNull() | J.exists(v, "startTime") | J.exists(v, "endTime") | J.exists(v, "duration") | J.exists(v, "kind"))
     span = F.when(typed.isNotNull(), typed == "span").otherwise(spanlike)
-    body = F.coalesce(J.text(v, "body"), J.text(v, "_body"))
-    either = lambda attr, value, start, other: F.coalesce(J.text(v, *a(attr)) == value, F.lit(False)) | F.coalesce(other.startswith(start), F.lit(False))
+    body = F.coalesce(t["body"], t["_body"])
+    either = lambda attr, value, start, other: F.coalesce(t[attr] == value, F.lit(False)) | F.coalesce(other.startswith(start), F.lit(False))
     rank = (
-        F.when(span & either("gen_ai.operation.name", "chat", "chat ", J.text(v, "name")), 1)
-        .when(~span & either("event.name", "gen_ai.client.inference.operation.details", "GenAI inference:", body), 2)
-        .when(~span & either("event.name", "copilot_chat.agent.turn", "copilot_chat.agent.turn", body), 3)
-        .when(span & either("gen_ai.operation.name", "invoke_agent", "invoke_agent ", J.text(v, "name")), 4)
+        F.when(span & either("kind", "chat", "chat ", t["name"]), 1)
+        .when(~span & either("event", "gen_ai.client.inference.operation.details", "GenAI inference:", body), 2)
+        .when(~span & either("event", "copilot_chat.agent.turn", "copilot_chat.agent.turn", body), 3)
+        .when(span & either("kind", "invoke_agent", "invoke_agent ", t["name"]), 4)
     )
-    session, priority = F.lit(None).cast("string"), F.lit(0)
-    for key, p in reversed(sorted(_SESSION_ATTRS, key=lambda x: x[1])):
-        have = J.text(v, *a(key))
-        session, priority = F.coalesce(session, have), F.when(priority > 0, priority).when(have.isNotNull(), p).otherwise(0)
-    rows = once(rows, "rank", rank).withColumns(
-        {
-            "trace": F.coalesce(J.text(v, "traceId"), J.text(v, "spanContext", "traceId")),
-            "response": J.text(v, *a("gen_ai.response.id")),
-            "own_model": F.coalesce(*(J.text(v, *a(k)) for k in _MODEL_ATTRS)),
-            "own_session": session,
-            "priority": priority,
-        }
+    told = sorted(((p, i) for i, (_, p) in enumerate(_SESSION_ATTRS)), reverse=True)
+    session = F.coalesce(*(t[f"session_{i}"] for _, i in told))
+    priority = F.coalesce(*(F.when(t[f"session_{i}"].isNotNull(), p) for p, i in told), F.lit(0))
+    rows = once(rows, "rank", rank)
+    at = {f"{k}_{i}": (k, i) for k in _PAIRS for i in (0, 1)} | {k: (k,) for k in _MOMENTS} | {f"{k}_{i}": a(f"gen_ai.usage.{x}") for k, xs in _USED.items() for i, x in enumerate(xs)}
+    rows = once(rows, "raw", F.array(*(J.node(v, *keys) for keys in at.values())))
+    rows = once(rows, "x", F.transform("raw", lambda x: _loose(x)))
+    x = {k: F.col("x")[i] for i, k in enumerate(at)}
+    parts = (F.when(x[f"{k}_0"].isNotNull() & x[f"{k}_1"].isNotNull(), x[f"{k}_0"] * 1000 + F.floor(x[f"{k}_1"] / 1_000_000)) for k in _PAIRS)
+    ts = F.coalesce(*parts, *(T.otel_ms(x[k]) for k in _MOMENTS[:2]), F.when(x["timeUnixNano"] > 0, F.floor(x["timeUnixNano"] / 1_000_000)), "modified_ms")
+    rows = rows.select(
+        "file",
+        "line_no",
+        "rank",
+        F.coalesce(t["traceId"], t["trace_of"]).alias("trace"),
+        t["session_5"].alias("response"),  # its id, which also is the last resort for a session
+        F.coalesce(*(t[f"model_{i}"] for i in range(len(_MODEL_ATTRS)))).alias("own_model"),
+        session.alias("own_session"),
+        priority.alias("priority"),
+        ts.alias("ts"),
+        *(_positive(*(x[f"{k}_{i}"] for i in range(len(names)))).alias(f"n_{k}") for k, names in _USED.items()),
     )
+    rows = written(rows.where("rank is not null or trace is not null"))  # parsed once, read by both sides of the join
     context = rows.where("trace is not null").groupBy("file", "trace").agg(
         F.min_by("own_model", F.when(F.col("own_model").isNotNull(), F.col("line_no"))).alias("trace_model"),
         F.max_by("own_session", F.when(F.col("own_session").isNotNull(), F.struct("priority", -F.col("line_no")))).alias("trace_session"),
     )
-    rows = rows.where("rank is not null").join(context, ["file", "trace"], "left")
-    parts = lambda key: F.when((_loose(v, key, 0)).isNotNull() & _loose(v, key, 1).isNotNull(), _loose(v, key, 0) * 1000 + F.floor(_loose(v, key, 1) / 1_000_000))
-    ts = F.coalesce(*(parts(k) for k in ("endTime", "startTime", "hrTime", "_hrTime", "time")), *(T.otel_ms(_loose(v, k)) for k in ("timestamp", "observedTimestamp")), F.when(_loose(v, "timeUnixNano") > 0, F.floor(_loose(v, "timeUnixNano") / 1_000_000)), "modified_ms")
-    n = lambda *keys: F.coalesce(*(F.when(_loose(v, *a(k)) > 0, _loose(v, *a(k))) for k in keys), F.lit(0))
-    u = "gen_ai.usage."
-    cached = n(u + "cache_read.input_tokens")
+    #: About as many traces as rows, though Spark takes them for few: no broadcast.
+    rows = rows.where("rank is not null").join(context.hint("merge"), ["file", "trace"], "left")
+    cached = F.col("n_cached")
     model = F.coalesce("own_model", "trace_model", F.lit("unknown"))
     out = usage(
         rows,
         "copilot",
-        ts_ms=ts,
+        ts_ms=F.col("ts"),
         session_id=F.coalesce("own_session", "trace_session", "trace", F.lit("unknown-session")),
         project_path=F.lit("Copilot"),
         message_id=F.col("response"),
         request_id=F.col("trace"),
         version=F.col("rank").cast("string"),
         model=model,
-        input_tokens=saturating_minus(n(u + "input_tokens"), cached),
-        output_tokens=n(u + "output_tokens"),
+        input_tokens=saturating_minus(F.col("n_input"), cached),
+        output_tokens=F.col("n_output"),
         cache_read_tokens=cached,
-        cache_creation_tokens=n(u + "cache_write.input_tokens", u + "cache_creation.input_tokens"),
-        extra_tokens=n(u + "reasoning.output_tokens", u + "reasoning_tokens"),
-        message_count=n(u + "total_tokens", u + "total.token_count"),
+        cache_creation_tokens=F.col("n_written"),
+        extra_tokens=F.col("n_reasoning"),
+        message_count=F.col("n_total"),
         bill_extra=F.lit(True),
     )
     out = written(_settle(out))

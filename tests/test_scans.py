@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.plans.reports import transcript_context
-from tallyforge.sources import codex, logfiles
+from tallyforge.sources import agents, codex, logfiles
 from tallyforge.sources import sqlite as S
 from tallyforge.sources.textlogs import file_heads, last_line, listed_files, log_lines, range_lines, ranges_of
 
@@ -199,6 +199,14 @@ def test_lines_of_codex_are_not_joined(spark, tmp_path, monkeypatch):
     assert "value#" in first[reading : first.index("\n", reading)] and "Join" not in first[:reading]
 
 
+def test_joins_of_copilot_are_no_broadcasts(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.jsonl").write_text('{"type":"span","name":"chat x","traceId":"t","attributes":{"gen_ai.usage.input_tokens":3,"gen_ai.response.id":"r"}}\n')
+    plans = plans_of(monkeypatch, agents, lambda: agents.read_copilot(spark, str(tmp_path)))
+    joins = [line for plan in plans for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(joins) >= 3 and all("strategy=merge" in line for line in joins)
+    assert max(len(plan) for plan in plans) < 60_000  # picks nested in picks made 150,000
+
+
 def test_files_are_written_in_order_by_streams(spark, tmp_path):
     rows = spark.range(30_000).select(F.concat(F.lit("d/f"), F.col("id") % 3).alias("file"), (-F.col("id")).alias("n"), F.col("id").cast("string").alias("line"))
     logfiles.write_logs(rows, str(tmp_path / "logs"))
