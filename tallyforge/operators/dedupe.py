@@ -10,6 +10,12 @@ from tallyforge.functions.tokens import total_tokens
 ORDER = ["file", "line_no", "item_no"]
 
 
+def _spread() -> Column:
+    """A window key that is null for records with a message id and spreads the others, all of
+    which stay, over tasks. Filtering both kinds apart would read and parse the logs twice."""
+    return F.when(F.col("message_id").isNull(), F.xxhash64(*ORDER))
+
+
 def keep_ranked(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``; rows with a null in all keys' columns stay
     apart by their key being null-safe (nulls are equal)."""
@@ -40,14 +46,14 @@ def dedupe_replayed(df: DataFrame) -> DataFrame:
     conversation, those of side conversations go; else its single best one stays. Records
     without a message id all stay.
     """
-    known, none = df.where("message_id is not null"), df.where("message_id is null")
-    main = F.max(F.when(F.col("is_sidechain"), 0).otherwise(1)).over(Window.partitionBy("message_id"))
-    known = known.withColumn("_main", main).where("_main = 0 or not is_sidechain")
+    spread = df.withColumn("_spread", _spread())
+    main = F.max(F.when(F.col("is_sidechain"), 0).otherwise(1)).over(Window.partitionBy("message_id", "_spread"))
+    known = spread.withColumn("_main", main).where("message_id is null or _main = 0 or not is_sidechain")
     key = F.when(F.col("_main") == 1, F.struct(F.col("request_id").alias("r"), F.lit(1).alias("m"))).otherwise(F.struct(F.lit(None).cast("string").alias("r"), F.lit(0).alias("m")))
     best = [F.desc(total_tokens()), F.desc(F.col("speed").isNotNull()), *(F.asc(c) for c in ORDER)]
-    w = Window.partitionBy("message_id", "_key").orderBy(*best)
-    known = known.withColumn("_key", key).withColumn("_place", F.row_number().over(w)).where("_place = 1")
-    return known.select(*df.columns).unionByName(none)
+    w = Window.partitionBy("message_id", "_spread", "_key").orderBy(*best)
+    known = known.withColumn("_key", key).withColumn("_place", F.row_number().over(w)).where("message_id is null or _place = 1")
+    return known.select(*df.columns)
 
 
 _USAGE = ["input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens"]
@@ -62,8 +68,9 @@ def dedupe_agent(df: DataFrame, agent: str) -> DataFrame:
     if agent == "codebuff":
         return keep_last(df, ["session_id", "message_id"])
     if agent == "opencode":
-        named = keep_first(df.where("message_id is not null"), ["message_id"], ["item_no", "file", "line_no"])
-        return named.unionByName(df.where("message_id is null"))
+        w = Window.partitionBy("message_id", "_spread").orderBy("item_no", "file", "line_no")
+        placed = df.withColumn("_spread", _spread()).withColumn("_place", F.row_number().over(w))
+        return placed.where("message_id is null or _place = 1").select(*df.columns)
     if agent == "goose":
         return keep_first(df, ["file", "session_id"])
     if agent == "hermes":

@@ -1,6 +1,7 @@
 """SQLite tables as a Spark data source (read only): ranges of row ids as partitions, filters in SQL.
 
-Databases are found through the file system of the path's scheme. One that tasks can open in
+Databases are found through the file system of the path's scheme. Where there are many, small ones are
+packed into tasks by their bytes, unopened. Another one that tasks can open in
 place (``file:``, a disk that all of them share) is divided by row ids; one of another file
 system is fetched by the task that reads it, whole, and so is one partition. Filters that Spark
 offers (``spark.sql.python.filterPushdown.enabled``), and those given as the option ``where``, are
@@ -17,6 +18,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
@@ -34,8 +36,12 @@ from pyspark.sql.datasource import (
 
 from tallyforge.sources.textlogs import opened, whole_path
 
-#: Row ids of a partition; bytes of a database's header (a file below that holds no table).
-ROWS, HEADER = 100_000, 100
+#: Row ids of a partition; bytes of a database's header (a file below that holds no table). Databases
+#: up to SMALL bytes are read whole, several by a task: PACK bytes, each counted as OPEN more.
+ROWS, HEADER, SMALL, PACK, OPEN = 100_000, 100, 8 << 20, 32 << 20, 256 << 10
+#: Rows handed on together.
+BATCH = 5_000
+_ARROW = {"string": pa.string, "long": pa.int64, "double": pa.float64}
 _COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
@@ -46,6 +52,11 @@ class RowRange(InputPartition):
     high: int | None
 
 
+@dataclass
+class Several(InputPartition):
+    parts: list[RowRange]
+
+
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
@@ -56,7 +67,7 @@ class SqliteReader(DataSourceReader):
         self.names = schema.fieldNames()[2:]
         self.uri, self.table, self.match = options["path"], options["table"], options.get("match", "*.db")
         self.places = json.loads(options.get("columns", "{}"))
-        self.rows = int(options.get("rows", ROWS))
+        self.rows, self.tasks = int(options.get("rows", ROWS)), int(options.get("tasks", 1))
         self.conditions: list[tuple[str, list]] = [(text, values) for text, values in json.loads(options.get("where", "[]"))]
 
     # -- planning
@@ -86,12 +97,19 @@ class SqliteReader(DataSourceReader):
             raise FileNotFoundError(f"no file or folder: {self.uri}")
         found = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         files = [x for x in found if x.type == pafs.FileType.File and x.size >= HEADER]
-        paths = sorted(x.path for x in files if x is info or fnmatch(x.path.rpartition("/")[2], self.match))
-        if not isinstance(fs, pafs.LocalFileSystem):
-            scheme = self.uri.split("://")[0]
-            return [RowRange(f"{scheme}://{p}", None, None) for p in paths] or [RowRange("", None, None)]
-        out = []
-        for path in paths:
+        sizes = dict(sorted((x.path, x.size) for x in files if x is info or fnmatch(x.path.rpartition("/")[2], self.match)))
+        local = isinstance(fs, pafs.LocalFileSystem)
+        scheme = "file:" if local else self.uri.split("://")[0] + "://"
+        small = {p: n for p, n in sizes.items() if n <= SMALL}
+        #: A few are divided by row ids, whatever their size.
+        packed = self._packed(scheme, small) if len(small) > self.tasks and self.rows >= ROWS else []
+        out = [*packed]
+        for path in sizes:
+            if packed and path in small:
+                continue
+            if not local:
+                out.append(RowRange(scheme + path, None, None))
+                continue
             low, high = self._bounds(path)
             step = low
             while low is not None and step <= high:
@@ -99,6 +117,19 @@ class SqliteReader(DataSourceReader):
                 step += self.rows
         return out or [RowRange("", None, None)]
 
+    def _packed(self, scheme, small):
+        """Small databases, which only their task opens: planning costs no more than the listing, and
+        tasks grow with the bytes, not with the files."""
+        most = min(PACK, -(-sum(n + OPEN for n in small.values()) // self.tasks))
+        packs, size = [], most
+        for path, n in small.items():
+            if size + n + OPEN > most:
+                packs.append(Several([]))
+                size = 0
+            packs[-1].parts.append(RowRange(scheme + path, None, None))
+            size += n + OPEN
+        return packs
+
     def _bounds(self, path):
         """First and last row id; none for an empty table or another application's database."""
         with _database(f"file:{path}") as db:
@@ -119,14 +150,21 @@ class SqliteReader(DataSourceReader):
         return f"SELECT rowid, {', '.join(map(self._place, self.names))} FROM {_quoted(self.table)}{where} ORDER BY rowid", values
 
     def read(self, partition):
+        for part in partition.parts if isinstance(partition, Several) else [partition]:
+            yield from self._read(part)
+
+    def _read(self, partition: RowRange):
         if not partition.uri:
             return
         named = "/" + partition.uri.split(":", 1)[1].lstrip("/")
         with _database(partition.uri) as db:
             if partition.low is None and db.execute("SELECT 1 FROM sqlite_master WHERE name = ?", [self.table]).fetchone() is None:
                 return
-            for number, *row in db.execute(*self.sql(partition)):
-                yield (named, number, *(_fit(x, k) for x, k in zip(row, self.kinds)))
+            found = db.execute(*self.sql(partition))
+            while rows := found.fetchmany(BATCH):
+                numbers, *columns = zip(*rows)
+                fitted = [pa.array([_fit(x, k) for x in column], _ARROW[k]()) for column, k in zip(columns, self.kinds)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(named, len(rows)), pa.array(numbers, pa.int64()), *fitted], names=["file", "line_no", *self.names])
 
 
 class FilteringReader(SqliteReader):
@@ -172,7 +210,7 @@ def _fit(value, kind):
 
 class SqliteDataSource(DataSource):
     """``format("sqlite_table")``; options path (file or folder), table, match (``*.db``), rows (of a
-    partition), columns (JSON: SQL for a column that isn't one of the table), where (JSON:
+    partition), tasks (to deal to, at least, where there are more databases), columns (JSON: SQL for a column that isn't one of the table), where (JSON:
     conditions with their values), filters (``true``: take Spark's filters).
 
     The schema's first two columns are the database file and the row id; only the columns after
@@ -199,5 +237,5 @@ def sqlite_rows(
     spark.dataSource.register(SqliteDataSource)
     ddl = "file string, line_no long, " + ", ".join(f"{name} {kind}" for name, kind in columns.items())
     pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    reader = spark.read.format("sqlite_table").schema(ddl).options(table=table, match=match, rows=rows, filters=pushed)
+    reader = spark.read.format("sqlite_table").schema(ddl).options(table=table, match=match, rows=rows, filters=pushed, tasks=spark.sparkContext.defaultParallelism)
     return reader.option("columns", json.dumps(places or {})).option("where", json.dumps(where or [])).load(whole_path(spark, path))

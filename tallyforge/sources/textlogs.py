@@ -62,11 +62,25 @@ def _named(uri: str | Column) -> Column:
     return F.regexp_replace(uri, "^[a-z0-9]+:/*", "/")
 
 
+#: How many tasks Spark lists folders with; by default a task for each folder, up to 10,000.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def _loaded(spark: SparkSession, kind: str, paths: str | list[str], glob: str, **options: str) -> DataFrame:
+    """The matching files below the folders, listed by four tasks a core: folders can be as many as
+    files, and a task for each costs far more than its listing. The setting is then as before."""
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.format(kind).options(recursiveFileLookup="true", pathGlobFilter=glob, **options).load([paths] if isinstance(paths, str) else [*paths])
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def whole_files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
     """file, modified_ms, value: each matching file below the folders, for documents that only
     make sense whole. Spark packs small files into tasks by size."""
-    paths = [paths] if isinstance(paths, str) else [*paths]
-    found = spark.read.format("text").options(wholetext="true", recursiveFileLookup="true", pathGlobFilter=glob).load(paths)
+    found = _loaded(spark, "text", paths, glob, wholetext="true")
     name = _named(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")))
     return found.select(name.alias("file"), F.unix_millis(F.col("_metadata.file_modification_time")).alias("modified_ms"), "value")
 
@@ -74,8 +88,7 @@ def whole_files(spark: SparkSession, paths: str | list[str], glob: str) -> DataF
 def listed_files(spark: SparkSession, paths: str | list[str], glob: str) -> DataFrame:
     """uri, file, modified_ms, length: the matching files below the folders. Nothing of them is
     read; conditions on ``file`` prune what later steps open. A path that isn't there raises."""
-    paths = [paths] if isinstance(paths, str) else [*paths]
-    found = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=glob).load(paths)
+    found = _loaded(spark, "binaryFile", paths, glob)
     return found.select(F.col("path").alias("uri"), _named("path").alias("file"), F.unix_millis("modificationTime").alias("modified_ms"), "length")
 
 

@@ -8,8 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators.dedupe import dedupe_agent
 from tallyforge.plans.reports import transcript_context
-from tallyforge.sources import agents, codex, logfiles
+from tallyforge.sources import agents, codex, logfiles, textlogs
 from tallyforge.sources import sqlite as S
 from tallyforge.sources.textlogs import file_heads, last_line, listed_files, log_lines, range_lines, ranges_of
 
@@ -214,3 +215,43 @@ def test_files_are_written_in_order_by_streams(spark, tmp_path):
         assert (tmp_path / "logs" / "d" / f"f{k}").read_text().split() == [str(x) for x in reversed(range(k, 30_000, 3))]
     batches = [pa.RecordBatch.from_pydict({"file": ["a"] * 5 + ["b"] * 5, "line": ["x"] * 10})] * 2
     assert list(logfiles._runs(batches, "line")) == [("a", ["x"] * 5), ("b", ["x"] * 5)] * 2
+
+
+def test_many_small_databases_are_packed_unopened(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).select(F.concat(F.lit("d"), F.col("id") % 60, F.lit("/a.db")).alias("file"), F.col("id").alias("n"), F.array(F.col("id").cast("string")).alias("cells"))
+    logfiles.write_databases(rows, str(tmp_path / "dbs"), "t", "n int")
+    got = S.sqlite_rows(spark, str(tmp_path / "dbs"), "t", {"n": "long"})
+    assert got.rdd.getNumPartitions() <= 8  # by bytes; there are 60 files and 4 cores
+    found = got.collect()
+    assert sorted(r.n for r in found) == list(range(6000)) and all(r.file.endswith(f"/d{r.n % 60}/a.db") and r.line_no == r.n // 60 + 1 for r in found)
+    reader = S.SqliteReader(got.schema, {"path": f"file:{tmp_path}/dbs", "table": "t", "tasks": "4"})
+    monkeypatch.setattr(reader, "_bounds", None)  # planning opens none
+    assert sum(len(p.parts) for p in reader.partitions()) == 60
+
+
+def test_deduplication_reads_its_input_once(spark):
+    rows = spark.range(9).select(
+        F.when(F.col("id") < 4, "m").when(F.col("id") < 6, "k").alias("message_id"), F.lit(None).cast("string").alias("request_id"), (F.col("id") % 2 == 1).alias("is_sidechain"), F.lit(None).cast("string").alias("speed"),
+        F.lit("f").alias("file"), F.lit(0).alias("line_no"), F.lit(0).alias("item_no"), *(F.col("id").alias(c) for c in ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "extra_tokens")),
+    )
+    for agent, kept in (("claude", [2, 4, 6, 7, 8]), ("opencode", None)):
+        out = dedupe_agent(rows, agent)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+        ids = sorted(r.input_tokens for r in out.collect())
+        assert ids == kept if kept else len(ids) == 5 and ids[2:] == [6, 7, 8]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for k in range(80):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "a.json").write_text(str(k))
+    before = spark.conf.get(textlogs.LISTING)
+    spark.sparkContext.setJobGroup("listing of folders", "")
+    try:
+        found = textlogs.whole_files(spark, str(tmp_path), "*.json")
+        status = spark.sparkContext.statusTracker()
+        stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("listing of folders") for s in status.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages) <= 16 and spark.conf.get(textlogs.LISTING) == before
+    assert sorted(int(r.value) for r in found.select("value").collect()) == list(range(80))
