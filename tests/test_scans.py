@@ -205,7 +205,7 @@ def test_joins_of_copilot_are_no_broadcasts(spark, tmp_path, monkeypatch):
     plans = plans_of(monkeypatch, agents, lambda: agents.read_copilot(spark, str(tmp_path)))
     joins = [line for plan in plans for line in plan.splitlines() if "Join LeftOuter" in line]
     assert len(joins) >= 3 and all("strategy=merge" in line for line in joins)
-    assert max(len(plan) for plan in plans) < 60_000  # picks nested in picks made 150,000
+    assert max(len(plan) for plan in plans) < 60_000  # picks aren't nested in picks
 
 
 def test_files_are_written_in_order_by_streams(spark, tmp_path):
