@@ -590,69 +590,109 @@ _GM = {
 }
 
 
-def _gemini_events(df: DataFrame, tokens: Column, inclusive: Column, model: Column, session: Column, ts: Column, message_id: Column) -> DataFrame:
-    whole = lambda k: F.when(J.number(tokens, k) >= 0, F.floor(J.number(tokens, k))).when(J.number(tokens, k) < 0, 0).cast("long")
-    n = {name: F.coalesce(*(whole(k) for k in keys), F.lit(0)) for name, keys in _GM.items()}
-    total = whole("total")
-    total = F.when(J.exists(tokens, "total"), total).otherwise(whole("total_tokens"))
+_GM_COUNTS = (*(k for keys in _GM.values() for k in keys), "total", "total_tokens")
+_GM_SHAPE = f"struct<{J.variants(_GM_COUNTS)}>"
+_GM_TEXTS = ("type", "id", "model", "timestamp", "created_at")
+_GM_ITEM = J.variants(_GM_TEXTS) + f", tokens: {_GM_SHAPE}"
+_GM_TOP = ("sessionId", "session_id", "startTime", "lastUpdated")
+_GM_RECORD = f"struct<{_GM_ITEM}, {J.variants((*_GM_TOP, 'stats'))}, messages: array<struct<{_GM_ITEM}>>, result: struct<stats: variant>>"
+
+
+def _texts(of: str, names) -> Column:
+    return F.struct(*(J.raw_text(F.col(f"{of}.{k}")).alias(k) for k in names))
+
+
+def _gemini_found(rows: DataFrame, lines: bool) -> DataFrame:
+    """Records (a document or a line each) to the usages in them, in plain columns: ``form`` (1
+    a message, 2 the record itself, 3 a model's statistics, 4 statistics alone), names, times and
+    counters. Each value is picked once, so no step outgrows a compiled method. Of lines, records
+    without a usage stay, with a null form, since session and model carry forward from them."""
+    r, t = F.col("r"), F.col("t")
+    rows = once(json_lines(rows), "r", J.typed(F.col("v"), _GM_RECORD)).drop("v", "value").where("r is not null")
+    rows = once(rows, "t", _texts("r", (*_GM_TEXTS, *_GM_TOP)))
+    rows = once(rows, "stats", F.coalesce(r["stats"], r["result"]["stats"]))
+    rows = once(rows, "models", J.typed(F.col("stats"), f"map<string, struct<tokens: {_GM_SHAPE}>>", "models"))
+    none, shape = F.lit(None), _GM_SHAPE
+    event = lambda form, tokens, n=F.lit(0), name=none, x=None: F.struct(
+        F.lit(form).alias("form"), n.cast("long").alias("item_no"), name.cast("string").alias("name"), *((none.cast("variant") if x is None else x[k]).alias(k) for k in _GM_TEXTS), tokens.alias("tokens")
+    )
+    priced = F.filter(F.map_entries("models"), lambda e: e["value"]["tokens"].isNotNull())
+    by_model = F.when(F.size(priced) > 0, F.transform(priced, lambda e: event(3, e["value"]["tokens"], name=e["key"])))
+    by_stats = F.when(F.col("stats").isNotNull(), F.coalesce(by_model, F.array(event(4, J.typed(F.col("stats"), shape)))))
+    found = F.when(t["type"] == "gemini", F.array(event(2, r["tokens"], x=r))).otherwise(by_stats)
+    if not lines:
+        found = F.when(r["messages"].isNotNull(), F.transform(r["messages"], lambda x, n: event(1, x["tokens"], n, x=x))).otherwise(found)
+    trimmed = lambda c: F.nullif(F.trim(c), F.lit(""))
+    rows = rows.select(
+        "file",
+        "line_no",
+        "modified_ms",
+        F.coalesce(trimmed(t["sessionId"]), trimmed(t["session_id"])).alias("session"),
+        trimmed(t["model"]).alias("hint"),
+        *(T.strict_ms(t[k]).alias(f"at_{k}") for k in ("startTime", "lastUpdated", "timestamp")),
+        F.explode(F.array(found)).alias("found"),  # once: Spark filters by its size
+    )
+    rows = rows.select("*", (F.explode_outer if lines else F.explode)("found").alias("e")).drop("found")
+    rows = once(rows, "x", _texts("e", _GM_TEXTS))
+    whole = lambda c: F.floor(F.greatest(c, F.lit(0.0)))
+    rows = once(rows, "n", F.transform(F.transform(F.array(*(F.col(f"e.tokens.{k}") for k in _GM_COUNTS)), lambda c: J.number(c)), lambda c: F.when(c.isNotNull(), whole(c))))
+    n, x, form = {k: F.col("n")[i] for i, k in enumerate(_GM_COUNTS)}, F.col("x"), F.col("e.form")
+    own = F.coalesce(T.strict_ms(x["timestamp"]), T.strict_ms(x["created_at"]))
+    at = F.when(form == 1, F.coalesce(own, "at_startTime", "at_lastUpdated")).when(form == 2, own).otherwise(F.col("at_timestamp"))
+    rows = rows.where("e is null or e.form <> 1 or x.type = 'gemini'")
+    return rows.select(
+        "file",
+        "line_no",
+        F.col("e.item_no"),
+        form.alias("form"),
+        "session",
+        "hint",
+        F.when(form == 1, trimmed(x["model"])).when(form == 3, F.col("e.name")).alias("named"),
+        F.when(form <= 2, trimmed(x["id"])).alias("mid"),
+        F.coalesce(at, "modified_ms").alias("at"),
+        F.col("e.tokens").isNotNull().alias("counted"),
+        *(F.coalesce(*(n[k] for k in keys), F.lit(0)).alias(f"n_{name}") for name, keys in _GM.items()),
+        F.when(F.col("e.tokens.total").isNotNull(), n["total"]).otherwise(n["total_tokens"]).alias("n_total"),
+    )
+
+
+def read_gemini(spark: SparkSession, path: str) -> DataFrame:
+    """Session documents (messages, one record, or statistics by model) and session lines; in
+    lines session and model carry forward, and a repeated message id replaces the earlier."""
+    docs = _gemini_found(whole_files(spark, path, "*.json").withColumn("line_no", F.lit(0).cast("long")), False)
+    rows = written(_gemini_found(log_lines(spark, path, "*.jsonl"), True))  # parsed once, read twice to carry
+    rows = carry_forward(rows, ["session", "hint"], ["file"], ["line_no"], span=F.floor(F.col("line_no") / RANGE)).where("form is not null")
+    #: Only records with an id replace each other; the others are spread.
+    replaces = (F.col("form") == 2) & F.col("mid").isNotNull()
+    latest = Window.partitionBy("file", "mid", "_spread").orderBy(F.desc("line_no"))
+    rows = rows.withColumn("_spread", F.when(~replaces, F.xxhash64("file", "line_no", "item_no", "named"))).withColumn("_place", F.row_number().over(latest))
+    rows = rows.where((F.col("_place") == 1) | F.col("_spread").isNotNull())
+    stem = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    rows = docs.unionByName(rows.select(docs.columns)).where("counted").withColumn("session", F.coalesce("session", stem))
+    n = {name: F.col(f"n_{name}") for name in (*_GM, "total")}
     summed = n["input"] + n["output"] + n["thoughts"] + n["tool"]
-    overlap = inclusive | F.coalesce((n["cached"] > 0) & (total == summed), F.lit(False))
-    plain = F.when(overlap, saturating_minus(n["input"], n["cached"])).otherwise(n["input"]) + n["tool"]
+    overlap = (F.col("form") >= 3) | F.coalesce((n["cached"] > 0) & (n["total"] == summed), F.lit(False))
+    model = F.when(F.col("form") == 2, F.col("hint")).when(F.col("form") == 4, F.coalesce("hint", F.lit("unknown"))).otherwise(F.col("named"))
     out = usage(
-        df.where(J.kind(tokens).startswith("OBJECT")),
+        rows.withColumn("model", model),
         "gemini",
-        ts_ms=ts,
-        session_id=session,
+        ts_ms=F.col("at"),
+        session_id=F.col("session"),
         project_path=F.lit("Gemini"),
-        message_id=message_id,
-        model=F.nullif(F.trim(model), F.lit("")),
-        input_tokens=plain,
+        message_id=F.col("mid"),
+        model=F.nullif(F.trim("model"), F.lit("")),
+        input_tokens=F.when(overlap, saturating_minus(n["input"], n["cached"])).otherwise(n["input"]) + n["tool"],
         output_tokens=n["output"],
         cache_read_tokens=n["cached"],
         extra_tokens=n["thoughts"],
-        message_count=F.coalesce(total, F.lit(0)),
-        candidates=F.array(model, F.concat(F.lit("gemini/"), model), F.concat(F.lit("google/"), model), F.concat(F.lit("vertex_ai/"), model)),
+        message_count=F.coalesce(n["total"], F.lit(0)),
+        candidates=F.array("model", *(F.concat(F.lit(f"{x}/"), "model") for x in ("gemini", "google", "vertex_ai"))),
         price_rule=F.lit("never_recorded"),
         bill_extra=F.lit(True),
     )
     return _settle(out).where("model is not null")
 
 
-def read_gemini(spark: SparkSession, path: str) -> DataFrame:
-    """Session documents (messages, one record, or statistics by model) and session lines; in
-    lines session and model carry forward, and a repeated message id replaces the earlier."""
-    v = F.col("v")
-    docs = _documents(spark, path, "*.json").where(J.kind(v).startswith("OBJECT")).withColumn("item_no", F.lit(0))
-    rows = json_lines(log_lines(spark, path, "*.jsonl")).where(J.kind(v).startswith("OBJECT")).withColumn("item_no", F.lit(0))
-    stem = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    sess = lambda x: F.coalesce(J.text(x, "sessionId"), J.text(x, "session_id"))
-    told = lambda x, *keys: F.coalesce(*(T.strict_ms(J.raw_text(x, k)) for k in keys))
-    docs = docs.withColumns({"session": F.coalesce(sess(v), stem), "hint": J.text(v, "model")})
-    rows = rows.withColumns({"session": sess(v), "hint": J.text(v, "model")})
-    rows = carry_forward(rows, ["session", "hint"], ["file"], ["line_no"], span=F.floor(F.col("line_no") / RANGE)).withColumn("session", F.coalesce("session", stem))
-    docs, rows = written(docs), written(rows)  # several forms are looked for in each
-    m, no = F.col("m"), F.lit(False)
-    listed = F.coalesce(J.kind(v, "messages").startswith("ARRAY"), no)
-    single = F.coalesce(J.raw_text(v, "type") == "gemini", no)
-    started = F.coalesce(told(v, "startTime"), told(v, "lastUpdated"), "modified_ms")
-    messages = _items(docs.where(listed).drop("item_no"), J.node(v, "messages"), "m").where(J.raw_text(m, "type") == "gemini")
-    one = _gemini_events(messages, J.node(m, "tokens"), no, J.text(m, "model"), F.col("session"), F.coalesce(told(m, "timestamp", "created_at"), started), J.text(m, "id"))
-    rest = docs.where(~listed).unionByName(rows.select(docs.columns))
-    alone = rest.where(single).withColumn("mid", J.text(v, "id"))
-    latest = Window.partitionBy("file", "mid").orderBy(F.desc("line_no"))
-    alone = alone.withColumn("n", F.row_number().over(latest)).where("n = 1 or mid is null")
-    two = _gemini_events(alone, J.node(v, "tokens"), no, F.coalesce(J.text(v, "model"), "hint"), F.col("session"), F.coalesce(told(v, "timestamp", "created_at"), "modified_ms"), J.text(v, "id"))
-    stats = rest.where(~single).withColumn("stats", F.coalesce(J.node(v, "stats"), J.node(v, "result", "stats"))).where("stats is not null")
-    moment = F.coalesce(told(v, "timestamp"), "modified_ms")
-    by_model = F.from_json(F.to_json(J.node(F.col("stats"), "models")), "map<string,variant>")
-    split = stats.withColumn("models", by_model)
-    each = split.select("*", F.explode("models").alias("name", "data"))
-    three = _gemini_events(each, J.node(F.col("data"), "tokens"), F.lit(True), F.col("name"), F.col("session"), moment, F.lit(None))
-    bare = split.where(F.size(F.filter(F.map_values(F.coalesce("models", F.create_map().cast("map<string,variant>"))), lambda d: F.coalesce(J.kind(d, "tokens").startswith("OBJECT"), no))) == 0)
-    four = _gemini_events(bare, F.col("stats"), F.lit(True), F.coalesce("hint", F.lit("unknown")), F.col("session"), moment, F.lit(None))
-    return one.unionByName(two).unionByName(three).unionByName(four)
-
-
 # ---- SQLite --------------------------------------------------------------------------
 
 

@@ -2,16 +2,19 @@
 
 import json
 import random
+import re
 import sqlite3
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.operators import pricing
 from tallyforge.operators.dedupe import dedupe_agent
 from tallyforge.plans.reports import transcript_context
 from tallyforge.sources import agents, codex, logfiles, textlogs
 from tallyforge.sources import sqlite as S
+from tallyforge.sources.rates import Rate
 from tallyforge.sources.textlogs import file_heads, last_line, listed_files, log_lines, range_lines, ranges_of
 
 
@@ -255,3 +258,42 @@ def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert stages and max(s.numTasks for s in stages) <= 16 and spark.conf.get(textlogs.LISTING) == before
     assert sorted(int(r.value) for r in found.select("value").collect()) == list(range(80))
+
+
+def method_sizes(spark, df):
+    """Bytes of the largest compiled method of each stage. The JIT leaves methods beyond 8,000 uncompiled."""
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "codegen")
+    return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+@pytest.mark.parametrize("agent", ["gemini"])
+def test_readers_keep_to_methods_that_are_compiled(spark, tmp_path, monkeypatch, agent):
+    (tmp_path / "a.json").write_text('{"id":"t","messages":[]}')
+    (tmp_path / "a.jsonl").write_text('{"type":"gemini","message":{"usage":{}}}\n')
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else stages are compiled one by one
+    try:
+        monkeypatch.setattr(agents, "written", lambda df: df)
+        sizes = method_sizes(spark, agents.READERS[agent](spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("agent", ["gemini"])
+def test_documents_are_read_once(spark, tmp_path, agent):
+    (tmp_path / "a.json").write_text('{"id":"t","messages":[]}')
+    plan = agents.READERS[agent](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1
+
+
+def test_facts_are_not_dealt_by_their_candidates(spark, monkeypatch):
+    rows = agents.usage(spark.range(40).select(F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.lit(1).alias("input_tokens"), F.lit(0).alias("output_tokens")), "x")
+    facts = textlogs.written(rows)
+    cards = [{"m1": Rate("m1", input=2.0)}]
+    found = lambda: sorted((r.model, r.cost, r.missing_pricing) for r in pricing.price(facts, cards).collect())
+    few = found()
+    assert {m: c for m, c, _ in few} == {"m0": 0.0, "m1": 2.0, "m2": 0.0} and len(few) == 40 and {m for _, _, m in few} == {None, "m0", "m2"}
+    joins = [line for line in pricing.price(facts, cards)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert "strategy=broadcast" in joins[0]
+    monkeypatch.setattr(pricing, "LISTS", 2)  # too many to broadcast: dealt, with the same results
+    assert found() == few
