@@ -17,7 +17,7 @@ from tallyforge.functions import jsonpick as J
 from tallyforge.functions import names as N
 from tallyforge.functions import timestamps as T
 from tallyforge.functions.tokens import saturating_minus, total_tokens, with_total_fallback
-from tallyforge.operators.carry import carry_forward, with_lookup
+from tallyforge.operators.carry import carry_forward
 from tallyforge.operators.dedupe import keep_highest
 from tallyforge.sources.sqlite import sqlite_rows
 from tallyforge.sources.textlogs import RANGE, json_lines, log_lines, once, whole_files, written
@@ -391,50 +391,68 @@ def _items(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("*", F.posexplode(array).alias("item_no", name))
 
 
+_AMP_USED = ("inputTokens", "outputTokens", "cacheCreationInputTokens", "cacheReadInputTokens", "totalTokens", "input", "output", "total")
+_AMP_ITEM = f"struct<{J.variants(('role', 'id', 'messageId', 'toMessageId', 'timestamp', 'model', 'credits', 'usage', 'tokens'))}>"
+_AMP_THREAD = f"struct<id: variant, messages: array<{_AMP_ITEM}>, usageLedger: struct<events: array<{_AMP_ITEM}>>>"
+_AMP_USE = f"struct<{J.variants(('timestamp', 'model', 'credits', *_AMP_USED))}>"
+
+
 def read_amp(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger events, with cache tokens of the message they led to (a left join by id); threads
-    without a ledger by their messages."""
-    docs, v = _documents(spark, path, "*.json"), F.col("v")
-    docs = docs.withColumn("thread", J.text(v, "id")).where("thread is not null")
-    has_ledger = F.coalesce(J.kind(v, "usageLedger", "events").startswith("ARRAY"), F.lit(False))
-    m = F.col("m")
-    messages = _items(docs, J.node(v, "messages"), "m").where(J.raw_text(m, "role") == "assistant")
-    cache = messages.where(J.integer(m, "messageId").isNotNull()).groupBy("file", J.integer(m, "messageId").alias("to_id")).agg(
-        F.max_by(F.struct(J.u64(m, "usage", "cacheCreationInputTokens").alias("c"), J.u64(m, "usage", "cacheReadInputTokens").alias("r")), "item_no").alias("cache")
-    )
-    e = F.col("e")
-    events = _items(docs.where(has_ledger), J.node(v, "usageLedger", "events"), "e").withColumn("to_id", J.integer(e, "toMessageId"))
-    nothing = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("r"))
-    events = with_lookup(events, cache, ["file", "to_id"], {"cache": nothing})
-    common = {"project_path": F.lit("Amp"), "bill_extra": F.lit(True), "session_id": F.col("thread")}
-    ledger = usage(
-        events.where(J.exists(e, "tokens")),
-        "amp",
-        ts_ms=T.strict_ms(J.text(e, "timestamp")),
-        ts_text=J.text(e, "timestamp"),
-        model=J.text(e, "model"),
-        message_id=J.text(e, "id"),
-        credits=J.number(e, "credits"),
-        **_counters(e, input=("tokens", "input"), output=("tokens", "output")),
-        cache_creation_tokens=F.col("cache.c"),
-        cache_read_tokens=F.col("cache.r"),
-        message_count=J.u64(e, "tokens", "total"),
-        **common,
+    """Ledger events, with cache tokens of the message they led to (by id); threads without a ledger
+    by their messages. A thread is read and parsed once: messages and events meet in a window, in
+    plain columns, each value picked once."""
+    docs = json_lines(whole_files(spark, path, "*.json"))
+    docs = once(docs, "r", J.typed(F.col("v"), _AMP_THREAD)).drop("v", "value")
+    docs = once(docs, "thread", J.text(F.col("r.id"))).where("thread is not null")
+    items = lambda kind, of: F.transform(F.coalesce(of, F.array().cast(f"array<{_AMP_ITEM}>")), lambda x, k: F.struct(F.lit(kind).alias("ledger"), k.cast("long").alias("item_no"), x.alias("x")))
+    events = F.col("r.usageLedger.events")
+    docs = docs.select("file", "thread", events.isNotNull().alias("has_ledger"), F.explode(F.array(F.concat(items(False, F.col("r.messages")), items(True, events)))).alias("items"))
+    rows = docs.select("file", "thread", "has_ledger", F.explode("items").alias("i")).select("file", "thread", "has_ledger", "i.*")
+    x, u, t, n, ledger = F.col("x"), F.col("u"), F.col("t"), F.col("n"), F.col("ledger")
+    rows = once(rows, "of", F.when(ledger, x["tokens"]).otherwise(x["usage"]))
+    rows = once(rows, "u", J.typed(F.col("of"), _AMP_USE))
+    rows = once(rows, "t", F.struct(*(J.raw_text(x[k]).alias(k) for k in ("role", "id", "messageId", "timestamp", "model")), *(J.raw_text(u[k]).alias(f"use_{k}") for k in ("timestamp", "model"))))
+    rows = once(rows, "ids", F.struct(J.integer(x["messageId"]).alias("own"), J.integer(x["toMessageId"]).alias("to")))
+    rows = once(rows, "credits", F.when(ledger, J.number(x["credits"])).otherwise(J.number(u["credits"])))
+    rows = once(rows, "n", F.transform(F.array(*(u[k] for k in _AMP_USED)), lambda c: J.u64(c))).where("ledger or t.role = 'assistant'")
+    n = {k: F.coalesce(n[i], F.lit(0)) for i, k in enumerate(_AMP_USED)}
+    trimmed = lambda k: F.nullif(F.trim(t[k]), F.lit(""))
+    own = {"input": n["inputTokens"], "output": n["outputTokens"], "c": n["cacheCreationInputTokens"], "r": n["cacheReadInputTokens"], "total": n["totalTokens"]}
+    rows = rows.select(
+        "file",
+        F.lit(0).alias("line_no"),
+        "item_no",
+        "thread",
+        "has_ledger",
+        "ledger",
+        F.when(ledger, F.col("ids.to")).otherwise(F.col("ids.own")).alias("to_id"),
+        F.when(ledger, trimmed("id")).otherwise(F.coalesce(F.col("ids.own").cast("string"), t["messageId"])).alias("message_id"),
+        F.when(ledger, trimmed("timestamp")).otherwise(F.coalesce(trimmed("use_timestamp"), trimmed("timestamp"))).alias("told"),
+        F.when(ledger, trimmed("model")).otherwise(F.coalesce(trimmed("use_model"), trimmed("model"))).alias("model"),
+        "credits",
+        F.col("of").isNotNull().alias("used"),
+        *(F.when(ledger, n[k] if k in _AMP_USED else F.lit(0).cast("long")).otherwise(v).alias(f"n_{k}") for k, v in own.items()),
     )
-    told = F.coalesce(J.text(m, "usage", "timestamp"), J.text(m, "timestamp"))
-    plain = usage(
-        messages.where(~has_ledger & J.exists(m, "usage")),
+    #: The last message of an id tells the cache tokens; rows without an id are spread.
+    same = Window.partitionBy("file", "to_id", F.when(F.col("to_id").isNull(), F.xxhash64("file", "ledger", "item_no")))
+    said = F.max(F.when(~ledger & F.col("to_id").isNotNull(), F.struct("item_no", "n_c", "n_r"))).over(same)
+    rows = rows.withColumn("said", said).where("used and ledger = has_ledger")
+    cached = lambda k: F.when(ledger, F.coalesce(F.col("said")[k], F.lit(0))).otherwise(F.col(k))
+    out = usage(
+        rows,
         "amp",
-        ts_ms=T.strict_ms(told),
-        ts_text=told,
-        model=F.coalesce(J.text(m, "usage", "model"), J.text(m, "model")),
-        message_id=F.coalesce(J.integer(m, "messageId").cast("string"), J.raw_text(m, "messageId")),
-        credits=J.number(m, "usage", "credits"),
-        **_counters(m, input=("usage", "inputTokens"), output=("usage", "outputTokens"), cache_creation=("usage", "cacheCreationInputTokens"), cache_read=("usage", "cacheReadInputTokens")),
-        message_count=J.u64(m, "usage", "totalTokens"),
-        **common,
+        ts_ms=T.strict_ms(F.col("told")),
+        ts_text=F.col("told"),
+        session_id=F.col("thread"),
+        project_path=F.lit("Amp"),
+        input_tokens=F.col("n_input"),
+        output_tokens=F.col("n_output"),
+        cache_creation_tokens=cached("n_c"),
+        cache_read_tokens=cached("n_r"),
+        message_count=F.col("n_total"),
+        bill_extra=F.lit(True),
     )
-    return _settle(ledger.unionByName(plain)).where("model is not null")
+    return _settle(out).where("model is not null")
 
 
 def read_droid(spark: SparkSession, path: str) -> DataFrame:

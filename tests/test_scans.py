@@ -266,7 +266,7 @@ def method_sizes(spark, df):
     return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
 
 
-@pytest.mark.parametrize("agent", ["gemini"])
+@pytest.mark.parametrize("agent", ["gemini", "amp"])
 def test_readers_keep_to_methods_that_are_compiled(spark, tmp_path, monkeypatch, agent):
     (tmp_path / "a.json").write_text('{"id":"t","messages":[]}')
     (tmp_path / "a.jsonl").write_text('{"type":"gemini","message":{"usage":{}}}\n')
@@ -279,13 +279,22 @@ def test_readers_keep_to_methods_that_are_compiled(spark, tmp_path, monkeypatch,
     assert sizes and max(sizes) < 8000
 
 
-@pytest.mark.parametrize("agent", ["gemini"])
+@pytest.mark.parametrize("agent", ["gemini", "amp"])
 def test_documents_are_read_once(spark, tmp_path, agent):
     (tmp_path / "a.json").write_text('{"id":"t","messages":[]}')
     plan = agents.READERS[agent](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan text") == 1
 
 
+def test_an_amp_event_takes_the_last_message_of_its_id(spark, tmp_path):
+    used = lambda n: {"cacheCreationInputTokens": n, "cacheReadInputTokens": n + 1}
+    said = [{"role": "assistant", "messageId": 5, "usage": used(7)}, {"role": "user", "messageId": 6, "usage": used(90)}, {"role": "assistant", "messageId": 5, "usage": used(3)}, {"role": "assistant", "messageId": "x", "usage": used(1)}]
+    event = lambda to, **more: {"timestamp": "2026-01-01T00:00:00Z", "model": "m", "toMessageId": to, "tokens": {"input": 10, "output": 20}} | more
+    (tmp_path / "a.json").write_text(json.dumps({"id": "t", "messages": said, "usageLedger": {"events": [event(5), event(5, tokens=1), event(6), event(None), None, 4]}}))
+    got = sorted(agents.read_amp(spark, str(tmp_path)).collect(), key=lambda r: r.item_no)
+    assert [(r.item_no, r.input_tokens, r.cache_creation_tokens, r.cache_read_tokens) for r in got] == [(0, 10, 3, 4), (1, 0, 3, 4), (2, 10, 0, 0), (3, 10, 0, 0)]
+
+
 def test_facts_are_not_dealt_by_their_candidates(spark, monkeypatch):
     rows = agents.usage(spark.range(40).select(F.concat(F.lit("m"), F.col("id") % 3).alias("model"), F.lit(1).alias("input_tokens"), F.lit(0).alias("output_tokens")), "x")
     facts = textlogs.written(rows)
