@@ -20,7 +20,7 @@ from tallyforge.functions.tokens import saturating_minus, total_tokens, with_tot
 from tallyforge.operators.carry import carry_forward
 from tallyforge.operators.dedupe import keep_highest
 from tallyforge.sources.sqlite import sqlite_rows
-from tallyforge.sources.textlogs import RANGE, json_lines, log_lines, once, whole_files, written
+from tallyforge.sources.textlogs import RANGE, json_lines, listed_files, log_lines, once, range_lines, whole_files, written
 
 COLUMNS = {
     "agent": "string",
@@ -157,25 +157,39 @@ def read_claude(spark: SparkSession, path: str, project: str | None = None) -> D
     return out.where("ts_ms is not null")
 
 
+_PI_USED = ("input", "output", "cacheWrite", "cacheRead", "totalTokens")
+_PI_RECORD = f"struct<type: variant, timestamp: variant, message: struct<role: variant, model: variant, usage: struct<{J.variants(_PI_USED)}, cost: struct<total: variant>>>>"
+
+
 def read_pi(spark: SparkSession, path: str) -> DataFrame:
-    rows = log_lines(spark, path, "*.jsonl", [['"usage"', '"message"']])
-    rows, v = json_lines(rows), F.col("v")
-    rows = rows.where(F.coalesce(J.raw_text(v, "type") == "message", F.lit(True)) & (J.raw_text(v, "message", "role") == "assistant") & J.exists(v, "message", "usage"))
-    u = ("message", "usage")
+    """Usages of assistants' messages; each value of a line is picked once, and what its file's name
+    tells travels with the file's ranges."""
     stem = F.regexp_extract("file", r"([^/]*?)(?:\.[^./]*)?$", 1)
     project = F.coalesce(F.nullif(F.regexp_extract("file", "/sessions/([^/]+)", 1), F.lit("")), F.lit("unknown"))
+    files = listed_files(spark, path, "*.jsonl").withColumns({"session_id": F.regexp_replace(stem, "^[^_]*_", ""), "project": project})
+    rows = json_lines(range_lines(files, [['"usage"', '"message"']], also=["session_id", "project"]))
+    rows = once(rows, "r", J.typed(F.col("v"), _PI_RECORD)).drop("v", "value").where("r.message.usage is not null")
+    kinds, u = {"type": F.col("r.type"), "timestamp": F.col("r.timestamp"), "role": F.col("r.message.role"), "model": F.col("r.message.model")}, F.col("r.message.usage")
+    rows = once(rows, "t", F.struct(*(J.raw_text(x).alias(k) for k, x in kinds.items())))
+    rows = rows.where("coalesce(t.type = 'message', true) and t.role = 'assistant'")
+    rows = once(rows, "n", F.transform(F.array(*(u[k] for k in _PI_USED)), lambda c: J.u64(c)))
+    rows = once(rows, "cost", J.number(u["cost"]["total"]))
+    trimmed = lambda k: F.nullif(F.trim(f"t.{k}"), F.lit(""))
+    n = {k: F.col("n")[i] for i, k in enumerate(_PI_USED)}
     out = usage(
         rows,
         "pi",
-        ts_ms=T.strict_ms(J.text(v, "timestamp")),
-        ts_text=J.text(v, "timestamp"),
-        session_id=F.regexp_replace(stem, "^[^_]*_", ""),
-        project=project,
-        project_path=project,
-        model=F.concat(F.lit("[pi] "), J.text(v, "message", "model")),
-        recorded_cost=J.number(v, *u, "cost", "total"),
-        **_counters(v, input=(*u, "input"), output=(*u, "output"), cache_creation=(*u, "cacheWrite"), cache_read=(*u, "cacheRead")),
-        message_count=J.u64(v, *u, "totalTokens"),
+        ts_ms=T.strict_ms(trimmed("timestamp")),
+        ts_text=trimmed("timestamp"),
+        project=F.col("project"),
+        project_path=F.col("project"),
+        model=F.concat(F.lit("[pi] "), trimmed("model")),
+        recorded_cost=F.col("cost"),
+        input_tokens=n["input"],
+        output_tokens=n["output"],
+        cache_creation_tokens=n["cacheWrite"],
+        cache_read_tokens=n["cacheRead"],
+        message_count=n["totalTokens"],
     )
     return _settle(out)
 

@@ -266,7 +266,7 @@ def method_sizes(spark, df):
     return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
 
 
-@pytest.mark.parametrize("agent", ["gemini", "amp"])
+@pytest.mark.parametrize("agent", ["gemini", "pi", "amp"])
 def test_readers_keep_to_methods_that_are_compiled(spark, tmp_path, monkeypatch, agent):
     (tmp_path / "a.json").write_text('{"id":"t","messages":[]}')
     (tmp_path / "a.jsonl").write_text('{"type":"gemini","message":{"usage":{}}}\n')
