@@ -214,13 +214,18 @@ def word_prefixes(dp: Prefixes, words: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, dtype=np.int32)
+
+
 def _known_prefixes(dp: Prefixes) -> Known:
     def make(words):
         each = word_prefixes(dp, words)
         held = np.empty(len(each), dtype=object)
-        held[:] = each
+        held[:] = [x.tobytes() for x in each]  # views would keep the counts of all words of this call
         size = np.array([len(x) for x in each], dtype=np.int64)
-        flat = np.append(np.concatenate([np.zeros(0, dtype=np.int64), *each]), 0)
+        # the last word's least is taken to the end of flat, so what is appended must be above all counts
+        flat = np.append(np.concatenate([np.zeros(0, dtype=np.int64), *each]), FREE)
         ends = np.cumsum(size)
         total = np.where(size > 0, flat[ends - 1], 0)
         least = np.where(size > 0, np.minimum.reduceat(flat, ends - size), 0) if len(each) else total
@@ -258,14 +263,15 @@ def _count(raw_vocab, limit: int, prefix_column: bool):
                         fit = 0
                         if len(able):
                             w = int(able[-1])
-                            inside = np.flatnonzero(before[w] + held[rows[a + w]] <= limit)[-1] + 1
+                            own = _unpacked(held[rows[a + w]])
+                            inside = np.flatnonzero(before[w] + own <= limit)[-1] + 1
                             s = starts[a + w]
                             whole = points[s + lengths[a + w]] - points[s]
-                            same = whole == len(held[rows[a + w]])
-                            fit = int(points[s] - points[offsets[k]] + (inside if same else whole if inside == len(held[rows[a + w]]) else 0))
+                            same = whole == len(own)
+                            fit = int(points[s] - points[offsets[k]] + (inside if same else whole if inside == len(own) else 0))
                         fits.append(fit)
                     if prefix_column:
-                        lists.append(np.concatenate([np.zeros(0, dtype=np.int64), *(c + held[r] for c, r in zip(before, rows[a:b]))]).astype(np.int32))
+                        lists.append(np.concatenate([np.zeros(0, dtype=np.int64), *(c + _unpacked(held[r]) for c, r in zip(before, rows[a:b]))]).astype(np.int32))
                 cols = {
                     "doc_id": part.column("id"),
                     "n_bytes": pa.array(np.diff(offsets), pa.int64()),

@@ -17,7 +17,7 @@ from tallyforge.llm import minhash_dedup, mixing, pii, toxicity
 from tallyforge.llm.bpe_codec import decode_column, encode_decode
 from tallyforge.llm.minhash_dedup import near_duplicates
 from tallyforge.llm.mixing import mix_sources, mixed_documents
-from tallyforge.llm.prefix_tokens import prefix_token_counts
+from tallyforge.llm.prefix_tokens import _state, prefix_token_counts
 from tallyforge.llm.toxicity import clean_documents, score, train
 
 VOCAB = public_tokenizers.path("word_bpe_49k.json")
@@ -80,6 +80,37 @@ def test_prefix_counts(spark, docs, library):
             assert size(text[: r.fit_chars]) <= 7 and all(size(text[:k]) > 7 for k in range(r.fit_chars + 1, len(text) + 1) if not text[k - 1].isspace())
 
 
+def test_limits_at_word_ends(spark, library):
+    """Limits that are reached just before each word, also before the one that is worked out last, and of no tokens."""
+    text = "zqalpha zqbeta zqgamma zqdelta zqepsilon"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for limit in range(size(text) + 1):
+        got = prefix_token_counts(rows, VOCAB, limit).head()
+        fit = max(k for k in range(len(text) + 1) if (k == len(text) or not text[:k].endswith(" ")) and size(text[:k]) <= limit)
+        assert (got.n_tokens, got.over_limit, got.fit_chars) == (size(text), size(text) > limit, fit), limit
+
+
+def test_kept_prefix_counts():
+    """The least count of each word is its own, and words that stay don't keep the others' counts in memory."""
+    with open(VOCAB, "rb") as file:
+        _, known = _state(file.read())
+    known.most = 1500
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    often: list[bytes] = []
+    for k in range(12):
+        often.append(f"often{letters[k]}".encode())
+        words = often + ["".join(rng.choice(letters) for _ in range(20)).encode() for _ in range(500)]
+        size = np.array([len(x) for x in words])
+        known.get(b"".join(words), np.cumsum(size) - size, size)
+        total, least, held = known.columns
+        counts = [np.frombuffer(x, dtype=np.int32) for x in held]
+        assert [(x[-1], x.min()) for x in counts] == [*zip(total, least)]
+    owners = {id(own): own for x in held for own in [x if getattr(x, "base", None) is None else x.base]}
+    assert sum(memoryview(x).nbytes for x in owners.values()) == sum(memoryview(x).nbytes for x in held) <= 1500 * 20 * 4
+
+
 def test_long_words(spark, library):
     """Unspaced text of 20,000 random and 1,000,000 repeated letters."""
     rng = random.Random(8)
